@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.metrics import (exact_match, set_f1, set_match, tau_counts,
                                         tau_ranks, tau_value, top1)
 from rankloom.functions.rankings import parse_ranking, ranking_from_array
-from rankloom.functions.text import WS  # noqa: F401  (re-exported for users)
 from pyspark.sql.types import ArrayType
 
 NO_GOLD_NOTE = "no scorable rows (no parseable gold)"
@@ -128,10 +127,9 @@ def ids_json(r: Column) -> Column:
     return F.when(r.isNotNull(), F.concat(F.lit("["), body, F.lit("]")))
 
 
-def per_example(scored: DataFrame, idx_col: str = "idx") -> DataFrame:
+def per_example(scored: DataFrame, keep: Sequence[str] = ("idx",)) -> DataFrame:
     """Per-example dump (SNK5): skipped rows omitted (``idx`` keeps its gaps),
     f1 rounded to 4 decimals, rankings rendered as JSON text."""
-    extra = [c for c in scored.columns if c == idx_col]
     return scored.filter(~F.col("skip")).select(
-        *extra, "em", "relaxed_em", round4(F.col("f1")).alias("f1"), "top1", "invalid",
+        *keep, "em", "relaxed_em", round4(F.col("f1")).alias("f1"), "top1", "invalid",
         ids_json(F.col("pred")).alias("pred"), ids_json(F.col("gold")).alias("gold"))
