@@ -13,7 +13,7 @@ functions): no Python runs per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType
 
@@ -27,15 +27,20 @@ _INTEGRAL = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 _BARE_LIST = r'(?s)"ranked_tables"' + WS + r"*:" + WS + r"*\[([^\]]*)\]"
 
 
-def _variant_type(e: Column) -> Column:
-    return F.schema_of_variant(e)
+def elem_info(e: Column) -> Column:
+    """Decode a JSON element once: its type name and string/double/boolean views."""
+    return F.struct(F.schema_of_variant(e).alias("t"),
+                    F.try_variant_get(e, "$", "string").alias("s"),
+                    F.try_variant_get(e, "$", "double").alias("d"),
+                    F.try_variant_get(e, "$", "boolean").alias("b"),
+                    F.when(~F.schema_of_variant(e).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE"
+                                                         "|FLOAT|BOOLEAN|STRING|VOID)"),
+                           F.to_json(e)).alias("j"))
 
 
-def _elem_int(e: Column) -> Column:
-    """``str(int(x))`` of a JSON element, or null when ``int(x)`` fails."""
-    t = _variant_type(e)
-    s = F.try_variant_get(e, "$", "string")
-    d = F.try_variant_get(e, "$", "double")
+def _elem_int(x: Column) -> Column:
+    """``str(int(v))`` of a decoded JSON element, or null when ``int(v)`` fails."""
+    t, s, d = x["t"], x["s"], x["d"]
     return (F.when(t.isin(*_INTEGRAL), s)
             .when(t.startswith("DECIMAL"),
                   canonical_int(F.regexp_extract(s, r"^(-?)", 1),
@@ -43,24 +48,24 @@ def _elem_int(e: Column) -> Column:
             .when(t.isin("DOUBLE", "FLOAT"),
                   F.coalesce(d.try_cast("bigint").cast("string"),
                              d.try_cast("decimal(38,0)").cast("string")))
-            .when(t == "BOOLEAN",
-                  F.when(F.try_variant_get(e, "$", "boolean"), F.lit("1")).otherwise(F.lit("0")))
+            .when(t == "BOOLEAN", F.when(x["b"], F.lit("1")).otherwise(F.lit("0")))
             .when(t == "STRING", int_text(s)))
 
 
-def _elem_str(e: Column) -> Column:
-    """``str(x).strip()`` of a JSON element (Python rendering of scalars)."""
-    t = _variant_type(e)
-    s = F.try_variant_get(e, "$", "string")
-    d = F.try_variant_get(e, "$", "double")
+def _elem_str(x: Column) -> Column:
+    """``str(v).strip()`` of a decoded JSON element (Python rendering of scalars).
+
+    Floats render through Spark's double formatting, which equals Python's
+    ``repr`` for 1e-3 <= |v| < 1e7; nested lists/objects render as compact
+    JSON instead of Python's repr (documented deviations)."""
+    t, s, d = x["t"], x["s"], x["d"]
     big_int = t.rlike(r"^DECIMAL\((19|[2-9][0-9]|[1-9][0-9]{2,}),0\)$")
     return (F.when(t == "STRING", py_strip(s))
             .when(t.isin(*_INTEGRAL) | big_int, s)
             .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), d.cast("string"))
-            .when(t == "BOOLEAN",
-                  F.when(F.try_variant_get(e, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .when(t == "BOOLEAN", F.when(x["b"], F.lit("True")).otherwise(F.lit("False")))
             .when(t == "VOID", F.lit("None"))
-            .otherwise(F.to_json(e)))
+            .otherwise(x["j"]))
 
 
 def _coerce(items: Column, as_int, as_str) -> Column:
@@ -98,7 +103,7 @@ def parse_ranking(text: Column) -> Column:
     """
     text = text.cast("string")
     block = _last_valid_block(text)
-    from_block = _coerce(block, _elem_int, _elem_str)
+    from_block = _coerce(F.transform(block, elem_info), _elem_int, _elem_str)
     items = _bare_list_items(text)
     from_bare = _coerce(items, int_text, py_strip)
     return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
@@ -107,6 +112,75 @@ def parse_ranking(text: Column) -> Column:
             .otherwise(F.lit(None).cast(RANKING_TYPE)))
 
 
+def _valid_lists(text: Column) -> Column:
+    """``ranked_tables`` values (as variants) of the {...} blocks that parse
+    and hold a non-empty list under that key, in text order."""
+    vals = F.transform(lazy_blocks(text),
+                       lambda b: F.try_variant_get(F.try_parse_json(b), "$.ranked_tables", "variant"))
+    return F.filter(vals, lambda v: F.coalesce(
+        F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.lit(False)))
+
+
+def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
+    """``parse_ranking`` for several text columns, as staged projections.
+
+    Each intermediate (last valid block, its type, decoded elements, int
+    candidates) is computed once and then referenced as a column: a single
+    nested expression would re-derive the regex scan and JSON parse in every
+    branch that uses it (Catalyst does not share subexpressions across
+    lambdas and CASE branches). Plain integer lists -- the common case --
+    take a fast path: one ``schema_of_variant`` per row and a typed cast,
+    instead of decoding every element."""
+    def stage(frame: DataFrame, cols: dict[str, Column]) -> DataFrame:
+        return frame.select(*frame.columns, *[c.alias(n) for n, c in cols.items()])
+
+    cur = df.select(*keep, *texts.values())
+    cur = stage(cur, {f"_last_{o}": F.try_element_at(_valid_lists(F.col(t).cast("string")), F.lit(-1))
+                      for o, t in texts.items()}
+                | {f"_bare_{o}": _bare_list_items(F.col(t).cast("string")) for o, t in texts.items()})
+    cur = stage(cur, {f"_typ_{o}": F.schema_of_variant(F.col(f"_last_{o}")) for o in texts})
+    fast, info, bare_fast = {}, {}, {}
+    for o in texts:
+        last, typ, bare = F.col(f"_last_{o}"), F.col(f"_typ_{o}"), F.col(f"_bare_{o}")
+        fast[f"_fast_{o}"] = F.when(typ == "ARRAY<BIGINT>", F.transform(
+            F.try_variant_get(last, "$", "array<bigint>"), lambda x: x.cast("string")))
+        info[f"_info_{o}"] = F.when(last.isNotNull() & (typ != "ARRAY<BIGINT>"), F.transform(
+            F.try_variant_get(last, "$", "array<variant>"), elem_info))
+        bare_fast[f"_bfast_{o}"] = F.forall(
+            bare, lambda x: F.coalesce(x.try_cast("bigint").cast("string") == x, F.lit(False)))
+    cur = stage(cur, fast | info | bare_fast)
+    slow = {}
+    for o in texts:
+        info_c, bare = F.col(f"_info_{o}"), F.col(f"_bare_{o}")
+        slow[f"_bi_{o}"] = F.transform(info_c, _elem_int)
+        slow[f"_si_{o}"] = F.when(~F.col(f"_bfast_{o}"), F.transform(bare, int_text))
+    cur = stage(cur, slow)
+    nums = {}
+    for o in texts:
+        nums[f"_bn_{o}"] = F.forall(F.col(f"_bi_{o}"), lambda x: x.isNotNull())
+        nums[f"_sn_{o}"] = F.col(f"_bfast_{o}") | F.forall(F.col(f"_si_{o}"), lambda x: x.isNotNull())
+    cur = stage(cur, nums)
+
+    def final(o: str, t: str) -> Column:
+        info_c, bare = F.col(f"_info_{o}"), F.col(f"_bare_{o}")
+        bn, sn, bfast = F.col(f"_bn_{o}"), F.col(f"_sn_{o}"), F.col(f"_bfast_{o}")
+        fast_r = F.struct(F.col(f"_fast_{o}").alias("ids"), F.lit(True).alias("numeric"))
+        from_block = F.struct(
+            F.when(bn, F.col(f"_bi_{o}")).otherwise(F.transform(info_c, _elem_str)).alias("ids"),
+            bn.alias("numeric"))
+        from_bare = F.struct(
+            F.when(bfast, bare).when(sn, F.col(f"_si_{o}"))
+            .otherwise(F.transform(bare, py_strip)).alias("ids"),
+            sn.alias("numeric"))
+        return (F.when(F.col(t).isNull(), F.lit(None).cast(RANKING_TYPE))
+                .when(F.col(f"_fast_{o}").isNotNull(), fast_r)
+                .when(info_c.isNotNull(), from_block)
+                .when(F.size(bare) > 0, from_bare)
+                .otherwise(F.lit(None).cast(RANKING_TYPE))).alias(o)
+
+    return cur.select(*keep, *[final(o, t) for o, t in texts.items()])
+
+
 def ranking_from_array(arr: Column, element_type: DataType | None = None) -> Column:
     """Ranking of a native array column (RNK5): no text parsing, and an empty
     array is a valid (numeric) ranking. String elements follow ``int()``'s

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.metrics import (exact_match, set_f1, set_match, tau_counts,
                                         tau_ranks, tau_value, top1)
-from rankloom.functions.rankings import parse_ranking, ranking_from_array
+from rankloom.functions.rankings import parse_ranking, ranking_from_array, with_rankings
 from pyspark.sql.types import ArrayType
 
 NO_GOLD_NOTE = "no scorable rows (no parseable gold)"
@@ -45,8 +45,13 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
     """
     keep = [c for c in (keep if keep is not None else df.columns)
             if c not in (pred_col, gold_col)]
-    parsed = df.select(*keep, _ranking(df, pred_col).alias("pred"),
-                       _ranking(df, gold_col).alias("gold"))
+    texts = {out: c for out, c in (("pred", pred_col), ("gold", gold_col))
+             if not isinstance(df.schema[c].dataType, ArrayType)}
+    if texts:
+        df = with_rankings(df, texts, keep + [c for c in (pred_col, gold_col) if c not in texts.values()])
+    parsed = df.select(*keep,
+                       (F.col("pred") if "pred" in texts else _ranking(df, pred_col)).alias("pred"),
+                       (F.col("gold") if "gold" in texts else _ranking(df, gold_col)).alias("gold"))
     p, g = F.col("pred"), F.col("gold")
     both = p.isNotNull() & g.isNotNull()
     ranked = parsed.withColumn("_ranks", F.when(both, tau_ranks(p, g)))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import scoring
+from rankloom.functions.rankings import with_rankings
+from rankloom.operators import curation, scoring
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
 from rankloom.session import configure
@@ -42,10 +43,9 @@ def register(name: str, oracle: str | None = None):
 def rank_parse(spark, sf_dir):
     """RNK1-4, RNK6: rankings parsed from prediction and label text."""
     f1 = fx.predictions(spark, sf_dir)
-    from rankloom.functions.rankings import parse_ranking
-    return f1.select("run", "ex_id",
-                     scoring.ids_json(parse_ranking(F.col("predict"))).alias("pred"),
-                     scoring.ids_json(parse_ranking(F.col("label"))).alias("gold"))
+    r = with_rankings(f1, {"pred": "predict", "gold": "label"}, keep=["run", "ex_id"])
+    return r.select("run", "ex_id", scoring.ids_json(F.col("pred")).alias("pred"),
+                    scoring.ids_json(F.col("gold")).alias("gold"))
 
 
 @register("example_scores", o.with_(o.F1, o.SCORED)
@@ -81,6 +81,62 @@ def per_example_dump(spark, sf_dir):
     return scoring.per_example(s.withColumnRenamed("ex_id", "idx"), keep=["run", "idx"])
 
 
+# ------------------------------------------------------------------ curation
+_CUR = (o.F2, o.F3, o.LATEST)
+
+
+def _raw_meta(spark, sf_dir):
+    return fx.raw_examples(spark, sf_dir), fx.reasoning_metadata(spark, sf_dir)
+
+
+@register("metadata_latest", o.with_(*_CUR)
+          + "select qid, split, reasoning_text, total_thinking, recovered from latest")
+def metadata_latest(spark, sf_dir):
+    """AGG4 + PRJ4: last-wins metadata record per qid and its recovery text."""
+    return curation.metadata_latest(fx.reasoning_metadata(spark, sf_dir))
+
+
+@register("backfill", o.with_(*_CUR, o.ROWS)
+          + "select pos, qid, needs_recovery, recovered, thinking_final from rows")
+def backfill(spark, sf_dir):
+    """FLT3 + JOIN1: per raw row, whether its blank thinking was recovered."""
+    raw, meta = _raw_meta(spark, sf_dir)
+    b = curation.backfill(raw, curation.metadata_latest(meta))
+    return b.select("pos", "qid", "needs_recovery", "recovered", "thinking_final")
+
+
+@register("curation_outcomes", o.with_(*_CUR, o.ROWS)
+          + "select pos, qid, recovered, outcome from outcomes")
+def curation_outcomes(spark, sf_dir):
+    """FLT1-2 + FLT5 per row: kept / duplicate / invalid."""
+    raw, meta = _raw_meta(spark, sf_dir)
+    return curation.row_outcomes(raw, meta)
+
+
+@register("curation_audit", o.with_(*_CUR, o.ROWS) + """
+select count(*) n_raw, count(*) filter (where recovered) n_recovered,
+  count(*) filter (where outcome = 'kept') n_kept, count(*) filter (where outcome <> 'kept') n_dropped,
+  count(*) filter (where outcome = 'invalid') n_invalid,
+  count(*) filter (where outcome = 'duplicate') n_duplicate,
+  (select count(*) from latest) n_metadata
+from outcomes""")
+def curation_audit(spark, sf_dir):
+    """AGG2 + FLT5: curation counters in one row."""
+    raw, meta = _raw_meta(spark, sf_dir)
+    return curation.curation_audit(raw, meta)
+
+
+@register("canonical_examples", o.with_(*_CUR, o.ROWS) + f"""
+select pos, qid, coalesce(dataset, 'unknown') dataset, {o.strip('prompt')} prompt,
+  {o.strip('thinking_final')} thinking, {o.CANON_ANSWER} answer
+from outcomes where outcome = 'kept'""")
+def canonical_examples(spark, sf_dir):
+    """AGG1 + PRJ1-3: first valid example per qid, cleaned."""
+    raw, meta = _raw_meta(spark, sf_dir)
+    c = curation.canonical_examples(raw, meta)
+    return c.select("pos", "qid", "dataset", "prompt", "thinking", "answer")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -215,3 +215,40 @@ from scored"""
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# ---------------------------------------------------------------- curation
+def _present(c: str) -> str:
+    return f"({c} is not null and {strip(c)} <> '')"
+
+
+GREEDY = "regexp_extract(answer, '(?s)\\{.*\\}')"
+ANSWER_OK = (f"(case when json_valid({GREEDY}) then coalesce(json_type({GREEDY}, '$.ranked_tables') = 'ARRAY' "
+             f"and json_array_length({GREEDY}, '$.ranked_tables') > 0, false) else false end)")
+
+LATEST = f"""
+latest as (select qid, split, reasoning_text, total_thinking,
+    coalesce(nullif({strip('reasoning_text')}, ''), nullif({strip('total_thinking')}, '')) recovered
+  from (select *, row_number() over (partition by qid order by
+          case split when 'train' then 0 when 'dev' then 1 else 2 end desc) rn
+        from f3 where split in ('train','dev','test')) where rn = 1)
+"""
+
+ROWS = f"""
+rows as (select f2.*, (thinking is not null and {strip('thinking')} = '') needs_recovery,
+    (thinking is not null and {strip('thinking')} = '') and latest.recovered is not null recovered,
+    case when (thinking is not null and {strip('thinking')} = '') and latest.recovered is not null
+         then latest.recovered else thinking end thinking_final
+  from f2 left join latest on latest.qid = f2.qid),
+judged as (select *, ({_present('qid')} and {_present('prompt')} and {_present('thinking_final')}
+    and {_present('answer')} and {ANSWER_OK}) valid from rows),
+ranked as (select *, case when valid then row_number() over (partition by qid, valid order by pos) end rk
+  from judged),
+outcomes as (select pos, qid, recovered,
+    case when not valid then 'invalid' when rk = 1 then 'kept' else 'duplicate' end outcome,
+    dataset, prompt, thinking_final, answer from ranked)
+"""
+
+CANON_ANSWER = (f"(case when {ANSWER_OK} then regexp_replace(regexp_replace("
+                f"cast(json({GREEDY}) as varchar), ',', ', ', 'g'), '\":', '\": ', 'g') "
+                f"else {strip('answer')} end)")

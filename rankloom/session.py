@@ -39,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     if master:
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.host", "127.0.0.1")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.session.timeZone", "UTC")
