@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.rankings import with_rankings
-from rankloom.operators import curation, scoring
+from rankloom.operators import curation, scoring, setups, sharding, split
+from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
 from rankloom.session import configure
@@ -137,6 +138,90 @@ def canonical_examples(spark, sf_dir):
     return c.select("pos", "qid", "dataset", "prompt", "thinking", "answer")
 
 
+# ------------------------------------------------------------ setups, split
+def _canonical(spark, sf_dir):
+    raw, meta = _raw_meta(spark, sf_dir)
+    return curation.canonical_examples(raw, meta)
+
+
+@register("setup_rows", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + """
+select qid, setup, mask_history, 'You are a careful retrieval assistant that ranks candidate tables by their relevance to a user''s question.' system,
+  len(conversations) n_turns, conversations[1].value human, conversations[-1].value response,
+  octet_length(encode(to_json({'system': 'You are a careful retrieval assistant that ranks candidate tables by their relevance to a user''s question.', 'conversations': conversations}))) + 1 rec_bytes
+from setups""")
+def setup_rows(spark, sf_dir):
+    """PRJ5-11 + PRJ13: every canonical example in the four layouts."""
+    f = setups.with_record(setups.fan_out(_canonical(spark, sf_dir)))
+    return f.select("qid", "setup", "mask_history", "system",
+                    F.size("conversations").alias("n_turns"),
+                    F.col("conversations")[0]["value"].alias("human"),
+                    F.element_at("conversations", -1)["value"].alias("response"), "rec_bytes")
+
+
+@register("loss_turns", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + """
+select qid, setup, turn, role, value,
+  role = 'gpt' and (not mask_history or turn = last_gpt) in_loss
+from (select qid, setup, mask_history, generate_subscripts(conversations, 1) - 1 turn,
+        unnest(conversations).from role, unnest(conversations).value value,
+        list_last(list_filter(range(len(conversations)), lambda i: conversations[i + 1].from = 'gpt')) last_gpt
+      from setups)""")
+def loss_turns(spark, sf_dir):
+    """PRJ12: one row per turn with its loss-mask flag."""
+    t = setups.loss_turns(setups.fan_out(_canonical(spark, sf_dir)), keep=["qid"])
+    return t.select("qid", "setup", "turn", "role", "value", "in_loss")
+
+
+@register("split_assign", o.with_(*_CUR, o.ROWS, o.CANON, o.SPLIT) + "select qid, split from split")
+def split_assign(spark, sf_dir):
+    """SPL1: exact-size seeded val split, identical for every setup."""
+    canon = materialize(_canonical(spark, sf_dir).select("pos", "qid"), "canonical")
+    return split.assign_split(canon).select("qid", "split")
+
+
+@register("split_counts", o.with_(*_CUR, o.ROWS, o.CANON, o.SPLIT, o.SETUP_ROWS) + """
+select setups.setup, split.split, count(*) n_rows, bool_or(mask_history) mask_history
+from setups join split on split.qid = setups.qid group by setups.setup, split.split""")
+def split_counts(spark, sf_dir):
+    """AGG3: rows per (setup, split) and the setup's mask flag."""
+    canon = materialize(_canonical(spark, sf_dir), "canonical")
+    fanned = setups.fan_out(split.assign_split(canon))
+    return fanned.groupBy("setup", "split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                F.bool_or("mask_history").alias("mask_history"))
+
+
+# ------------------------------------------------------------------ shards
+SHARD_TEST_BYTES = 65536
+
+
+@register("shard_greedy", o.greedy_sql(SHARD_TEST_BYTES) + "select lang, pos, rec_bytes, shard_id from g")
+def shard_greedy(spark, sf_dir):
+    """SHARD2: exact greedy packing per lang in pos order (64 KiB budget)."""
+    return sharding.greedy_shards(fx.shard_input(spark, sf_dir), SHARD_TEST_BYTES, ["lang"]) \
+        .select("lang", "pos", "rec_bytes", "shard_id")
+
+
+@register("shard_report", o.greedy_sql(SHARD_TEST_BYTES) + """
+, s as (select lang, shard_id, sum(rec_bytes) + 1 file_bytes, count(*) n from g group by lang, shard_id)
+select lang, count(*) n_shards, sum(n) n_records, sum(file_bytes) total_bytes, max(file_bytes) max_shard_bytes
+from s group by lang""")
+def shard_report(spark, sf_dir):
+    """AGG9: shard count and bytes per lang."""
+    g = sharding.greedy_shards(fx.shard_input(spark, sf_dir), SHARD_TEST_BYTES, ["lang"])
+    return sharding.shard_report(g, ["lang"])
+
+
+@register("shard_assign", o.with_(o.F4) + f"""
+, r as (select lang, pos, rec_bytes,
+    sum(rec_bytes) over (partition by lang order by pos rows between unbounded preceding and current row)
+      - rec_bytes start,
+    greatest({SHARD_TEST_BYTES} - 2 - max(rec_bytes) over (partition by lang), 1) w from f4)
+select lang, pos, rec_bytes, start,
+  dense_rank() over (partition by lang order by floor(start / w)) - 1 shard_id from r""")
+def shard_assign(spark, sf_dir):
+    """SHARD1: prefix-sum bounded shards per lang (64 KiB budget)."""
+    return sharding.bounded_shards(fx.shard_input(spark, sf_dir), SHARD_TEST_BYTES, ["lang"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -252,3 +252,57 @@ outcomes as (select pos, qid, recovered,
 CANON_ANSWER = (f"(case when {ANSWER_OK} then regexp_replace(regexp_replace("
                 f"cast(json({GREEDY}) as varchar), ',', ', ', 'g'), '\":', '\": ', 'g') "
                 f"else {strip('answer')} end)")
+
+
+# ---------------------------------------------------------------- setups, split
+CANON = f"""
+canon as (select pos, qid, coalesce(dataset, 'unknown') dataset, {strip('prompt')} prompt,
+  {strip('thinking_final')} thinking, {CANON_ANSWER} answer from outcomes where outcome = 'kept')
+"""
+
+SYSTEM = ("You are a careful retrieval assistant that ranks candidate tables by "
+          "their relevance to a user's question.")
+HINT = ("Think step-by-step before answering; here is an example of the kind of "
+        "reasoning to learn from:")
+CUE = "Based on that reasoning, give the final ranking."
+
+
+def _turn(role: str, value: str) -> str:
+    return f"{{'from': '{role}', 'value': {value}}}"
+
+
+_RESP = "thinking || chr(10) || chr(10) || answer"
+_HINTP = f"prompt || chr(10) || chr(10) || '{HINT}' || chr(10) || thinking"
+SETUP_ROWS = f"""
+setups as (
+  select pos, qid, 'setup1_full_loss' setup, false mask_history,
+    [{_turn('human', 'prompt')}, {_turn('gpt', _RESP)}] conversations from canon
+  union all select pos, qid, 'setup2_answer_only', true,
+    [{_turn('human', 'prompt')}, {_turn('gpt', 'thinking')}, {_turn('human', repr(CUE))},
+     {_turn('gpt', 'answer')}] from canon
+  union all select pos, qid, 'setup3_1_hint_answer_only', false,
+    [{_turn('human', _HINTP)}, {_turn('gpt', 'answer')}] from canon
+  union all select pos, qid, 'setup3_2_hint_full_loss', false,
+    [{_turn('human', _HINTP)}, {_turn('gpt', _RESP)}] from canon)
+"""
+
+SPLIT = """
+nval as (select case when count(*) > 20 then greatest(1, floor(count(*) * cast(0.05 as double)))
+                     else 0 end k from canon),
+split as (select qid, pos, case when row_number() over (order by md5('42:' || qid), qid) <= (select k from nval)
+                      then 'val' else 'train' end split from canon)
+"""
+
+
+def greedy_sql(max_bytes: int) -> str:
+    """SHARD2 as a recursive fold over each lang's records in pos order."""
+    return f"""
+with recursive {F4.strip()},
+r as (select lang, pos, rec_bytes, row_number() over (partition by lang order by pos) rn from f4),
+g as (select lang, rn, pos, rec_bytes, 2 + rec_bytes cur, 0 shard_id from r where rn = 1
+      union all
+      select r.lang, r.rn, r.pos, r.rec_bytes,
+        case when g.cur + r.rec_bytes > {max_bytes} then 2 + r.rec_bytes else g.cur + r.rec_bytes end,
+        case when g.cur + r.rec_bytes > {max_bytes} then g.shard_id + 1 else g.shard_id end
+      from g join r on r.lang = g.lang and r.rn = g.rn + 1)
+"""

@@ -21,8 +21,20 @@ _PLAN_DEFAULTS = {
 }
 
 
+def _ship_by_value() -> None:
+    """Pickle rankloom's functions by value inside Python tasks, so executors
+    need no installed copy of the package (no --py-files for a quick start)."""
+    import rankloom
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(rankloom)
+    except ValueError:
+        pass  # already registered
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings rankloom depends on to an existing session."""
+    _ship_by_value()
     for k, v in _REQUIRED_CONF.items():
         spark.conf.set(k, v)
     for k, v in _PLAN_DEFAULTS.items():
