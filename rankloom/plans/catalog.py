@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.rankings import with_rankings
-from rankloom.operators import curation, scoring, setups, sharding, split
+from rankloom.operators import curation, manifest, runs, scoring, setups, sharding, split
 from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
@@ -222,6 +222,110 @@ def shard_assign(spark, sf_dir):
     return sharding.bounded_shards(fx.shard_input(spark, sf_dir), SHARD_TEST_BYTES, ["lang"])
 
 
+# ------------------------------------------------------------ runs, progress
+@register("trainer_log_steps", o.with_(o.F5) + "select run_id, step, loss from f5")
+def trainer_log_steps(spark, sf_dir):
+    """WIN1-style ordered numbering: step = position of the event in its run
+    (skew-safe running index, no per-run window)."""
+    return fx.trainer_log(spark, sf_dir).select("run_id", "step", "loss")
+
+
+@register("run_progress", o.with_(o.F5) + f"""
+, st as (select run_id, max(step) global_step,
+    arg_max(loss, step) filter (where loss is not null) last_loss from f5 group by run_id)
+select c_custkey run_id, c_name name,
+  case when st.run_id is null then 'not started' when global_step >= {o.MAX_STEPS} then 'DONE'
+       else 'running' end status,
+  global_step step, case when st.run_id is not null then {o.MAX_STEPS} end max_steps,
+  case when st.run_id is not null then 100.0 * global_step / {o.MAX_STEPS} end pct,
+  case when st.run_id is not null then 3.0 * global_step / {o.MAX_STEPS} end epoch, last_loss
+from customer left join st on st.run_id = c_custkey""")
+def run_progress(spark, sf_dir):
+    """PROG1 + JOIN3 + WIN3: status of every run (customer) from its log."""
+    runs_dim = fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
+    state = runs.log_state(fx.trainer_log(spark, sf_dir))
+    return runs.progress(runs_dim, state, max_steps=o.MAX_STEPS)
+
+
+@register("run_dimension", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + f"""
+, present as (select distinct setup, mask_history from setups)
+select model_tag, repo_id, setup, mask_history, model_tag || '_' || {o.LABELS} run_name,
+  setup || '_train' dataset, setup || '_val' val_dataset,
+  case when (model_tag || '_' || {o.LABELS}) like '%answer_only%'
+        and (model_tag || '_' || {o.LABELS}) not like '%hint_full%' then 128 else 4096 end max_new_tokens,
+  'lora_runs/' || model_tag || '_' || {o.LABELS} output_dir
+from present cross join {o.MODELS_VALUES}""")
+def run_dimension(spark, sf_dir):
+    """DIM1 + JOIN4 + PRJ16-17: the model x setup run matrix for the setups
+    that have data."""
+    present = setups.fan_out(_canonical(spark, sf_dir)).select("setup").distinct()
+    dim = present.join(F.broadcast(runs.setup_dimension(spark)), "setup")
+    r = runs.run_dimension(dim)
+    return r.select("model_tag", "repo_id", "setup", "mask_history", "run_name", "dataset",
+                    "val_dataset", "max_new_tokens", "output_dir")
+
+
+# ------------------------------------------------------------ manifest, paths
+OUT_DIR = "/data/training_data/table_retrieval/sharegpt_setups"
+OLD_ROOT = "/mnt/old/box/training_data"
+
+
+@register("manifest_upsert", o.with_(*_CUR, o.ROWS, o.CANON, o.SPLIT, o.SETUP_ROWS) + f"""
+, newm as (select distinct setups.setup || '_' || split.split name,
+    '{OUT_DIR}/' || setups.setup || case when split.split = 'train' then '_train' else '_val.json' end file_name
+  from setups join split on split.qid = setups.qid),
+oldm as (select distinct 'raw_' || dataset name, '{OLD_ROOT}/raw/' || dataset || '.json' file_name from canon
+  union all select distinct setup || '_train', '{OLD_ROOT}/sharegpt_setups/' || setup || '_train' from setups),
+merged as (select * from oldm where name not in (select name from newm) union all select * from newm)
+select name, file_name, 'sharegpt' formatting,
+  '{{"messages":"conversations","system":"system"}}' columns_json,
+  '{{"role_tag":"from","content_tag":"value","user_tag":"human","assistant_tag":"gpt"}}' tags_json
+from merged""")
+def manifest_upsert(spark, sf_dir):
+    """SNK6: upsert the written setup datasets into an older manifest."""
+    canon = materialize(_canonical(spark, sf_dir), "canonical")
+    fanned = setups.fan_out(split.assign_split(canon))
+    new_files = fanned.select(
+        F.concat("setup", F.lit("_"), "split").alias("name"),
+        F.concat(F.lit(OUT_DIR + "/"), "setup",
+                 F.when(F.col("split") == "train", F.lit("_train")).otherwise(F.lit("_val.json")))
+        .alias("file_name")).distinct()
+    old_files = canon.select(F.concat(F.lit("raw_"), "dataset").alias("name"),
+                             F.concat(F.lit(OLD_ROOT + "/raw/"), "dataset", F.lit(".json"))
+                             .alias("file_name")).distinct().unionByName(
+        fanned.select(F.concat("setup", F.lit("_train")).alias("name"),
+                      F.concat(F.lit(OLD_ROOT + "/sharegpt_setups/"), "setup", F.lit("_train"))
+                      .alias("file_name")).distinct())
+    m = manifest.manifest_upsert(manifest.manifest_entries(old_files), manifest.manifest_entries(new_files))
+    return m.select("name", "file_name", "formatting", F.to_json("columns").alias("columns_json"),
+                    F.to_json("tags").alias("tags_json"))
+
+
+REPO_DIR = "/srv/new$repo"
+MODEL_CACHE = "/models/cache"
+
+
+@register("path_rebase", o.with_(o.DOC_PATHS) + f"""
+select doc_id, path, regexp_replace(regexp_replace(path,
+    '[^"\t\n\x0B\f\r ]*/(training_data|lora_runs|eval_runs)/', '{REPO_DIR}/\\1/', 'g'),
+    '[^"\t\n\x0B\f\r ]*/(Qwen__[A-Za-z0-9._-]+)', '{MODEL_CACHE}/\\1', 'g') rebased from docpaths""")
+def path_rebase(spark, sf_dir):
+    """PRJ15: re-root paths after the last in-repo anchor and model-cache
+    paths (paths built from the documents table)."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    k = F.col("doc_id")
+    path = F.concat(
+        F.lit("/home/u"), "source", F.lit("/proj/"),
+        F.when(k % 4 == 0, "training_data").when(k % 4 == 1, "lora_runs").when(k % 4 == 2, "eval_runs")
+        .otherwise("misc"), F.lit("/"), "lang", F.lit("/"),
+        F.when(k % 3 == 0, F.lit("eval_runs/")).otherwise(F.lit("")), k.cast("string"), F.lit(".json"),
+        F.when(k % 5 == 0, F.concat(F.lit(' "/cache/old/Qwen__Qwen3-'), (F.col("n_chars") % 9).cast("string"),
+                                    F.lit('B"'))).otherwise(F.lit("")))
+    p = d.select("doc_id", path.alias("path"))
+    return p.select("doc_id", "path", manifest.rebase_paths(F.col("path"), REPO_DIR, MODEL_CACHE).alias("rebased"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -306,3 +306,19 @@ g as (select lang, rn, pos, rec_bytes, 2 + rec_bytes cur, 0 shard_id from r wher
         case when g.cur + r.rec_bytes > {max_bytes} then g.shard_id + 1 else g.shard_id end
       from g join r on r.lang = g.lang and r.rn = g.rn + 1)
 """
+
+
+# ---------------------------------------------------------------- runs, manifest
+MAX_STEPS = 64
+LABELS = ("case setup when 'setup1_full_loss' then 'full_loss' when 'setup2_answer_only' then 'answer_only' "
+          "when 'setup3_1_hint_answer_only' then 'hint_answer_only' "
+          "when 'setup3_2_hint_full_loss' then 'hint_full_loss' end")
+MODELS_VALUES = "(values ('qwen3_8b', 'Qwen/Qwen3-8B'), ('qwen3_4b', 'Qwen/Qwen3-4B')) m(model_tag, repo_id)"
+
+DOC_PATHS = """
+docpaths as (select doc_id, concat('/home/u', source, '/proj/',
+    case doc_id % 4 when 0 then 'training_data' when 1 then 'lora_runs' when 2 then 'eval_runs' else 'misc' end,
+    '/', lang, '/', case when doc_id % 3 = 0 then 'eval_runs/' else '' end, cast(doc_id as varchar), '.json',
+    case when doc_id % 5 = 0 then concat(' "/cache/old/Qwen__Qwen3-', cast(n_chars % 9 as varchar), 'B"')
+         else '' end) path from documents)
+"""
