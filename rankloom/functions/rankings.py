@@ -181,6 +181,21 @@ def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Data
     return cur.select(*keep, *[final(o, t) for o, t in texts.items()])
 
 
+def ranking_from_variant_array(arr: Column) -> Column:
+    """Ranking of a native JSON list (``array<variant>``): no text parsing;
+    an empty list is a valid ranking."""
+    return F.when(arr.isNotNull(), _coerce(F.transform(arr, elem_info), _elem_int, _elem_str))
+
+
+def ranking_from_variant(v: Column) -> Column:
+    """RNK5/RNK6 for a JSON value: strings are parsed as text, lists are used
+    natively, anything else is unparseable."""
+    t = F.schema_of_variant(v)
+    return (F.when(t == "STRING", parse_ranking(F.try_variant_get(v, "$", "string")))
+            .when(t.startswith("ARRAY"),
+                  ranking_from_variant_array(F.try_variant_get(v, "$", "array<variant>"))))
+
+
 def ranking_from_array(arr: Column, element_type: DataType | None = None) -> Column:
     """Ranking of a native array column (RNK5): no text parsing, and an empty
     array is a valid (numeric) ranking. String elements follow ``int()``'s

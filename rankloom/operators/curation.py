@@ -207,6 +207,12 @@ def canonical_examples(raw: DataFrame, meta: DataFrame | None) -> DataFrame:
     Output: pos, qid, dataset, prompt, thinking, answer, ranked_table_ids,
     candidate_ids (``pos`` keeps the input order)."""
     latest = metadata_latest(meta) if meta is not None else None
+    return canonical_examples_from_latest(raw, latest)
+
+
+def canonical_examples_from_latest(raw: DataFrame, latest: DataFrame | None) -> DataFrame:
+    """:func:`canonical_examples` with an already reduced metadata table
+    (:func:`metadata_latest`), e.g. a static side of a streaming job."""
     q = _with_recovery(_per_qid(raw, full_rows=True), latest)
     has = F.col("_text").isNotNull()
     use_rec = has & F.col("c_rec").isNotNull() & (

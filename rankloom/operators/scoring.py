@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.metrics import (exact_match, set_f1, set_match, tau_counts,
                                         tau_ranks, tau_value, top1)
-from rankloom.functions.rankings import parse_ranking, ranking_from_array, with_rankings
-from pyspark.sql.types import ArrayType
+from rankloom.functions.rankings import (parse_ranking, ranking_from_array, ranking_from_variant,
+                                         ranking_from_variant_array, with_rankings)
+from pyspark.sql.types import ArrayType, VariantType
 
 NO_GOLD_NOTE = "no scorable rows (no parseable gold)"
 
@@ -31,9 +32,26 @@ def _ranking(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, ArrayType):
         return ranking_from_array(F.col(name), dtype.elementType)
+    if isinstance(dtype, VariantType):
+        return ranking_from_variant(F.col(name))
     return parse_ranking(F.col(name))
 
 
+def _variant_split(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """For variant inputs (JSON Lines values): strings go to the text parser,
+    arrays are native id lists, any other value is unparseable (Python's
+    ``str()`` of a number or dict never holds a double-quoted list)."""
+    texts = {}
+    for c in cols:
+        if isinstance(df.schema[c].dataType, VariantType):
+            t = F.schema_of_variant(F.col(c))
+            df = df.withColumn(f"_txt_{c}", F.when(t == "STRING", F.try_variant_get(c, "$", "string")))
+            df = df.withColumn(f"_arr_{c}", F.when(t.startswith("ARRAY"),
+                                                    F.try_variant_get(c, "$", "array<variant>")))
+            texts[c] = f"_txt_{c}"
+    return df, texts
+
+
 def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
           keep: Sequence[str] | None = None) -> DataFrame:
     """Score every row (MET1-7). Text columns are parsed (RNK1-4); array
@@ -44,14 +62,27 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
     ``f1``, ``top1``, ``tau``. Metric columns are null on skipped rows.
     """
     keep = [c for c in (keep if keep is not None else df.columns)
-            if c not in (pred_col, gold_col)]
-    texts = {out: c for out, c in (("pred", pred_col), ("gold", gold_col))
-             if not isinstance(df.schema[c].dataType, ArrayType)}
+            if c not in (pred_col, gold_col) and not c.startswith("_")]
+    df, vtexts = _variant_split(df, [pred_col, gold_col])
+    texts = {}
+    for out, c in (("pred", pred_col), ("gold", gold_col)):
+        dtype = df.schema[c].dataType
+        if c in vtexts:
+            texts[out] = vtexts[c]
+        elif not isinstance(dtype, ArrayType):
+            texts[out] = c
+    extra = [f"_arr_{c}" for c in vtexts] + [c for c in (pred_col, gold_col)
+                                             if isinstance(df.schema[c].dataType, ArrayType)]
     if texts:
-        df = with_rankings(df, texts, keep + [c for c in (pred_col, gold_col) if c not in texts.values()])
-    parsed = df.select(*keep,
-                       (F.col("pred") if "pred" in texts else _ranking(df, pred_col)).alias("pred"),
-                       (F.col("gold") if "gold" in texts else _ranking(df, gold_col)).alias("gold"))
+        df = with_rankings(df, texts, keep + extra)
+
+    def pick(out: str, c: str) -> Column:
+        if c in vtexts:
+            return F.coalesce(F.col(out), ranking_from_variant_array(F.col(f"_arr_{c}")))
+        if out in texts:
+            return F.col(out)
+        return _ranking(df, c)
+    parsed = df.select(*keep, pick("pred", pred_col).alias("pred"), pick("gold", gold_col).alias("gold"))
     p, g = F.col("pred"), F.col("gold")
     both = p.isNotNull() & g.isNotNull()
     ranked = parsed.withColumn("_ranks", F.when(both, tau_ranks(p, g)))
@@ -74,13 +105,9 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
     )
 
 
-def aggregate_metrics(scored: DataFrame, by: Sequence[str] = (),
-                      raw: bool = False) -> DataFrame:
-    """Macro-averaged metrics (AGG5-7); one row per group, or one row overall.
-
-    Invalid predictions count 0; tau is averaged where defined; a group with
-    no parseable gold keeps ``n_total = 0`` and a ``note`` (the metrics are
-    null there)."""
+def metric_partials(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Additive per-group totals behind AGG5 (counts and sums): mergeable,
+    so they also serve as streaming aggregation state."""
     ok = ~F.col("skip")
     aggs = [
         F.count_if(ok).alias("n_total"),
@@ -94,7 +121,11 @@ def aggregate_metrics(scored: DataFrame, by: Sequence[str] = (),
         F.sum("tau").alias("_tau"),
         F.count("tau").alias("n_tau"),
     ]
-    agg = scored.groupBy(*by).agg(*aggs)
+    return scored.groupBy(*by).agg(*aggs)
+
+
+def finalize_metrics(agg: DataFrame, by: Sequence[str] = (), raw: bool = False) -> DataFrame:
+    """Means, rates and the empty-group note from :func:`metric_partials`."""
     n = F.col("n_total").cast("double")
 
     def mean(s: str, d: Column = n) -> Column:
@@ -118,6 +149,16 @@ def aggregate_metrics(scored: DataFrame, by: Sequence[str] = (),
     return agg.select(*out)
 
 
+def aggregate_metrics(scored: DataFrame, by: Sequence[str] = (),
+                      raw: bool = False) -> DataFrame:
+    """Macro-averaged metrics (AGG5-7); one row per group, or one row overall.
+
+    Invalid predictions count 0; tau is averaged where defined; a group with
+    no parseable gold keeps ``n_total = 0`` and a ``note`` (the metrics are
+    null there)."""
+    return finalize_metrics(metric_partials(scored, by), by, raw)
+
+
 def leaderboard(predictions: DataFrame, run_col: str = "run", pred_col: str = "predict",
                 gold_col: str = "label") -> DataFrame:
     """Metrics per run (AGG8): one aggregate, one shuffle of partial buffers."""

@@ -16,7 +16,8 @@ from rankloom.operators import curation, manifest, runs, scoring, setups, shardi
 from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
-from rankloom.session import configure
+from rankloom.session import configure, scratch_dir
+from rankloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,6 +327,53 @@ def path_rebase(spark, sf_dir):
     return p.select("doc_id", "path", manifest.rebase_paths(F.col("path"), REPO_DIR, MODEL_CACHE).alias("rebased"))
 
 
+# ------------------------------------------------------------ streaming
+def _stage(df: DataFrame, path: str, chunks_by: str | None = None, n_chunks: int = 4) -> str:
+    """Write derived input files for a file-source stream. With ``chunks_by``
+    the rows are appended in that column's order as successive files (each
+    arrival batch is a contiguous range; no row is left out)."""
+    if chunks_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    lo, hi = df.agg(F.min(chunks_by), F.max(chunks_by)).collect()[0]
+    step = (hi - lo) // n_chunks + 1
+    for i in range(n_chunks):
+        part = df.filter((F.col(chunks_by) >= lo + i * step) & (F.col(chunks_by) < lo + (i + 1) * step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_progress", ORACLES["run_progress"])
+def stream_progress(spark, sf_dir):
+    """STR1: run progress maintained by a streaming aggregation over log files."""
+    work = scratch_dir(spark, "q-stream-progress")
+    src = _stage(fx.trainer_log(spark, sf_dir), f"{work}/log")
+    runs_dim = fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
+    return live.stream_progress(spark, src, runs_dim, log_schema=fx.TRAINER_LOG_SCHEMA,
+                                max_steps=o.MAX_STEPS, max_files_per_trigger=2,
+                                work_dir=f"{work}/stream")
+
+
+@register("stream_leaderboard", ORACLES["leaderboard"])
+def stream_leaderboard(spark, sf_dir):
+    """STR2: per-run metrics maintained by a streaming aggregation over
+    prediction files."""
+    work = scratch_dir(spark, "q-stream-leaderboard")
+    src = _stage(fx.predictions(spark, sf_dir).repartition(4), f"{work}/pred")
+    return live.stream_leaderboard(spark, src, max_files_per_trigger=1, work_dir=f"{work}/stream")
+
+
+@register("stream_dedup", ORACLES["canonical_examples"])
+def stream_dedup(spark, sf_dir):
+    """STR3: canonical examples from raw files arriving in four batches; the
+    first valid row per qid wins across batches."""
+    work = scratch_dir(spark, "q-stream-dedup")
+    src = _stage(fx.raw_examples(spark, sf_dir), f"{work}/raw", chunks_by="pos")
+    out = live.stream_dedup(spark, src, fx.reasoning_metadata(spark, sf_dir), work_dir=f"{work}/stream")
+    return out.select("pos", "qid", "dataset", "prompt", "thinking", "answer")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

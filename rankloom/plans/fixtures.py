@@ -13,7 +13,7 @@ parquet scans prune and push down.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,18 +67,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, k, prompt, th): a user turn followed by an assistant turn.
 
-    The next turn comes from ``lead`` over the conversation (one hash
-    exchange on conv_id; a conversation is a bounded group) instead of a
-    self-join that would shuffle the table twice."""
+    User and assistant rows are disjoint, so the equi-join on
+    (conv_id, turn + 1) = (conv_id, turn) shuffles each row once, and a long
+    conversation spreads over partitions by turn (no per-conversation task)."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select("conv_id", "turn", "role", "text",
-                   F.lead("turn").over(w).alias("n_turn"), F.lead("role").over(w).alias("n_role"),
-                   F.lead("text").over(w).alias("n_text"))
-    pairs = nxt.filter((F.col("role") == "user") & (F.col("n_role") == "assistant")
-                       & (F.col("n_turn") == F.col("turn") + 1))
+    u = c.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("_next"))
+    a = c.filter(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("th"))
+    pairs = u.join(a, (u.conv_id == a._c) & (u._next == a._t))
     return pairs.select("conv_id", "turn", (F.col("conv_id") * 16 + F.col("turn")).alias("k"),
-                        F.col("text").alias("prompt"), F.col("n_text").alias("th"))
+                        "prompt", "th")
 
 
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +132,9 @@ def shard_input(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.octet_length("text") + 1).cast("int").alias("rec_bytes"), "lang")
 
 
+TRAINER_LOG_SCHEMA = "run_id bigint, step int, loss double, ts timestamp_ntz"
+
+
 def trainer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a training log per run (user): step = event order within the run,
     loss = value, with no loss logged on error events."""
