@@ -139,12 +139,18 @@ def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Data
                       for o, t in texts.items()}
                 | {f"_bare_{o}": _bare_list_items(F.col(t).cast("string")) for o, t in texts.items()})
     cur = stage(cur, {f"_typ_{o}": F.schema_of_variant(F.col(f"_last_{o}")) for o in texts})
+    arrb = {}
+    for o in texts:
+        # schema_of_variant ignores JSON nulls inside the list; the cast shows them
+        arrb[f"_arrb_{o}"] = F.when(F.col(f"_typ_{o}") == "ARRAY<BIGINT>",
+                                    F.try_variant_get(F.col(f"_last_{o}"), "$", "array<bigint>"))
+    cur = stage(cur, arrb)
     fast, info, bare_fast = {}, {}, {}
     for o in texts:
-        last, typ, bare = F.col(f"_last_{o}"), F.col(f"_typ_{o}"), F.col(f"_bare_{o}")
-        fast[f"_fast_{o}"] = F.when(typ == "ARRAY<BIGINT>", F.transform(
-            F.try_variant_get(last, "$", "array<bigint>"), lambda x: x.cast("string")))
-        info[f"_info_{o}"] = F.when(last.isNotNull() & (typ != "ARRAY<BIGINT>"), F.transform(
+        last, arr, bare = F.col(f"_last_{o}"), F.col(f"_arrb_{o}"), F.col(f"_bare_{o}")
+        ok = F.coalesce(F.forall(arr, lambda x: x.isNotNull()), F.lit(False))
+        fast[f"_fast_{o}"] = F.when(ok, F.transform(arr, lambda x: x.cast("string")))
+        info[f"_info_{o}"] = F.when(last.isNotNull() & ~ok, F.transform(
             F.try_variant_get(last, "$", "array<variant>"), elem_info))
         bare_fast[f"_bfast_{o}"] = F.forall(
             bare, lambda x: F.coalesce(x.try_cast("bigint").cast("string") == x, F.lit(False)))

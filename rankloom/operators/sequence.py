@@ -144,7 +144,8 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
             row[f"s_{v}"] = float(last[2][v])
         yield pd.DataFrame([row])
 
-    summaries = srt.select(*keys, *vals).mapInPandas(summarize, summary_schema).collect()
+    cols = list(dict.fromkeys([*keys, *vals, order_by[0]]))  # never zero columns
+    summaries = srt.select(*cols).mapInPandas(summarize, summary_schema).collect()
     summaries.sort(key=lambda r: r["pid"])
 
     # ---- driver: carry into each partition's first group -------------------
