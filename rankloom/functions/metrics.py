@@ -20,18 +20,21 @@ def exact_match(p: Column, g: Column) -> Column:
     return (_same_kind(p, g) & (p["ids"] == g["ids"])).cast("int")
 
 
-def set_match(p: Column, g: Column) -> Column:
-    """Same id set, order ignored (RelaxedEM)."""
-    ps = F.array_sort(F.array_distinct(p["ids"]))
-    gs = F.array_sort(F.array_distinct(g["ids"]))
-    return (_same_kind(p, g) & (ps == gs)).cast("int")
+def set_match(p: Column, g: Column, dp: Column | None = None, dg: Column | None = None) -> Column:
+    """Same id set, order ignored (RelaxedEM). ``dp``/``dg``: precomputed
+    ``array_distinct`` of the ids, if available."""
+    dp = F.array_distinct(p["ids"]) if dp is None else dp
+    dg = F.array_distinct(g["ids"]) if dg is None else dg
+    return (_same_kind(p, g) & (F.sort_array(dp) == F.sort_array(dg))).cast("int")
 
 
-def set_f1(p: Column, g: Column) -> Column:
+def set_f1(p: Column, g: Column, dp: Column | None = None, dg: Column | None = None) -> Column:
     """F1 of the id sets; both empty -> 1.0, one empty or disjoint -> 0.0."""
-    np_ = F.size(F.array_distinct(p["ids"])).cast("double")
-    ng = F.size(F.array_distinct(g["ids"])).cast("double")
-    inter = F.when(_same_kind(p, g), F.size(F.array_intersect(p["ids"], g["ids"]))) \
+    dp = F.array_distinct(p["ids"]) if dp is None else dp
+    dg = F.array_distinct(g["ids"]) if dg is None else dg
+    np_ = F.size(dp).cast("double")
+    ng = F.size(dg).cast("double")
+    inter = F.when(_same_kind(p, g), F.size(F.array_intersect(dp, dg))) \
         .otherwise(F.lit(0)).cast("double")
     precision = inter / np_
     recall = inter / ng
@@ -48,46 +51,46 @@ def top1(p: Column, g: Column) -> Column:
         F.lit(False)).cast("int")
 
 
-def _last_index(arr: Column, x: Column) -> Column:
-    """0-based position of the last occurrence of x in arr."""
-    return F.size(arr) - F.array_position(F.reverse(arr), x)
-
-
-def tau_ranks(p: Column, g: Column) -> Column:
+def tau_ranks(p: Column, g: Column, rp: Column | None = None, rg: Column | None = None) -> Column:
     """Rank pairs for Kendall tau: for every gold id that also occurs in pred
     (walking gold, duplicates kept), its last position in gold and in pred.
+    ``rp``/``rg``: precomputed ``reverse`` of the id arrays, if available.
 
-    Materialise this as a column before :func:`tau_from_ranks`, so the
-    pairwise loop reads an attribute instead of re-deriving the array."""
+    Materialise this as a column before :func:`tau_counts`, so the pairwise
+    loop reads an attribute instead of re-deriving the array."""
     pids, gids = p["ids"], g["ids"]
+    rp = F.reverse(pids) if rp is None else rp
+    rg = F.reverse(gids) if rg is None else rg
     shared = F.filter(gids, lambda x: F.array_contains(pids, x))
-    ranks = F.transform(shared, lambda x: F.struct(_last_index(gids, x).alias("g"),
-                                                    _last_index(pids, x).alias("p")))
+    # last 0-based position = size - position in the reversed array
+    ranks = F.transform(shared, lambda x: F.struct(
+        (F.size(gids) - F.array_position(rg, x)).alias("g"),
+        (F.size(pids) - F.array_position(rp, x)).alias("p")))
     return F.when(_same_kind(p, g), ranks)
 
 
+_HI = 1 << 32
+
+
 def tau_counts(ranks: Column) -> Column:
-    """``struct<c, d>``: concordant and discordant pairs i < j of ``ranks``
-    (tied pairs count neither way); null when fewer than two shared ids.
-    O(k^2) per row inside one task, no shuffle, no pair rows emitted."""
+    """Concordant and discordant pairs i < j of ``ranks`` packed in one long
+    (c + d * 2**32; tied pairs count neither way); null when fewer than two
+    shared ids. O(k^2) per row inside one task, no shuffle, no pair rows."""
     n = F.size(ranks)
 
-    def sign(i, j):
+    def step(acc, i, j):
         a, b = ranks[i], ranks[j]
-        return F.signum(a["g"] - b["g"]) * F.signum(a["p"] - b["p"])
+        s = F.signum(a["g"] - b["g"]) * F.signum(a["p"] - b["p"])
+        return acc + F.element_at(F.array(F.lit(_HI), F.lit(0), F.lit(1)), (s + 2).cast("int"))
 
     def row(acc, i):
-        return F.aggregate(
-            F.sequence(i + 1, n - 1), acc,
-            lambda acc2, j: F.struct(
-                (acc2["c"] + F.when(sign(i, j) > 0, 1).otherwise(0)).alias("c"),
-                (acc2["d"] + F.when(sign(i, j) < 0, 1).otherwise(0)).alias("d")))
+        return F.aggregate(F.sequence(i + 1, n - 1), acc, lambda acc2, j: step(acc2, i, j))
 
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("d"))
-    return F.when(n >= 2, F.aggregate(F.sequence(F.lit(0), n - 2), zero, row))
+    return F.when(n >= 2, F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0).cast("long"), row))
 
 
 def tau_value(cd: Column) -> Column:
-    """(c - d) / (c + d), null when no comparable pair."""
-    c, d = cd["c"], cd["d"]
+    """(c - d) / (c + d) from :func:`tau_counts`; null when no comparable pair."""
+    c = cd % F.lit(_HI)
+    d = F.floor(cd / F.lit(_HI))
     return F.when(c + d > 0, (c - d).cast("double") / (c + d).cast("double"))

@@ -112,10 +112,21 @@ def parse_ranking(text: Column) -> Column:
             .otherwise(F.lit(None).cast(RANKING_TYPE)))
 
 
+_JWS = r"[ \t\n\r]*"
+_JSON_INT = r"-?(?:0|[1-9][0-9]*)"
+_JSON_COMMA = _JWS + "," + _JWS
+_SIMPLE_BLOCK = (r"^\{" + _JWS + r"\"ranked_tables\"" + _JWS + ":" + _JWS + r"\[" + _JWS
+                 + f"({_JSON_INT}(?:{_JSON_COMMA}{_JSON_INT})*)" + _JWS + r"\]" + _JWS + r"\}$")
+
+
 def _valid_lists(text: Column) -> Column:
+    return _valid_lists_of(lazy_blocks(text))
+
+
+def _valid_lists_of(blocks: Column) -> Column:
     """``ranked_tables`` values (as variants) of the {...} blocks that parse
     and hold a non-empty list under that key, in text order."""
-    vals = F.transform(lazy_blocks(text),
+    vals = F.transform(blocks,
                        lambda b: F.try_variant_get(F.try_parse_json(b), "$.ranked_tables", "variant"))
     return F.filter(vals, lambda v: F.coalesce(
         F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.lit(False)))
@@ -135,9 +146,20 @@ def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Data
         return frame.select(*frame.columns, *[c.alias(n) for n, c in cols.items()])
 
     cur = df.select(*keep, *texts.values())
-    cur = stage(cur, {f"_last_{o}": F.try_element_at(_valid_lists(F.col(t).cast("string")), F.lit(-1))
-                      for o, t in texts.items()}
-                | {f"_bare_{o}": _bare_list_items(F.col(t).cast("string")) for o, t in texts.items()})
+    cur = stage(cur, {f"_blocks_{o}": lazy_blocks(F.col(t).cast("string")) for o, t in texts.items()})
+    # Fast path: when the *last* block is a plain {"ranked_tables": [ints]}
+    # object it is valid, hence the answer; no JSON parser needed.
+    cur = stage(cur, {f"_lastb_{o}": F.try_element_at(F.col(f"_blocks_{o}"), F.lit(-1)) for o in texts})
+    cur = stage(cur, {f"_simple_{o}": F.when(
+        F.col(f"_lastb_{o}").rlike(_SIMPLE_BLOCK),
+        F.transform(F.split(F.regexp_extract(F.col(f"_lastb_{o}"), _SIMPLE_BLOCK, 1), _JSON_COMMA),
+                    lambda x: F.when(x == "-0", F.lit("0")).otherwise(x))) for o in texts})
+    cur = stage(cur, {f"_last_{o}": F.when(F.col(f"_simple_{o}").isNull(), F.try_element_at(
+        _valid_lists_of(F.col(f"_blocks_{o}")), F.lit(-1))) for o in texts})
+    # the bare-list fallback is only scanned for rows without a valid block
+    cur = stage(cur, {f"_bare_{o}": F.when(F.col(f"_last_{o}").isNull(),
+                                          _bare_list_items(F.col(t).cast("string")))
+                      for o, t in texts.items()})
     cur = stage(cur, {f"_typ_{o}": F.schema_of_variant(F.col(f"_last_{o}")) for o in texts})
     arrb = {}
     for o in texts:
@@ -178,7 +200,9 @@ def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Data
             F.when(bfast, bare).when(sn, F.col(f"_si_{o}"))
             .otherwise(F.transform(bare, py_strip)).alias("ids"),
             sn.alias("numeric"))
+        simple_r = F.struct(F.col(f"_simple_{o}").alias("ids"), F.lit(True).alias("numeric"))
         return (F.when(F.col(t).isNull(), F.lit(None).cast(RANKING_TYPE))
+                .when(F.col(f"_simple_{o}").isNotNull(), simple_r)
                 .when(F.col(f"_fast_{o}").isNotNull(), fast_r)
                 .when(info_c.isNotNull(), from_block)
                 .when(F.size(bare) > 0, from_bare)

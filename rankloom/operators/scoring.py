@@ -85,8 +85,12 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
     parsed = df.select(*keep, pick("pred", pred_col).alias("pred"), pick("gold", gold_col).alias("gold"))
     p, g = F.col("pred"), F.col("gold")
     both = p.isNotNull() & g.isNotNull()
-    ranked = parsed.withColumn("_ranks", F.when(both, tau_ranks(p, g)))
+    # shared per-row intermediates, each computed once as a column
+    pre = parsed.select("*", F.array_distinct(p["ids"]).alias("_dp"), F.array_distinct(g["ids"]).alias("_dg"),
+                        F.reverse(p["ids"]).alias("_rp"), F.reverse(g["ids"]).alias("_rg"))
+    ranked = pre.withColumn("_ranks", F.when(both, tau_ranks(p, g, F.col("_rp"), F.col("_rg"))))
     counted = ranked.withColumn("_cd", tau_counts(F.col("_ranks")))
+    dp, dg = F.col("_dp"), F.col("_dg")
     skip = g.isNull()
     invalid = p.isNull()
 
@@ -98,8 +102,8 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
         skip.alias("skip"),
         F.when(~skip, invalid).alias("invalid"),
         metric(exact_match(p, g), 0).cast("int").alias("em"),
-        metric(set_match(p, g), 0).cast("int").alias("relaxed_em"),
-        metric(set_f1(p, g), 0.0).cast("double").alias("f1"),
+        metric(set_match(p, g, dp, dg), 0).cast("int").alias("relaxed_em"),
+        metric(set_f1(p, g, dp, dg), 0.0).cast("double").alias("f1"),
         metric(top1(p, g), 0).cast("int").alias("top1"),
         F.when(~skip & ~invalid, tau_value(F.col("_cd"))).alias("tau"),
     )

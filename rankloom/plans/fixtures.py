@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _sorted_ids(pairs: Column) -> Column:
     """', '-joined part keys of an array<struct<k1, k2, partkey>> sorted by
     (k1, k2)."""
-    return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["partkey"].cast("string")), ", ")
+    return F.array_join(F.transform(F.sort_array(pairs), lambda s: s["partkey"].cast("string")), ", ")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
