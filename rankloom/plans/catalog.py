@@ -17,6 +17,7 @@ from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
 from rankloom.session import configure, scratch_dir
+from rankloom.sources import readers
 from rankloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,54 @@ def per_example_dump(spark, sf_dir):
     return scoring.per_example(s.withColumnRenamed("ex_id", "idx"), keep=["run", "idx"])
 
 
+@register("first_key_pick", o.with_(o.F1, o.LINES) + f"""
+select run, ex_id, {o.pick_sql(('predict', 'prediction', 'output'))} predict,
+  {o.pick_sql(('label', 'labels', 'reference', 'gold'))} label from picked""")
+def first_key_pick(spark, sf_dir):
+    """SRC3-4: predictions rendered as JSON lines under varying alias keys
+    (some with a present null ``predict``), parsed back; the first present
+    alias wins, even when its value is null."""
+    f1 = fx.predictions(spark, sf_dir)
+    k3, k4, k7 = F.col("ex_id") % 3, F.col("ex_id") % 4, F.col("ex_id") % 7
+
+    def quoted(c):
+        return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    pkey = F.when(k3 == 0, "predict").when(k3 == 1, "prediction").otherwise("output")
+    gkey = (F.when(k4 == 0, "label").when(k4 == 1, "labels").when(k4 == 2, "reference")
+            .otherwise("gold"))
+    line = F.concat(F.lit("{"), F.when((k7 == 0) & (k3 != 0), F.lit('"predict": null, ')).otherwise(F.lit("")),
+                    F.lit('"'), pkey, F.lit('": '), quoted(F.col("predict")), F.lit(', "'), gkey,
+                    F.lit('": '), quoted(F.col("label")), F.lit("}"))
+    lines = f1.select("run", "ex_id", line.alias("value"))
+    v = F.try_parse_json("value")
+    picked = lines.select("run", "ex_id",
+                          readers.pick_first_key(v, F.col("value"), readers.PRED_KEYS).alias("p"),
+                          readers.pick_first_key(v, F.col("value"), readers.GOLD_KEYS).alias("g"))
+    return picked.select("run", "ex_id", F.try_variant_get("p", "$", "string").alias("predict"),
+                         F.try_variant_get("g", "$", "string").alias("label"))
+
+
+@register("array_rankings", o.with_(o.NATIVE, "parsed as (select * from nparsed)", o.SCORED_BODY)
+          + "select run, ex_id, em, relaxed_em, f1, top1, tau from scored")
+def array_rankings(spark, sf_dir):
+    """RNK5 + MET1-7 on native id arrays (no text parsing; an empty
+    predicted list is a valid ranking): part keys by price vs. part keys with
+    quantity >= 45 by quantity, per order."""
+    li = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+    p = (li.repartition("l_orderkey").groupBy("l_orderkey", "l_partkey")
+         .agg(F.max("l_extendedprice").alias("px"), F.max("l_quantity").alias("q")))
+    arr = p.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("px")).alias("k1"), F.col("l_partkey").alias("k")))).alias("g"),
+        F.sort_array(F.collect_list(F.when(F.col("q") >= 45, F.struct(
+            (-F.col("q")).alias("k1"), F.col("l_partkey").alias("k"))))).alias("pr"))
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    x = arr.join(orders, arr.l_orderkey == orders.o_orderkey).select(
+        F.col("o_orderpriority").alias("run"), F.col("l_orderkey").alias("ex_id"),
+        F.transform("pr", lambda s: s["k"]).alias("predict"), F.transform("g", lambda s: s["k"]).alias("label"))
+    s = scoring.score(x, keep=["run", "ex_id"])
+    return s.select("run", "ex_id", "em", "relaxed_em", "f1", "top1", "tau")
+
+
 # ------------------------------------------------------------------ curation
 _CUR = (o.F2, o.F3, o.LATEST)
 

@@ -143,8 +143,7 @@ def round4(x: str) -> str:
 
 
 # ---------------------------------------------------------------- scoring
-SCORED = """
-parsed as (select run, ex_id, {p} p, {g} g from f1),
+SCORED_BODY = """
 shared as (  -- gold ids (gold order, duplicates kept) that occur in pred
   select ex_id, gi, x from (
     select ex_id, unnest(g.ids) x, generate_subscripts(g.ids, 1) gi, p, g from parsed
@@ -187,7 +186,10 @@ scored as (
          then (pairs.c - pairs.d) / (pairs.c + pairs.d) end tau
   from parsed left join pairs on pairs.ex_id = parsed.ex_id
   left join nshared on nshared.ex_id = parsed.ex_id)
-""".format(p=ranking("predict"), g=ranking("label"))
+"""
+
+SCORED = (f"parsed as (select run, ex_id, {ranking('predict')} p, {ranking('label')} g from f1),\n"
+          + SCORED_BODY)
 
 
 def metrics_select(by: str) -> str:
@@ -322,3 +324,34 @@ docpaths as (select doc_id, concat('/home/u', source, '/proj/',
     case when doc_id % 5 = 0 then concat(' "/cache/old/Qwen__Qwen3-', cast(n_chars % 9 as varchar), 'B"')
          else '' end) path from documents)
 """
+
+
+# ---------------------------------------------------------------- sources, native lists
+LINES = """
+lines as (select run, ex_id, '{' ||
+    case when ex_id % 7 = 0 and ex_id % 3 <> 0 then '"predict": null, ' else '' end ||
+    '"' || (case ex_id % 3 when 0 then 'predict' when 1 then 'prediction' else 'output' end) || '": ' ||
+    cast(to_json(predict) as varchar) || ', "' ||
+    (case ex_id % 4 when 0 then 'label' when 1 then 'labels' when 2 then 'reference' else 'gold' end) || '": ' ||
+    cast(to_json(label) as varchar) || '}' line from f1),
+picked as (select run, ex_id, json_keys(line) k, line from lines)
+"""
+
+
+def pick_sql(keys) -> str:
+    out = "null"
+    for k in reversed(keys):
+        out = f"case when list_contains(k, '{k}') then line ->> '$.{k}' else {out} end"
+    return out
+
+
+NATIVE = """
+nl as (select l_orderkey, l_partkey, max(l_extendedprice) px, max(l_quantity) q
+       from lineitem group by l_orderkey, l_partkey),
+na as (select l_orderkey ex_id,
+         list(cast(l_partkey as varchar) order by px desc, l_partkey) gold_ids,
+         coalesce(list(cast(l_partkey as varchar) order by q desc, l_partkey) filter (where q >= 45), []) pred_ids
+       from nl group by l_orderkey),
+nparsed as (select o_orderpriority run, ex_id, struct_pack(ids := pred_ids, numeric := true) p,
+              struct_pack(ids := gold_ids, numeric := true) g from na join orders on o_orderkey = ex_id)
+"""

@@ -105,7 +105,7 @@ def test_empty_group_note(spark):
 ids = st.lists(st.integers(min_value=0, max_value=6), max_size=7)
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(ids, ids, st.booleans()), min_size=1, max_size=12))
 def test_metrics_match_python_model(spark, cases):
     rows = []
