@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.sequence import materialize
 from rankloom.operators.sharding import DEFAULT_MAX_BYTES, greedy_shards
 from rankloom.sources.readers import _fs_exists
 
@@ -75,6 +76,34 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(path)
 
 
+SHAREGPT_SCHEMA = ("system string, "
+                   "conversations array<struct<`from`: string, value: string>>")
+
+
+def reshard(spark: SparkSession, in_path: str, out_dir: str,
+            schema: str = SHAREGPT_SCHEMA, max_bytes: int = DEFAULT_MAX_BYTES,
+            replace: bool = False) -> DataFrame:
+    """SRC7 + SNK2 + AGG9 + SNK7: split an existing JSON-array file into
+    budget-bounded shards (records re-serialised compactly in schema field
+    order), report shards/bytes, and optionally delete the source after the
+    shards were written. Never writes into the path it reads."""
+    from rankloom.operators.sharding import shard_report
+    from rankloom.sources.readers import read_json_array
+    if out_dir.rstrip("/") == in_path.rstrip("/"):
+        raise ValueError("output must differ from the input path")
+    recs = read_json_array(spark, in_path, schema)
+    fields = [c for c in recs.columns if c != "pos"]
+    rec = recs.select(F.lit("all").alias("part"), "pos",
+                      F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("record"))
+    # cut lineage first: the report must not re-read a source that may be deleted
+    sharded = materialize(shard_records(rec, max_bytes, group_by=("part",)), "reshard")
+    write_json_shards(sharded, out_dir, group_by=("part",))
+    report = shard_report(sharded, ["part"]).drop("part")
+    if replace:
+        replace_source(spark, in_path)
+    return report
+
+
 def replace_source(spark: SparkSession, src: str) -> None:
     """SNK7: delete the source after its shards were written successfully
     (never overwrite the path being read)."""

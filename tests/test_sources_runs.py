@@ -129,3 +129,39 @@ def test_sharded_json_output(spark, tmpdir_path):
                 assert len(text.encode()) <= 2000
                 total += json.loads(text)
     assert len(total) == 60 and total[0]["conversations"][0]["value"] == "p"
+
+
+def test_reshard_and_replace(spark, tmpdir_path):
+    recs = [{"system": "s", "conversations": [{"from": "human", "value": "x" * (i % 50)}]} for i in range(40)]
+    src = f"{tmpdir_path}/big.json"
+    _write(src, json.dumps(recs))
+    rep = writers.reshard(spark, src, f"{tmpdir_path}/shards", max_bytes=600, replace=True).collect()[0]
+    assert rep.n_records == 40 and rep.max_shard_bytes <= 600 and not os.path.exists(src)
+    got = []
+    root = f"{tmpdir_path}/shards/part=all"
+    for shard in sorted(os.listdir(root), key=lambda s: int(s.split("=")[1])):
+        for f in sorted(os.listdir(f"{root}/{shard}")):
+            if f.startswith("part-"):
+                got += json.loads(open(f"{root}/{shard}/{f}").read())
+    assert got == recs
+
+
+def test_load_or_build_and_metric_sinks(spark, tmpdir_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(0, "q")], "pos long, qid string")
+    path = f"{tmpdir_path}/canonical"
+    assert writers.load_or_build(spark, path, build).count() == 1
+    assert writers.load_or_build(spark, path, build).count() == 1 and len(calls) == 1
+    writers.load_or_build(spark, path, build, force=True)
+    assert len(calls) == 2
+    df = spark.createDataFrame([("r", '{"ranked_tables": [1]}', '{"ranked_tables": [1]}')],
+                               "run string, predict string, label string")
+    writers.write_metrics(scoring.leaderboard(df), f"{tmpdir_path}/m", pred_file="/x/pred.jsonl")
+    m = spark.read.json(f"{tmpdir_path}/m").collect()[0]
+    assert m.EM == 1.0 and m.pred_file == "/x/pred.jsonl"
+    writers.write_per_example(scoring.per_example(scoring.score(df, keep=["run"]), keep=["run"]),
+                              f"{tmpdir_path}/d")
+    assert spark.read.json(f"{tmpdir_path}/d").collect()[0].pred == "[1]"
