@@ -112,17 +112,21 @@ def reasoning_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("qid"), "k", "th")
     k = F.col("k")
-    first = b.filter(k % 6 != 5).select(
-        "qid",
+    # One pass: each pair yields its split record and, for some qids, a later
+    # blank test record (explode of up to two structs instead of a union that
+    # would scan and join the conversations twice).
+    first = F.when(k % 6 != 5, F.struct(
         F.when(k % 3 == 0, "train").when(k % 3 == 1, "dev").otherwise("test").alias("split"),
         F.when(k % 2 == 0, F.concat(F.lit(" "), F.substring("th", 1, 200))).otherwise(F.lit(""))
         .alias("reasoning_text"),
         F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(F.substring("th", 1, 120))
-        .alias("total_thinking"))
-    blank = b.filter((k % 5 == 0) & (k % 3 != 2)).select(
-        "qid", F.lit("test").alias("split"), F.lit("").alias("reasoning_text"),
-        F.lit("").alias("total_thinking"))
-    return first.unionByName(blank)
+        .alias("total_thinking")))
+    blank = F.when((k % 5 == 0) & (k % 3 != 2), F.struct(
+        F.lit("test").alias("split"), F.lit("").alias("reasoning_text"),
+        F.lit("").cast("string").alias("total_thinking")))
+    recs = F.filter(F.array(first, blank), lambda r: r.isNotNull())
+    return b.select("qid", F.explode(recs).alias("r")).select(
+        "qid", "r.split", "r.reasoning_text", "r.total_thinking")
 
 
 def shard_input(spark: SparkSession, sf_dir: str) -> DataFrame:
