@@ -76,16 +76,6 @@ def _coerce(items: Column, as_int, as_str) -> Column:
     return F.struct(ids.alias("ids"), numeric.alias("numeric"))
 
 
-def _last_valid_block(text: Column) -> Column:
-    """``ranked_tables`` array of the last {...} block that parses to an object
-    holding a non-empty list under that key (null if none)."""
-    lists = F.transform(lazy_blocks(text),
-                        lambda b: F.try_variant_get(F.try_parse_json(b), "$.ranked_tables",
-                                                    "array<variant>"))
-    good = F.filter(lists, lambda a: F.coalesce(F.size(a) > 0, F.lit(False)))
-    return F.try_element_at(good, F.lit(-1))
-
-
 def _bare_list_items(text: Column) -> Column:
     """Fallback: items of the first bare ``"ranked_tables": [...]`` list."""
     inner = F.regexp_extract(text, _BARE_LIST, 1)
@@ -93,25 +83,6 @@ def _bare_list_items(text: Column) -> Column:
     return F.transform(parts, lambda p: py_strip_chars(py_strip(p), "\"'"))
 
 
-def parse_ranking(text: Column) -> Column:
-    """Extract a ranking from model/gold text (RNK1-4, RNK6).
-
-    1. the last lazy ``{...}`` block that strictly parses and has a non-empty
-       ``ranked_tables`` list; else
-    2. the first bare ``"ranked_tables": [...]`` list, split on commas;
-    3. empty -> null; then all-or-nothing int coercion.
-    """
-    text = text.cast("string")
-    block = _last_valid_block(text)
-    from_block = _coerce(F.transform(block, elem_info), _elem_int, _elem_str)
-    items = _bare_list_items(text)
-    from_bare = _coerce(items, int_text, py_strip)
-    return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
-            .when(block.isNotNull(), from_block)
-            .when(F.size(items) > 0, from_bare)
-            .otherwise(F.lit(None).cast(RANKING_TYPE)))
-
-
 _JWS = r"[ \t\n\r]*"
 _JSON_INT = r"-?(?:0|[1-9][0-9]*)"
 _JSON_COMMA = _JWS + "," + _JWS
@@ -119,10 +90,6 @@ _SIMPLE_BLOCK = (r"^\{" + _JWS + r"\"ranked_tables\"" + _JWS + ":" + _JWS + r"\[
                  + f"({_JSON_INT}(?:{_JSON_COMMA}{_JSON_INT})*)" + _JWS + r"\]" + _JWS + r"\}$")
 
 
-def _valid_lists(text: Column) -> Column:
-    return _valid_lists_of(lazy_blocks(text))
-
-
 def _valid_lists_of(blocks: Column) -> Column:
     """``ranked_tables`` values (as variants) of the {...} blocks that parse
     and hold a non-empty list under that key, in text order."""
@@ -132,81 +99,57 @@ def _valid_lists_of(blocks: Column) -> Column:
         F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.lit(False)))
 
 
+def _simple_ids(blocks: Column) -> Column:
+    """Ids of the last block when it is a plain ``{"ranked_tables": [ints]}``
+    object (then it is valid, hence the answer; no JSON parser needed)."""
+    last = F.try_element_at(blocks, F.lit(-1))
+    return F.when(last.rlike(_SIMPLE_BLOCK), F.transform(
+        F.split(F.regexp_extract(last, _SIMPLE_BLOCK, 1), _JSON_COMMA),
+        lambda x: F.when(x == "-0", F.lit("0")).otherwise(x)))
+
+
+def _general(text: Column, blocks: Column) -> Column:
+    """Full rules for the rows off the fast path: last strictly-parsing block
+    with a non-empty list (elements decoded once each), else the first bare
+    list; then all-or-nothing int coercion."""
+    arr = F.try_variant_get(F.try_element_at(_valid_lists_of(blocks), F.lit(-1)), "$", "array<variant>")
+    items = _bare_list_items(text)
+    return (F.when(arr.isNotNull(), _coerce(F.transform(arr, elem_info), _elem_int, _elem_str))
+            .when(F.size(items) > 0, _coerce(items, int_text, py_strip)))
+
+
+def parse_ranking(text: Column) -> Column:
+    """Extract a ranking from model/gold text (RNK1-4, RNK6).
+
+    1. the last lazy ``{...}`` block that strictly parses and has a non-empty
+       ``ranked_tables`` list; else
+    2. the first bare ``"ranked_tables": [...]`` list, split on commas;
+    3. empty -> null; then all-or-nothing int coercion.
+    """
+    text = text.cast("string")
+    blocks = lazy_blocks(text)
+    simple = _simple_ids(blocks)
+    return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
+            .when(simple.isNotNull(), F.struct(simple.alias("ids"), F.lit(True).alias("numeric")))
+            .otherwise(_general(text, blocks)))
+
+
 def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
-    """``parse_ranking`` for several text columns, as staged projections.
-
-    Each intermediate (last valid block, its type, decoded elements, int
-    candidates) is computed once and then referenced as a column: a single
-    nested expression would re-derive the regex scan and JSON parse in every
-    branch that uses it (Catalyst does not share subexpressions across
-    lambdas and CASE branches). Plain integer lists -- the common case --
-    take a fast path: one ``schema_of_variant`` per row and a typed cast,
-    instead of decoding every element."""
-    def stage(frame: DataFrame, cols: dict[str, Column]) -> DataFrame:
-        return frame.select(*frame.columns, *[c.alias(n) for n, c in cols.items()])
-
-    cur = df.select(*keep, *texts.values())
-    cur = stage(cur, {f"_blocks_{o}": lazy_blocks(F.col(t).cast("string")) for o, t in texts.items()})
-    # Fast path: when the *last* block is a plain {"ranked_tables": [ints]}
-    # object it is valid, hence the answer; no JSON parser needed.
-    cur = stage(cur, {f"_lastb_{o}": F.try_element_at(F.col(f"_blocks_{o}"), F.lit(-1)) for o in texts})
-    cur = stage(cur, {f"_simple_{o}": F.when(
-        F.col(f"_lastb_{o}").rlike(_SIMPLE_BLOCK),
-        F.transform(F.split(F.regexp_extract(F.col(f"_lastb_{o}"), _SIMPLE_BLOCK, 1), _JSON_COMMA),
-                    lambda x: F.when(x == "-0", F.lit("0")).otherwise(x))) for o in texts})
-    cur = stage(cur, {f"_last_{o}": F.when(F.col(f"_simple_{o}").isNull(), F.try_element_at(
-        _valid_lists_of(F.col(f"_blocks_{o}")), F.lit(-1))) for o in texts})
-    # the bare-list fallback is only scanned for rows without a valid block
-    cur = stage(cur, {f"_bare_{o}": F.when(F.col(f"_last_{o}").isNull(),
-                                          _bare_list_items(F.col(t).cast("string")))
-                      for o, t in texts.items()})
-    cur = stage(cur, {f"_typ_{o}": F.schema_of_variant(F.col(f"_last_{o}")) for o in texts})
-    arrb = {}
-    for o in texts:
-        # schema_of_variant ignores JSON nulls inside the list; the cast shows them
-        arrb[f"_arrb_{o}"] = F.when(F.col(f"_typ_{o}") == "ARRAY<BIGINT>",
-                                    F.try_variant_get(F.col(f"_last_{o}"), "$", "array<bigint>"))
-    cur = stage(cur, arrb)
-    fast, info, bare_fast = {}, {}, {}
-    for o in texts:
-        last, arr, bare = F.col(f"_last_{o}"), F.col(f"_arrb_{o}"), F.col(f"_bare_{o}")
-        ok = F.coalesce(F.forall(arr, lambda x: x.isNotNull()), F.lit(False))
-        fast[f"_fast_{o}"] = F.when(ok, F.transform(arr, lambda x: x.cast("string")))
-        info[f"_info_{o}"] = F.when(last.isNotNull() & ~ok, F.transform(
-            F.try_variant_get(last, "$", "array<variant>"), elem_info))
-        bare_fast[f"_bfast_{o}"] = F.forall(
-            bare, lambda x: F.coalesce(x.try_cast("bigint").cast("string") == x, F.lit(False)))
-    cur = stage(cur, fast | info | bare_fast)
-    slow = {}
-    for o in texts:
-        info_c, bare = F.col(f"_info_{o}"), F.col(f"_bare_{o}")
-        slow[f"_bi_{o}"] = F.transform(info_c, _elem_int)
-        slow[f"_si_{o}"] = F.when(~F.col(f"_bfast_{o}"), F.transform(bare, int_text))
-    cur = stage(cur, slow)
-    nums = {}
-    for o in texts:
-        nums[f"_bn_{o}"] = F.forall(F.col(f"_bi_{o}"), lambda x: x.isNotNull())
-        nums[f"_sn_{o}"] = F.col(f"_bfast_{o}") | F.forall(F.col(f"_si_{o}"), lambda x: x.isNotNull())
-    cur = stage(cur, nums)
+    """``parse_ranking`` for several text columns as staged projections: the
+    block list and the plain-list fast path are computed once as columns; the
+    general rules sit in a CASE branch that only rows off the fast path
+    evaluate (CASE branches are lazy), so common rows never reach the JSON
+    parser and the rare ones pay for the full rules alone."""
+    cur = df.select(*keep, *texts.values(),
+                    *[lazy_blocks(F.col(t).cast("string")).alias(f"_blocks_{o}") for o, t in texts.items()])
+    cur = cur.select(*keep, *texts.values(), *[f"_blocks_{o}" for o in texts],
+                     *[_simple_ids(F.col(f"_blocks_{o}")).alias(f"_simple_{o}") for o in texts])
 
     def final(o: str, t: str) -> Column:
-        info_c, bare = F.col(f"_info_{o}"), F.col(f"_bare_{o}")
-        bn, sn, bfast = F.col(f"_bn_{o}"), F.col(f"_sn_{o}"), F.col(f"_bfast_{o}")
-        fast_r = F.struct(F.col(f"_fast_{o}").alias("ids"), F.lit(True).alias("numeric"))
-        from_block = F.struct(
-            F.when(bn, F.col(f"_bi_{o}")).otherwise(F.transform(info_c, _elem_str)).alias("ids"),
-            bn.alias("numeric"))
-        from_bare = F.struct(
-            F.when(bfast, bare).when(sn, F.col(f"_si_{o}"))
-            .otherwise(F.transform(bare, py_strip)).alias("ids"),
-            sn.alias("numeric"))
-        simple_r = F.struct(F.col(f"_simple_{o}").alias("ids"), F.lit(True).alias("numeric"))
-        return (F.when(F.col(t).isNull(), F.lit(None).cast(RANKING_TYPE))
-                .when(F.col(f"_simple_{o}").isNotNull(), simple_r)
-                .when(F.col(f"_fast_{o}").isNotNull(), fast_r)
-                .when(info_c.isNotNull(), from_block)
-                .when(F.size(bare) > 0, from_bare)
-                .otherwise(F.lit(None).cast(RANKING_TYPE))).alias(o)
+        text, simple = F.col(t).cast("string"), F.col(f"_simple_{o}")
+        return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
+                .when(simple.isNotNull(), F.struct(simple.alias("ids"), F.lit(True).alias("numeric")))
+                .otherwise(_general(text, F.col(f"_blocks_{o}")))).alias(o)
 
     return cur.select(*keep, *[final(o, t) for o, t in texts.items()])
 

@@ -55,9 +55,12 @@ def int_text(c: Column) -> Column:
     """``str(int(s))`` for a string ``s`` accepted by Python's ``int()``, else null.
 
     Unicode (non-ASCII) decimal digits are not accepted (documented deviation)."""
+    # canonical decimal text (the common case) round-trips through bigint
+    plain = c.try_cast("bigint").cast("string") == c
     ok = c.rlike(_INT_TEXT)
-    return F.when(ok, canonical_int(F.regexp_extract(c, _INT_TEXT, 1),
-                                    F.regexp_extract(c, _INT_TEXT, 2)))
+    return (F.when(F.coalesce(plain, F.lit(False)), c)
+            .when(ok, canonical_int(F.regexp_extract(c, _INT_TEXT, 1),
+                                    F.regexp_extract(c, _INT_TEXT, 2))))
 
 
 def greedy_block(c: Column) -> Column:
