@@ -67,8 +67,13 @@ def write_metrics(metrics: DataFrame, path: str, pred_file: str | None = None) -
 
 
 def write_per_example(dump: DataFrame, path: str) -> None:
-    """SNK5: per-example scores as JSON Lines."""
-    dump.write.mode("overwrite").json(path)
+    """SNK5: per-example scores as JSON Lines; ``pred``/``gold`` are written
+    as JSON arrays (ints stay numbers), via variant columns."""
+    out = dump
+    for c in ("pred", "gold"):
+        if c in dump.columns:
+            out = out.withColumn(c, F.try_parse_json(c))
+    out.write.mode("overwrite").json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
