@@ -144,6 +144,8 @@ def backfill(raw: DataFrame, meta_latest: DataFrame) -> DataFrame:
 
 
 def _per_qid(raw: DataFrame, full_rows: bool) -> DataFrame:
+    """Per-qid partial-aggregatable summary: row counts by validity class and
+    the first candidate of each class (full row, or just its ``pos``)."""
     f = row_flags(raw)
     plain_ok = F.col("_other") & F.col("_plain")
     rec_ok = F.col("_other") & F.col("_rec")
@@ -157,6 +159,9 @@ def _per_qid(raw: DataFrame, full_rows: bool) -> DataFrame:
         row = F.struct(*[F.col(c) for c in raw.columns])
         aggs += [F.min_by(F.when(plain_ok, row), F.when(plain_ok, F.col("pos"))).alias("c_plain"),
                  F.min_by(F.when(rec_ok, row), F.when(rec_ok, F.col("pos"))).alias("c_rec")]
+    else:
+        aggs += [F.min(F.when(plain_ok, F.col("pos"))).alias("p_plain"),
+                 F.min(F.when(rec_ok, F.col("pos"))).alias("p_rec")]
     return f.groupBy("qid").agg(*aggs)
 
 
@@ -174,22 +179,25 @@ def curation_audit(raw: DataFrame, meta: DataFrame | None) -> DataFrame:
     recoveries, made before validity (a recovered duplicate is counted in
     both)."""
     latest = metadata_latest(meta) if meta is not None else None
-    q = _with_recovery(_per_qid(raw, full_rows=False), latest)
-    has = F.col("_text").isNotNull()
-    valid = F.col("n_plain") + F.when(has, F.col("n_recok")).otherwise(0)
+    q = _per_qid(raw, full_rows=False)
+    if latest is not None:
+        # one full outer join on the shared qid partitioning yields both the
+        # recovery text per raw qid and the metadata size (len of the index)
+        m = latest.select("qid", F.col("recovered").alias("_text"), F.lit(1).alias("meta_rows"))
+        q = q.join(m, "qid", "full_outer")
+    else:
+        q = q.withColumns({"_text": F.lit(None).cast("string"), "meta_rows": F.lit(0)})
+    # a null raw qid is its own group and never matches the metadata
+    has = F.col("_text").isNotNull() & F.col("qid").isNotNull()
+    n_rows = F.coalesce(F.col("n_rows"), F.lit(0))
+    valid = F.coalesce(F.col("n_plain"), F.lit(0)) + F.when(has, F.coalesce(F.col("n_recok"), F.lit(0))) \
+        .otherwise(0)
     per = q.select(
-        F.col("n_rows"),
-        F.when(has, F.col("n_needs")).otherwise(0).alias("recovered"),
+        n_rows.alias("n_rows"),
+        F.when(has, F.coalesce(F.col("n_needs"), F.lit(0))).otherwise(0).alias("recovered"),
         valid.alias("valid"),
         F.when(valid > 0, 1).otherwise(0).alias("kept"),
-        F.lit(0).alias("meta_rows"))
-    if latest is not None:
-        # metadata size joins the same single aggregation (no join of the
-        # two one-row results)
-        zero = F.lit(0).cast("bigint")
-        per = per.unionByName(latest.select(zero.alias("n_rows"), zero.alias("recovered"),
-                                            zero.alias("valid"), F.lit(0).alias("kept"),
-                                            F.lit(1).alias("meta_rows")))
+        F.coalesce(F.col("meta_rows"), F.lit(0)).alias("meta_rows"))
     out = per.agg(
         F.sum("n_rows").alias("n_raw"),
         F.sum("recovered").alias("n_recovered"),
@@ -241,11 +249,11 @@ def row_outcomes(raw: DataFrame, meta: DataFrame | None) -> DataFrame:
     ``recovered``. The per-qid winner comes from the skew-safe aggregate and
     is joined back by qid (AQE splits a hot qid on the raw side)."""
     latest = metadata_latest(meta) if meta is not None else None
-    q = _with_recovery(_per_qid(raw, full_rows=True), latest)
+    q = _with_recovery(_per_qid(raw, full_rows=False), latest)
     has = F.col("_text").isNotNull()
-    use_rec = has & F.col("c_rec").isNotNull() & (
-        F.col("c_plain").isNull() | (F.col("c_rec.pos") < F.col("c_plain.pos")))
-    winners = q.select("qid", F.when(use_rec, F.col("c_rec.pos")).otherwise(F.col("c_plain.pos"))
+    use_rec = has & F.col("p_rec").isNotNull() & (
+        F.col("p_plain").isNull() | (F.col("p_rec") < F.col("p_plain")))
+    winners = q.select("qid", F.when(use_rec, F.col("p_rec")).otherwise(F.col("p_plain"))
                        .alias("_win"), has.alias("_has"))
     f = row_flags(raw).join(winners, "qid", "left")
     recovered = F.col("_rec") & F.coalesce(F.col("_has"), F.lit(False))

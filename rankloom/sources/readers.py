@@ -69,23 +69,24 @@ def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_order(df: DataFrame, name: str = "idx") -> DataFrame:
-    """WIN1: 0-based row index in file order (file path, block, position),
-    computed with the skew-safe running index instead of a global window."""
+    """WIN1: 0-based row index within each file, in file order (block start,
+    then position inside the block), computed with the skew-safe running
+    index instead of a window over the file."""
     o = df.select("*", F.col("_metadata.file_path").alias("_f"),
                   F.col("_metadata.file_block_start").alias("_b"),
                   F.monotonically_increasing_id().alias("_m"))
-    idx = row_index(o, order_by=["_f", "_b", "_m"], group_by=[], name=name)
+    idx = row_index(o, order_by=["_b", "_m"], group_by=["_f"], name=name)
     return idx.select(name, *df.columns)
 
 
-def read_metadata(spark: SparkSession, metadata_dir: str) -> DataFrame:
+def read_metadata(spark: SparkSession, metadata_dir: str, file_pattern: str = META_FILE) -> DataFrame:
     """SRC2: up to three split files, each one JSON object keyed by qid;
     absent split files are skipped. Long form: qid, split, pos,
     reasoning_text, total_thinking (pos = key order inside the file)."""
     rec = "map<string, struct<reasoning_text: string, total_thinking: string>>"
     parts = []
     for split in META_SPLITS:
-        p = f"{metadata_dir.rstrip('/')}/{META_FILE.format(split=split)}"
+        p = f"{metadata_dir.rstrip('/')}/{file_pattern.format(split=split)}"
         if not _fs_exists(spark, p):
             continue
         t = spark.read.text(p, wholetext=True)

@@ -71,3 +71,23 @@ def test_loss_mask(spark):
     assert s1[0].in_loss and s1[0].value == "T\n\nA"
     h = [r for r in t if r.setup == "setup3_1_hint_answer_only" and r.role == "human"][0]
     assert h.value == "P\n\n" + setups.HINT_INSTRUCTION + "T"
+
+
+def test_running_totals_hot_key_matches_model(spark):
+    from rankloom.operators.sequence import running_totals
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        g = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 40)}"
+        rows.append((g, rnd.randint(0, 10**6), i, rnd.randint(1, 9)))
+    df = spark.createDataFrame(rows, "g string, t long, id long, v long")
+    out = running_totals(df, ["g"], ["t", "id"], {"v2": F.col("v") * 2}, index_name="step", start=1,
+                         num_partitions=9).collect()
+    got = {r.id: (r.step, r.run_v2) for r in out}
+    expect = {}
+    for g in {r[0] for r in rows}:
+        acc = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))):
+            acc += 2 * r[3]
+            expect[r[2]] = (n + 1, acc)
+    assert got == expect
