@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType
 
+from rankloom.session import cached_column
 from rankloom.functions.text import (WS, canonical_int, int_text, lazy_blocks,
                                      py_strip, py_strip_chars)
 
@@ -141,17 +142,28 @@ def with_rankings(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Data
     evaluate (CASE branches are lazy), so common rows never reach the JSON
     parser and the rare ones pay for the full rules alone."""
     cur = df.select(*keep, *texts.values(),
-                    *[lazy_blocks(F.col(t).cast("string")).alias(f"_blocks_{o}") for o, t in texts.items()])
+                    *[_blocks_expr(t).alias(f"_blocks_{o}") for o, t in texts.items()])
     cur = cur.select(*keep, *texts.values(), *[f"_blocks_{o}" for o in texts],
-                     *[_simple_ids(F.col(f"_blocks_{o}")).alias(f"_simple_{o}") for o in texts])
+                     *[_simple_expr(f"_blocks_{o}").alias(f"_simple_{o}") for o in texts])
+    return cur.select(*keep, *[_final_expr(o, t).alias(o) for o, t in texts.items()])
 
-    def final(o: str, t: str) -> Column:
-        text, simple = F.col(t).cast("string"), F.col(f"_simple_{o}")
-        return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
-                .when(simple.isNotNull(), F.struct(simple.alias("ids"), F.lit(True).alias("numeric")))
-                .otherwise(_general(text, F.col(f"_blocks_{o}")))).alias(o)
 
-    return cur.select(*keep, *[final(o, t) for o, t in texts.items()])
+@cached_column
+def _blocks_expr(text_col: str) -> Column:
+    return lazy_blocks(F.col(text_col).cast("string"))
+
+
+@cached_column
+def _simple_expr(blocks_col: str) -> Column:
+    return _simple_ids(F.col(blocks_col))
+
+
+@cached_column
+def _final_expr(o: str, t: str) -> Column:
+    text, simple = F.col(t).cast("string"), F.col(f"_simple_{o}")
+    return (F.when(text.isNull(), F.lit(None).cast(RANKING_TYPE))
+            .when(simple.isNotNull(), F.struct(simple.alias("ids"), F.lit(True).alias("numeric")))
+            .otherwise(_general(text, F.col(f"_blocks_{o}"))))
 
 
 def ranking_from_variant_array(arr: Column) -> Column:

@@ -19,6 +19,8 @@ from rankloom.functions.rankings import (parse_ranking, ranking_from_array, rank
                                          ranking_from_variant_array, with_rankings)
 from pyspark.sql.types import ArrayType, VariantType
 
+from rankloom.session import cached_column
+
 NO_GOLD_NOTE = "no scorable rows (no parseable gold)"
 
 
@@ -83,13 +85,34 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
             return F.col(out)
         return _ranking(df, c)
     parsed = df.select(*keep, pick("pred", pred_col).alias("pred"), pick("gold", gold_col).alias("gold"))
+    pre = parsed.select("*", *_pre_exprs())
+    ranked = pre.withColumn("_ranks", _ranks_expr())
+    counted = ranked.withColumn("_cd", _cd_expr())
+    return counted.select(*keep, "pred", "gold", *_metric_exprs())
+
+
+@cached_column
+def _pre_exprs() -> list[Column]:
+    """Shared per-row intermediates, each computed once as a column."""
+    p, g = F.col("pred"), F.col("gold")
+    return [F.array_distinct(p["ids"]).alias("_dp"), F.array_distinct(g["ids"]).alias("_dg"),
+            F.reverse(p["ids"]).alias("_rp"), F.reverse(g["ids"]).alias("_rg")]
+
+
+@cached_column
+def _ranks_expr() -> Column:
+    p, g = F.col("pred"), F.col("gold")
+    return F.when(p.isNotNull() & g.isNotNull(), tau_ranks(p, g, F.col("_rp"), F.col("_rg")))
+
+
+@cached_column
+def _cd_expr() -> Column:
+    return tau_counts(F.col("_ranks"))
+
+
+@cached_column
+def _metric_exprs() -> list[Column]:
     p, g = F.col("pred"), F.col("gold")
-    both = p.isNotNull() & g.isNotNull()
-    # shared per-row intermediates, each computed once as a column
-    pre = parsed.select("*", F.array_distinct(p["ids"]).alias("_dp"), F.array_distinct(g["ids"]).alias("_dg"),
-                        F.reverse(p["ids"]).alias("_rp"), F.reverse(g["ids"]).alias("_rg"))
-    ranked = pre.withColumn("_ranks", F.when(both, tau_ranks(p, g, F.col("_rp"), F.col("_rg"))))
-    counted = ranked.withColumn("_cd", tau_counts(F.col("_ranks")))
     dp, dg = F.col("_dp"), F.col("_dg")
     skip = g.isNull()
     invalid = p.isNull()
@@ -97,8 +120,7 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
     def metric(expr: Column, invalid_value) -> Column:
         return F.when(skip, F.lit(None)).when(invalid, F.lit(invalid_value)).otherwise(expr)
 
-    return counted.select(
-        *keep, "pred", "gold",
+    return [
         skip.alias("skip"),
         F.when(~skip, invalid).alias("invalid"),
         metric(exact_match(p, g), 0).cast("int").alias("em"),
@@ -106,7 +128,7 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
         metric(set_f1(p, g, dp, dg), 0.0).cast("double").alias("f1"),
         metric(top1(p, g), 0).cast("int").alias("top1"),
         F.when(~skip & ~invalid, tau_value(F.col("_cd"))).alias("tau"),
-    )
+    ]
 
 
 def metric_partials(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -77,3 +77,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cached_column(fn):
+    """Memoise a Column builder whose arguments are hashable (column names,
+    constants). Large rule expressions take hundreds of py4j calls to build;
+    the JVM Column they produce is a plain expression tree, reusable across
+    DataFrames of the same SparkContext (the cache is keyed by it)."""
+    import functools
+
+    from pyspark import SparkContext
+
+    @functools.lru_cache(maxsize=256)
+    def cached(ctx_id, *args):
+        return fn(*args)
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        sc = SparkContext._active_spark_context
+        return cached(id(sc) if sc is not None else 0, *args)
+    return wrapper
