@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import greedy_block, is_blank, py_strip, strict_json
+from rankloom.session import cached_column
 
 # Fixed order of the metadata splits: a later split overrides an earlier one.
 SPLIT_ORDER = ("train", "dev", "test")
@@ -84,12 +85,17 @@ def answer_ok(answer: Column) -> Column:
 def row_flags(raw: DataFrame) -> DataFrame:
     """Row-local validity parts: everything except the thinking of rows that
     await recovery."""
+    return raw.withColumns(_row_flag_exprs())
+
+
+@cached_column
+def _row_flag_exprs() -> dict[str, Column]:
     other = _present("qid") & _present("prompt") & _present("answer") & answer_ok(F.col("answer"))
-    return raw.withColumns({
-        "_rec": needs_recovery(raw),
+    return {
+        "_rec": F.coalesce(F.col("thinking").isNotNull() & is_blank(F.col("thinking")), F.lit(False)),
         "_other": F.coalesce(other, F.lit(False)),
         "_plain": F.coalesce(_present("thinking"), F.lit(False)),
-    })
+    }
 
 
 # --------------------------------------------------------------- answer JSON
@@ -112,6 +118,12 @@ def _dumps_json_batch(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@cached_column
+def canonical_answer_of(col: str) -> Column:
+    """:func:`canonical_answer` of a named column (memoised)."""
+    return canonical_answer(F.col(col))
+
+
 def canonical_answer(answer: Column) -> Column:
     """PRJ2: the answer's JSON block re-serialised like ``json.dumps``
     (``", "``/``": "`` separators, keys in order, non-ASCII escaped); the
@@ -147,6 +159,11 @@ def _per_qid(raw: DataFrame, full_rows: bool) -> DataFrame:
     """Per-qid partial-aggregatable summary: row counts by validity class and
     the first candidate of each class (full row, or just its ``pos``)."""
     f = row_flags(raw)
+    return f.groupBy("qid").agg(*_per_qid_aggs(full_rows, tuple(raw.columns)))
+
+
+@cached_column
+def _per_qid_aggs(full_rows: bool, columns: tuple[str, ...]) -> list[Column]:
     plain_ok = F.col("_other") & F.col("_plain")
     rec_ok = F.col("_other") & F.col("_rec")
     aggs = [
@@ -156,13 +173,13 @@ def _per_qid(raw: DataFrame, full_rows: bool) -> DataFrame:
         F.count_if(rec_ok).alias("n_recok"),
     ]
     if full_rows:
-        row = F.struct(*[F.col(c) for c in raw.columns])
+        row = F.struct(*[F.col(c) for c in columns])
         aggs += [F.min_by(F.when(plain_ok, row), F.when(plain_ok, F.col("pos"))).alias("c_plain"),
                  F.min_by(F.when(rec_ok, row), F.when(rec_ok, F.col("pos"))).alias("c_rec")]
     else:
         aggs += [F.min(F.when(plain_ok, F.col("pos"))).alias("p_plain"),
                  F.min(F.when(rec_ok, F.col("pos"))).alias("p_rec")]
-    return f.groupBy("qid").agg(*aggs)
+    return aggs
 
 
 def _with_recovery(per_qid: DataFrame, meta_latest: DataFrame | None) -> DataFrame:
@@ -236,7 +253,7 @@ def canonical_examples_from_latest(raw: DataFrame, latest: DataFrame | None) ->
         .alias("dataset"),
         py_strip(w("prompt")).alias("prompt"),
         F.coalesce(F.col("_text"), py_strip(w("thinking"))).alias("thinking"),
-        canonical_answer(w("answer")).alias("answer"),
+        canonical_answer_of("w.answer").alias("answer"),
         (F.coalesce(w("ranked_table_ids").cast("array<string>"), empty)
          if "ranked_table_ids" in cols else empty).alias("ranked_table_ids"),
         (F.coalesce(w("candidate_ids").cast("array<string>"), empty)

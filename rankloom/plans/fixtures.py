@@ -91,7 +91,11 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw SFT examples with blank/null thinking, duplicate qids and
     malformed answers mixed in."""
-    p = _turn_pairs(spark, sf_dir)
+    return _turn_pairs(spark, sf_dir).select(*_f2_exprs())
+
+
+@cached_column
+def _f2_exprs() -> list[Column]:
     turn, conv, k = F.col("turn"), F.col("conv_id"), F.col("k")
     lst = F.concat_ws(", ", *[(((1 + turn % 6) * i + conv) % 7 + 1).cast("string") for i in range(7)])
     nl = F.lit("\n")
@@ -102,7 +106,7 @@ def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k % 23 == 5, F.lit('{"answer": [1]}'))
               .when(k % 7 == 6, F.concat(nl, F.lit('{"ranked_tables": ['), lst, F.lit('], "note": "ok"}')))
               .otherwise(F.concat(nl, nl, F.lit('{"ranked_tables": ['), lst, F.lit("]}"))))
-    return p.select(
+    return [
         k.alias("pos"),
         F.concat(F.lit("c"), conv.cast("string"), F.lit("-"), qid_turn.cast("string")).alias("qid"),
         F.when(k % 5 == 0, F.lit(None).cast("string"))
@@ -110,7 +114,7 @@ def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("prompt"), nl).alias("prompt"),
         F.when(k % 17 == 3, F.lit(None).cast("string")).when(k % 4 == 1, F.concat(F.lit(" "), nl))
         .otherwise(F.col("th")).alias("thinking"),
-        answer.alias("answer"))
+        answer.alias("answer")]
 
 
 def reasoning_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
