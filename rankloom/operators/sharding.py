@@ -155,13 +155,16 @@ def _partitions_for(df: DataFrame, rows_per_partition: int) -> int:
 def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                   group_by: Sequence[str] = (), order_by: str = "pos",
                   size_col: str = "rec_bytes", num_partitions: int | None = None,
-                  rows_per_partition: int = 2_000_000) -> DataFrame:
+                  rows_per_partition: int = 2_000_000, max_intervals: int = 4096) -> DataFrame:
     """SHARD2: exact greedy shard ids (0-based, per group) for every record.
 
     Only (group, order, size) columns are shuffled; join the result back by
     (group, order) to attach payloads. Partitions are range partitions of at
-    most ~``rows_per_partition`` narrow rows. Output: group columns,
-    ``order_by``, ``size_col``, ``shard_id``."""
+    most ~``rows_per_partition`` narrow rows. A partition whose step-function
+    summary would exceed ``max_intervals`` (paths that never merge, e.g.
+    equal-size records) ships no summary; its outcome for the actual entry
+    state is computed by a job on that partition, so driver data stays
+    bounded. Output: group columns, ``order_by``, ``size_col``, ``shard_id``."""
     keys = list(group_by)
     narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
     n = num_partitions or _partitions_for(narrow, rows_per_partition)
@@ -169,8 +172,8 @@ def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                       .sortWithinPartitions(*keys, order_by), "greedy")
 
     summary_schema = ("pid int, first_key string, last_key string, single boolean, "
-                      "total0 long, intervals array<array<long>>, g0_end long, g0_cnt long, "
-                      "last_end long, last_cnt long")
+                      "total0 long, intervals array<array<long>>, truncated boolean, "
+                      "g0_end long, g0_cnt long, last_end long, last_cnt long")
 
     def summarize(it):
         from pyspark import TaskContext
@@ -185,10 +188,12 @@ def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
         kl, sl, el = rs[-1]
         prel = np.concatenate([[0], np.cumsum(sizes[sl:el])])
         endl, cntl = _fresh_outcomes(prel, max_bytes)
+        ivs = _entry_intervals(pre0, max_bytes, end0, cnt0)
+        truncated = len(ivs) > max_intervals
         yield pd.DataFrame([{
             "pid": TaskContext.get().partitionId(), "first_key": repr(k0), "last_key": repr(kl),
             "single": len(rs) == 1, "total0": int(pre0[-1]),
-            "intervals": _entry_intervals(pre0, max_bytes, end0, cnt0),
+            "intervals": [] if truncated else ivs, "truncated": truncated,
             "g0_end": int(end0[0]), "g0_cnt": int(cnt0[0]),
             "last_end": int(endl[0]), "last_cnt": int(cntl[0])}])
 
@@ -205,6 +210,8 @@ def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
         entry[r["pid"]] = (c, base)
         if c <= _EMPTY:
             end, started = r["g0_end"], r["g0_cnt"]
+        elif r["truncated"]:
+            end, started = _outcome_at(srt, r["pid"], c, keys, size_col, max_bytes)
         else:
             hit = next(iv for iv in r["intervals"] if iv[0] < c <= iv[1])
             end, started = (c + r["total0"], 0) if hit[2] == -1 else (hit[2], hit[3])
@@ -234,6 +241,30 @@ def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
     return srt.mapInPandas(apply, out_schema)
 
 
+def _outcome_at(srt: DataFrame, pid: int, c: int, keys: list[str], size_col: str,
+                max_bytes: int) -> tuple[int, int]:
+    """(end bytes, shards started) of partition ``pid``'s first run entered
+    with an open shard of ``c`` bytes; evaluated on the executor holding it."""
+    def one(it):
+        from pyspark import TaskContext
+        if TaskContext.get().partitionId() != pid:
+            return
+        pdf = pd.concat(list(it), ignore_index=True)
+        if not len(pdf):
+            return
+        _, s, e = _runs(pdf, keys)[0]
+        pre = np.concatenate([[0], np.cumsum(pdf[size_col].to_numpy(dtype=np.int64)[s:e])])
+        i = _first_flush(pre, c, max_bytes)
+        if i >= len(pre) - 1:
+            end, started = c + int(pre[-1]), 0
+        else:
+            ends, cnts = _fresh_outcomes(pre[i:] - pre[i], max_bytes)
+            end, started = int(ends[0]), int(cnts[0])
+        yield pd.DataFrame([{"end": end, "started": started}])
+    row = srt.mapInPandas(one, "end long, started long").collect()[0]
+    return row["end"], row["started"]
+
+
 def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                    group_by: Sequence[str] = (), order_by: str = "pos",
                    size_col: str = "rec_bytes") -> DataFrame:

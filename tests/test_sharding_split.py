@@ -91,3 +91,15 @@ def test_running_totals_hot_key_matches_model(spark):
             acc += 2 * r[3]
             expect[r[2]] = (n + 1, acc)
     assert got == expect
+
+
+def test_greedy_without_summaries_matches_model(spark):
+    # equal-size records: packing paths never merge, so partitions fall back
+    # to evaluating their entry state on the executor
+    rows = [("a", i, 7) for i in range(500)] + [("b", i, 5 + i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, pos long, rec_bytes long")
+    got = {(r.g, r.pos): r.shard_id for r in sharding.greedy_shards(
+        df, 52, ["g"], num_partitions=7, max_intervals=1).collect()}
+    for g in ("a", "b"):
+        recs = [r for r in rows if r[0] == g]
+        assert [got[(g, r[1])] for r in recs] == pymodel.greedy([r[2] for r in recs], 52)
