@@ -290,7 +290,7 @@ def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
     # one row per non-empty bucket: bounded by the shard count
     buckets = placed.groupBy(*keys, "_bucket").agg(F.lit(1).alias("_one"))
     w = Window.partitionBy(*keys).orderBy("_bucket")
-    ranked = buckets.select(*keys, "_bucket", (F.dense_rank().over(w) - 1).alias("shard_id"))
+    ranked = buckets.select(*keys, "_bucket", (F.dense_rank().over(w) - 1).cast("long").alias("shard_id"))
     return placed.join(ranked, [*keys, "_bucket"]).select(*keys, order_by, size_col, "start", "shard_id")
 
 

@@ -196,7 +196,7 @@ def _canonical(spark, sf_dir):
 
 @register("setup_rows", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + """
 select qid, setup, mask_history, 'You are a careful retrieval assistant that ranks candidate tables by their relevance to a user''s question.' system,
-  len(conversations) n_turns, conversations[1].value human, conversations[-1].value response,
+  cast(len(conversations) as integer) n_turns, conversations[1].value human, conversations[-1].value response,
   octet_length(encode(to_json({'system': 'You are a careful retrieval assistant that ranks candidate tables by their relevance to a user''s question.', 'conversations': conversations}))) + 1 rec_bytes
 from setups""")
 def setup_rows(spark, sf_dir):
@@ -211,7 +211,7 @@ def setup_rows(spark, sf_dir):
 @register("loss_turns", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + """
 select qid, setup, turn, role, value,
   role = 'gpt' and (not mask_history or turn = last_gpt) in_loss
-from (select qid, setup, mask_history, generate_subscripts(conversations, 1) - 1 turn,
+from (select qid, setup, mask_history, cast(generate_subscripts(conversations, 1) - 1 as integer) turn,
         unnest(conversations).from role, unnest(conversations).value value,
         list_last(list_filter(range(len(conversations)), lambda i: conversations[i + 1].from = 'gpt')) last_gpt
       from setups)""")
@@ -252,7 +252,8 @@ def shard_greedy(spark, sf_dir):
 
 @register("shard_report", o.greedy_sql(SHARD_TEST_BYTES) + """
 , s as (select lang, shard_id, sum(rec_bytes) + 1 file_bytes, count(*) n from g group by lang, shard_id)
-select lang, count(*) n_shards, sum(n) n_records, sum(file_bytes) total_bytes, max(file_bytes) max_shard_bytes
+select lang, count(*) n_shards, cast(sum(n) as bigint) n_records, cast(sum(file_bytes) as bigint) total_bytes,
+  cast(max(file_bytes) as bigint) max_shard_bytes
 from s group by lang""")
 def shard_report(spark, sf_dir):
     """AGG9: shard count and bytes per lang."""
@@ -262,8 +263,8 @@ def shard_report(spark, sf_dir):
 
 @register("shard_assign", o.with_(o.F4) + f"""
 , r as (select lang, pos, rec_bytes,
-    sum(rec_bytes) over (partition by lang order by pos rows between unbounded preceding and current row)
-      - rec_bytes start,
+    cast(sum(rec_bytes) over (partition by lang order by pos rows between unbounded preceding and current row)
+      - rec_bytes as bigint) start,
     greatest({SHARD_TEST_BYTES} - 2 - max(rec_bytes) over (partition by lang), 1) w from f4)
 select lang, pos, rec_bytes, start,
   dense_rank() over (partition by lang order by floor(start / w)) - 1 shard_id from r""")

@@ -66,7 +66,7 @@ f4 as (select doc_id pos, octet_length(encode(text)) + 1 rec_bytes, lang from do
 
 F5 = """
 f5 as (select user_id run_id,
-         row_number() over (partition by user_id order by ts, event_id) step,
+         cast(row_number() over (partition by user_id order by ts, event_id) as integer) step,
          case when event_type='error' then null else value end loss, ts from events)
 """
 
@@ -301,7 +301,7 @@ def greedy_sql(max_bytes: int) -> str:
     return f"""
 with recursive {F4.strip()},
 r as (select lang, pos, rec_bytes, row_number() over (partition by lang order by pos) rn from f4),
-g as (select lang, rn, pos, rec_bytes, 2 + rec_bytes cur, 0 shard_id from r where rn = 1
+g as (select lang, rn, pos, rec_bytes, 2 + rec_bytes cur, cast(0 as bigint) shard_id from r where rn = 1
       union all
       select r.lang, r.rn, r.pos, r.rec_bytes,
         case when g.cur + r.rec_bytes > {max_bytes} then 2 + r.rec_bytes else g.cur + r.rec_bytes end,
