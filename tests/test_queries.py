@@ -37,5 +37,10 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+    dtypes = dict(zip(dcols, [str(t) for t in cur.description and con.sql(oracle).types]))
+    for f in df.schema.fields:
+        assert types.get(f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     assert len(rows) == len(drows)
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
