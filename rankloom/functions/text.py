@@ -24,9 +24,13 @@ WS_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A"
             r"\u2028\u2029\u202F\u205F\u3000")
 WS = f"[{WS_CLASS}]"
 
+# The whitespace int() skips around a number -- the isspace()
+# set without the information separators U+001C..U+001F (25 code points).
+INT_WS = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 # A Python int() literal in base 10: optional whitespace and sign, digits
 # with single underscores between them. Group 1 = sign, group 2 = digits.
-_INT_TEXT = rf"^{WS}*([+-]?)([0-9]+(?:_[0-9]+)*){WS}*$"
+_INT_TEXT = rf"^{INT_WS}*([+-]?)([0-9]+(?:_[0-9]+)*){INT_WS}*$"
 
 
 def py_strip(c: Column) -> Column:

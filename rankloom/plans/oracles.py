@@ -82,12 +82,16 @@ def strip(x: str) -> str:
     return f"trim({x}, {WS_CHARS})"
 
 
+# int() skips the isspace() set except U+001C..U+001F
+INT_WS_RE = "[" + "".join(f"\\x{{{c:X}}}" for c in _WS_CODES if not 0x1C <= c <= 0x1F) + "]"
+
+
 def int_text(v: str) -> str:
     """Python str(int(v)) for a VARCHAR v, NULL when int() would fail."""
-    pat = f"^{WS_RE}*[+-]?[0-9]+(_[0-9]+)*{WS_RE}*$"
+    pat = f"^{INT_WS_RE}*[+-]?[0-9]+(_[0-9]+)*{INT_WS_RE}*$"
     digits = f"regexp_replace(regexp_extract({v}, '[0-9][0-9_]*'), '_', '', 'g')"
     mag = f"coalesce(nullif(ltrim({digits}, '0'), ''), '0')"
-    neg = f"(regexp_extract({v}, '^{WS_RE}*([+-]?)', 1) = '-')"
+    neg = f"(regexp_extract({v}, '^{INT_WS_RE}*([+-]?)', 1) = '-')"
     return (f"(case when regexp_matches({v}, '{pat}') then "
             f"(case when {neg} and {mag} <> '0' then '-' || {mag} else {mag} end) end)")
 
