@@ -39,3 +39,21 @@ def test_leaderboard_invariant_under_repartitioning(spark):
     b = sorted(map(tuple, scoring.leaderboard(f1.repartition(13, "ex_id")).collect()))
     c = sorted(map(tuple, scoring.leaderboard(f1.coalesce(1)).collect()))
     assert a == b == c
+
+
+FRAGMENTS = ['{', '}', '"ranked_tables"', ':', ' : ', '[', ']', ',', ', ', ' ', '\n', '1', '-2', '3.5',
+             '"a"', '"7"', ' "8 " ', 'true', 'null', 'x', '"', '1e2', '01', '{"x":1}', "'", '"1_0"',
+             '{"ranked_tables": [4, 5]}', '"ranked_tables": [', '0', '-0', '12345678901234567890']
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(FRAGMENTS), min_size=1, max_size=14).map("".join),
+                min_size=1, max_size=60))
+def test_parse_matches_python_model(spark, texts):
+    import pymodel
+    from rankloom.functions.rankings import with_rankings
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (None if r.r is None else (list(r.r.ids), r.r.numeric))
+           for r in with_rankings(df, {"r": "t"}, ["i"]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pymodel.parse(t), repr(t)
