@@ -194,7 +194,3 @@ def row_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] =
     """``row_number() over (partition by group order by order_by) - 1 + start``
     without putting a group into one task."""
     return running_totals(df, group_by, order_by, index_name=name, start=start)
-
-
-def sum_exprs(values: Mapping[str, Column]) -> dict[str, Column]:
-    return {k: F.coalesce(v, F.lit(0)) for k, v in values.items()}

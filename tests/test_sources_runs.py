@@ -167,3 +167,24 @@ def test_load_or_build_and_metric_sinks(spark, tmpdir_path):
     line = open([f"{tmpdir_path}/d/{f}" for f in os.listdir(f"{tmpdir_path}/d")
                  if f.startswith("part-") and os.path.getsize(f"{tmpdir_path}/d/{f}")][0]).read()
     assert json.loads(line)["pred"] == [1] and json.loads(line)["f1"] == 1.0
+
+
+def test_raw_jsonl_compare_runs_and_status(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/raw.jsonl", "\n".join(json.dumps({"qid": f"q{i}", "prompt": "p", "thinking": "t",
+                                                               "answer": "a"}) for i in range(5)) + "\n")
+    raw = readers.read_raw_jsonl(spark, f"{tmpdir_path}/raw.jsonl").orderBy("pos").collect()
+    assert [r.qid for r in raw] == [f"q{i}" for i in range(5)] and [r.pos for r in raw] == list(range(5))
+    dim = runs.run_dimension(runs.setup_dimension(spark))
+    metrics = spark.createDataFrame([("qwen3_8b_full_loss", 0.5)], "run_name string, EM double")
+    c = runs.compare_runs(metrics, dim).collect()[0]
+    assert c.setup == "setup1_full_loss" and c.max_new_tokens == 4096
+    p = runs.progress(spark.createDataFrame([(1, "a"), (2, "b")], "run_id long, name string"),
+                      spark.createDataFrame([(1, 5, 0.25)], "run_id long, global_step long, last_loss double"),
+                      max_steps=10)
+    lines = {r.name: r.line for r in p.select("name", runs.status_line(p, "name").alias("line")).collect()}
+    assert "step     5/10" in lines["a"] and "( 50.0%)" in lines["a"] and "running" in lines["a"]
+    assert lines["b"].endswith("not started")
+    m = manifest.manifest_entries(spark.createDataFrame([("x_train", "/d/x_train")], "name string, file_name string"))
+    writers.write_manifest(m, f"{tmpdir_path}/manifest")
+    back = spark.read.json(f"{tmpdir_path}/manifest").collect()[0]
+    assert back.name == "x_train" and back.columns.messages == "conversations"
