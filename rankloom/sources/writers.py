@@ -63,7 +63,8 @@ def write_json_shards(sharded: DataFrame, out_dir: str,
 def write_metrics(metrics: DataFrame, path: str, pred_file: str | None = None) -> None:
     """SNK4: metrics rows as JSON, with the scored file's path recorded."""
     out = metrics if pred_file is None else metrics.withColumn("pred_file", F.lit(pred_file))
-    out.coalesce(1).write.mode("overwrite").json(path)
+    # json.dump keeps null values (e.g. KendallTau when undefined)
+    out.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_per_example(dump: DataFrame, path: str) -> None:
@@ -73,12 +74,12 @@ def write_per_example(dump: DataFrame, path: str) -> None:
     for c in ("pred", "gold"):
         if c in dump.columns:
             out = out.withColumn(c, F.try_parse_json(c))
-    out.write.mode("overwrite").json(path)
+    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """SNK6 output: the upserted manifest as JSON Lines (one entry per line)."""
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    manifest.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 SHAREGPT_SCHEMA = ("system string, "

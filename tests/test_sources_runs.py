@@ -167,6 +167,9 @@ def test_load_or_build_and_metric_sinks(spark, tmpdir_path):
     line = open([f"{tmpdir_path}/d/{f}" for f in os.listdir(f"{tmpdir_path}/d")
                  if f.startswith("part-") and os.path.getsize(f"{tmpdir_path}/d/{f}")][0]).read()
     assert json.loads(line)["pred"] == [1] and json.loads(line)["f1"] == 1.0
+    mline = open([f"{tmpdir_path}/m/{f}" for f in os.listdir(f"{tmpdir_path}/m")
+                  if f.startswith("part-")][0]).read()
+    assert "KendallTau" in json.loads(mline) and json.loads(mline)["KendallTau"] is None
 
 
 def test_raw_jsonl_compare_runs_and_status(spark, tmpdir_path):
