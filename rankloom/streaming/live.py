@@ -7,8 +7,9 @@
   per-run metric partials (counts and sums) in the state store.
 * :func:`stream_dedup` (STR3): raw example files -> per micro-batch curation
   -> first-wins by qid across batches via a left-anti join against the
-  table written so far (the table itself is the dedup state: bounded
-  memory, and a replayed batch writes nothing twice).
+  table written so far, pruned to the qid-hash buckets of the batch (the
+  table itself is the dedup state: bounded memory, and a replayed batch
+  writes nothing twice).
 
 Sinks are ``foreachBatch`` appends of (batch_id, row) to Parquet in the
 shared checkpoint folder; readers take the latest row per key, so ``update``
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from rankloom.operators import curation, runs, scoring
 from rankloom.session import scratch_dir
+from rankloom.sources.readers import _fs_exists
 
 
 def _append_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
@@ -90,10 +92,15 @@ def stream_leaderboard(spark: SparkSession, pred_dir: str,
 def stream_dedup(spark: SparkSession, raw_dir: str, meta: DataFrame | None,
                  raw_schema: str = ("pos bigint, qid string, dataset string, prompt string, "
                                     "thinking string, answer string"),
-                 max_files_per_trigger: int | None = 1,
+                 max_files_per_trigger: int | None = 1, buckets: int = 64,
                  work_dir: str | None = None) -> DataFrame:
     """STR3: canonical examples from raw files arriving over time; the first
-    valid row of a qid in arrival order wins across batches."""
+    valid row of a qid in arrival order wins across batches.
+
+    The output table is partitioned by ``pmod(xxhash64(qid), buckets)``; a
+    micro-batch anti-joins only against the buckets its own qids fall into
+    (at most ``buckets`` values, pruned at the scan), so a small batch does
+    not re-read the whole table."""
     work = work_dir or scratch_dir(spark, "stream-dedup")
     out = f"{work}/canonical"
     reader = spark.readStream.schema(raw_schema)
@@ -101,15 +108,22 @@ def stream_dedup(spark: SparkSession, raw_dir: str, meta: DataFrame | None,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(raw_dir)
     latest = curation.metadata_latest(meta) if meta is not None else None
+    bucket = F.pmod(F.xxhash64("qid"), F.lit(buckets))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        canon = curation.canonical_examples_from_latest(batch, latest)
+        # cached (not checkpointed): a lost block is recomputed from the batch
+        cached = curation.canonical_examples_from_latest(batch, latest).withColumn("qid_bucket", bucket)
+        cached.persist()
+        canon = cached
         try:
-            seen = spark.read.parquet(out).select("qid")
-            canon = canon.join(seen, "qid", "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
-        canon.write.mode("append").parquet(out)
+            if _fs_exists(spark, f"{out}/_SUCCESS"):
+                hit = [r["qid_bucket"] for r in canon.select("qid_bucket").distinct().collect()]
+                seen = (spark.read.parquet(out).where(F.col("qid_bucket").isin(hit))
+                        .select("qid_bucket", "qid"))
+                canon = canon.join(seen, ["qid_bucket", "qid"], "left_anti")
+            canon.write.mode("append").partitionBy("qid_bucket").parquet(out)
+        finally:
+            cached.unpersist()
 
     _run(src.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{work}/ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("qid_bucket")
