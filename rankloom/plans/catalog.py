@@ -91,7 +91,18 @@ def first_key_pick(spark, sf_dir):
     """SRC3-4: predictions rendered as JSON lines under varying alias keys
     (some with a present null ``predict``), parsed back; the first present
     alias wins, even when its value is null."""
-    f1 = fx.predictions(spark, sf_dir)
+    lines = _prediction_lines(fx.predictions(spark, sf_dir))
+    v = F.try_parse_json("value")
+    picked = lines.select("run", "ex_id",
+                          readers.pick_first_key(v, F.col("value"), readers.PRED_KEYS).alias("p"),
+                          readers.pick_first_key(v, F.col("value"), readers.GOLD_KEYS).alias("g"))
+    return picked.select("run", "ex_id", F.try_variant_get("p", "$", "string").alias("predict"),
+                         F.try_variant_get("g", "$", "string").alias("label"))
+
+
+def _prediction_lines(f1: DataFrame) -> DataFrame:
+    """F1 rows as JSON lines with alias keys; ``predict`` is a present null
+    on some rows whose prediction sits under a later alias."""
     k3, k4, k7 = F.col("ex_id") % 3, F.col("ex_id") % 4, F.col("ex_id") % 7
 
     def quoted(c):
@@ -102,13 +113,25 @@ def first_key_pick(spark, sf_dir):
     line = F.concat(F.lit("{"), F.when((k7 == 0) & (k3 != 0), F.lit('"predict": null, ')).otherwise(F.lit("")),
                     F.lit('"'), pkey, F.lit('": '), quoted(F.col("predict")), F.lit(', "'), gkey,
                     F.lit('": '), quoted(F.col("label")), F.lit("}"))
-    lines = f1.select("run", "ex_id", line.alias("value"))
-    v = F.try_parse_json("value")
-    picked = lines.select("run", "ex_id",
-                          readers.pick_first_key(v, F.col("value"), readers.PRED_KEYS).alias("p"),
-                          readers.pick_first_key(v, F.col("value"), readers.GOLD_KEYS).alias("g"))
-    return picked.select("run", "ex_id", F.try_variant_get("p", "$", "string").alias("predict"),
-                         F.try_variant_get("g", "$", "string").alias("label"))
+    return f1.select("run", "ex_id", line.alias("value"))
+
+
+@register("jsonl_leaderboard", o.with_(o.F1, o.LINES, f"""parsed as (select run, ex_id,
+  {o.ranking(o.pick_sql(('predict', 'prediction', 'output')))} p,
+  {o.ranking(o.pick_sql(('label', 'labels', 'reference', 'gold')))} g from picked)""", o.SCORED_BODY)
+          + o.metrics_select("run,") + " group by run")
+def jsonl_leaderboard(spark, sf_dir):
+    """SRC3 + SRC4 + WIN1 + AGG8 through files: predictions written as JSON
+    Lines (one folder per run, blank lines between records), read back with
+    the prediction reader (blank-line skip, malformed-line check, alias pick,
+    per-file line index) and scored per run."""
+    work = scratch_dir(spark, "q-jsonl")
+    lines = _prediction_lines(fx.predictions(spark, sf_dir))
+    blank = F.when(F.col("ex_id") % 9 == 0, F.lit("\n   ")).otherwise(F.lit(""))
+    (lines.select("run", F.concat(F.col("value"), blank).alias("value"))
+     .write.mode("overwrite").partitionBy("run").text(f"{work}/pred"))
+    preds = readers.read_predictions(spark, f"{work}/pred", keep=["run"])
+    return scoring.leaderboard(preds)
 
 
 @register("array_rankings", o.with_(o.NATIVE, "parsed as (select * from nparsed)", o.SCORED_BODY)

@@ -112,11 +112,13 @@ def pick_first_key(v: Column, line: Column, keys: Sequence[str]) -> Column:
     return out
 
 
-def read_predictions(spark: SparkSession, path: str, with_index: bool = True) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, with_index: bool = True,
+                     keep: Sequence[str] = ()) -> DataFrame:
     """SRC3 + SRC4: JSON Lines of model outputs. Blank lines are skipped; a
-    malformed line fails the job. Output: idx (0-based among non-blank lines,
-    per file), predict, label (variants: strings are parsed, arrays are used
-    as native id lists)."""
+    malformed line fails the job. Output: ``keep`` columns (e.g. partition
+    columns such as ``run``), idx (0-based among non-blank lines, per file),
+    predict, label (variants: strings are parsed, arrays are used as native
+    id lists)."""
     t = spark.read.text(path)
     line = F.col("value")
     t = t.filter(py_strip(line) != "")
@@ -125,8 +127,9 @@ def read_predictions(spark: SparkSession, path: str, with_index: bool = True) ->
     v = F.try_parse_json(line)
     checked = F.when(v.isNull(), F.raise_error(F.concat(F.lit("malformed JSON line: "),
                                                         F.substring(line, 1, 200)))).otherwise(v)
-    out = t.select(*(["idx"] if with_index else []), line.alias("_line"), checked.alias("_v"))
-    return out.select(*(["idx"] if with_index else []),
+    lead = [*keep, *(["idx"] if with_index else [])]
+    out = t.select(*lead, line.alias("_line"), checked.alias("_v"))
+    return out.select(*lead,
                       pick_first_key(F.col("_v"), F.col("_line"), PRED_KEYS).alias("predict"),
                       pick_first_key(F.col("_v"), F.col("_line"), GOLD_KEYS).alias("label"))
 
