@@ -211,6 +211,26 @@ def canonical_examples(spark, sf_dir):
     return c.select("pos", "qid", "dataset", "prompt", "thinking", "answer")
 
 
+@register("canonical_from_jsonl", o.with_(*_CUR, o.ROWS) + f"""
+select qid, coalesce(dataset, 'unknown') dataset, {o.strip('prompt')} prompt,
+  {o.strip('thinking_final')} thinking, {o.CANON_ANSWER} answer
+from outcomes where outcome = 'kept'""")
+def canonical_from_jsonl(spark, sf_dir):
+    """SRC1 + SRC5 + SNK1 through files: the raw examples written as JSON
+    Lines in input order (range-partitioned part files), read back with a
+    global line order, curated, and persisted via load-or-build Parquet."""
+    from rankloom.sources import writers
+    work = scratch_dir(spark, "q-raw-jsonl")
+    raw = fx.raw_examples(spark, sf_dir)
+    (raw.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos")
+     .write.mode("overwrite").json(f"{work}/raw"))
+    back = readers.read_raw_jsonl(spark, f"{work}/raw")
+    canon = writers.load_or_build(
+        spark, f"{work}/canonical",
+        lambda: curation.canonical_examples(back, fx.reasoning_metadata(spark, sf_dir)))
+    return canon.select("qid", "dataset", "prompt", "thinking", "answer")
+
+
 # ------------------------------------------------------------ setups, split
 def _canonical(spark, sf_dir):
     raw, meta = _raw_meta(spark, sf_dir)

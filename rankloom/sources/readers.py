@@ -63,9 +63,14 @@ def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Raw examples as JSON Lines (splittable). ``pos`` = line order."""
+    """Raw examples as JSON Lines (splittable). ``pos`` = global line order:
+    files in path order, lines in file order (skew-safe running index)."""
     df = spark.read.schema(RAW_SCHEMA).json(path)
-    return with_line_order(df, name="pos")
+    o = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                  F.col("_metadata.file_block_start").alias("_b"),
+                  F.monotonically_increasing_id().alias("_m"))
+    idx = row_index(o, order_by=["_f", "_b", "_m"], group_by=[], name="pos")
+    return idx.select("pos", *df.columns)
 
 
 def with_line_order(df: DataFrame, name: str = "idx") -> DataFrame:
