@@ -96,11 +96,13 @@ def _local_running(pdf: pd.DataFrame, keys: list[str], vals: list[str], state: d
 
 def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
                    values: Mapping[str, Column] | None = None, index_name: str = "_idx",
-                   start: int = 0, num_partitions: int | None = None) -> DataFrame:
+                   start: int = 0, num_partitions: int | None = None,
+                   rows_per_partition: int = 5_000_000) -> DataFrame:
     """Add ``index_name`` (position within group in ``order_by`` order, from
     ``start``) and, for each ``values`` entry, the inclusive running sum of
     that expression within the group. ``order_by`` should make the order total
-    (end it with a unique key)."""
+    (end it with a unique key). Without ``num_partitions`` the range
+    partition count is max(shuffle partitions, rows / rows_per_partition)."""
     values = dict(values or {})
     keys = list(group_by)
     prepared = df
@@ -108,7 +110,10 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
         prepared = prepared.withColumn(name, expr)
     vals = list(values)
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions is None:
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = max(base, -(-prepared.count() // rows_per_partition))
+    n = num_partitions
     srt = prepared.repartitionByRange(n, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
     srt = materialize(srt, "running")
 
