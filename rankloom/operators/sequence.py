@@ -40,6 +40,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_for(df: DataFrame, bytes_per_partition: int = 256 << 20) -> int:
+    """Range-partition count for an ordered pass: max(shuffle partitions,
+    estimated plan size / bytes_per_partition). Uses the optimizer's size
+    estimate, so sizing costs no job."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return base
+    return max(base, -(-size // bytes_per_partition))
+
+
 def _py(x):
     """numpy scalar -> Python value, NaN/NaT -> None (stable across batches)."""
     if x is None or (not isinstance(x, (str, bytes)) and pd.isna(x)):
@@ -97,23 +109,19 @@ def _local_running(pdf: pd.DataFrame, keys: list[str], vals: list[str], state: d
 def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
                    values: Mapping[str, Column] | None = None, index_name: str = "_idx",
                    start: int = 0, num_partitions: int | None = None,
-                   rows_per_partition: int = 5_000_000) -> DataFrame:
+                   bytes_per_partition: int = 256 << 20) -> DataFrame:
     """Add ``index_name`` (position within group in ``order_by`` order, from
     ``start``) and, for each ``values`` entry, the inclusive running sum of
     that expression within the group. ``order_by`` should make the order total
     (end it with a unique key). Without ``num_partitions`` the range
-    partition count is max(shuffle partitions, rows / rows_per_partition)."""
+    partition count comes from :func:`partitions_for`."""
     values = dict(values or {})
     keys = list(group_by)
     prepared = df
     for name, expr in values.items():
         prepared = prepared.withColumn(name, expr)
     vals = list(values)
-    spark = df.sparkSession
-    if num_partitions is None:
-        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        num_partitions = max(base, -(-prepared.count() // rows_per_partition))
-    n = num_partitions
+    n = num_partitions or partitions_for(prepared, bytes_per_partition)
     srt = prepared.repartitionByRange(n, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
     srt = materialize(srt, "running")
 

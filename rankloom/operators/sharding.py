@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.sequence import _py, materialize, running_totals
+from rankloom.operators.sequence import _py, materialize, partitions_for, running_totals
 
 # Fixed value: default shard budget (90 MiB, under a 100 MB file cap).
 DEFAULT_MAX_BYTES = 90 * 1024 * 1024
@@ -144,30 +144,24 @@ def _runs(pdf: pd.DataFrame, keys: list[str]):
     return [(tuple(_py(c[b[j]]) for c in kcols), b[j], b[j + 1]) for j in range(len(b) - 1)]
 
 
-def _partitions_for(df: DataFrame, rows_per_partition: int) -> int:
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = df.count()
-    return max(base, -(-n // rows_per_partition))
-
-
 # ------------------------------------------------------------- operators
 def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                   group_by: Sequence[str] = (), order_by: str = "pos",
                   size_col: str = "rec_bytes", num_partitions: int | None = None,
-                  rows_per_partition: int = 2_000_000, max_intervals: int = 4096) -> DataFrame:
+                  bytes_per_partition: int = 64 << 20, max_intervals: int = 4096) -> DataFrame:
     """SHARD2: exact greedy shard ids (0-based, per group) for every record.
 
     Only (group, order, size) columns are shuffled; join the result back by
-    (group, order) to attach payloads. Partitions are range partitions of at
-    most ~``rows_per_partition`` narrow rows. A partition whose step-function
+    (group, order) to attach payloads. Partitions are range partitions of
+    about ``bytes_per_partition`` of narrow rows (optimizer estimate). A
+    partition whose step-function
     summary would exceed ``max_intervals`` (paths that never merge, e.g.
     equal-size records) ships no summary; its outcome for the actual entry
     state is computed by a job on that partition, so driver data stays
     bounded. Output: group columns, ``order_by``, ``size_col``, ``shard_id``."""
     keys = list(group_by)
     narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
-    n = num_partitions or _partitions_for(narrow, rows_per_partition)
+    n = num_partitions or partitions_for(narrow, bytes_per_partition)
     srt = materialize(narrow.repartitionByRange(n, *keys, order_by)
                       .sortWithinPartitions(*keys, order_by), "greedy")
 
