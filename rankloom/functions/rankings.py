@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType
+from pyspark.sql.types import DataType
 
-from rankloom.session import cached_column
 from rankloom.functions.text import (WS, canonical_int, int_text, lazy_blocks,
                                      py_strip, py_strip_chars)
+from rankloom.session import cached_column
 
 RANKING_TYPE = "struct<ids:array<string>,numeric:boolean>"
 
