@@ -59,7 +59,10 @@ def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
     wrapped = F.col("data").isNotNull() | F.col("examples").isNotNull()
     items = F.when(wrapped, F.coalesce(F.col("data"), F.col("examples"))).otherwise(F.array(row))
     x = df.select(F.monotonically_increasing_id().alias("_doc"), F.posexplode(items).alias("_i", "r"))
-    return x.select((F.col("_doc") * F.lit(1 << 20) + F.col("_i")).alias("pos"), "r.*")
+    # A multi-line JSON file is one partition and monotonically_increasing_id
+    # leaves a 2**33 gap between partitions, so a wrapper's positions
+    # (_doc + i) stay ordered and unique; array elements are one row each.
+    return x.select((F.col("_doc") + F.col("_i")).alias("pos"), "r.*")
 
 
 def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
