@@ -60,7 +60,8 @@ def run_dimension(setup_dim: DataFrame, models: Mapping[str, str] = MODELS,
         val_dataset(train).alias("val_dataset"), token_budget(name).alias("max_new_tokens"),
         F.concat(F.lit(output_root.rstrip("/") + "/"), name).alias("output_dir"))
     if model_paths is not None:
-        out = out.join(F.broadcast(model_paths.select("repo_id", F.col("path").alias("model_path"))),
+        # user-supplied table: no broadcast hint (size not proven); AQE decides
+        out = out.join(model_paths.select("repo_id", F.col("path").alias("model_path")),
                        "repo_id", "left")
         out = out.withColumn("model_path", F.when(F.col("model_path").isNull(), F.raise_error(
             F.concat(F.lit("No local path found for "), F.col("repo_id")))).otherwise(F.col("model_path")))
