@@ -103,3 +103,16 @@ def test_greedy_without_summaries_matches_model(spark):
     for g in ("a", "b"):
         recs = [r for r in rows if r[0] == g]
         assert [got[(g, r[1])] for r in recs] == pymodel.greedy([r[2] for r in recs], 52)
+
+
+def test_bounded_shards_without_groups(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(2, 120)) for i in range(700)]
+    df = spark.createDataFrame(rows, "pos long, rec_bytes long")
+    b = sharding.bounded_shards(df, 500)
+    rep = sharding.shard_report(b).collect()[0]
+    assert rep.n_records == 700 and rep.max_shard_bytes <= 500
+    ids = [r.shard_id for r in b.orderBy("pos").collect()]
+    assert ids == sorted(ids) and set(ids) == set(range(max(ids) + 1))
+    g = sharding.greedy_shards(df, 500, num_partitions=5)
+    assert [r.shard_id for r in g.orderBy("pos").collect()] == pymodel.greedy([r[1] for r in rows], 500)
