@@ -191,3 +191,14 @@ def test_raw_jsonl_compare_runs_and_status(spark, tmpdir_path):
     writers.write_manifest(m, f"{tmpdir_path}/manifest")
     back = spark.read.json(f"{tmpdir_path}/manifest").collect()[0]
     assert back.name == "x_train" and back.columns.messages == "conversations"
+
+
+def test_reshard_rejects_non_array_and_data_wrapper(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/obj.json", json.dumps({"system": "s", "conversations": []}))
+    with pytest.raises(Exception):
+        readers.read_json_array(spark, f"{tmpdir_path}/obj.json", writers.SHAREGPT_SCHEMA).collect()
+    with pytest.raises(ValueError):
+        writers.reshard(spark, f"{tmpdir_path}/obj.json", f"{tmpdir_path}/obj.json")
+    ex = [{"qid": "d1", "prompt": "p", "thinking": "t", "answer": "a"}]
+    _write(f"{tmpdir_path}/data.json", json.dumps({"data": ex, "examples": [{"qid": "e1"}]}))
+    assert [r.qid for r in readers.read_raw_examples(spark, f"{tmpdir_path}/data.json").collect()] == ["d1"]
