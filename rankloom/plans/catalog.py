@@ -440,7 +440,8 @@ def _stage(df: DataFrame, path: str, chunks_by: str | None = None, n_chunks: int
 def stream_progress(spark, sf_dir):
     """STR1: run progress maintained by a streaming aggregation over log files."""
     work = scratch_dir(spark, "q-stream-progress")
-    src = _stage(fx.trainer_log(spark, sf_dir), f"{work}/log")
+    # four arrival files -> two micro-batches, whatever the shuffle partitions
+    src = _stage(fx.trainer_log(spark, sf_dir).repartition(4), f"{work}/log")
     runs_dim = fx.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
     return live.stream_progress(spark, src, runs_dim, log_schema=fx.TRAINER_LOG_SCHEMA,
