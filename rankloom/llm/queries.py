@@ -3,10 +3,14 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from rankloom.llm import packing, pii, quality, token_files, urls
+from rankloom.llm import jaccard, packing, pii, quality, suffix_dedup, token_files, urls
 from rankloom.llm.common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_cascade(spark, sf_dir):
     return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
 
@@ -15,6 +19,10 @@ def op4_url_cascade(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.digest(token_files.round_trip(spark, table(spark, sf_dir, "documents")))
 
@@ -27,7 +35,7 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_cascade, op4_url_cascade, op6_token_files, op7_best_fit_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_cascade, op4_url_cascade, op5_jaccard_join, op6_token_files, op7_best_fit_packing, op10_pii)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLES = {
