@@ -3,7 +3,7 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from rankloom.llm import byte_bpe, jaccard, packing, pii, quality, suffix_dedup, token_files, urls
+from rankloom.llm import byte_bpe, jaccard, lz, packing, pii, quality, suffix_dedup, token_files, urls
 from rankloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_quality_cascade(spark, sf_dir):
     return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
 
 
+def op3_lz_fingerprint(spark, sf_dir):
+    return lz.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_url_cascade(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_cascade, op4_url_cascade, op5_jaccard_join, op6_token_files, op7_best_fit_packing, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_cascade, op3_lz_fingerprint, op4_url_cascade, op5_jaccard_join, op6_token_files, op7_best_fit_packing, op9_byte_bpe, op10_pii)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLES = {
