@@ -168,6 +168,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     spark = configure(docs.sparkSession)
     found = join(spark, id_text(docs)).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
     found = stored(found.filter("id = component").select("id", "n"), "first")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    once = docs.join(found.filter("n = 1"), own == F.col("id"), "left_semi")
-    return once.unionByName(docs.join(found.filter("n > 1"), own == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    once, more = found.filter("n = 1"), found.filter("n > 1")
+    return docs.join(once, own == once["id"], "left_semi").unionByName(
+        docs.join(more, own == more["id"], "left_semi").dropDuplicates(["doc_id"]))

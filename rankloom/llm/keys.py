@@ -88,8 +88,8 @@ def shared(handed: DataFrame) -> DataFrame:
 
 
 def by_shard(docs: DataFrame, shards: int) -> DataFrame:
-    """(id, text) rows with the shard that they belong to."""
-    return docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "text")
+    """Rows of (id, text) and what else there is, with the shard that they belong to."""
+    return docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), *docs.columns)
 
 
 def members(ids: DataFrame, shards: int) -> DataFrame:

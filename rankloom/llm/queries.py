@@ -3,7 +3,7 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from rankloom.llm import byte_bpe, jaccard, lz, packing, pii, quality, suffix_dedup, token_files, urls
+from rankloom.llm import byte_bpe, jaccard, lz, maxent, packing, pii, quality, suffix_dedup, token_files, urls
 from rankloom.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_maxent(spark, sf_dir):
+    return maxent.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_cascade, op3_lz_fingerprint, op4_url_cascade, op5_jaccard_join, op6_token_files, op7_best_fit_packing, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_cascade, op3_lz_fingerprint, op4_url_cascade, op5_jaccard_join, op6_token_files, op7_best_fit_packing, op8_maxent, op9_byte_bpe, op10_pii)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLES = {

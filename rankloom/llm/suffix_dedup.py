@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm import keys as kx
 from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, mix, out_id, pieces, raw, run_starts, stored, text_bytes
@@ -262,12 +263,17 @@ def _covered(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES) -> DataFrame:
-    """id, text, copy (a smaller id has the whole text), and the start and end
-    bytes of what goes, as arrays."""
+    """The columns of docs (id, text, and at most a struct ``row``), copy (a
+    smaller id has the whole text), and the start and end bytes of what goes, as
+    arrays."""
     shards = pieces(text_bytes(docs), shard_bytes)
     named, classes = kx.first_copies(docs)
     reps = stored(classes, "classes").select(F.col("rep").alias("id"))
 
+    columns, schema = docs.columns, docs.schema
+    for name, kind in (("copy", T.BooleanType()), ("begins", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType()))):
+        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
+
     def standing(left, right):
         left = kx.standing(left, right)
         return (left, *raw(left.column("text").combine_chunks()))
@@ -329,8 +335,8 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
             begins.append(np.flatnonzero(step == 1))
             ends.append(np.flatnonzero(step == -1))
         kind = pa.list_(pa.int64())
-        return pa.table([every.column("id"), every.column("text"), pa.array(copy, pa.bool_()), pa.array(begins, kind), pa.array(ends, kind)],
-                        names=["id", "text", "copy", "begins", "ends"])
+        return pa.table([*(every.column(c) for c in columns), pa.array(copy, pa.bool_()), pa.array(begins, kind), pa.array(ends, kind)],
+                        names=[*columns, "copy", "begins", "ends"])
 
     left = kx.by_shard(docs, shards)
     mem = kx.members(reps, shards)
@@ -338,8 +344,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
     right = mem.unionByName(known)
     sent = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(send, _RUNS)
     answers = stored(sent.groupBy("bucket").applyInArrow(_settle_bucket, kx.ROWS), "answers")
-    return left.groupBy("shard").cogroup(right.unionByName(answers).groupBy("shard")).applyInArrow(
-        finish, "id long, text string, copy boolean, begins array<long>, ends array<long>")
+    return left.groupBy("shard").cogroup(right.unionByName(answers).groupBy("shard")).applyInArrow(finish, schema)
 
 
 def cut(text: bytes, begins, ends) -> bytes:
@@ -371,3 +376,34 @@ def digest(docs: DataFrame) -> DataFrame:
 
     out = removed_runs(spark, id_text(docs)).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(out_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def remove(docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES) -> DataFrame:
+    """The same rows and columns with what goes cut from the texts (a character
+    that a cut splits goes too) and n_chars, where there is one, counted anew for
+    changed texts. A text may become empty; its row stays."""
+    spark = configure(docs.sparkSession)
+    rest = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text"), docs["text"].isNull().alias("_null_text"))
+    named = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"),
+                         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), rest.alias("row"))
+    found = removed_runs(spark, named, shard_bytes)
+
+    def run(batches):
+        for b in batches:
+            texts = [cut(t, begins, ends).decode("utf-8", "ignore") for t, begins, ends in _rows(b)]
+            changed = [bool(c or e) for c, e in zip(b.column("copy").to_pylist(), b.column("ends").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())],
+                                             names=["row", "text", "changed"])
+
+    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    out = found.mapInArrow(run, schema)
+
+    def column(c):
+        if c == "text":
+            return F.when(~out["row"]["_null_text"], out["text"]).alias(c)
+        own = out["row"][c]
+        if c == "n_chars":
+            return F.when(out["changed"], F.length(out["text"]).cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
+
+    return out.select(*map(column, docs.columns))
