@@ -47,13 +47,19 @@ ARRAY_BYTES = 1 << 20
 
 
 def part_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the PART = 16 + 8 + 2 bytes from each position."""
-    h = {1: mix((data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))}
-    for m in (1, 2, 4, 8):
-        x = h[m]
-        h[2 * m] = x[:-m] * np.uint64(pow(_BASE, m, 1 << 64)) + x[m:]
+    """A 64-bit hash of the PART bytes from each position, by doubling."""
+    x = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[data]
     n = len(data) - PART + 1
-    return mix((h[16][:n] * np.uint64(pow(_BASE, 8, 1 << 64)) + h[8][16:16 + n]) * np.uint64(pow(_BASE, 2, 1 << 64)) + h[2][24:24 + n])
+    out, have, m = None, 0, 1
+    while True:
+        if PART & m:
+            own = x[PART - have - m:PART - have - m + n]
+            out = own.copy() if out is None else out + own * np.uint64(pow(_BASE, have, 1 << 64))
+            have += m
+        if have == PART:
+            return mix(out)
+        x = x[:-m] * np.uint64(pow(_BASE, m, 1 << 64)) + x[m:]
+        m *= 2
 
 
 def runs(data: np.ndarray, off: np.ndarray):
@@ -66,9 +72,11 @@ def runs(data: np.ndarray, off: np.ndarray):
         h = part_hashes(data[lo:hi + LENGTH - 1])
         low = np.uint64((1 << 21) - 1)
         x = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        for m in (1, 2, 4, 8):
+        m = 1
+        while 2 * m <= SPAN:
             x = np.minimum(x[:-m], x[m:])
-        x = np.minimum(x[:hi - lo], x[SPAN - 16:SPAN - 16 + hi - lo])
+            m *= 2
+        x = np.minimum(x[:hi - lo], x[SPAN - m:SPAN - m + hi - lo])
         at = (x & low).astype(np.int64)
         new = np.concatenate(([True], at[1:] != at[:-1]))
         edge = np.concatenate((off[:-1], to)) - lo
@@ -78,7 +86,7 @@ def runs(data: np.ndarray, off: np.ndarray):
         text = np.searchsorted(off, first + lo, "right") - 1
         ok = first + lo < to[text]
         first, last, text = first[ok], last[ok], text[ok]
-        out.append((h[at[first]], first + lo, last + lo, text))
+        out.append((mix(h[at[first]]), first + lo, last + lo, text))  # mixed: smallest hashes are small
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
 
 
@@ -103,8 +111,9 @@ def filed(data, off, known, counts, buckets):
     begin = np.zeros(len(ids), np.int64)
     begin[which[::-1]] = np.arange(len(which))[::-1]  # the first run of each
     strings = list(ids)
-    crc = np.array([zlib.crc32(s) for s in strings], np.uint64) * np.uint64((1 << kx.BITS) >> 32)
-    key = np.where(alone[begin], crc, k[begin])
+    key = k[begin]
+    for i in np.flatnonzero(alone[begin]).tolist():
+        key[i] = np.uint64(zlib.crc32(strings[i]) << kx.BITS - 32)
     bucket = (np.searchsorted(np.array([(b << kx.BITS) // buckets for b in range(buckets)], np.uint64), key, "right") - 1)
     return first, last, text, which, strings, text[begin], bucket
 
@@ -116,7 +125,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = (key << np.uint64(9)) | pad[i:n + i]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate(([True], key[sa][1:] != key[sa][:-1]))
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -131,14 +140,14 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             return sa
         own = sa[slots]
         key = rank[own] * (n + 2) + rank[np.minimum(own + h, n)] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sa[slots] = own[order]
         key = key[order]
         new[slots[1:]] |= key[1:] != key[:-1]
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = LENGTH, lanes: int = 1 << 14) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in ``sa``, up to
     ``most``. Kasai's walk in text order, over lanes of the text side by side: a
     lane's next suffix shares one byte less than its last one at least."""
@@ -181,7 +190,7 @@ def sorted_strings(data: np.ndarray, starts: np.ndarray, ids: np.ndarray):
     np.minimum.at(least, which, ids)
     begin = np.empty(len(used), np.int64)
     begin[which] = starts
-    text = data[begin[:, None] + np.arange(LENGTH)]
+    text = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin]
     return np.ascontiguousarray(text).view(f"V{LENGTH}").ravel(), least, which
 
 
@@ -201,25 +210,37 @@ def merged(a, b):
     return np.insert(a[0], at[~same], b[0][~same]), np.insert(least, at[~same], b[1][~same])
 
 
-def settle(lengths: np.ndarray, data: np.ndarray, ids: np.ndarray, limit: int = ARRAY_BYTES):
+def settle(lengths: np.ndarray, data: bytes, ids: np.ndarray, limit: int = ARRAY_BYTES):
     """For runs of strings (bytes one after another, their lengths, smallest ids):
-    the smallest id of each of their 50-byte strings, run after run."""
+    the smallest id of each of their 50-byte strings, run after run. Equal runs
+    enter an array once."""
     ends = np.cumsum(lengths)
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], np.int64)
+    least = np.full(len(number), NO_ID, np.int64)
+    np.minimum.at(least, of, ids)
+    ids, own = least, list(number)
+    size = np.array([len(x) for x in own], np.int64)
+    ends = np.cumsum(size)
+    whole = np.frombuffer(b"".join(own), np.uint8)
+    del number, own
     lists, whiches = [], []
     i = 0
-    while i < len(lengths):
+    while i < len(size):
         base = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, base + limit, "right")))
-        n = lengths[i:j] - LENGTH + 1
-        starts = joined_ranges(ends[i:j] - lengths[i:j] - base, n)
-        strings, least, which = sorted_strings(data[base:ends[j - 1]], starts, np.repeat(ids[i:j], n))
+        n = size[i:j] - LENGTH + 1
+        starts = joined_ranges(ends[i:j] - size[i:j] - base, n)
+        strings, least, which = sorted_strings(whole[base:ends[j - 1]], starts, np.repeat(ids[i:j], n))
         lists.append((strings, least))
         whiches.append((strings, which))
         i = j
     while len(lists) > 1:
         lists = [merged(*lists[k:k + 2]) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
     strings, least = lists[0]
-    return np.concatenate([least[np.searchsorted(_as_s(strings), _as_s(own))][which] for own, which in whiches])
+    each = np.concatenate([least[np.searchsorted(_as_s(strings), _as_s(mine))][which] for mine, which in whiches])
+    to = np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+    return each[joined_ranges(to[of], size[of] - LENGTH + 1)]
 
 
 _RUNS = "bucket long, shard long, lengths binary, data binary, ids binary"
@@ -232,7 +253,7 @@ def _settle_bucket(t: pa.Table) -> pa.Table:
     t = t.sort_by("shard")
     lengths = [np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("lengths").to_pylist()]
     ids = [np.frombuffer(x, "<i8") for x in t.column("ids").to_pylist()]
-    data = np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint8)
+    data = b"".join(t.column("data").to_pylist())
     least = settle(np.concatenate(lengths), data, np.concatenate(ids))
     out, at = [], 0
     for shard, n, own in zip(t.column("shard").to_pylist(), lengths, ids):
