@@ -11,7 +11,7 @@ l of the two. What passes is verified on the whole sets.
 
 Components need fewer links than there are pairs, so groups of near copies are
 first linked through leaders: each shingle's postings meet one of their
-documents, for as long as that merges components. Then every pair of different
+documents, in a few rounds. Then every pair of different
 components that shares enough prefix shingles is verified, so no link between
 components is missed and copies are never expanded into all their pairs.
 
@@ -36,7 +36,13 @@ from rankloom.llm.shingles import sets
 #: Similarity as a fraction: 4/5.
 UP, DOWN = 4, 5
 MOST_SHARED = 6
-_DOC = "id long, n long, tokens array<long>, prefix int, asked int"
+#: Rounds in which documents meet leaders only.
+LED = 2
+#: Words of the parity bitmaps: a bit says whether an odd number of a set's
+#: shingles fall on it, so two sets differ in as many shingles as bits at least.
+BITMAP = 8
+_BITS = [f"b{k}" for k in range(BITMAP)]
+_DOC = "id long, n long, tokens array<long>, prefix int, asked int, " + ", ".join(f"{b} long" for b in _BITS)
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -60,6 +66,11 @@ def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def document_sets(docs: DataFrame, reps: DataFrame, shards: int) -> DataFrame:
     """A row for each standing document: n, and (where enough of its shingles
     occur elsewhere for any link) those shingles, rarest first, with the prefix
@@ -78,20 +89,21 @@ def document_sets(docs: DataFrame, reps: DataFrame, shards: int) -> DataFrame:
         known, counts = kx.returned(right)
         rows = []
         for d, s in zip(*own_sets(left, right)):
-            n, row = len(s), (None, None, None)
+            n, row = len(s), (None,) * (3 + BITMAP)
             if n and len(known):
                 k = kx.short(s)
                 at = np.minimum(np.searchsorted(known, k), len(known) - 1)
                 hit = known[at] == k
                 if hit.sum() >= needed(np.int64(n)):
+                    bits = bitmap(s).tolist()
                     s, df = s[hit], counts[at[hit]].astype(np.int64)
                     order = np.lexsort((s, df))
                     asked, length = prefix(df[order], n)
-                    row = (s[order].view(np.int64), length, asked)
+                    row = (s[order].view(np.int64), length, asked, *bits)
             rows.append((d, n, *row))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), *[pa.int64()] * BITMAP]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                        names=["id", "n", "tokens", "prefix", "asked"])
+                        names=["id", "n", "tokens", "prefix", "asked", *_BITS])
 
     left = kx.by_shard(docs, shards)
     mem = kx.members(reps, shards)
@@ -107,7 +119,27 @@ def links_among(pairs: DataFrame, own: DataFrame) -> DataFrame:
     b = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     return (pairs.join(a, "a").join(b, "b")
-            .filter((UP + DOWN) * both >= UP * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+            .filter(enough(F.col("n_a"), F.col("n_b"), both)).select("a", "b"))
+
+
+def enough(n_a, n_b, most):
+    """Whether sets of these sizes that share at most ``most`` can be similar enough."""
+    return (UP + DOWN) * most >= UP * (n_a + n_b)
+
+
+def with_components(post: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return post.withColumn("c", F.col("id"))
+    return post.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
+def with_links(links, found, pairs: DataFrame, own: DataFrame):
+    """Links so far and their components, with the verified pairs added."""
+    new = stored(links_among(pairs, own), "links")
+    if not new.count():
+        return links, found
+    links = new if links is None else links.unionByName(new)
+    return links, stored(components(links), "components")
 
 
 def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES) -> DataFrame:
@@ -117,38 +149,32 @@ def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES
     classes = stored(classes, "classes")
     info = stored(document_sets(docs, classes.select(F.col("rep").alias("id")), shards), "sets")
     own = info.filter("tokens IS NOT NULL")
-    post = stored(own.select("id", "n", "asked", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token"),
-                             (F.col("n") - F.size("tokens")).alias("single"))
-                  .select("token", "id", "n", "asked", (F.col("at") + F.col("single")).alias("at")), "postings")
-    links, found, rounds = None, None, 0
-    while True:
-        # shingles whose documents are in different components, and a leader of each
-        now = post.withColumn("c", F.col("id")) if found is None else \
-            post.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        turn = F.xxhash64("id", F.lit(rounds)) if rounds else F.col("id")
-        led = now.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "id", "c")).alias("l"), F.min("c").alias("c0"), F.max("c").alias("c1")) \
-            .filter("c0 != c1").select("token", F.col("l.id").alias("leader"), F.col("l.c").alias("lc"))
-        met = now.join(led, "token").filter("c != lc") \
-            .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        new = stored(links_among(met, own), "links")
-        n = new.count()
-        if n:
-            links = new if links is None else links.unionByName(new)
-            found = stored(components(links), "components")
-        rounds += 1
-        if not n:
-            break
-    a = now.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("asked").alias("k_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
-    b = now.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("asked").alias("k_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"))
-    size = (DOWN * F.least("n_a", "n_b") >= UP * F.greatest("n_a", "n_b"))
-    most = 1 + F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    room = (UP + DOWN) * most >= UP * (F.col("n_a") + F.col("n_b"))
-    shared = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & size & room) \
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k_a", "k_b")).alias("asked"))
-    more = stored(links_among(shared.filter("shared >= asked").select("a", "b"), own), "links")
-    if more.count():
-        links = more if links is None else links.unionByName(more)
-        found = stored(components(links), "components")
+    # at: the place among the shared shingles, of which there are m
+    post = stored(own.select("id", "n", "asked", F.size("tokens").alias("m"),
+                             F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")), "postings")
+    links, found = None, None
+    for turn in range(LED):
+        # shingles whose documents are in different components, each with a leader:
+        # first the document with the fewest shingles of its own, then any
+        now = with_components(post, found)
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("n") - F.col("m")
+        led = now.groupBy("token").agg(F.min(F.struct(order.alias("order"), "id", "n", "m", "c")).alias("l"),
+                                       F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1") \
+            .select("token", *(F.col(f"l.{c}").alias(f"{c}_b") for c in ("id", "n", "m", "c")))
+        met = now.join(led, "token").filter((F.col("c") != F.col("c_b")) & enough(F.col("n"), F.col("n_b"), F.least("m", "m_b")))
+        links, found = with_links(links, found, met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), own)
+    now = with_components(post, found)
+    open_ = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("token")
+    now = now.join(open_, "token").join(own.select("id", *_BITS), "id")
+    a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m", "asked", "at", "c", *_BITS))) for s in "ab")
+    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _BITS[1:]),
+                 F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    near = (F.col("n_a") + F.col("n_b") - differ) / 2
+    shared = a.join(b, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b"))
+                                       & enough(F.col("n_a"), F.col("n_b"), most) & enough(F.col("n_a"), F.col("n_b"), near)) \
+        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("asked_a", "asked_b")).alias("asked"))
+    links, found = with_links(links, found, shared.filter("shared >= asked").select("a", "b"), own)
     answer = info.select(F.col("id").alias("rep"), "n")
     answer = answer.withColumn("component", F.col("rep")) if found is None else \
         answer.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
