@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import configure, id_text, kept_between_tasks, out_id, pieces, small_batches, text_bytes
+from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, out_id, pieces, small_batches, text_bytes
 
-CHUNK_BYTES = 8 << 20
-SMALL_MAPS = 4096
+CHUNK_BYTES = 4 << 20
+SMALL_MAPS = 1 << 15
 NONE = (1 << 31) - 1
 
 
@@ -42,19 +42,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def splitter(pattern: str | None = None):
-    """findall of the split pattern, white space by its Unicode property; texts
-    of ASCII alone take the standard library's faster matcher."""
+    """findall of the split pattern, white space by its Unicode property. Texts
+    of Latin letters and general punctuation alone take the standard library's
+    faster matcher, with those letters, numbers and blanks spelled out."""
     import re
+    import unicodedata
 
     import public_tokenizers
     import regex
     pattern = pattern or public_tokenizers.PATTERN
-    every = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-                          .replace(r"\s", r"\p{White_Space}")).findall
-    plain = re.compile(pattern.replace(r"\S", r"[^\t-\r\x20]").replace(r"[^\s", r"[^\t-\r\x20").replace(r"\s", r"[\t-\r\x20]")
-                       .replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+")
-                       .replace(" ?0-9+", " ?[0-9]+")).findall
-    return lambda text: plain(text) if text.isascii() else every(text)
+    latin = [chr(i) for i in range(0x250)]
+    kinds = {r"\p{L}": [c for c in latin if unicodedata.category(c)[0] == "L"], r"\p{N}": [c for c in latin if unicodedata.category(c)[0] == "N"],
+             r"\s": [c for c in latin if regex.match(r"\p{White_Space}", c)]}
+    plain = every = pattern.replace(r"\S", r"[^\s]")
+    every = every.replace(r"\s", r"\p{White_Space}")
+    for name, chars in kinds.items():
+        own = re.escape("".join(chars))
+        # inside brackets the characters alone, outside them a class
+        plain = re.sub(r"(\[[^\]]*\])|" + re.escape(name), lambda m: m[1].replace(name, own) if m[1] else f"[{own}]", plain)
+    every, plain = regex.compile(every).findall, re.compile(plain).findall
+    other = re.compile("[^\x00-\u024f\u2010-\u2027]").search
+    return lambda text: every(text) if other(text) else plain(text)
 
 
 def rank_maps(spark: SparkSession, ranks: dict[bytes, int], maps: int = SMALL_MAPS) -> Column:
@@ -149,16 +157,31 @@ def _swell(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
-def _words(texts: list[str], buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words of the texts by bucket, sorted."""
+def _by_bucket(words: list[bytes], buckets: int) -> dict[int, np.ndarray]:
+    """Places of the words in each bucket, in the order of the words."""
+    own = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+    order = np.argsort(own, kind="stable")
+    return {int(own[p[0]]): p for p in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(p)}
+
+
+def _numbered(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words by first use, all words as numbers of them, words of each text."""
+    find = kept_between_tasks("split", splitter)
+    number: dict[str, int] = {}
+    codes, n = [], []
+    for t in texts:
+        own = find(t)
+        codes.append(np.array([number.setdefault(w, len(number)) for w in own], np.uint32))
+        n.append(len(own))
+    return ([w.encode("utf-8", "surrogatepass") for w in number], np.concatenate(codes) if codes else np.zeros(0, np.uint32), np.array(n, np.int64))
+
+
+def _distinct_words(texts: list[str]) -> list[bytes]:
     find = kept_between_tasks("split", splitter)
-    found: set[str] = set()
+    found: dict[str, None] = {}
     for t in texts:
-        found.update(find(t))
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(x.encode("utf-8", "surrogatepass") for x in found):
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return out
+        found.update(dict.fromkeys(find(t)))
+    return [w.encode("utf-8", "surrogatepass") for w in found]
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -168,31 +191,45 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
     chunks = pack(docs, chunk_bytes)
 
     def ask(t: pa.Table) -> pa.Table:
-        own = _words(_open(t).column("text").to_pylist(), buckets)
+        words = _distinct_words(_open(t).column("text").to_pylist())
+        own = _by_bucket(words, buckets)
         return pa.table([pa.array(list(own), pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(own), pa.int64()),
-                         pa.array([_squeeze(_join(w)) for w in own.values()], pa.binary())], names=["bucket", "chunk", "words"])
+                         pa.array([_squeeze(_join([words[i] for i in p])) for p in own.values()], pa.binary())],
+                        names=["bucket", "chunk", "words"])
 
     def distinct(t: pa.Table) -> pa.Table:
-        every = sorted({w for x in t.column("words").to_pylist() for w in _split(_swell(x))})
-        return pa.table([pa.array([t.column("bucket")[0].as_py()] * len(every), pa.int64()), pa.array(every, pa.binary())],
+        every: set[bytes] = set()
+        for x in t.column("words"):
+            every.update(_split(_swell(x.as_py())))
+        return pa.table([pa.array([t.column("bucket")[0].as_py()] * len(every), pa.int64()), pa.array(list(every), pa.binary())],
                         names=["bucket", "word"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = [np.array(x, "<u4").tobytes() for x in right.column("ids").to_pylist()]
-        known = dict(zip(right.column("word").to_pylist(), ids))
-        data = [_squeeze(_join([known[w] for w in _split(_swell(x))])) for x in left.column("words").to_pylist()]
+        ids = right.column("ids").combine_chunks()
+        to = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.int64) * 4
+        flat = ids.flatten().to_numpy().astype("<u4").tobytes()
+        known = {w: flat[a:b] for w, a, b in zip(right.column("word").to_pylist(), to[:-1].tolist(), to[1:].tolist())}
+        data = [_squeeze(_join([known[w] for w in _split(_swell(x.as_py()))])) for x in left.column("words")]
         return pa.table([left.column("chunk"), left.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "bucket", "ids"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         t = _open(left)
-        texts = t.column("text").to_pylist()
-        own = _words(texts, buckets)
-        known = {}
+        words, codes, n = _numbered(t.column("text").to_pylist())
+        own = _by_bucket(words, buckets)
+        ids = [b""] * len(words)
         for b, x in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()):
-            known.update(zip((w.decode("utf-8", "surrogatepass") for w in own[b]), _split(_swell(x))))
-        find = kept_between_tasks("split", splitter)
-        return pa.table([t.column("id"), pa.array([b"".join([known[w] for w in find(x)]) for x in texts], pa.binary())],
-                        names=["id", "ids"])
+            for i, y in zip(own[b].tolist(), _split(_swell(x))):
+                ids[i] = y
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(size) - size
+        del words, ids
+        out, at = [], 0
+        for k in n.tolist():
+            mine = codes[at:at + k]
+            out.append(flat[joined_ranges(first[mine], size[mine])].tobytes())
+            at += k
+        return pa.table([t.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
 
     maps = rank_maps(spark, read_ranks(path))
     asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, words binary")
