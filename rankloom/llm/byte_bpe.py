@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, out_id, pieces, small_batches, text_bytes
 
-CHUNK_BYTES = 4 << 20
-SMALL_MAPS = 1 << 15
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+SMALL_MAPS = 4096
 NONE = (1 << 31) - 1
 
 
@@ -187,7 +187,7 @@ def _distinct_words(texts: list[str]) -> list[bytes]:
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, ids binary): little-endian 32-bit ids of every row of (id, text)."""
     path = path or vocabulary()
-    buckets = pieces(text_bytes(docs), chunk_bytes)
+    buckets = pieces(text_bytes(docs), BUCKET_BYTES)
     chunks = pack(docs, chunk_bytes)
 
     def ask(t: pa.Table) -> pa.Table:
