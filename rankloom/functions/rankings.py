@@ -88,7 +88,7 @@ _JWS = r"[ \t\n\r]*"
 _JSON_INT = r"-?(?:0|[1-9][0-9]*)"
 _JSON_COMMA = _JWS + "," + _JWS
 _SIMPLE_BLOCK = (r"^\{" + _JWS + r"\"ranked_tables\"" + _JWS + ":" + _JWS + r"\[" + _JWS
-                 + f"({_JSON_INT}(?:{_JSON_COMMA}{_JSON_INT})*)" + _JWS + r"\]" + _JWS + r"\}$")
+                 + f"({_JSON_INT}(?:{_JSON_COMMA}{_JSON_INT})*+)" + _JWS + r"\]" + _JWS + r"\}$")
 
 
 def _valid_lists_of(blocks: Column) -> Column:

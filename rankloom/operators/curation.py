@@ -101,7 +101,7 @@ def _row_flag_exprs() -> dict[str, Column]:
 # --------------------------------------------------------------- answer JSON
 _JWS = r"[ \t\n\r]*"
 _JINT = r"(?:0|-?[1-9][0-9]*)"
-_SIMPLE = (rf"^\{{{_JWS}\"ranked_tables\"{_JWS}:{_JWS}\[{_JWS}({_JINT}(?:{_JWS},{_JWS}{_JINT})*)"
+_SIMPLE = (rf"^\{{{_JWS}\"ranked_tables\"{_JWS}:{_JWS}\[{_JWS}({_JINT}(?:{_JWS},{_JWS}{_JINT})*+)"
            rf"{_JWS}\]{_JWS}\}}$")
 
 
