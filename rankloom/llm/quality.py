@@ -187,8 +187,8 @@ def cascade(batch: Batch, rules: list[Rule]) -> np.ndarray:
 def sample_plan(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
     """The plan from at most ``sample`` texts: timing needs no more, and it
     decides the order only."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).limit(sample).toArrow()
-    return plan(pa.concat_arrays([c for c in rows.column("text").chunks] or [pa.array([], pa.string())]).cast(pa.large_string()), rules)
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).take(sample)
+    return plan(pa.array([r["text"] for r in rows], pa.large_string()), rules)
 
 
 def judge(docs: DataFrame, rules=RULES, columns=BASE, sample: int = SAMPLE) -> DataFrame:
