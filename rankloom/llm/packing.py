@@ -4,9 +4,9 @@ Each text becomes token ids and the end id; only what is longer than a
 sequence is cut. The pieces (ids and lengths alone) are dealt over partitions;
 each packs its own best-fit decreasing and computes a lower bound on its
 sequences from dual-feasible functions. Where count and bound agree, the
-partition is certified and its sequences are final. The others hand in their
-emptiest sequences, those are dealt anew over fewer partitions and packed
-again, until all are certified or one partition has packed all that is left.
+partition is certified and its sequences are final but for the emptiest one. The
+others hand in more of their emptiest sequences. Those are dealt anew over fewer
+partitions and packed again, until one partition has packed all that is left.
 A partition keeps what it was given if packing again gives no fewer sequences.
 
 Nulls and empty texts are one end id; repeated rows are pieces of their own;
@@ -31,6 +31,8 @@ SEQUENCE, END_ID = 4096, 1
 #: Pieces that one partition packs; sequences handed in for each that the bound
 #: says may be too many (beside the emptiest one).
 PART_PIECES, HANDED_IN = 40_000, 8
+#: After so many exchanges every partition's sequences are final.
+ROUNDS = 40
 ITEM = "id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -121,8 +123,10 @@ def packer(size: int, handed_in: int, stamp: int, last: bool):
         gap = n - lower_bound(lengths, size)
         used = np.bincount(bins, lengths, n).astype(np.int64)
         done = np.ones(n, bool)
-        if gap > 0 and not last:
-            done[np.argsort(used, kind="stable")[:1 + gap * handed_in]] = False
+        if not last:
+            # a certified partition hands in its emptiest sequence only, unless that is full
+            emptiest = np.argsort(used, kind="stable")[:1 + max(0, gap) * handed_in]
+            done[emptiest[used[emptiest] < size]] = False
         order = np.argsort(bins, kind="stable")
         run = np.cumsum(lengths[order]) - lengths[order]
         first = np.concatenate(([0], np.cumsum(used)))[:-1]
@@ -146,7 +150,7 @@ def pack(spark: SparkSession, items: DataFrame, size: int = SEQUENCE, part_piece
     schema = ITEM + ", old long, sequence_id long, offset long, done boolean"
     while left:
         parts = pieces(left, part_pieces)
-        one = packer(size, handed_in, rounds, last=parts == 1)
+        one = packer(size, handed_in, rounds, last=parts == 1 or rounds == ROUNDS)
 
         # whole sequences move, so that what was packed together can stay
         deal = F.when(F.col("old") < 0, F.xxhash64("row", F.lit(rounds))).otherwise(F.xxhash64("old", F.lit(rounds)))
