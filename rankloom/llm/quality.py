@@ -198,7 +198,7 @@ def judge(docs: DataFrame, rules=RULES, columns=BASE, sample: int = SAMPLE) -> D
     order = [r for r, _, _ in sample_plan(docs, rules, sample)]
 
     def run(batches):
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 1 << 19):
             batch = Batch(b.column("text").cast(pa.large_string()))
             cols = [pa.array(batch[c], pa.int64()) for c in columns]
             kept = np.zeros(b.num_rows, bool)
@@ -214,7 +214,7 @@ def keep(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     order = [r for r, _, _ in sample_plan(docs, rules, sample)]
 
     def run(batches):
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 1 << 19):
             texts = b.column("text").cast(pa.large_string()).fill_null("")
             yield b.take(pa.array(cascade(Batch(texts), order)))
 
