@@ -54,6 +54,13 @@ def kept_between_tasks(name: str, make):
     return store[name]
 
 
+def forget(prefix: str) -> None:
+    """Let go of what this worker kept under names that begin so."""
+    store = sys.__dict__.get("_rankloom_kept", {})
+    for name in [n for n in store if n.startswith(prefix)]:
+        del store[name]
+
+
 def small_batches(batches, column: str, limit: int = 2 << 20):
     """Cut Arrow batches so that ``column`` has at most ``limit`` bytes in each
     part (a longer text is a part of its own)."""

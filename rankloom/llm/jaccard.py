@@ -38,6 +38,8 @@ UP, DOWN = 4, 5
 MOST_SHARED = 6
 #: Rounds in which documents meet leaders only.
 LED = 2
+#: UTF-8 bytes of text in a shard.
+SHARD_BYTES = 4 << 20
 #: Words of the parity bitmaps: a bit says whether an odd number of a set's
 #: shingles fall on it, so two sets differ in as many shingles as bits at least.
 BITMAP = 8
@@ -142,7 +144,7 @@ def with_links(links, found, pairs: DataFrame, own: DataFrame):
     return links, stored(components(links), "components")
 
 
-def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, n_shingles and component of every row of (id, text)."""
     shards = pieces(text_bytes(docs), shard_bytes)
     named, classes = kx.first_copies(docs)

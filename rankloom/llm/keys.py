@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import run_starts
+from rankloom.llm.common import forget, run_starts
 
 BITS = 44
 #: UTF-8 bytes of text in a shard.
@@ -110,6 +110,7 @@ def returned(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def standing(left: pa.Table, right: pa.Table) -> pa.Table:
     """The shard's documents that stand for their class, by id."""
+    forget("words:")  # a shard needs the memory
     ids = right.filter(pa.compute.equal(right.column("kind"), 0)).column("id")
     return left.filter(pa.compute.is_in(left.column("id"), ids.combine_chunks())).sort_by("id")
 
