@@ -39,7 +39,7 @@ from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, mix, o
 LENGTH, PART = 50, 26
 SPAN = LENGTH - PART + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 #: Documents that share a part beyond which its strings are filed one by one.
 COMMON = 10_000
 #: Bytes of runs that one suffix array takes.
