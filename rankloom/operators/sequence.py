@@ -15,6 +15,9 @@ group is spread over many range partitions instead:
 5. pass 2: each partition computes local running totals batch by batch
    (vectorised numpy over Arrow batches) and adds its carry to the rows of
    its first group.
+
+Both passes see typed Arrow columns: a nullable integer key stays an integer,
+integer sums stay integers, and payload columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,46 +46,49 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def partitions_for(df: DataFrame, bytes_per_partition: int = 256 << 20) -> int:
     """Range-partition count for an ordered pass: max(shuffle partitions,
-    estimated plan size / bytes_per_partition). Uses the optimizer's size
-    estimate, so sizing costs no job."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return base
-    return max(base, -(-size // bytes_per_partition))
-
-
-def _py(x):
-    """numpy scalar -> Python value, NaN/NaT -> None (stable across batches)."""
-    if x is None or (not isinstance(x, (str, bytes)) and pd.isna(x)):
-        return None
-    return x.item() if hasattr(x, "item") else x
-
-
-def _key_change(cols: list[np.ndarray], prev: tuple | None, n: int) -> np.ndarray:
-    """Row i starts a new group: its key differs from row i-1 (row 0 is
-    compared with ``prev``, the last key of the previous batch)."""
+    size / bytes_per_partition), costing no job. The size is the optimizer's
+    estimate, but no more than what the plan's sources hold, since the estimate
+    of a join is the product of its sides. Sources of unknown size do not count."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = min(sum(x for x in sizes if x < 1 << 60), int(str(plan.stats().sizeInBytes())))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_per_partition))
+
+
+def key_changes(cols: Sequence[pa.Array], n: int) -> np.ndarray:
+    """Row i starts a new group: its key differs from row i-1 (nulls are equal
+    to each other). Row 0 always starts one."""
     change = np.zeros(n, dtype=bool)
     for c in cols:
-        s = pd.Series(c)
-        shifted = s.shift(1)
-        change |= (~((s == shifted) | (s.isna() & shifted.isna()))).to_numpy()
-    if n:
-        change[0] = prev is None or tuple(_py(c[0]) for c in cols) != prev
+        a, b = c.slice(1), c.slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        change[1:] |= ~same.to_numpy(zero_copy_only=False)
+    change[:1] = True
     return change
 
 
-def _local_running(pdf: pd.DataFrame, keys: list[str], vals: list[str], state: dict):
+def key_at(cols: Sequence[pa.Array], i: int) -> tuple:
+    """The group key of row i as Python values (typed; null is None)."""
+    return tuple(c[i].as_py() for c in cols)
+
+
+def key_fields(schema: T.StructType, keys: Sequence[str], prefix: str) -> list[T.StructField]:
+    """Summary fields that carry a group key in its own types."""
+    return [T.StructField(f"{prefix}{j}", schema[k].dataType) for j, k in enumerate(keys)]
+
+
+def _local_running(batch: pa.RecordBatch, keys: list[str], vals: list[str], state: dict):
     """Running index and sums within one sorted partition, continuing
     ``state`` across Arrow batches (vectorised; O(batch)).
 
     Returns (index, {val: inclusive running sum}, in_first) where
     ``in_first`` marks rows of the partition's first group."""
-    n = len(pdf)
-    cols = [pdf[k].to_numpy() for k in keys]
+    n = batch.num_rows
+    cols = [batch.column(k) for k in keys]
     first_batch = "key" not in state
-    change = _key_change(cols, state.get("key"), n)
+    change = key_changes(cols, n)
+    change[0] = first_batch or key_at(cols, 0) != state["key"]
     pos = np.arange(n)
     seg = np.cumsum(change)
     last_start = np.maximum.accumulate(np.where(change, pos, -1))
@@ -90,19 +97,17 @@ def _local_running(pdf: pd.DataFrame, keys: list[str], vals: list[str], state: d
     index = np.where(cont, state.get("idx", 0) + pos, pos - last_start)
     sums = {}
     for v in vals:
-        col = pdf[v]
-        x = col.fillna(0).to_numpy(dtype=np.float64 if col.dtype.kind == "f" else np.int64)
+        x = pc.fill_null(batch.column(v), 0).to_numpy(zero_copy_only=False)
         cs = np.cumsum(x)
         excl = cs - x
         sums[v] = np.where(cont, state.get(v, 0) + cs, cs - excl[safe_start])
-    first_seg = 1 if first_batch else 0
     first_open = state.get("first_open", True)
-    in_first = (seg == first_seg) & first_open
-    state["first_open"] = bool(first_open and seg[-1] == first_seg)
-    state["key"] = tuple(_py(c[-1]) for c in cols)
+    in_first = (seg == (1 if first_batch else 0)) & first_open
+    state["first_open"] = bool(in_first[-1])
+    state["key"] = key_at(cols, n - 1)
     state["idx"] = int(index[-1]) + 1
     for v in vals:
-        state[v] = sums[v][-1]
+        state[v] = sums[v][-1].item()
     return index, sums, in_first
 
 
@@ -112,94 +117,83 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
                    bytes_per_partition: int = 256 << 20) -> DataFrame:
     """Add ``index_name`` (position within group in ``order_by`` order, from
     ``start``) and, for each ``values`` entry, the inclusive running sum of
-    that expression within the group. ``order_by`` should make the order total
-    (end it with a unique key). Without ``num_partitions`` the range
-    partition count comes from :func:`partitions_for`."""
+    that expression within the group (``run_<name>``: long for integer
+    expressions, double for the others; null counts as 0). ``order_by`` should
+    make the order total (end it with a unique key). Null keys form a group of
+    their own. Without ``num_partitions`` the range partition count comes from
+    :func:`partitions_for`."""
     values = dict(values or {})
     keys = list(group_by)
-    prepared = df
-    for name, expr in values.items():
-        prepared = prepared.withColumn(name, expr)
     vals = list(values)
+    prepared = df.withColumns(values) if values else df
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    kind = {v: T.LongType() if isinstance(prepared.schema[v].dataType, whole) else T.DoubleType() for v in vals}
+    if vals:
+        prepared = prepared.withColumns({v: F.col(v).cast(kind[v]) for v in vals})
     n = num_partitions or partitions_for(prepared, bytes_per_partition)
     srt = prepared.repartitionByRange(n, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
     srt = materialize(srt, "running")
 
     # ---- pass 1: first/last group summary per partition -------------------
-    sum_fields = [T.StructField(f"s_{v}", T.DoubleType()) for v in vals]
+    first, last = key_fields(srt.schema, keys, "first"), key_fields(srt.schema, keys, "last")
     summary_schema = T.StructType([
-        T.StructField("pid", T.IntegerType()),
-        T.StructField("first_key", T.StringType()),
-        T.StructField("last_key", T.StringType()),
-        T.StructField("single", T.BooleanType()),
-        T.StructField("n_last", T.LongType()),
-        *sum_fields,
-    ])
-
-    def summarize(it):
+        T.StructField("pid", T.IntegerType()), *first, *last,
+        T.StructField("single", T.BooleanType()), T.StructField("n_last", T.LongType()),
+        *[T.StructField(f"s_{v}", kind[v]) for v in vals]])
+
+    def summarize(batches):
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
         state: dict = {}
-        first_key = None
-        last = None
-        for pdf in it:
-            if not len(pdf):
+        heads: list[pa.Array] = []
+        tails: list[pa.Array] = []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            index, sums, _ = _local_running(pdf, keys, vals, state)
-            if first_key is None:
-                first_key = repr(tuple(_py(pdf[k].iloc[0]) for k in keys))
-            last = (repr(state["key"]), state["idx"], {v: state[v] for v in vals})
-        if last is None:
+            if not state:
+                heads = [b.column(k).slice(0, 1) for k in keys]
+            tails = [b.column(k).slice(b.num_rows - 1, 1) for k in keys]
+            _local_running(b, keys, vals, state)
+        if not state:
             return
-        row = {"pid": pid, "first_key": first_key, "last_key": last[0],
-               "single": state["first_open"], "n_last": last[1]}
-        for v in vals:
-            row[f"s_{v}"] = float(last[2][v])
-        yield pd.DataFrame([row])
+        rest = [pa.array([state["first_open"]]), pa.array([state["idx"]], pa.int64()),
+                *[pa.array([state[v]], pa.float64() if isinstance(kind[v], T.DoubleType) else pa.int64())
+                  for v in vals]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), *heads, *tails, *rest],
+            names=summary_schema.fieldNames())
 
     cols = list(dict.fromkeys([*keys, *vals, order_by[0]]))  # never zero columns
-    summaries = srt.select(*cols).mapInPandas(summarize, summary_schema).collect()
+    summaries = srt.select(*cols).mapInArrow(summarize, summary_schema).collect()
     summaries.sort(key=lambda r: r["pid"])
 
     # ---- driver: carry into each partition's first group -------------------
+    none = (0, {v: 0 for v in vals})
     carry: dict[int, tuple[int, dict]] = {}
-    prev_key, prev_idx, prev_sums = None, 0, {v: 0.0 for v in vals}
+    prev_key, prev = None, none
     for r in summaries:
-        if prev_key is not None and r["first_key"] == prev_key:
-            carry[r["pid"]] = (prev_idx, dict(prev_sums))
-        else:
-            carry[r["pid"]] = (0, {v: 0.0 for v in vals})
-        c_idx, c_sums = carry[r["pid"]]
-        if r["single"]:
-            prev_idx = c_idx + r["n_last"]
-            prev_sums = {v: c_sums[v] + r[f"s_{v}"] for v in vals}
-        else:
-            prev_idx = r["n_last"]
-            prev_sums = {v: r[f"s_{v}"] for v in vals}
-        prev_key = r["last_key"]
+        c_idx, c_sums = prev if prev_key == tuple(r[f.name] for f in first) else none
+        carry[r["pid"]] = (c_idx, c_sums)
+        own = (r["n_last"], {v: r[f"s_{v}"] for v in vals})
+        prev = (c_idx + own[0], {v: c_sums[v] + own[1][v] for v in vals}) if r["single"] else own
+        prev_key = tuple(r[f.name] for f in last)
 
     # ---- pass 2: local running totals + carry -------------------------------
-    out_schema = T.StructType(list(srt.schema.fields) + [T.StructField(index_name, T.LongType())]
-                              + [T.StructField(f"run_{v}", srt.schema[v].dataType) for v in vals])
-    int_vals = {v for v in vals if not isinstance(srt.schema[v].dataType, (T.DoubleType, T.FloatType))}
+    out_schema = T.StructType([*srt.schema.fields, T.StructField(index_name, T.LongType()),
+                               *[T.StructField(f"run_{v}", kind[v]) for v in vals]])
 
-    def apply(it):
+    def apply(batches):
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        c_idx, c_sums = carry.get(pid, (0, {v: 0.0 for v in vals}))
+        c_idx, c_sums = carry.get(TaskContext.get().partitionId(), none)
         state: dict = {}
-        for pdf in it:
-            if not len(pdf):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            index, sums, in_first = _local_running(pdf, keys, vals, state)
-            pdf = pdf.copy()
-            pdf[index_name] = index + np.where(in_first, c_idx, 0) + start
-            for v in vals:
-                run = sums[v] + np.where(in_first, c_sums[v], 0)
-                pdf[f"run_{v}"] = run.astype(np.int64) if v in int_vals else run
-            yield pdf
-
-    return srt.mapInPandas(apply, out_schema)
+            index, sums, in_first = _local_running(b, keys, vals, state)
+            added = [pa.array(index + np.where(in_first, c_idx, 0) + start, pa.int64())]
+            added += [pa.array(sums[v] + np.where(in_first, c_sums[v], 0)) for v in vals]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=out_schema.fieldNames())
+
+    return srt.mapInArrow(apply, out_schema)
 
 
 def row_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),

@@ -21,11 +21,13 @@ monotone, so it comes from one ``searchsorted`` over prefix sums, and all
 ``G(i)`` follow by pointer doubling (vectorised numpy, O(L log L)). A
 partition entered with an open shard of ``c`` bytes first flushes at the
 first record that overflows ``c`` and then behaves like ``G`` from there, so
-its effect is a step function of ``c``: one interval per distinct outcome
-(paths from different starts merge quickly in practice). Pass 1 ships those
-intervals (one row per partition); the driver folds them in partition order
-(O(#intervals)); pass 2 re-packs every partition from its now known entry
-state and numbers the shards.
+its effect is a step function of ``c`` with one step per distinct outcome.
+The step functions stay on the executors, as rows. They are composed in groups
+of four neighbours, level by level, up to the root; then each node hands its
+entry state down to its children. Both ways take log4(partitions) rounds
+whatever the data. A composed function has no more steps than its parts have
+records within one budget. The driver sees the first and last key and the
+entry state of each partition, nothing else.
 """
 
 from __future__ import annotations
@@ -34,15 +36,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.sequence import _py, materialize, partitions_for, running_totals
+from rankloom.operators.sequence import (
+    key_changes, key_fields, materialize, partitions_for, running_totals)
 
 # Fixed value: default shard budget (90 MiB, under a 100 MB file cap).
 DEFAULT_MAX_BYTES = 90 * 1024 * 1024
 _EMPTY = 2  # "[" + "]"
+_FAN = 4            # step functions composed by one task
+_ANY = 1 << 62      # above every open-shard size
+_STEP_SCHEMA = "node long, lo long, hi long, moves long, bytes long, shards long, anew long"
+_STEP = ["lo", "hi", "moves", "bytes", "shards", "anew"]
 
 
 # ------------------------------------------------------------- greedy core
@@ -84,35 +92,59 @@ def _first_flush(prefix: np.ndarray, c: int, max_bytes: int) -> int:
     return min(k, L)
 
 
-def _entry_intervals(prefix: np.ndarray, max_bytes: int, end_bytes: np.ndarray,
-                     cnt: np.ndarray) -> list[list[int]]:
-    """Outcome of a run entered with an open shard of c > 2 bytes, as a step
-    function of c: rows [lo, hi, end, started] meaning c in (lo, hi].
+def _steps_of(prefix: np.ndarray, max_bytes: int, end_bytes: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """Outcome of a run entered with an open shard of c bytes, as a step
+    function of c: rows (lo, hi, moves, bytes, shards, anew) for c in (lo, hi].
+    The new open size is ``bytes`` (``moves``: c + bytes), ``shards`` more are
+    started, and ``anew`` says that the count restarts with them (a new group).
 
     The first flush is before record i iff c in (max - prefix[i+1],
-    max - prefix[i]]; from there the run packs like a fresh start at i. The
-    no-flush interval has end = -1 (meaning c + run total, 0 started).
-    Consecutive intervals with the same outcome are merged."""
-    L = len(prefix) - 1
-    lo = max_bytes - prefix[1:]
-    hi = max_bytes - prefix[:-1]
-    live = np.flatnonzero(hi > _EMPTY)
-    out: list[list[int]] = []
-    big = np.iinfo(np.int64).max
-    for i in live:
-        h = big if i == 0 else int(hi[i])
-        lo_i = max(int(lo[i]), _EMPTY)
-        e, k = int(end_bytes[i]), int(cnt[i])
-        if out and out[-1][2] == e and out[-1][3] == k:
-            out[-1][0] = lo_i
-        else:
-            out.append([lo_i, h, e, k])
-    top = max_bytes - int(prefix[L])
-    if top > _EMPTY:
-        out.append([_EMPTY, big if L == 0 else top, -1, 0])
+    max - prefix[i]]; from there the run packs like a fresh start at i. If c
+    leaves room for the whole run, nothing is flushed. c <= 2 is a fresh start."""
+    edge = np.maximum(max_bytes - prefix, _EMPTY)
+    hi = np.concatenate([[_ANY], edge[1:-1]])
+    z = np.zeros(len(hi), dtype=np.int64)
+    rows = np.column_stack([edge[1:], hi, z, end_bytes, cnt, z])
+    stay = [[_EMPTY, edge[-1], 1, prefix[-1], 0, 0], [0, _EMPTY, 0, end_bytes[0], cnt[0], 0]]
+    return _merged(np.vstack([rows, np.array(stay, dtype=np.int64)]))
+
+
+def _merged(f: np.ndarray) -> np.ndarray:
+    """Steps by rising c, without empty ones, neighbours of equal outcome joined."""
+    f = f[f[:, 0] < f[:, 1]]
+    f = f[np.argsort(f[:, 0], kind="stable")]
+    first = np.ones(len(f), dtype=bool)
+    first[1:] = (f[1:, 2:] != f[:-1, 2:]).any(axis=1)
+    at = np.flatnonzero(first)
+    out = f[at]
+    out[:, 1] = f[np.append(at[1:], len(f)) - 1, 1]
     return out
 
 
+def _after(f: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(open bytes, shards started) after a run entered with (c, n)."""
+    h = f[np.searchsorted(f[:, 0], c, side="left") - 1]
+    return np.where(h[:, 2] == 1, c, 0) + h[:, 3], np.where(h[:, 5] == 1, 0, n) + h[:, 4]
+
+
+def _then(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The step function of a run f followed by a run g."""
+    fixed, moving = f[f[:, 2] == 0].copy(), f[f[:, 2] == 1]
+    h = g[np.searchsorted(g[:, 0], fixed[:, 3], side="left") - 1]
+    fixed[:, 3], fixed[:, 4] = _after(g, fixed[:, 3], fixed[:, 4])
+    fixed[:, 5] |= h[:, 5]
+    parts = [fixed]
+    for lo, hi, _, add, shards, anew in moving:      # c + add stays open: g's steps, moved down by add
+        m = g.copy()
+        m[:, 0] = np.maximum(g[:, 0] - add, lo)
+        m[:, 1] = np.minimum(g[:, 1] - add, hi)
+        m[:, 3] += np.where(g[:, 2] == 1, add, 0)
+        m[:, 4] += np.where(g[:, 5] == 1, 0, shards)
+        m[:, 5] |= anew
+        parts.append(m)
+    return _merged(np.vstack(parts))
+
+
 def _assign(prefix: np.ndarray, c: int, max_bytes: int) -> np.ndarray:
     """Shard-start flags for a run entered with an open shard of c bytes
     (c == 2: fresh). Walks the chain of starts: O(#shards) steps."""
@@ -128,135 +160,124 @@ def _assign(prefix: np.ndarray, c: int, max_bytes: int) -> np.ndarray:
     return starts
 
 
-def _runs(pdf: pd.DataFrame, keys: list[str]):
-    """Split a sorted partition into (key, start, end) runs of one group."""
-    n = len(pdf)
-    if not keys:
-        return [((), 0, n)]
-    kcols = [pdf[k].to_numpy() for k in keys]
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for c in kcols:
-        s = pd.Series(c)
-        sh = s.shift(1)
-        change[1:] |= (~((s == sh) | (s.isna() & sh.isna()))).to_numpy()[1:]
-    b = list(np.flatnonzero(change)) + [n]
-    return [(tuple(_py(c[b[j]]) for c in kcols), b[j], b[j + 1]) for j in range(len(b) - 1)]
+def _runs(t: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """Split a sorted partition into (start, end) runs of one group."""
+    at = np.flatnonzero(key_changes([t.column(k).combine_chunks() for k in keys], t.num_rows))
+    return list(zip(at.tolist(), [*at[1:].tolist(), t.num_rows]))
+
+
+def _children(steps: pd.DataFrame):
+    """(node, step function) of each child, in order."""
+    for node, part in steps.groupby("node", sort=True):
+        yield node, part[_STEP].to_numpy(dtype=np.int64)[np.argsort(part["lo"].to_numpy(), kind="stable")]
+
+
+def _entries(level0: DataFrame, nodes: int) -> dict[int, tuple[int, int]]:
+    """(open bytes, shards started) at the entry of every node of level 0."""
+    def up(key, steps):
+        fs = [f for _, f in _children(steps)]
+        whole = fs[0]
+        for f in fs[1:]:
+            whole = _then(whole, f)
+        out = pd.DataFrame(whole, columns=_STEP)
+        out.insert(0, "node", key[0])
+        return out
+
+    def down(key, entry, steps):
+        c, n = (entry[x].to_numpy(dtype=np.int64) for x in ("c", "n"))
+        rows = []
+        for node, f in _children(steps):
+            rows.append((node, int(c[0]), int(n[0])))
+            c, n = _after(f, c, n)
+        return pd.DataFrame(rows, columns=["node", "c", "n"])
+
+    parent = F.floor(F.col("node") / _FAN)
+    levels = [level0]
+    while nodes > _FAN:
+        levels.append(materialize(levels[-1].groupBy(parent.alias("node")).applyInPandas(up, _STEP_SCHEMA), "steps"))
+        nodes = -(-nodes // _FAN)
+    entry = level0.sparkSession.createDataFrame([(0, _EMPTY, 0)], "node long, c long, n long")
+    for steps in reversed(levels):
+        entry = entry.groupBy("node").cogroup(steps.groupBy(parent)).applyInPandas(down, "node long, c long, n long")
+    return {r["node"]: (r["c"], r["n"]) for r in entry.collect()}
 
 
 # ------------------------------------------------------------- operators
 def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                   group_by: Sequence[str] = (), order_by: str = "pos",
                   size_col: str = "rec_bytes", num_partitions: int | None = None,
-                  bytes_per_partition: int = 64 << 20, max_intervals: int = 4096) -> DataFrame:
+                  bytes_per_partition: int = 32 << 20) -> DataFrame:
     """SHARD2: exact greedy shard ids (0-based, per group) for every record.
 
     Only (group, order, size) columns are shuffled; join the result back by
     (group, order) to attach payloads. Partitions are range partitions of
-    about ``bytes_per_partition`` of narrow rows (optimizer estimate). A
-    partition whose step-function
-    summary would exceed ``max_intervals`` (paths that never merge, e.g.
-    equal-size records) ships no summary; its outcome for the actual entry
-    state is computed by a job on that partition, so driver data stays
-    bounded. Output: group columns, ``order_by``, ``size_col``, ``shard_id``."""
+    about ``bytes_per_partition`` of narrow rows (optimizer estimate). Null
+    group keys form a group of their own. Output: group columns, ``order_by``,
+    ``size_col``, ``shard_id``."""
     keys = list(group_by)
     narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
     n = num_partitions or partitions_for(narrow, bytes_per_partition)
     srt = materialize(narrow.repartitionByRange(n, *keys, order_by)
                       .sortWithinPartitions(*keys, order_by), "greedy")
+    first, last = key_fields(srt.schema, keys, "first"), key_fields(srt.schema, keys, "last")
+    edge_schema = T.StructType([T.StructField("pid", T.IntegerType()), *first, *last])
 
-    summary_schema = ("pid int, first_key string, last_key string, single boolean, "
-                      "total0 long, intervals array<array<long>>, truncated boolean, "
-                      "g0_end long, g0_cnt long, last_end long, last_cnt long")
-
-    def summarize(it):
+    def edges(batches):
         from pyspark import TaskContext
-        pdf = pd.concat(list(it), ignore_index=True)
-        if not len(pdf):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            ends = [held[0].column(k).slice(0, 1) for k in keys] + [
+                held[-1].column(k).slice(held[-1].num_rows - 1, 1) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *ends],
+                                             names=edge_schema.fieldNames())
+
+    # one row per partition: its number in order, and whether it opens a group
+    rows = sorted(srt.select(*(keys or [order_by])).mapInArrow(edges, edge_schema).collect(), key=lambda r: r["pid"])
+    order: dict[int, tuple[int, bool]] = {}
+    prev = None
+    for j, r in enumerate(rows):
+        order[r["pid"]] = (j, prev != tuple(r[f.name] for f in first))
+        prev = tuple(r[f.name] for f in last)
+
+    def steps(batches):
+        from pyspark import TaskContext
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        rs = _runs(pdf, keys)
-        sizes = pdf[size_col].to_numpy(dtype=np.int64)
-        k0, s0, e0 = rs[0]
-        pre0 = np.concatenate([[0], np.cumsum(sizes[s0:e0])])
-        end0, cnt0 = _fresh_outcomes(pre0, max_bytes)
-        kl, sl, el = rs[-1]
-        prel = np.concatenate([[0], np.cumsum(sizes[sl:el])])
-        endl, cntl = _fresh_outcomes(prel, max_bytes)
-        ivs = _entry_intervals(pre0, max_bytes, end0, cnt0)
-        truncated = len(ivs) > max_intervals
-        yield pd.DataFrame([{
-            "pid": TaskContext.get().partitionId(), "first_key": repr(k0), "last_key": repr(kl),
-            "single": len(rs) == 1, "total0": int(pre0[-1]),
-            "intervals": [] if truncated else ivs, "truncated": truncated,
-            "g0_end": int(end0[0]), "g0_cnt": int(cnt0[0]),
-            "last_end": int(endl[0]), "last_cnt": int(cntl[0])}])
-
-    rows = sorted(srt.mapInPandas(summarize, summary_schema).collect(), key=lambda r: r["pid"])
-
-    # driver fold: (open shard bytes, shards started so far) entering each partition
-    entry: dict[int, tuple[int, int]] = {}
-    prev_key, prev_end, prev_cnt = None, _EMPTY, 0
-    for r in rows:
-        if prev_key is not None and r["first_key"] == prev_key:
-            c, base = prev_end, prev_cnt
-        else:
-            c, base = _EMPTY, 0
-        entry[r["pid"]] = (c, base)
-        if c <= _EMPTY:
-            end, started = r["g0_end"], r["g0_cnt"]
-        elif r["truncated"]:
-            end, started = _outcome_at(srt, r["pid"], c, keys, size_col, max_bytes)
-        else:
-            hit = next(iv for iv in r["intervals"] if iv[0] < c <= iv[1])
-            end, started = (c + r["total0"], 0) if hit[2] == -1 else (hit[2], hit[3])
-        if r["single"]:
-            prev_end, prev_cnt = end, base + started
+        t = pa.Table.from_batches(held)
+        node, opens = order[TaskContext.get().partitionId()]
+        runs = _runs(t, keys)
+        s, e = runs[-1]
+        pre = np.concatenate([[0], np.cumsum(t.column(size_col).to_numpy()[s:e])])
+        end, cnt = _fresh_outcomes(pre, max_bytes)
+        if opens or len(runs) > 1:                   # whatever comes in, the last group starts here
+            f = np.array([[0, _ANY, 0, end[0], cnt[0], 1]], dtype=np.int64)
         else:
-            prev_end, prev_cnt = r["last_end"], r["last_cnt"]
-        prev_key = r["last_key"]
+            f = _steps_of(pre, max_bytes, end, cnt)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node), pa.int64()),
+                                          *[pa.array(f[:, j], pa.int64()) for j in range(len(_STEP))]],
+                                         names=["node", *_STEP])
 
-    out_schema = T.StructType(list(srt.schema.fields) + [T.StructField("shard_id", T.LongType())])
+    entry = _entries(materialize(srt.mapInArrow(steps, _STEP_SCHEMA), "steps"), len(rows)) if rows else {}
+    state = {pid: (_EMPTY, 0) if opens else entry[j] for pid, (j, opens) in order.items()}
+    out_schema = T.StructType([*srt.schema.fields, T.StructField("shard_id", T.LongType())])
 
-    def apply(it):
+    def apply(batches):
         from pyspark import TaskContext
-        pdf = pd.concat(list(it), ignore_index=True)
-        if not len(pdf):
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        c, base = entry.get(TaskContext.get().partitionId(), (_EMPTY, 0))
-        sizes = pdf[size_col].to_numpy(dtype=np.int64)
-        ids = np.zeros(len(pdf), dtype=np.int64)
-        for j, (_, s, e) in enumerate(_runs(pdf, keys)):
-            cj, bj = (c, base) if j == 0 else (_EMPTY, 0)
+        t = pa.Table.from_batches(held)
+        c, base = state[TaskContext.get().partitionId()]
+        sizes = t.column(size_col).to_numpy()
+        ids = np.zeros(t.num_rows, dtype=np.int64)
+        for s, e in _runs(t, keys):
             pre = np.concatenate([[0], np.cumsum(sizes[s:e])])
-            ids[s:e] = bj - 1 + np.cumsum(_assign(pre, cj, max_bytes))
-        pdf["shard_id"] = ids
-        yield pdf
-
-    return srt.mapInPandas(apply, out_schema)
-
+            ids[s:e] = base - 1 + np.cumsum(_assign(pre, c, max_bytes))
+            c, base = _EMPTY, 0
+        yield from t.append_column("shard_id", pa.array(ids)).to_batches()
 
-def _outcome_at(srt: DataFrame, pid: int, c: int, keys: list[str], size_col: str,
-                max_bytes: int) -> tuple[int, int]:
-    """(end bytes, shards started) of partition ``pid``'s first run entered
-    with an open shard of ``c`` bytes; evaluated on the executor holding it."""
-    def one(it):
-        from pyspark import TaskContext
-        if TaskContext.get().partitionId() != pid:
-            return
-        pdf = pd.concat(list(it), ignore_index=True)
-        if not len(pdf):
-            return
-        _, s, e = _runs(pdf, keys)[0]
-        pre = np.concatenate([[0], np.cumsum(pdf[size_col].to_numpy(dtype=np.int64)[s:e])])
-        i = _first_flush(pre, c, max_bytes)
-        if i >= len(pre) - 1:
-            end, started = c + int(pre[-1]), 0
-        else:
-            ends, cnts = _fresh_outcomes(pre[i:] - pre[i], max_bytes)
-            end, started = int(ends[0]), int(cnts[0])
-        yield pd.DataFrame([{"end": end, "started": started}])
-    row = srt.mapInPandas(one, "end long, started long").collect()[0]
-    return row["end"], row["started"]
+    return srt.mapInArrow(apply, out_schema)
 
 
 def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,

@@ -7,21 +7,22 @@ form the val set: same size rule, independent of partitioning, and the same
 examples are val in every setup. Python's Mersenne-Twister shuffle
 membership itself is not reproduced.
 
-The cut-off is found by radix selection on the hex key: count rows per
-5-hex-digit prefix (one small aggregate), locate the prefix bucket holding
-the n_val-th key, and refine inside it until it is small enough to sort.
-Only counts and the cut-off key reach the driver.
+The cut-off is found by radix selection on the hex key, the same way at every
+size: count rows per 3 further hex digits (one aggregate of at most 4096
+groups), go into the bucket that holds the n_val-th key, and stop when the key
+is alone in its bucket or all digits are used. Each level takes 1/4096 of the
+rows before it, so a trillion rows take four. Only the counts of a level and
+the cut-off key reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VAL_FRACTION = 0.05
 SEED = 42
-_DIGITS = 5            # hex digits per radix level (16**5 buckets)
-_SMALL = 200_000       # sort a bucket directly below this many rows
+_DIGITS = 3            # hex digits per radix level (16**3 buckets)
 
 
 def n_val_for(n: int, val_fraction: float = VAL_FRACTION) -> int:
@@ -34,36 +35,36 @@ def split_key(qid: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), qid.cast("string")))
 
 
-def _kth_key(keyed: DataFrame, k: int) -> tuple[str, str]:
+def _bucket_counts(keyed: DataFrame, prefix: str) -> list[tuple[str, int]]:
+    """Rows per bucket of the next ``_DIGITS`` digits under ``prefix``, in key order."""
+    b = F.substring("_key", 1, len(prefix) + _DIGITS)
+    rows = keyed.filter(F.col("_key").startswith(prefix)).groupBy(b.alias("b")).count().collect()
+    return sorted((r["b"], r["count"]) for r in rows)
+
+
+def _kth_key(keyed: DataFrame, counts: list[tuple[str, int]], k: int) -> tuple[str, str]:
     """(key, qid) of the k-th smallest (1-based) by (key, qid)."""
-    prefix_len = 0
-    cur = keyed
     while True:
-        n = cur.count()
-        if n <= _SMALL or prefix_len >= 32:
-            row = (cur.orderBy("_key", "qid").offset(k - 1).limit(1)
-                   .select("_key", "qid").collect()[0])
+        for prefix, n in counts:
+            if k <= n:
+                break
+            k -= n
+        if n == 1 or len(prefix) >= 32:     # alone, or equal keys: those are ordered by qid
+            row = (keyed.filter(F.col("_key").startswith(prefix)).orderBy("_key", "qid")
+                   .offset(k - 1).limit(1).collect()[0])
             return row["_key"], row["qid"]
-        prefix_len += _DIGITS
-        b = F.substring("_key", 1, prefix_len)
-        counts = cur.groupBy(b.alias("_b")).count()
-        # bounded by 16**5 rows: a single ordered window is fine here
-        w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hit = (counts.withColumn("_cum", F.sum("count").over(w))
-               .filter((F.col("_cum") >= k) & (F.col("_cum") - F.col("count") < k))
-               .collect()[0])
-        k = int(k - (hit["_cum"] - hit["count"]))
-        cur = cur.filter(b == hit["_b"])
+        counts = _bucket_counts(keyed, prefix)
 
 
 def assign_split(canonical: DataFrame, val_fraction: float = VAL_FRACTION,
                  seed: int = SEED) -> DataFrame:
     """Adds ``split`` ('train'/'val'). ``canonical`` must be unique by qid."""
     keyed = canonical.withColumn("_key", split_key(F.col("qid"), seed))
-    n = canonical.count()
-    n_val = n_val_for(n, val_fraction)
+    narrow = keyed.select("_key", "qid")
+    counts = _bucket_counts(narrow, "")
+    n_val = n_val_for(sum(n for _, n in counts), val_fraction)
     if n_val == 0:
         return canonical.withColumn("split", F.lit("train"))
-    key, qid = _kth_key(keyed.select("_key", "qid"), n_val)
+    key, qid = _kth_key(narrow, counts, n_val)
     is_val = (F.col("_key") < F.lit(key)) | ((F.col("_key") == F.lit(key)) & (F.col("qid") <= F.lit(qid)))
     return keyed.withColumn("split", F.when(is_val, "val").otherwise("train")).drop("_key")
