@@ -97,17 +97,7 @@ def progress(runs: DataFrame, state: DataFrame, run_col: str = "run_id",
                     F.col("last_loss"))
 
 
-def status_line(p: DataFrame, name_col: str) -> Column:
-    """Display text of a progress row (not used for comparisons)."""
-    return (F.when(F.col("status") == "not started",
-                   F.format_string("%-35s  not started", F.col(name_col)))
-            .otherwise(F.format_string(
-                "%-35s  step %5d/%-5d (%5.1f%%)  epoch %5.2f  loss %-8s  %s", F.col(name_col),
-                F.col("step"), F.col("max_steps"), F.col("pct"), F.col("epoch"),
-                F.coalesce(F.format_number("last_loss", 4), F.lit("n/a")), F.col("status"))))
-
-
 def compare_runs(metrics: DataFrame, runs: DataFrame, on: Sequence[str] = ("run_name",)) -> DataFrame:
-    """CMP1: run metrics joined to the run dimension (the dimension is a
-    handful of rows: broadcast)."""
-    return metrics.join(F.broadcast(runs), list(on), "left")
+    """CMP1: run metrics joined to the run dimension (AQE broadcasts the
+    dimension when its measured size allows)."""
+    return metrics.join(runs, list(on), "left")

@@ -67,10 +67,13 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; a local fallback is
-    set only when it is unset (tests, local benches)."""
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    local session gets a temporary folder; on a cluster that is an error, since
+    executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
         base = tempfile.mkdtemp(prefix="rankloom-ckpt-")
         try:

@@ -52,7 +52,7 @@ def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"raw file not found: {path}")
     wrapper = T.StructType(RAW_FIELDS + [T.StructField("data", T.ArrayType(RAW_SCHEMA)),
                                          T.StructField("examples", T.ArrayType(RAW_SCHEMA))])
-    df = spark.read.schema(wrapper).option("multiLine", True).json(path)
+    df = spark.read.schema(wrapper).option("multiLine", True).option("mode", "FAILFAST").json(path)
     # Each file is one task (a JSON document is not splittable); ids are in
     # file order within it.
     row = F.struct(*[F.col(f.name) for f in RAW_FIELDS])
@@ -68,7 +68,7 @@ def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Raw examples as JSON Lines (splittable). ``pos`` = global line order:
     files in path order, lines in file order (skew-safe running index)."""
-    df = spark.read.schema(RAW_SCHEMA).json(path)
+    df = spark.read.schema(RAW_SCHEMA).option("mode", "FAILFAST").json(path)
     o = df.select("*", F.col("_metadata.file_path").alias("_f"),
                   F.col("_metadata.file_block_start").alias("_b"),
                   F.monotonically_increasing_id().alias("_m"))
@@ -99,7 +99,7 @@ def read_metadata(spark: SparkSession, metadata_dir: str, file_pattern: str = ME
             continue
         t = spark.read.text(p, wholetext=True)
         parts.append(t.select(F.lit(split).alias("split"),
-                              F.posexplode(F.from_json("value", rec)).alias("pos", "qid", "r")))
+                              F.posexplode(F.from_json("value", rec, {"mode": "FAILFAST"})).alias("pos", "qid", "r")))
     if not parts:
         return spark.createDataFrame([], "qid string, split string, pos int, reasoning_text string, "
                                          "total_thinking string")
@@ -148,7 +148,7 @@ def read_trainer_states(spark: SparkSession, runs_root: str) -> DataFrame:
     has a loss)."""
     schema = ("global_step long, max_steps long, epoch double, "
               "log_history array<struct<step: long, loss: double>>")
-    df = spark.read.schema(schema).option("multiLine", True).json(
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(
         f"{runs_root.rstrip('/')}/*/trainer_state.json")
     run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/trainer_state\.json$", 1)
     with_loss = F.filter("log_history", lambda e: e["loss"].isNotNull())
@@ -158,14 +158,16 @@ def read_trainer_states(spark: SparkSession, runs_root: str) -> DataFrame:
                      F.try_element_at(with_loss, F.lit(-1))["loss"].alias("last_loss"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """SRC7: a JSON file whose top level must be an array of records with the
-    given schema (field order kept). ``pos`` = order in the file."""
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7: a JSON file whose top level must be an array of objects. Output:
+    ``pos`` (order in the file) and ``record``, the object's own compact JSON
+    with all its keys in their order, nulls included. A truncated file, another
+    top level or an element that is no object fails the job."""
     if not _fs_exists(spark, path):
         raise FileNotFoundError(f"input not found: {path}")
     t = spark.read.text(path, wholetext=True)
-    first = F.regexp_extract("value", r"^\s*(.)", 1)
-    arr = F.when(first == "[", F.from_json("value", T.ArrayType(
-        schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)))) \
+    arr = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", "array<string>", {"mode": "FAILFAST"})) \
         .otherwise(F.raise_error(F.lit("expected a top-level JSON array")))
-    return t.select(F.posexplode(arr).alias("pos", "r")).select("pos", "r.*")
+    x = t.select(F.posexplode(arr).alias("pos", "record"))
+    return x.select("pos", F.when(F.col("record").startswith("{"), F.col("record")).otherwise(
+        F.raise_error(F.lit("expected an array of JSON objects"))).alias("record"))

@@ -3,8 +3,8 @@
 All writers are Spark writers; nothing is collected to the driver. Sharded
 output keeps the reference's shape -- every shard file is one compact JSON
 array under the byte budget -- as ``<out>/setup=<s>/split=<t>/shard_id=<n>/``
-directories (Spark's partitioned layout instead of ``part-%05d.json`` names;
-the dynamic partition overwrite replaces stale shards).
+directories (Spark's partitioned layout instead of ``part-%05d.json`` names).
+A write replaces the whole output folder, so no shard of an earlier run stays.
 """
 
 from __future__ import annotations
@@ -55,8 +55,7 @@ def write_json_shards(sharded: DataFrame, out_dir: str,
         F.sort_array(F.collect_list(F.struct(F.col(order_by), F.col(record_col)))).alias("_r"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_r", lambda x: x[record_col]), ","), F.lit("]"))
     (per_shard.select(*group_by, "shard_id", text.alias("value"))
-     .repartition(*group_by, "shard_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy(*group_by, "shard_id").text(out_dir))
 
 
@@ -82,30 +81,28 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-SHAREGPT_SCHEMA = ("system string, "
-                   "conversations array<struct<`from`: string, value: string>>")
-
-
 def reshard(spark: SparkSession, in_path: str, out_dir: str,
-            schema: str = SHAREGPT_SCHEMA, max_bytes: int = DEFAULT_MAX_BYTES,
-            replace: bool = False) -> DataFrame:
+            max_bytes: int = DEFAULT_MAX_BYTES, replace: bool = False) -> DataFrame:
     """SRC7 + SNK2 + AGG9 + SNK7: split an existing JSON-array file into
-    budget-bounded shards (records re-serialised compactly in schema field
-    order), report shards/bytes, and optionally delete the source after the
-    shards were written. Never writes into the path it reads."""
+    budget-bounded shards (each record compact, with all its keys), report
+    shards/bytes, and optionally delete the source, only after the shards were
+    read back and hold as many records as were read. Never writes into the
+    path it reads."""
     from rankloom.operators.sharding import shard_report
     from rankloom.sources.readers import read_json_array
     if out_dir.rstrip("/") == in_path.rstrip("/"):
         raise ValueError("output must differ from the input path")
-    recs = read_json_array(spark, in_path, schema)
-    fields = [c for c in recs.columns if c != "pos"]
-    rec = recs.select(F.lit("all").alias("part"), "pos",
-                      F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("record"))
     # cut lineage first: the report must not re-read a source that may be deleted
-    sharded = materialize(shard_records(rec, max_bytes, group_by=("part",)), "reshard")
+    recs = materialize(read_json_array(spark, in_path).withColumn("part", F.lit("all")), "reshard")
+    sharded = materialize(shard_records(recs, max_bytes, group_by=("part",)), "reshard")
     write_json_shards(sharded, out_dir, group_by=("part",))
     report = shard_report(sharded, ["part"]).drop("part")
     if replace:
+        back = spark.read.text(out_dir, wholetext=True).select(
+            F.sum(F.size(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))).alias("n")).collect()[0]["n"]
+        n = recs.count()
+        if (back or 0) != n:
+            raise RuntimeError(f"{in_path} is kept: {back or 0} of {n} records were written")
         replace_source(spark, in_path)
     return report
 

@@ -11,8 +11,8 @@
   table itself is the dedup state: bounded memory, and a replayed batch
   writes nothing twice).
 
-Sinks are ``foreachBatch`` appends of (batch_id, row) to Parquet in the
-shared checkpoint folder; readers take the latest row per key, so ``update``
+Sinks are ``foreachBatch`` writes of one Parquet folder per batch in the
+shared checkpoint folder, so a replayed batch replaces itself; readers take the latest row per key, so ``update``
 mode needs no in-place merge. Checkpoints live under ``spark.checkpoint.dir``.
 """
 
@@ -25,26 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators import curation, runs, scoring
+from rankloom.operators.sequence import materialize
 from rankloom.session import scratch_dir
 from rankloom.sources.readers import _fs_exists
 
 
-def _append_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
+def _batch_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """One folder per batch, overwritten when a batch is replayed."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")) \
-            .write.mode("append").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     return sink
 
 
 def latest_per_key(spark: SparkSession, out_dir: str, keys: list[str],
                    schema: T.StructType) -> DataFrame:
     """Final state of an ``update``-mode log: the row of the last batch per key."""
-    try:
-        log = spark.read.parquet(out_dir)
-    except Exception:  # nothing written yet
+    if not _fs_exists(spark, out_dir):  # nothing written yet
         return spark.createDataFrame([], schema)
+    log = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out_dir)
     vals = [c for c in schema.fieldNames() if c not in keys]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_s"))
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch").alias("_s"))
     return last.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in vals])
 
 
@@ -66,7 +66,7 @@ def stream_progress(spark: SparkSession, log_dir: str, runs_dim: DataFrame,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(log_dir)
     agg = runs.log_state(src)
-    _run(agg.writeStream.outputMode("update").foreachBatch(_append_sink(f"{work}/out"))
+    _run(agg.writeStream.outputMode("update").foreachBatch(_batch_sink(f"{work}/out"))
          .option("checkpointLocation", f"{work}/ckpt"))
     state = latest_per_key(spark, f"{work}/out", ["run_id"], agg.schema)
     return runs.progress(runs_dim, state, max_steps=max_steps)
@@ -83,7 +83,7 @@ def stream_leaderboard(spark: SparkSession, pred_dir: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(pred_dir)
     partials = scoring.metric_partials(scoring.score(src, keep=["run"]), by=["run"])
-    _run(partials.writeStream.outputMode("update").foreachBatch(_append_sink(f"{work}/out"))
+    _run(partials.writeStream.outputMode("update").foreachBatch(_batch_sink(f"{work}/out"))
          .option("checkpointLocation", f"{work}/ckpt"))
     state = latest_per_key(spark, f"{work}/out", ["run"], partials.schema)
     return scoring.finalize_metrics(state, by=["run"])
@@ -107,7 +107,7 @@ def stream_dedup(spark: SparkSession, raw_dir: str, meta: DataFrame | None,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(raw_dir)
-    latest = curation.metadata_latest(meta) if meta is not None else None
+    latest = materialize(curation.metadata_latest(meta), "metadata") if meta is not None else None
     bucket = F.pmod(F.xxhash64("qid"), F.lit(buckets))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:

@@ -132,7 +132,8 @@ def test_sharded_json_output(spark, tmpdir_path):
 
 
 def test_reshard_and_replace(spark, tmpdir_path):
-    recs = [{"system": "s", "conversations": [{"from": "human", "value": "x" * (i % 50)}]} for i in range(40)]
+    recs = [{"system": "s", "conversations": [{"from": "human", "value": "x" * (i % 50)}], "qid": None if i % 2 else i,
+             **({"extra": {"b": 1, "a": [1.5, "é"]}} if i % 3 == 0 else {})} for i in range(40)]
     src = f"{tmpdir_path}/big.json"
     _write(src, json.dumps(recs))
     rep = writers.reshard(spark, src, f"{tmpdir_path}/shards", max_bytes=600, replace=True).collect()[0]
@@ -184,9 +185,8 @@ def test_raw_jsonl_compare_runs_and_status(spark, tmpdir_path):
     p = runs.progress(spark.createDataFrame([(1, "a"), (2, "b")], "run_id long, name string"),
                       spark.createDataFrame([(1, 5, 0.25)], "run_id long, global_step long, last_loss double"),
                       max_steps=10)
-    lines = {r.name: r.line for r in p.select("name", runs.status_line(p, "name").alias("line")).collect()}
-    assert "step     5/10" in lines["a"] and "( 50.0%)" in lines["a"] and "running" in lines["a"]
-    assert lines["b"].endswith("not started")
+    by_name = {r.name: (r.step, r.max_steps, r.pct, r.status) for r in p.collect()}
+    assert by_name["a"] == (5, 10, 50.0, "running") and by_name["b"][3] == "not started"
     m = manifest.manifest_entries(spark.createDataFrame([("x_train", "/d/x_train")], "name string, file_name string"))
     writers.write_manifest(m, f"{tmpdir_path}/manifest")
     back = spark.read.json(f"{tmpdir_path}/manifest").collect()[0]
@@ -196,9 +196,51 @@ def test_raw_jsonl_compare_runs_and_status(spark, tmpdir_path):
 def test_reshard_rejects_non_array_and_data_wrapper(spark, tmpdir_path):
     _write(f"{tmpdir_path}/obj.json", json.dumps({"system": "s", "conversations": []}))
     with pytest.raises(Exception):
-        readers.read_json_array(spark, f"{tmpdir_path}/obj.json", writers.SHAREGPT_SCHEMA).collect()
+        readers.read_json_array(spark, f"{tmpdir_path}/obj.json").collect()
     with pytest.raises(ValueError):
         writers.reshard(spark, f"{tmpdir_path}/obj.json", f"{tmpdir_path}/obj.json")
     ex = [{"qid": "d1", "prompt": "p", "thinking": "t", "answer": "a"}]
     _write(f"{tmpdir_path}/data.json", json.dumps({"data": ex, "examples": [{"qid": "e1"}]}))
     assert [r.qid for r in readers.read_raw_examples(spark, f"{tmpdir_path}/data.json").collect()] == ["d1"]
+
+
+def test_reshard_keeps_a_truncated_source(spark, tmpdir_path):
+    src = f"{tmpdir_path}/cut.json"
+    _write(src, json.dumps([{"a": i} for i in range(9)])[:-4])
+    with pytest.raises(Exception):
+        writers.reshard(spark, src, f"{tmpdir_path}/cut", replace=True).collect()
+    assert os.path.exists(src)
+
+
+def test_shards_of_an_earlier_run_go(spark, tmpdir_path):
+    for n in (40, 10):
+        recs = spark.createDataFrame([("s", "t", i, json.dumps({"i": i})) for i in range(n)],
+                                     "setup string, split string, pos long, record string")
+        writers.write_json_shards(writers.shard_records(recs, 50), f"{tmpdir_path}/out")
+        back = spark.read.text(f"{tmpdir_path}/out", wholetext=True).collect()
+        assert sorted(r["i"] for f in back for r in json.loads(f.value)) == list(range(n))
+
+
+def test_malformed_sources_fail(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/raw.json", '[{"qid": "a"}, {"qid": ')
+    with pytest.raises(Exception):
+        readers.read_raw_examples(spark, f"{tmpdir_path}/raw.json").collect()
+    _write(f"{tmpdir_path}/raw.jsonl", '{"qid": "a"}\n{"qid": \n')
+    with pytest.raises(Exception):
+        readers.read_raw_jsonl(spark, f"{tmpdir_path}/raw.jsonl").collect()
+    _write(f"{tmpdir_path}/deepseek_listwise_metadata_dev.json", '{"q1": {"reasoning_text": "x"')
+    with pytest.raises(Exception):
+        readers.read_metadata(spark, tmpdir_path).collect()
+
+
+def test_replayed_batch_replaces_itself(spark, tmpdir_path):
+    from rankloom.streaming import live
+    sink = live._batch_sink(f"{tmpdir_path}/log")
+    for batch_id, v in ((0, 1), (1, 2), (1, 3)):
+        sink(spark.createDataFrame([("r", v)], "run string, v int"), batch_id)
+    schema = spark.createDataFrame([], "run string, v int").schema
+    assert [tuple(r) for r in live.latest_per_key(spark, f"{tmpdir_path}/log", ["run"], schema).collect()] == [("r", 3)]
+    assert live.latest_per_key(spark, f"{tmpdir_path}/none", ["run"], schema).count() == 0
+    _write(f"{tmpdir_path}/log/batch=2/part-0.parquet", "no parquet")
+    with pytest.raises(Exception):
+        live.latest_per_key(spark, f"{tmpdir_path}/log", ["run"], schema).collect()
