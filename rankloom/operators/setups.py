@@ -75,14 +75,14 @@ def hint_prompt() -> Column:
 
 # Fixed registry of the four built-in setups (name, label, mask_history).
 register_setup("setup1_full_loss", lambda: [("human", _p()), ("gpt", response())],
-               False, "full_loss", "Loss on thinking+final_answer")
+               False, "full_loss", "one reply with reasoning and ranking; all of it is trained on")
 register_setup("setup2_answer_only",
                lambda: [("human", _p()), ("gpt", _t()), ("human", F.lit(ANSWER_CUE)), ("gpt", _a())],
-               True, "answer_only", "Loss on final_answer only (thinking turn masked)")
+               True, "answer_only", "reasoning turn, cue, ranking turn; only the ranking is trained on")
 register_setup("setup3_1_hint_answer_only", lambda: [("human", hint_prompt()), ("gpt", _a())],
-               False, "hint_answer_only", "Thinking given as hint in prompt; loss on final_answer only")
+               False, "hint_answer_only", "the prompt carries sample reasoning; the reply is the bare ranking")
 register_setup("setup3_2_hint_full_loss", lambda: [("human", hint_prompt()), ("gpt", response())],
-               False, "hint_full_loss", "Thinking given as hint in prompt; loss on thinking+final_answer")
+               False, "hint_full_loss", "the prompt carries sample reasoning; the reply repeats it, then ranks")
 
 
 def conversation(s: Setup) -> Column:

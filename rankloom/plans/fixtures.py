@@ -129,9 +129,9 @@ def reasoning_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     # would scan and join the conversations twice).
     first = F.when(k % 6 != 5, F.struct(
         F.when(k % 3 == 0, "train").when(k % 3 == 1, "dev").otherwise("test").alias("split"),
-        F.when(k % 2 == 0, F.concat(F.lit(" "), F.substring("th", 1, 200))).otherwise(F.lit(""))
+        F.when(k % 2 == 0, F.concat(F.lit(" "), "th")).otherwise(F.lit(""))
         .alias("reasoning_text"),
-        F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(F.substring("th", 1, 120))
+        F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(F.concat("th", F.lit(" (total)")))
         .alias("total_thinking")))
     blank = F.when((k % 5 == 0) & (k % 3 != 2), F.struct(
         F.lit("test").alias("split"), F.lit("").alias("reasoning_text"),

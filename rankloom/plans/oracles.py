@@ -54,8 +54,8 @@ f2 as (select k pos,
 F3 = """
 b3 as (select concat('c', cast(conv_id as varchar), '-', cast(turn as varchar)) qid, k, th from pr),
 f3 as (select qid, case when k%3=0 then 'train' when k%3=1 then 'dev' else 'test' end split,
-         case when k%2=0 then concat(' ', substring(th,1,200)) else '' end reasoning_text,
-         case when k%9=0 then null else substring(th,1,120) end total_thinking
+         case when k%2=0 then concat(' ', th) else '' end reasoning_text,
+         case when k%9=0 then null else concat(th, ' (total)') end total_thinking
        from b3 where k%6<>5
        union all select qid, 'test', '', '' from b3 where k%5=0 and k%3<>2)
 """
