@@ -17,8 +17,9 @@ components is missed and copies are never expanded into all their pairs.
 
 Nulls and texts without words have an empty set and no link: their component is
 their own id. Texts of fewer than 5 words have one shingle. Equal texts (and
-repeated rows) stand as one; null ids count as larger than others. An empty
-table gives no rows. Other columns are ignored.
+repeated rows) stand as one; different texts of one id, or without an id, each
+stand for themselves. Null ids count as larger than others. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,14 +74,14 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, reps: DataFrame, shards: int) -> DataFrame:
-    """A row for each standing document: n, and (where enough of its shingles
+def document_sets(docs: DataFrame, classes: DataFrame, shards: int) -> DataFrame:
+    """A row for each distinct text (id is its node): n, and (where enough of its shingles
     occur elsewhere for any link) those shingles, rarest first, with the prefix
     length among them and how many of it to ask for."""
     def own_sets(left, right):
-        left = kx.standing(left, right)
+        left, nodes = kx.standing(left, right)
         data, off = raw(ascii_lower(left.column("text").combine_chunks()))
-        return left.column("id").to_pylist(), sets(data, off)
+        return nodes.tolist(), sets(data, off)
 
     def hand_in(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, own = own_sets(left, right)
@@ -108,7 +109,7 @@ def document_sets(docs: DataFrame, reps: DataFrame, shards: int) -> DataFrame:
                         names=["id", "n", "tokens", "prefix", "asked", *_BITS])
 
     left = kx.by_shard(docs, shards)
-    mem = kx.members(reps, shards)
+    mem = kx.members(classes, shards, "node")
     handed = left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(
         hand_in, kx._HANDED)
     right = mem.unionByName(kx.shared(handed))
@@ -144,12 +145,13 @@ def with_links(links, found, pairs: DataFrame, own: DataFrame):
     return links, stored(components(links), "components")
 
 
-def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """id, n_shingles and component of every row of (id, text)."""
+def groups(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row of (id, text); and for each text its digest, n
+    and the first text (rep, digest) of its component, by smallest id."""
     shards = pieces(text_bytes(docs), shard_bytes)
     named, classes = kx.first_copies(docs)
     classes = stored(classes, "classes")
-    info = stored(document_sets(docs, classes.select(F.col("rep").alias("id")), shards), "sets")
+    info = stored(document_sets(docs, classes, shards), "sets")
     own = info.filter("tokens IS NOT NULL")
     # at: the place among the shared shingles, of which there are m
     post = stored(own.select("id", "n", "asked", F.size("tokens").alias("m"),
@@ -177,11 +179,21 @@ def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -
                                        & enough(F.col("n_a"), F.col("n_b"), most) & enough(F.col("n_a"), F.col("n_b"), near)) \
         .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("asked_a", "asked_b")).alias("asked"))
     links, found = with_links(links, found, shared.filter("shared >= asked").select("a", "b"), own)
-    answer = info.select(F.col("id").alias("rep"), "n")
-    answer = answer.withColumn("component", F.col("rep")) if found is None else \
-        answer.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return named.join(classes.join(answer.dropDuplicates(["rep"]), "rep"), "digest").select(
-        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    texts = classes.join(info.select(F.col("id").alias("node"), "n"), "node")
+    own = F.struct("rep", "digest")
+    if found is None:
+        return named, texts.select("digest", "n", own.alias("first"))
+    found = found.withColumnRenamed("id", "node")
+    heads = found.join(classes, "node").groupBy("component").agg(F.min(own).alias("first"))
+    return named, texts.join(found.join(heads, "component").select("node", "first"), "node", "left").select(
+        "digest", "n", F.coalesce("first", own).alias("first"))
+
+
+def join(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """id, n_shingles and component of every row of (id, text)."""
+    named, texts = groups(spark, docs, shard_bytes)
+    return named.join(texts, "digest").select(
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.rep")).otherwise(F.col("id")).alias("component"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -191,12 +203,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with its smallest id. Rows that repeat
-    an id count as one document, and one of them stays."""
+    """One row of each component: the one with its smallest id. Texts without
+    words are no copies of others, and one row of each id and text stays."""
     spark = configure(docs.sparkSession)
-    found = join(spark, id_text(docs)).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
-    found = stored(found.filter("id = component").select("id", "n"), "first")
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    once, more = found.filter("n = 1"), found.filter("n > 1")
-    return docs.join(once, own == once["id"], "left_semi").unionByName(
-        docs.join(more, own == more["id"], "left_semi").dropDuplicates(["doc_id"]))
+    named, texts = groups(spark, id_text(docs))
+    found = named.groupBy("id", "digest").agg(F.count("*").alias("n_rows")).join(texts, "digest")
+    found = stored(found.filter((F.col("n") == 0) | (F.struct("id", "digest") == F.struct("first.rep", "first.digest")))
+                   .select("id", "digest", "n_rows"), "first")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+                       F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"),
+                       kx.digest_of(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest"))
+    once, more = (rows.join(found.filter(only), ["id", "digest"], "left_semi") for only in ("n_rows = 1", "n_rows > 1"))
+    return once.select("row.*").unionByName(more.dropDuplicates(["id", "digest"]).select("row.*"))

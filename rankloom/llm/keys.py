@@ -1,6 +1,6 @@
 """Which hashed keys occur in two documents or more, and in how many.
 
-Documents are dealt over shards by id. A shard hands in its distinct keys,
+Documents are dealt over shards by id and text. A shard hands in its distinct keys,
 sorted, each with its number of documents, cut by binary search into runs by
 key range; a bucket merges the runs of all shards and returns to each shard
 those of its keys that the whole corpus has twice or more. A key costs about
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import forget, run_starts
@@ -87,15 +87,26 @@ def shared(handed: DataFrame) -> DataFrame:
     return handed.groupBy("bucket").applyInArrow(_merge, ROWS)
 
 
+def _shard(key: str, shards: int):
+    return F.pmod(F.xxhash64(key, "digest"), F.lit(shards)).alias("shard")
+
+
+def digest_of(text) -> Column:
+    """What texts are told apart by: 16 bytes."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def by_shard(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows of (id, text) and what else there is, with the shard that they belong to."""
-    return docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), *docs.columns)
+    """Rows of (id, text) and what else there is, with the text's digest and the
+    shard that they belong to. Rows of one id are dealt by their texts."""
+    named = docs.select(*docs.columns, digest_of(F.col("text")).alias("digest"))
+    return named.select(_shard("id", shards), *named.columns)
 
 
-def members(ids: DataFrame, shards: int) -> DataFrame:
-    """Rows of kind 0: ids of the documents that stand for their class."""
-    return ids.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id",
-                      F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
+def members(classes: DataFrame, shards: int, name: str = "rep") -> DataFrame:
+    """Rows of kind 0: ``name`` and digest of each text, where its smallest id is."""
+    return classes.select(_shard("rep", shards), F.lit(0).alias("kind"), F.col(name).alias("id"),
+                          F.col("digest").alias("keys"), F.lit(None).cast("binary").alias("counts"))
 
 
 def returned(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +119,21 @@ def returned(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def standing(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The shard's documents that stand for their class, by id."""
+def standing(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """One row of each text that stands in this shard, in order of the id that its
+    member row gives; and those ids."""
     forget("words:")  # a shard needs the memory
-    ids = right.filter(pa.compute.equal(right.column("kind"), 0)).column("id")
-    return left.filter(pa.compute.is_in(left.column("id"), ids.combine_chunks())).sort_by("id")
+    own = right.filter(pa.compute.equal(right.column("kind"), 0))
+    at = pa.compute.index_in(left.column("digest"), own.column("keys").combine_chunks())
+    at = pa.compute.fill_null(at, -1).to_numpy().astype(np.int64)
+    member, row = np.unique(at, return_index=True)
+    row, ids = row[member >= 0], own.column("id").to_numpy()[member[member >= 0]]
+    order = np.argsort(ids, kind="stable")
+    return left.take(pa.array(row[order])), ids[order]
 
 
 def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, digest) of all rows, and (digest, rep): the smallest id of each text."""
-    named = docs.select("id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return named, named.groupBy("digest").agg(F.min("id").alias("rep"))
+    """(id, digest) of all rows, and (digest, rep, node): the smallest id of each
+    text, and a number of its own, which holds once it is written."""
+    named = docs.select("id", digest_of(F.col("text")).alias("digest"))
+    return named, named.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())

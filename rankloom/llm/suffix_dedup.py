@@ -289,18 +289,18 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
     arrays."""
     shards = pieces(text_bytes(docs), shard_bytes)
     named, classes = kx.first_copies(docs)
-    reps = stored(classes, "classes").select(F.col("rep").alias("id"))
+    classes = stored(classes.select("digest", "rep"), "classes")
 
     columns, schema = docs.columns, docs.schema
     for name, kind in (("copy", T.BooleanType()), ("begins", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType()))):
         schema = T.StructType([*schema.fields, T.StructField(name, kind)])
 
     def standing(left, right):
-        left = kx.standing(left, right)
-        return (left, *raw(left.column("text").combine_chunks()))
+        left, ids = kx.standing(left, right)
+        return (left, ids, *raw(left.column("text").combine_chunks()))
 
     def hand_in(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, data, off = standing(left, right)
+        _, _, data, off = standing(left, right)
         h, _, _, text = runs(data, off)
         k = kx.short(h)
         order = np.lexsort((text, k))
@@ -309,9 +309,8 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
         return kx.handed_in(key[0].as_py(), *np.unique(k[new], return_counts=True), shards)
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, data, off = standing(left, right)
+        _, ids, data, off = standing(left, right)
         _, _, _, _, strings, text, bucket = filed(data, off, *kx.returned(right), shards)
-        ids = left.column("id").to_numpy()
         rows = []
         order = np.argsort(bucket, kind="stable")
         begin = run_starts(bucket[order])
@@ -325,9 +324,8 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         every = left
-        left, data, off = standing(left, right)
+        left, ids, data, off = standing(left, right)
         first, last, text, which, strings, begin, bucket = filed(data, off, *kx.returned(right), shards)
-        ids = left.column("id").to_numpy()
         # smallest id of each string of each distinct run: its own first text's, or what came back
         n = np.array([len(s) - LENGTH + 1 for s in strings], np.int64)
         to = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
@@ -360,7 +358,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
                         names=[*columns, "copy", "begins", "ends"])
 
     left = kx.by_shard(docs, shards)
-    mem = kx.members(reps, shards)
+    mem = kx.members(classes, shards)
     known = stored(kx.shared(left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(hand_in, kx._HANDED)), "parts")
     right = mem.unionByName(known)
     sent = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(send, _RUNS)

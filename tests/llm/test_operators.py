@@ -154,6 +154,28 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.one_of_each(table).count() == len({min(g, key=lambda x: (x is None, x or 0)) for g in group.values()})
 
 
+def test_jaccard_ids_that_are_null_or_repeated(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(f"{w}x{k}" for w in words)
+    near = lambda k: text(k) + " more"
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, near(2)), (None, text(0)), (4, text(3)), (4, text(4)), (4, text(5)), (4, text(5)),
+            (2, near(4)), (9, text(5)), (None, near(5)), (1, text(6)), (None, near(6)), (7, ""), (None, ""), (None, "\t")]
+    table = spark.createDataFrame([(d, t, str(i)) for i, (d, t) in enumerate(rows)], SCHEMA)
+    of = {0: None, 1: None, 2: None, 3: 4, 4: 2, 5: 4, 6: 1}
+    want = []
+    for d, t in rows:
+        k = int(t.split()[0].split("x")[1]) if t.split() else None
+        want.append((d, max(0, len(t.split()) - 4), d if k is None else of[k]))
+    assert rows_of(jaccard.digest(table)) == sorted(want, key=repr)
+    kept = jaccard.one_of_each(table)
+    assert kept.columns == table.columns
+    got = rows_of(kept.select("doc_id", "text"))
+    two = [r for r in got if r[1] in (text(2), near(2))]
+    assert len(two) == 1
+    assert [r for r in got if r not in two] == sorted(
+        [(None, text(0)), (None, text(1)), (4, text(3)), (2, near(4)), (4, text(5)), (1, text(6)), (7, ""), (None, ""), (None, "\t")], key=repr)
+
+
 def encode_all():
     from tokenizers import Tokenizer
 
