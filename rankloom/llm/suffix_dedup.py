@@ -16,9 +16,9 @@ binary search, two at a time, and each shard looks its own up in the merged list
 Parts that very many documents have can begin very many different runs, so their
 runs are filed string by string instead, under each string's own hash.
 
-Null texts count as empty; equal texts stand as one, the smallest id first; ids
-that are equal are not smaller, so repeated rows of one id keep their bytes;
-null ids count as larger than others. An empty table gives no rows. Matches
+Null texts count as empty; equal texts stand as one, the smallest id first;
+different texts of one id, or without an id, each stand for themselves; ids
+that are equal are not smaller, so rows of one id keep what they share; null ids count as larger than others. An empty table gives no rows. Matches
 never cross documents, whatever bytes they hold.
 """
 
@@ -340,10 +340,10 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
         starts = joined_ranges(first, size)
         gone = least[joined_ranges(to[which], size)] < np.repeat(ids[text], size) if len(size) else np.zeros(0, bool)
         cover = _covered(len(data), starts[gone])
-        by_id = {d: i for i, d in enumerate(ids.tolist())}
+        by_text = {(d, x): i for i, (d, x) in enumerate(zip(ids.tolist(), left.column("digest").to_pylist()))}
         begins, ends, copy = [], [], []
-        for d in every.column("id").to_pylist():
-            i = by_id.get(d)
+        for own in zip(every.column("id").to_pylist(), every.column("digest").to_pylist()):
+            i = by_text.get(own)
             copy.append(i is None)
             if i is None:
                 begins.append([])

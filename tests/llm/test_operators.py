@@ -73,6 +73,28 @@ def test_suffix_dedup(docs, empty):
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
 
 
+def test_suffix_dedup_ids_that_are_null_or_repeated(spark):
+    part = ["".join(chr(97 + (i * i * (k + 3) + i * k) % 26) for i in range(70 + k)) + f" part {k}; " for k in range(6)]
+    rows = [(1, part[0]), (1, part[1]), (2, part[2]), (3, "aa " + part[0] + "own words of the first"), (3, part[1] + "second " + part[3] + part[2]),
+            (3, "third " + part[3] + " without"), (3, "aa " + part[0] + "own words of the first"), (None, "x " + part[3] + " y"), (None, part[1] + part[4]),
+            (None, "z" + part[4] + part[2]), (None, part[1] + part[4]), (None, part[5] * 2), (8, part[1])]
+    big = (1 << 63) - 1
+    first = {}
+    for d, t in sorted((big if d is None else d, t) for d, t in rows):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p:p + 50], d)
+    want = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p:p + 50]] < (big if d is None else d):
+                gone[p:p + 50] = True
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest()))
+    table = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    assert rows_of(suffix_dedup.digest(table)) == sorted(want, key=repr)
+
+
 def test_common_parts_filed_string_by_string(docs, monkeypatch):
     want = rows_of(suffix_dedup.digest(docs))
     monkeypatch.setattr(suffix_dedup, "COMMON", 1)
