@@ -273,6 +273,17 @@ def test_maxent(spark, docs, empty):
     assert maxent.digest(spark, empty).count() == 0
 
 
+def test_maxent_row_moves_by_the_chunks_that_saw_it(spark):
+    shape = (2, maxent.CLASSES)
+    rows = []
+    for k in range(6):  # row 0 is seen by all, three times as often by the first; row 1 by the first only
+        had = np.array([3 if k == 0 else 1, 5 if k == 0 else 0], "<i8")
+        change = np.where(had[:, None] > 0, float(k + 1), 0.0) * np.ones(shape)
+        rows.append((0, k, bytearray(maxent._squeeze(change.astype("<f2").tobytes())), bytearray(maxent._squeeze(had.tobytes()))))
+    got = maxent.average(spark.createDataFrame(rows, maxent._CHANGES), shape)
+    assert np.allclose(got[0], (3 + 2 + 3 + 4 + 5 + 6) / 8, atol=0.01) and np.allclose(got[1], 1.0)
+
+
 def test_maxent_beats_counts_on_held_out_texts(spark):
     r = queries.op8_maxent(spark, "/root/testdata/sf0.001").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert r["sum(score)"] > r["sum(base_score)"]
