@@ -13,7 +13,9 @@ Components need fewer links than there are pairs, so groups of near copies are
 first linked through leaders: each shingle's postings meet one of their
 documents, in a few rounds. Then every pair of different
 components that shares enough prefix shingles is verified, so no link between
-components is missed and copies are never expanded into all their pairs.
+components is missed and copies are never expanded into all their pairs. The
+links themselves are to be had from ``links`` and ``link_counts``, which verify
+every pair of different shingle sets: as many rows as there are such links.
 
 Nulls and texts without words have an empty set and no link: their component is
 their own id. Texts of fewer than 5 words have one shingle. Equal texts (and
@@ -145,9 +147,9 @@ def with_links(links, found, pairs: DataFrame, own: DataFrame):
     return links, stored(components(links), "components")
 
 
-def groups(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(id, digest) of every row of (id, text); and for each text its digest, n
-    and the first text (rep, digest) of its component, by smallest id."""
+def postings(docs: DataFrame, shard_bytes: int):
+    """Rows by digest, distinct texts, their sets, those that can have links, and
+    the postings of their prefixes."""
     shards = pieces(text_bytes(docs), shard_bytes)
     named, classes = kx.first_copies(docs)
     classes = stored(classes, "classes")
@@ -156,6 +158,27 @@ def groups(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES)
     # at: the place among the shared shingles, of which there are m
     post = stored(own.select("id", "n", "asked", F.size("tokens").alias("m"),
                              F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")), "postings")
+    return named, classes, info, own, post
+
+
+def candidates(now: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of postings with different c that share enough prefix shingles."""
+    now = now.join(own.select("id", *_BITS), "id")
+    a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m", "asked", "at", "c", *_BITS))) for s in "ab")
+    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _BITS[1:]),
+                 F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    near = (F.col("n_a") + F.col("n_b") - differ) / 2
+    return a.join(b, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b"))
+                                     & enough(F.col("n_a"), F.col("n_b"), most) & enough(F.col("n_a"), F.col("n_b"), near)) \
+        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("asked_a", "asked_b")).alias("asked")) \
+        .filter("shared >= asked").select("a", "b")
+
+
+def groups(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row of (id, text); and for each text its digest, n
+    and the first text (rep, digest) of its component, by smallest id."""
+    named, classes, info, own, post = postings(docs, shard_bytes)
     links, found = None, None
     for turn in range(LED):
         # shingles whose documents are in different components, each with a leader:
@@ -169,16 +192,7 @@ def groups(spark: SparkSession, docs: DataFrame, shard_bytes: int = SHARD_BYTES)
         links, found = with_links(links, found, met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), own)
     now = with_components(post, found)
     open_ = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("token")
-    now = now.join(open_, "token").join(own.select("id", *_BITS), "id")
-    a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m", "asked", "at", "c", *_BITS))) for s in "ab")
-    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
-    differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _BITS[1:]),
-                 F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
-    near = (F.col("n_a") + F.col("n_b") - differ) / 2
-    shared = a.join(b, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b"))
-                                       & enough(F.col("n_a"), F.col("n_b"), most) & enough(F.col("n_a"), F.col("n_b"), near)) \
-        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("asked_a", "asked_b")).alias("asked"))
-    links, found = with_links(links, found, shared.filter("shared >= asked").select("a", "b"), own)
+    links, found = with_links(links, found, candidates(now.join(open_, "token"), own), own)
     texts = classes.join(info.select(F.col("id").alias("node"), "n"), "node")
     own = F.struct("rep", "digest")
     if found is None:
@@ -215,3 +229,49 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                        kx.digest_of(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest"))
     once, more = (rows.join(found.filter(only), ["id", "digest"], "left_semi") for only in ("n_rows = 1", "n_rows > 1"))
     return once.select("row.*").unionByName(more.dropDuplicates(["id", "digest"]).select("row.*"))
+
+
+def linked_sets(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(digest, set, n_docs, first): each distinct text's shingle set, how many
+    documents (rows of different id or text) have that set, and the first; and the verified pairs (a, b) of different sets."""
+    named, classes, _, own, post = postings(docs, shard_bytes)
+    # equal sets share all their shingles, so those that are wholly shared are compared
+    same = F.when(F.size("tokens") == F.col("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary")))
+    keyed = own.select("id", F.coalesce(same, F.col("id").cast("string")).alias("key"))
+    firsts = stored(keyed.groupBy("key").agg(F.min("id").alias("set")), "sets")
+    of = stored(keyed.join(firsts, "key").select(F.col("id").alias("node"), "set"), "sets")
+    alone = firsts.select(F.col("set").alias("id"))
+    own, post = own.join(alone, "id", "left_semi"), post.join(alone, "id", "left_semi")
+    pairs = stored(links_among(candidates(post.withColumn("c", F.col("id")), own), own), "links")
+    texts = classes.join(of, "node", "left").withColumn("set", F.coalesce("set", "node")).select("digest", "set")
+    size = named.distinct().join(texts, "digest").groupBy("set").agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "digest")).alias("first"))
+    return stored(texts.join(size, "set"), "texts"), pairs
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """A row for each pair of different shingle sets that are similar enough: the
+    first document of each, by smallest id, with its text's md5, and how many
+    documents have the set."""
+    configure(docs.sparkSession)
+    texts, pairs = linked_sets(id_text(docs))
+    sets_ = texts.select("set", "first", "n_docs").dropDuplicates(["set"])
+    for s in "ab":
+        pairs = pairs.join(sets_.select(F.col("set").alias(s), F.col("first").alias(f"first_{s}"), F.col("n_docs").alias(f"n_docs_{s}")), s)
+    return pairs.select(*(c for s in "ab" for c in (
+        F.when(F.col(f"first_{s}.id") != NO_ID, F.col(f"first_{s}.id")).alias(f"doc_id_{s}"),
+        F.lower(F.hex(f"first_{s}.digest")).alias(f"md5_{s}"), f"n_docs_{s}")))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, md5 of the text, and n_links of every row: the other documents whose
+    sets are similar enough. Documents without words have none."""
+    configure(docs.sparkSession)
+    found = id_text(docs)
+    worded = found.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    texts, pairs = linked_sets(worded)
+    size = texts.select("set", "n_docs").dropDuplicates(["set"])
+    both = pairs.select(F.col("a").alias("own"), F.col("b").alias("set")).unionByName(pairs.select(F.col("b").alias("own"), F.col("a").alias("set")))
+    more = both.join(size, "set").groupBy("own").agg(F.sum("n_docs").alias("more")).withColumnRenamed("own", "set")
+    counts = texts.join(more, "set", "left").select("digest", (F.col("n_docs") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    rows = found.select("id", kx.digest_of(F.col("text")).alias("digest"))
+    return rows.join(counts, "digest", "left").select(out_id(), F.lower(F.hex("digest")).alias("md5"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

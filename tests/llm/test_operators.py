@@ -198,6 +198,30 @@ def test_jaccard_ids_that_are_null_or_repeated(spark):
         [(None, text(0)), (None, text(1)), (4, text(3)), (2, near(4)), (4, text(5)), (1, text(6)), (7, ""), (None, ""), (None, "\t")], key=repr)
 
 
+def test_jaccard_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:60 - i] + [f"own{i}"]), "x") for i in range(20)] + [
+        (30, " ".join(words), "x"), (31, " ".join(words).upper(), "x"), (31, " ".join(words), "x"), (31, " ".join(words), "x"),
+        (None, "\n".join(words), "x"), (None, " ".join(words[5:]), "x"), (40, "a b", "x"), (41, "A  b", "x"), (42, "", "x"), (43, None, "x"), (44, " ", "x"), (45, "all alone here", "x")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    docs = {(d, t or "") for d, t, _ in rows}
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(t.translate(LOW))
+        sets[d, t] = frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} - {()})
+    near = lambda a, b: len(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = [(d, md5(t or ""), sum(1 for o in docs if o != (d, t or "") and near(sets[o], sets[d, t or ""]))) for d, t, _ in rows]
+    assert rows_of(jaccard.link_counts(table)) == sorted(want, key=repr)
+    size = collections.Counter(sets.values())
+    of = {md5(t): s for (_, t), s in sets.items()}
+    got = jaccard.links(table).collect()
+    pairs = {frozenset((of[r["md5_a"]], of[r["md5_b"]])) for r in got}
+    kinds = list(size)
+    assert pairs == {frozenset((a, b)) for a in kinds for b in kinds if a != b and near(a, b)} and len(got) == len(pairs)
+    assert all((r["n_docs_a"], r["n_docs_b"]) == (size[of[r["md5_a"]]], size[of[r["md5_b"]]]) for r in got)
+
+
 def encode_all():
     from tokenizers import Tokenizer
 
