@@ -1,8 +1,9 @@
 """Operator 3: Lempel-Ziv phrase fingerprints.
 
 Each text is parsed into dictionary phrases (a phrase is the longest one known
-yet and one unit more; units are words, or single characters of scripts without
-blanks), the set of phrase hashes is reduced to
+yet and one unit more; units are words with one of the blanks 0x09-0x0D and 0x20,
+or single characters of scripts without blanks and past the first bytes of a very
+long word), the set of phrase hashes is reduced to
 64 minimum hashes of 16 bits, and the share of equal ones estimates how many
 phrases two texts have in common, as a compressor that has read one finds in the
 other. Phrases that end before an
@@ -31,6 +32,8 @@ from rankloom.llm.common import NO_ID, configure, id_text, mix, out_id, pieces,
 from rankloom.llm.shingles import span_hashes
 
 HASHES, RANGE_BYTES = 64, 8 << 20
+#: Bytes of a word that make one unit at most.
+LONG = 32
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -38,9 +41,15 @@ _B = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 def units(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     """What phrases are made of, and where the first n of them end: words with the blank that
     follows them, and each character of three bytes or more (scripts without
-    blanks) on its own."""
+    blanks) on its own, as each one beyond a word's first LONG bytes. Where a unit
+    ends depends on nothing past the next byte."""
     x = np.frombuffer(raw, np.uint8)
-    ends = np.append(np.flatnonzero((x[:-1] == 32) | (x[1:] >= 0xE0)) + 1, len(x)) if len(x) else np.zeros(0, np.int64)
+    if not len(x):
+        return [], np.zeros(1, np.int64)
+    cut = (x[:-1] == 32) | ((x[:-1] >= 9) & (x[:-1] <= 13)) | (x[1:] >= 0xE0)
+    place = np.arange(1, len(x))
+    since = place - np.maximum.accumulate(np.append(0, np.where(cut, place, 0))[:-1]) if len(x) > 1 else place
+    ends = np.append(np.flatnonzero(cut | ((since >= LONG) & (x[1:] & 0xC0 != 0x80))) + 1, len(x))
     to = ends.tolist()
     return [raw[i:j] for i, j in zip([0, *to[:-1]], to)], np.append(0, ends)
 
@@ -115,8 +124,9 @@ def fingerprints(texts: list[str], others: list[str]) -> tuple[np.ndarray, np.nd
             del node[u]
         take(raw[:at], ends[:same])
         take(raw[at:], ends[same:] - at)
-        parts, to = units(new[at:])
-        take(new[at:], to[phrases(parts, root, [])])
+        parts, to = units(new)
+        done = int(np.searchsorted(to, at))
+        take(new[at:], to[done:][phrases(parts[done:], root, [])] - at)
     if not first:
         return np.zeros((0, HASHES), np.uint16), np.zeros((0, HASHES), np.uint16)
     whole = np.frombuffer(b"".join(data), np.uint8)

@@ -134,6 +134,19 @@ def test_fingerprints(docs, empty):
     assert rows[2]["near_next"] > 0.5 and lz.digest(empty).count() == 0
 
 
+def test_fingerprints_of_texts_without_spaces():
+    rng = np.random.default_rng(8)
+    letters = {"list": "абвгдежзиклм", "tabs": "abcdefghijkl", "none": "abcdefghijkl", "two bytes": "абвгдежзиклм", "spaces": "abcdefghijkl"}
+    part = {"list": "\n", "tabs": "\t", "none": "", "two bytes": "", "spaces": " "}
+    for kind, own in letters.items():
+        text, other = (part[kind].join("".join(own[i] for i in rng.integers(0, 12, 6)) for _ in range(400)) for _ in range(2))
+        new = lz.edited(text, other)
+        sig, near = lz.fingerprints([text, new], [new, ""])
+        assert (sig[0] == near[0]).mean() > 0.2, kind
+        assert (sig[1] == near[0]).all()  # the edited form is what its own parse gives
+        assert b"".join(lz.units(text.encode())[0]) == text.encode()
+
+
 def test_urls(spark):
     pages = [(1, "http://a.example.org/es/1"), (2, "https://EXAMPLE.org/en/17?x"), (3, "http://x.com/fr/"), (4, "x.com/de/1"), (5, None),
              (6, "http://badexample.org/es/"), (7, "ftp://a.b.com/de/é#f"), (8, "://org"), (8, "http://net/")]
