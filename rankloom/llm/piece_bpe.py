@@ -20,9 +20,9 @@ found by the same walk over its cuts, when first asked for.
 A blank is written as U+2581, one is put before every text that isn't empty, and
 characters that no piece has become byte pieces. No piece of this vocabulary has
 U+2581 after another character, so a text's ids are those of its parts that
-begin with it, and workers remember parts (up to ``REMEMBERED``; then they start
-afresh, with the same ids). A vocabulary that has such pieces is taken whole
-text by whole text.
+begin with it, and workers remember parts; of more than ``REMEMBERED`` the older
+ones go when they aren't asked for again. A vocabulary that has such pieces is
+taken whole text by whole text.
 
 Null texts are encoded like empty ones: no ids. Null ids decode to null. Rows
 are independent: repeated rows and null doc_ids stay as they are, other columns
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import kept_between_tasks, small_batches
 
 BLANK = "▁"
-#: Parts that a worker remembers, and pairs of pieces that it has compared.
+#: Parts that a worker remembers twice over, and pairs of pieces that it has compared.
 REMEMBERED = 300_000
 COMPARED = 1_000_000
 #: Longer parts are encoded, not remembered.
@@ -89,14 +89,18 @@ class Pieces:
             self.surface[i] = bytes([b])
         self.unknown, self.control = model.unk_id(), {i for i in range(n) if model.is_control(i)}
         self.blanks_first = not any(BLANK in t.lstrip(BLANK) for t in self.id)
+        #: id -> (pieces on its left edge, on its right edge), or None if merges never give it
+        self.edges: dict[int, tuple | None] = {}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id.items():
-            self.automaton.add_word(t, i)
+            if self.edges_of(i):
+                self.automaton.add_word(t, i)
         self.automaton.make_automaton()
-        #: id -> (pieces on its left edge, on its right edge), or None if merges never give it
-        self.edges: dict[int, tuple | None] = {}
-        self.compared: dict[int, bool] = {}
+        #: id -> what was compared with it as the right piece -> does it go with it
+        self.compared: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.n_compared = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def edges_of(self, piece: int):
         """The pieces at a piece's two ends, from its first (last) character up
@@ -137,57 +141,66 @@ class Pieces:
                 j += 1
 
     def goes_with(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if key not in self.compared:
-            if len(self.compared) >= COMPARED:
-                self.compared.clear()
-            self.compared[key] = self.text[a] + self.text[b] not in self.id and self.meet(a, b)
-        return self.compared[key]
-
-    def last_tokens(self, text: str) -> array:
+        if self.n_compared >= COMPARED:
+            for right in self.compared:
+                right.clear()
+            self.n_compared = 0
+        self.n_compared += 1
+        self.compared[a][b] = goes = self.text[a] + self.text[b] not in self.id and self.meet(a, b)
+        return goes
+
+    def last_tokens(self, text: str) -> list[int]:
         """For each prefix its unique last token; -1 ends in a character without a piece."""
-        last = array("q", [-1]) * len(text)
-        size, edges_of, goes_with = self.size, self.edges_of, self.goes_with
-        done = -1
+        last = [-1] * len(text)
+        size, compared, done = self.size, self.compared, -1
         for end, piece in self.automaton.iter(text):
             if end == done:
                 continue
             before = end - size[piece]
-            if edges_of(piece) and (before < 0 or last[before] < 0 or goes_with(last[before], piece)):
-                last[end] = piece
-                done = end
+            left = last[before] if before >= 0 else -1
+            if left >= 0:
+                goes = compared[left].get(piece)
+                if goes is None:
+                    goes = self.goes_with(left, piece)
+                if not goes:
+                    continue
+            last[end] = piece
+            done = end
         return last
 
     def part_ids(self, text: str) -> bytes:
-        last, out, at = self.last_tokens(text), array("i"), len(text) - 1
+        last, size, out, at = self.last_tokens(text), self.size, [], len(text) - 1
         while at >= 0:
-            if last[at] >= 0:
-                out.append(last[at])
-                at -= self.size[last[at]]
+            piece = last[at]
+            if piece >= 0:
+                out.append(piece)
+                at -= size[piece]
             else:
-                units = text[at].encode()
-                out.extend([self.byte[x] for x in reversed(units)] if self.byte else [self.unknown])
+                out.extend([self.byte[x] for x in reversed(text[at].encode())] if self.byte else [self.unknown])
                 at -= 1
         out.reverse()
-        return out.tobytes()
+        return array("i", out).tobytes()
+
+    def learned(self, part: str) -> bytes:
+        """The ids of a part that isn't among the known ones."""
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.part_ids(part)
+        if len(part) <= LONG:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[part] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as native 32-bit integers."""
         if not text:
             return b""
         text = BLANK + text.replace(" ", BLANK)
-        if not self.blanks_first:
-            return self.part_ids(text)
-        known, out = self.known, []
-        for part in _PARTS(text):
-            got = known.get(part)
-            if got is None:
-                got = self.part_ids(part)
-                if len(part) <= LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = got
-            out.append(got)
+        parts = _PARTS(text) if self.blanks_first else [text]
+        out = list(map(self.known.get, parts))
+        if None in out:
+            out = [self.learned(part) if ids is None else ids for part, ids in zip(parts, out)]
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
