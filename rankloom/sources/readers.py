@@ -2,9 +2,8 @@
 
 The reference reads whole JSON files into memory. Here every reader returns
 a DataFrame and keeps the input order as a column where semantics depend on
-it (first-wins dedup, row index). Line-oriented formats (JSON Lines, text,
-Parquet) split across tasks; a single multi-line JSON array is one task per
-file by nature, so prefer JSON Lines or Parquet for large inputs.
+it (first-wins dedup, row index). All formats split across tasks: line-oriented
+ones by themselves, a JSON array or object by :mod:`rankloom.sources.json_split`.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from rankloom.functions.text import py_strip
 from rankloom.operators.sequence import row_index
+from rankloom.sources.json_split import json_elements
 
 # prediction/label key aliases, in priority order.
 PRED_KEYS = ("predict", "prediction", "output")
@@ -44,25 +44,25 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+_STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false"}
+
+
+def _one(text: Column, schema: str | T.DataType, opening: str = "[", closing: str = "]") -> Column:
+    """The value of JSON text that has to be exactly one array element (or object
+    member), parsed strictly as the only one of a collection."""
+    parsed = F.from_json(F.concat(F.lit(opening), text, F.lit(closing)), schema, _STRICT)
+    return F.when(F.size(parsed) == 1, parsed).otherwise(F.raise_error(F.concat(F.lit("malformed JSON value: "), F.substring(text, 1, 200))))
+
+
 def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: a JSON file holding a top-level array of examples, or an object
-    wrapping it under ``data`` (else ``examples``, else nothing). A missing
-    file is an error. Adds ``pos`` (order in the file)."""
-    if not _fs_exists(spark, path):
-        raise FileNotFoundError(f"raw file not found: {path}")
-    wrapper = T.StructType(RAW_FIELDS + [T.StructField("data", T.ArrayType(RAW_SCHEMA)),
-                                         T.StructField("examples", T.ArrayType(RAW_SCHEMA))])
-    df = spark.read.schema(wrapper).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    # Each file is one task (a JSON document is not splittable); ids are in
-    # file order within it.
-    row = F.struct(*[F.col(f.name) for f in RAW_FIELDS])
-    wrapped = F.col("data").isNotNull() | F.col("examples").isNotNull()
-    items = F.when(wrapped, F.coalesce(F.col("data"), F.col("examples"))).otherwise(F.array(row))
-    x = df.select(F.monotonically_increasing_id().alias("_doc"), F.posexplode(items).alias("_i", "r"))
-    # A multi-line JSON file is one partition and monotonically_increasing_id
-    # leaves a 2**33 gap between partitions, so a wrapper's positions
-    # (_doc + i) stay ordered and unique; array elements are one row each.
-    return x.select((F.col("_doc") + F.col("_i")).alias("pos"), "r.*")
+    wrapping it under ``data`` (else ``examples``, else nothing). A missing file,
+    or one that isn't strictly such JSON, is an error. Adds ``pos`` (0-based order in
+    the file). One file is read by many tasks (:mod:`rankloom.sources.json_split`)."""
+    found = json_elements(spark, path, wrapped_by=("data", "examples"))
+    row = _one(F.col("text"), T.ArrayType(RAW_SCHEMA))[0]
+    row = F.when(row.isNotNull() & F.ltrim("text").rlike(r"^\s*\{"), row).otherwise(F.raise_error(F.lit("expected an array of JSON objects")))
+    return found.select("pos", row.alias("r")).select("pos", "r.*")
 
 
 def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -89,24 +89,19 @@ def with_line_order(df: DataFrame, name: str = "idx") -> DataFrame:
 
 def read_metadata(spark: SparkSession, metadata_dir: str, file_pattern: str = META_FILE) -> DataFrame:
     """SRC2: up to three split files, each one JSON object keyed by qid;
-    absent split files are skipped. Long form: qid, split, pos,
-    reasoning_text, total_thinking (pos = key order inside the file)."""
+    absent split files are skipped, anything but strictly one object is an
+    error. Long form: qid, split, pos, reasoning_text, total_thinking (pos = key
+    order inside the file; of a repeated key the later one wins downstream). One
+    file is read by many tasks."""
     rec = "map<string, struct<reasoning_text: string, total_thinking: string>>"
-    parts = []
+    out = spark.createDataFrame([], "qid string, split string, pos long, reasoning_text string, total_thinking string")
     for split in META_SPLITS:
         p = f"{metadata_dir.rstrip('/')}/{file_pattern.format(split=split)}"
-        if not _fs_exists(spark, p):
-            continue
-        t = spark.read.text(p, wholetext=True)
-        parts.append(t.select(F.lit(split).alias("split"),
-                              F.posexplode(F.from_json("value", rec, {"mode": "FAILFAST"})).alias("pos", "qid", "r")))
-    if not parts:
-        return spark.createDataFrame([], "qid string, split string, pos int, reasoning_text string, "
-                                         "total_thinking string")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df.select("qid", "split", "pos", "r.reasoning_text", "r.total_thinking")
+        if _fs_exists(spark, p):
+            member = _one(F.col("text"), rec, "{", "}")
+            x = json_elements(spark, p, top="{").select("pos", F.explode(member).alias("qid", "r"))
+            out = out.unionByName(x.select("qid", F.lit(split).alias("split"), "pos", "r.reasoning_text", "r.total_thinking"))
+    return out
 
 
 def pick_first_key(v: Column, line: Column, keys: Sequence[str]) -> Column:
@@ -160,14 +155,10 @@ def read_trainer_states(spark: SparkSession, runs_root: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: a JSON file whose top level must be an array of objects. Output:
-    ``pos`` (order in the file) and ``record``, the object's own compact JSON
-    with all its keys in their order, nulls included. A truncated file, another
-    top level or an element that is no object fails the job."""
-    if not _fs_exists(spark, path):
-        raise FileNotFoundError(f"input not found: {path}")
-    t = spark.read.text(path, wholetext=True)
-    arr = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", "array<string>", {"mode": "FAILFAST"})) \
-        .otherwise(F.raise_error(F.lit("expected a top-level JSON array")))
-    x = t.select(F.posexplode(arr).alias("pos", "record"))
+    ``pos`` (0-based order in the file) and ``record``, the object's own compact
+    JSON with all its keys in their order, nulls included. A truncated file, text
+    after the array, another top level or an element that is no object fails the
+    job. One file is read by many tasks."""
+    x = json_elements(spark, path).select("pos", _one(F.col("text"), "array<string>")[0].alias("record"))
     return x.select("pos", F.when(F.col("record").startswith("{"), F.col("record")).otherwise(
         F.raise_error(F.lit("expected an array of JSON objects"))).alias("record"))
