@@ -78,12 +78,14 @@ def key_fields(schema: T.StructType, keys: Sequence[str], prefix: str) -> list[T
     return [T.StructField(f"{prefix}{j}", schema[k].dataType) for j, k in enumerate(keys)]
 
 
-def _local_running(batch: pa.RecordBatch, keys: list[str], vals: list[str], state: dict):
+def _local_running(batch: pa.RecordBatch, keys: list[str], vals: list[str], state: dict,
+                   restart: str | None = None, restarting: frozenset[str] = frozenset()):
     """Running index and sums within one sorted partition, continuing
-    ``state`` across Arrow batches (vectorised; O(batch)).
+    ``state`` across Arrow batches (vectorised; O(batch)). The sums in
+    ``restarting`` also begin anew at rows where ``restart`` holds.
 
-    Returns (index, {val: inclusive running sum}, in_first) where
-    ``in_first`` marks rows of the partition's first group."""
+    Returns (index, {val: inclusive running sum}, {val or None: rows that what
+    came before the partition still counts for}); None stands for the index."""
     n = batch.num_rows
     cols = [batch.column(k) for k in keys]
     first_batch = "key" not in state
@@ -95,37 +97,54 @@ def _local_running(batch: pa.RecordBatch, keys: list[str], vals: list[str], stat
     cont = last_start < 0                       # continues the previous batch's group
     safe_start = np.maximum(last_start, 0)
     index = np.where(cont, state.get("idx", 0) + pos, pos - last_start)
+    in_first = (seg == (1 if first_batch else 0)) & state.get("first_open", True)
+    carried = dict.fromkeys([None, *vals], in_first)
+    starts = dict.fromkeys(vals, (cont, safe_start))
+    if restarting:
+        again = pc.fill_null(batch.column(restart), False).to_numpy(zero_copy_only=False)
+        last_again = np.maximum.accumulate(np.where(change | again, pos, -1))
+        unbroken = in_first & (np.cumsum(again) == 0) & state.get("unbroken", True)
+        state["unbroken"] = bool(unbroken[-1])
+        for v in restarting:
+            carried[v], starts[v] = unbroken, (last_again < 0, np.maximum(last_again, 0))
     sums = {}
     for v in vals:
         x = pc.fill_null(batch.column(v), 0).to_numpy(zero_copy_only=False)
         cs = np.cumsum(x)
         excl = cs - x
-        sums[v] = np.where(cont, state.get(v, 0) + cs, cs - excl[safe_start])
-    first_open = state.get("first_open", True)
-    in_first = (seg == (1 if first_batch else 0)) & first_open
+        goes_on, start = starts[v]
+        sums[v] = np.where(goes_on, state.get(v, 0) + cs, cs - excl[start])
     state["first_open"] = bool(in_first[-1])
     state["key"] = key_at(cols, n - 1)
     state["idx"] = int(index[-1]) + 1
     for v in vals:
         state[v] = sums[v][-1].item()
-    return index, sums, in_first
+    return index, sums, carried
 
 
 def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
                    values: Mapping[str, Column] | None = None, index_name: str = "_idx",
                    start: int = 0, num_partitions: int | None = None,
-                   bytes_per_partition: int = 256 << 20) -> DataFrame:
+                   bytes_per_partition: int = 256 << 20, restart: Column | None = None,
+                   restarting: Sequence[str] = ()) -> DataFrame:
     """Add ``index_name`` (position within group in ``order_by`` order, from
     ``start``) and, for each ``values`` entry, the inclusive running sum of
     that expression within the group (``run_<name>``: long for integer
     expressions, double for the others; null counts as 0). ``order_by`` should
     make the order total (end it with a unique key). Null keys form a group of
-    their own. Without ``num_partitions`` the range partition count comes from
+    their own. The values named in ``restarting`` are sums within segments: they
+    begin anew at each row where ``restart`` holds (with that row's own value).
+    Partial sums of segments compose like those of groups, so a segment may span
+    many partitions, too. Without ``num_partitions`` the range partition count comes from
     :func:`partitions_for`."""
     values = dict(values or {})
     keys = list(group_by)
     vals = list(values)
     prepared = df.withColumns(values) if values else df
+    again = frozenset(restarting)
+    if again:
+        prepared = prepared.withColumn("_restart", restart)
+    extra = ["_restart"] if again else []
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     kind = {v: T.LongType() if isinstance(prepared.schema[v].dataType, whole) else T.DoubleType() for v in vals}
     if vals:
@@ -138,7 +157,8 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
     first, last = key_fields(srt.schema, keys, "first"), key_fields(srt.schema, keys, "last")
     summary_schema = T.StructType([
         T.StructField("pid", T.IntegerType()), *first, *last,
-        T.StructField("single", T.BooleanType()), T.StructField("n_last", T.LongType()),
+        T.StructField("single", T.BooleanType()), T.StructField("unbroken", T.BooleanType()),
+        T.StructField("n_last", T.LongType()),
         *[T.StructField(f"s_{v}", kind[v]) for v in vals]])
 
     def summarize(batches):
@@ -152,17 +172,17 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
             if not state:
                 heads = [b.column(k).slice(0, 1) for k in keys]
             tails = [b.column(k).slice(b.num_rows - 1, 1) for k in keys]
-            _local_running(b, keys, vals, state)
+            _local_running(b, keys, vals, state, "_restart", again)
         if not state:
             return
-        rest = [pa.array([state["first_open"]]), pa.array([state["idx"]], pa.int64()),
+        rest = [pa.array([state["first_open"]]), pa.array([state.get("unbroken", True)]), pa.array([state["idx"]], pa.int64()),
                 *[pa.array([state[v]], pa.float64() if isinstance(kind[v], T.DoubleType) else pa.int64())
                   for v in vals]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()], pa.int32()), *heads, *tails, *rest],
             names=summary_schema.fieldNames())
 
-    cols = list(dict.fromkeys([*keys, *vals, order_by[0]]))  # never zero columns
+    cols = list(dict.fromkeys([*keys, *vals, *extra, order_by[0]]))  # never zero columns
     summaries = srt.select(*cols).mapInArrow(summarize, summary_schema).collect()
     summaries.sort(key=lambda r: r["pid"])
 
@@ -174,11 +194,13 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
         c_idx, c_sums = prev if prev_key == tuple(r[f.name] for f in first) else none
         carry[r["pid"]] = (c_idx, c_sums)
         own = (r["n_last"], {v: r[f"s_{v}"] for v in vals})
-        prev = (c_idx + own[0], {v: c_sums[v] + own[1][v] for v in vals}) if r["single"] else own
+        prev = (c_idx + own[0], {v: own[1][v] + (c_sums[v] if r["unbroken"] or v not in again else 0) for v in vals}) \
+            if r["single"] else own
         prev_key = tuple(r[f.name] for f in last)
 
     # ---- pass 2: local running totals + carry -------------------------------
-    out_schema = T.StructType([*srt.schema.fields, T.StructField(index_name, T.LongType()),
+    kept = [f for f in srt.schema.fields if f.name not in extra]
+    out_schema = T.StructType([*kept, T.StructField(index_name, T.LongType()),
                                *[T.StructField(f"run_{v}", kind[v]) for v in vals]])
 
     def apply(batches):
@@ -188,10 +210,10 @@ def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
         for b in batches:
             if not b.num_rows:
                 continue
-            index, sums, in_first = _local_running(b, keys, vals, state)
-            added = [pa.array(index + np.where(in_first, c_idx, 0) + start, pa.int64())]
-            added += [pa.array(sums[v] + np.where(in_first, c_sums[v], 0)) for v in vals]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=out_schema.fieldNames())
+            index, sums, carried = _local_running(b, keys, vals, state, "_restart", again)
+            added = [pa.array(index + np.where(carried[None], c_idx, 0) + start, pa.int64())]
+            added += [pa.array(sums[v] + np.where(carried[v], c_sums[v], 0)) for v in vals]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *added], names=out_schema.fieldNames())
 
     return srt.mapInArrow(apply, out_schema)
 

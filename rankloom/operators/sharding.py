@@ -10,9 +10,9 @@ Records are (group..., pos, rec_bytes) with rec_bytes = compact JSON bytes + 1
   in three parallel passes over range partitions (see below), so no group is
   ever collected into one task.
 * :func:`bounded_shards` (SHARD1) is the cheaper prefix-sum variant: shard =
-  dense rank of floor(start offset / W), W = budget - largest record. Every
-  shard stays within budget (when records are at most half the budget);
-  shards are fuller than half on average but not greedy-optimal.
+  floor(start offset / W) within segments that large records end, numbered in
+  order; W = budget - largest small record. Every shard stays within budget
+  (or is one large record); shards are not greedy-optimal.
 
 Greedy in parallel. For a run of records of one group, let ``G(i)`` be the
 outcome (bytes of the last open shard, shards started) of packing from a
@@ -37,12 +37,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.sequence import (
-    key_changes, key_fields, materialize, partitions_for, running_totals)
+    key_changes, key_fields, materialize, partitions_for, row_index,
+    running_totals)
 
 # Fixed value: default shard budget (90 MiB, under a 100 MB file cap).
 DEFAULT_MAX_BYTES = 90 * 1024 * 1024
@@ -283,30 +284,38 @@ def greedy_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
 def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
                    group_by: Sequence[str] = (), order_by: str = "pos",
                    size_col: str = "rec_bytes") -> DataFrame:
-    """SHARD1: shard = dense rank of floor(start / W) per group, where start
-    is the byte offset of the record (exclusive running sum, skew-safe) and
-    W = (max_bytes - 2) - largest record of the group. A shard then holds at
-    most W + largest record = max_bytes - 2 record bytes.
-
+    """SHARD1: shards by byte offset, in input order. A record of more than half
+    the budget (max_bytes - 2) is large: it has a shard of its own, and offsets
+    begin anew after it, so it ends a segment. Within a segment the shard is
+    floor(start / W), where start is the record's offset in the segment and
+    W = budget - the group's largest small record. A shard then holds at most
+    W + that record = budget bytes, and W is at least half the budget, however
+    large the large records are.
+
+    Offsets are segmented running sums over range partitions; shards are numbered
+    by a running index over one row a shard, so no group is in one task.
     Output: group columns, ``order_by``, ``size_col``, ``start``, ``shard_id``."""
     keys = list(group_by)
-    narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
-    run = running_totals(narrow, keys, [order_by], {"_b": F.col(size_col)})
     budget = max_bytes - _EMPTY
-    width_expr = F.greatest(F.lit(budget) - F.max(size_col), F.lit(1))
-    start = F.col("run__b") - F.col(size_col)
+    narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
+    large = 2 * F.col(size_col) > budget
+    small = F.when(~large, F.col(size_col)).otherwise(0).cast("long")
+    run = running_totals(narrow, keys, [order_by], {"_b": small, "_large": large.cast("long")},
+                         restart=large, restarting=["_b"])
+    # small records after k large ones are in segment 2k, the k-th large one is 2k - 1
+    run = run.select(*keys, order_by, size_col, (F.col("run__b") - F.when(~large, F.col(size_col)).otherwise(0)).alias("start"),
+                     (2 * F.col("run__large") - large.cast("long")).alias("_segment"))
+    width = narrow.filter(~large).groupBy(*keys).agg((F.lit(budget) - F.max(size_col)).alias("_w"))
     if keys:
-        width = narrow.groupBy(*keys).agg(width_expr.alias("_w"))
-        placed = run.withColumn("start", start).join(width, keys, "left")
+        run = run.alias("r").join(width.alias("w"), [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys], "left").select("r.*", "_w")
     else:
-        w0 = narrow.agg(width_expr.alias("_w")).collect()[0]["_w"]   # one scalar
-        placed = run.withColumn("start", start).withColumn("_w", F.lit(w0 if w0 is not None else 1))
-    placed = placed.withColumn("_bucket", F.floor(F.col("start") / F.col("_w")))
-    # one row per non-empty bucket: bounded by the shard count
-    buckets = placed.groupBy(*keys, "_bucket").agg(F.lit(1).alias("_one"))
-    w = Window.partitionBy(*keys).orderBy("_bucket")
-    ranked = buckets.select(*keys, "_bucket", (F.dense_rank().over(w) - 1).cast("long").alias("shard_id"))
-    return placed.join(ranked, [*keys, "_bucket"]).select(*keys, order_by, size_col, "start", "shard_id")
+        run = run.withColumn("_w", F.lit((width.first() or [None])[0]).cast("long"))  # one scalar
+    shard = [*keys, "_segment", "_bucket"]
+    placed = materialize(run.withColumn("_bucket", F.when(~large, F.floor(F.col("start") / F.col("_w"))).otherwise(0))
+                         .drop("_w"), "placed")
+    numbered = row_index(placed.select(*shard).distinct(), ["_segment", "_bucket"], keys, "shard_id")
+    same = placed.alias("p").join(numbered.alias("n"), [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in shard])
+    return same.select(*[f"p.{c}" for c in keys], f"p.{order_by}", f"p.{size_col}", "p.start", "n.shard_id")
 
 
 def shard_report(assigned: DataFrame, group_by: Sequence[str] = (),

@@ -305,14 +305,16 @@ def shard_report(spark, sf_dir):
 
 
 @register("shard_assign", o.with_(o.F4) + f"""
-, r as (select lang, pos, rec_bytes,
-    cast(sum(rec_bytes) over (partition by lang order by pos rows between unbounded preceding and current row)
-      - rec_bytes as bigint) start,
-    greatest({SHARD_TEST_BYTES} - 2 - max(rec_bytes) over (partition by lang), 1) w from f4)
-select lang, pos, rec_bytes, start,
-  dense_rank() over (partition by lang order by floor(start / w)) - 1 shard_id from r""")
+, marked as (select *, 2 * rec_bytes > {SHARD_TEST_BYTES} - 2 large from f4),
+cut as (select *, 2 * count(*) filter (where large) over (partition by lang order by pos) - large::int seg from marked),
+r as (select lang, pos, rec_bytes, seg, case when large then 0 else
+    sum(rec_bytes) over (partition by lang, seg order by pos rows between unbounded preceding and current row) - rec_bytes end start,
+    {SHARD_TEST_BYTES} - 2 - max(rec_bytes) filter (where not large) over (partition by lang) w from cut)
+select lang, pos, cast(rec_bytes as bigint) rec_bytes, cast(start as bigint) start,
+  dense_rank() over (partition by lang order by seg, case when seg % 2 = 0 then floor(start / w) end) - 1 shard_id from r""")
 def shard_assign(spark, sf_dir):
-    """SHARD1: prefix-sum bounded shards per lang (64 KiB budget)."""
+    """SHARD1: prefix-sum bounded shards per lang (64 KiB budget; longer half-budget
+    records end segments)."""
     return sharding.bounded_shards(fx.shard_input(spark, sf_dir), SHARD_TEST_BYTES, ["lang"])
 
 

@@ -143,3 +143,57 @@ def test_ordered_passes_keep_types_and_null_keys(spark):
     out = running_totals(df, ["g"], ["pos"], {"w": F.col("v")}, num_partitions=9).orderBy("pos").collect()
     for i, r in enumerate(out):
         assert (r.g, r.payload, r._idx, r.run_w) == (rows[i][0], rows[i][2], i // 2, 2**53 + i // 2)
+
+
+def plain_bounded(sizes, budget):
+    """Shard of each record, from the rule: large ones alone, else by offset."""
+    width = budget - max([x for x in sizes if 2 * x <= budget], default=0)
+    out, shard, offset, last = [], -1, 0, None
+    for x in sizes:
+        if 2 * x > budget:
+            here, offset = object(), 0
+        else:
+            here, offset = offset // width, offset + x
+        shard += last is None or here != last
+        last = here if 2 * x <= budget else object()
+        out.append(shard)
+    return out
+
+
+def test_bounded_shards_break_at_large_records(spark):
+    import random
+    rng = random.Random(7)
+    many = [50] * 1001
+    many[500] = 990
+    cases = {"one large": many, "mixed": [rng.choice([1, 30, 200, 480, 499, 500, 700, 5000]) for _ in range(900)],
+             "only large": [900, 800, 5000], "all small": [rng.randint(1, 90) for _ in range(700)]}
+    rows = [(name, i, x) for name, sizes in cases.items() for i, x in enumerate(sizes)] + [(None, i, x) for i, x in enumerate(cases["mixed"])]
+    df = spark.createDataFrame(rows, "g string, pos long, rec_bytes long").repartition(5)
+    got = {(r.g, r.pos): r for r in sharding.bounded_shards(df, 1000, ["g"]).collect()}
+    assert len(got) == len(rows)
+    for name, sizes in [*cases.items(), (None, cases["mixed"])]:
+        ids = [got[name, i].shard_id for i in range(len(sizes))]
+        assert ids == plain_bounded(sizes, 998), name
+        for k in set(ids):
+            own = [x for x, j in zip(sizes, ids) if j == k]
+            assert sum(own) <= 998 or len(own) == 1
+    greedy = sharding.greedy_shards(df.filter("g = 'one large'"), 1000, ["g"]).agg({"shard_id": "max"}).first()[0] + 1
+    assert max(got["one large", i].shard_id for i in range(1001)) + 1 <= 2 * greedy
+    alone = sharding.bounded_shards(df.filter("g = 'mixed'").select("pos", "rec_bytes"), 1000)
+    assert {r.pos: r.shard_id for r in alone.collect()} == {i: got["mixed", i].shard_id for i in range(900)}
+
+
+def test_segmented_totals_over_many_partitions(spark):
+    import random
+    from pyspark.sql import functions as F
+    from rankloom.operators.sequence import running_totals
+    rng = random.Random(9)
+    rows = [(g, i, rng.randint(1, 9), rng.random() < p) for g, p in (("a", .02), ("b", 0.0), (None, .5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i long, v long, again boolean")
+    got = {(r.g, r.i): (r.run_x, r.run_y) for r in running_totals(
+        df, ["g"], ["i"], {"x": F.col("v"), "y": F.col("v")}, num_partitions=23, restart=F.col("again"), restarting=["y"]).collect()}
+    whole, part = {}, {}
+    for g, i, v, again in rows:
+        whole[g] = whole.get(g, 0) + v
+        part[g] = v + (0 if again else part.get(g, 0))
+        assert got[g, i] == (whole[g], part[g])
