@@ -42,8 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.sequence import (
-    key_changes, key_fields, materialize, partitions_for, row_index,
-    running_totals)
+    key_changes, key_fields, materialize, partitions_for, running_totals)
 
 # Fixed value: default shard budget (90 MiB, under a 100 MB file cap).
 DEFAULT_MAX_BYTES = 90 * 1024 * 1024
@@ -300,8 +299,9 @@ def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
     narrow = df.select(*keys, order_by, F.col(size_col).cast("long").alias(size_col))
     large = 2 * F.col(size_col) > budget
     small = F.when(~large, F.col(size_col)).otherwise(0).cast("long")
+    n = partitions_for(narrow)
     run = running_totals(narrow, keys, [order_by], {"_b": small, "_large": large.cast("long")},
-                         restart=large, restarting=["_b"])
+                         num_partitions=n, restart=large, restarting=["_b"])
     # small records after k large ones are in segment 2k, the k-th large one is 2k - 1
     run = run.select(*keys, order_by, size_col, (F.col("run__b") - F.when(~large, F.col(size_col)).otherwise(0)).alias("start"),
                      (2 * F.col("run__large") - large.cast("long")).alias("_segment"))
@@ -313,7 +313,8 @@ def bounded_shards(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES,
     shard = [*keys, "_segment", "_bucket"]
     placed = materialize(run.withColumn("_bucket", F.when(~large, F.floor(F.col("start") / F.col("_w"))).otherwise(0))
                          .drop("_w"), "placed")
-    numbered = row_index(placed.select(*shard).distinct(), ["_segment", "_bucket"], keys, "shard_id")
+    # a checkpoint keeps the estimate of the join before it, so the count is given
+    numbered = running_totals(placed.select(*shard).distinct(), keys, ["_segment", "_bucket"], index_name="shard_id", num_partitions=n)
     same = placed.alias("p").join(numbered.alias("n"), [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in shard])
     return same.select(*[f"p.{c}" for c in keys], f"p.{order_by}", f"p.{size_col}", "p.start", "n.shard_id")
 
