@@ -1,10 +1,10 @@
 """Sinks (SNK1-7) and the canonical-table reuse rule (SRC5).
 
 All writers are Spark writers; nothing is collected to the driver. Sharded
-output keeps the reference's shape -- every shard file is one compact JSON
-array under the byte budget -- as ``<out>/setup=<s>/split=<t>/shard_id=<n>/``
-directories (Spark's partitioned layout instead of ``part-%05d.json`` names).
-A write replaces the whole output folder, so no shard of an earlier run stays.
+output is one compact JSON array under the byte budget per shard file;
+``write_json_shards`` writes Spark's partitioned layout
+``<out>/setup=<s>/split=<t>/shard_id=<n>/`` and replaces the whole output folder,
+:mod:`rankloom.sources.datasets` puts shards where the manifest names them.
 """
 
 from __future__ import annotations
@@ -84,25 +84,23 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 def reshard(spark: SparkSession, in_path: str, out_dir: str,
             max_bytes: int = DEFAULT_MAX_BYTES, replace: bool = False) -> DataFrame:
     """SRC7 + SNK2 + AGG9 + SNK7: split an existing JSON-array file into
-    budget-bounded shards (each record compact, with all its keys), report
-    shards/bytes, and optionally delete the source, only after the shards were
-    read back and hold as many records as were read. Never writes into the
+    budget-bounded shards ``out_dir``/part-00000.json, ... (each record compact, with
+    all its keys), report shards/bytes, and optionally delete the source. It is
+    deleted only when the shards, read back strictly, have the count and sum of
+    record hashes that a fresh strict read of the source has. Never writes into the
     path it reads."""
     from rankloom.operators.sharding import shard_report
+    from rankloom.sources.datasets import checksum, read_dataset, write_shard_folder
     from rankloom.sources.readers import read_json_array
     if out_dir.rstrip("/") == in_path.rstrip("/"):
         raise ValueError("output must differ from the input path")
     # cut lineage first: the report must not re-read a source that may be deleted
-    recs = materialize(read_json_array(spark, in_path).withColumn("part", F.lit("all")), "reshard")
-    sharded = materialize(shard_records(recs, max_bytes, group_by=("part",)), "reshard")
-    write_json_shards(sharded, out_dir, group_by=("part",))
+    sharded = write_shard_folder(materialize(read_json_array(spark, in_path), "reshard"), out_dir, max_bytes)
     report = shard_report(sharded, ["part"]).drop("part")
     if replace:
-        back = spark.read.text(out_dir, wholetext=True).select(
-            F.sum(F.size(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))).alias("n")).collect()[0]["n"]
-        n = recs.count()
-        if (back or 0) != n:
-            raise RuntimeError(f"{in_path} is kept: {back or 0} of {n} records were written")
+        there, here = checksum(read_json_array(spark, in_path)), checksum(read_dataset(spark, out_dir)) if sharded.take(1) else (0, None, None)
+        if there != here:
+            raise RuntimeError(f"{in_path} is kept: it has (records, hashes) {there}, its shards {here}")
         replace_source(spark, in_path)
     return report
 

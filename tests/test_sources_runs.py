@@ -139,11 +139,10 @@ def test_reshard_and_replace(spark, tmpdir_path):
     rep = writers.reshard(spark, src, f"{tmpdir_path}/shards", max_bytes=600, replace=True).collect()[0]
     assert rep.n_records == 40 and rep.max_shard_bytes <= 600 and not os.path.exists(src)
     got = []
-    root = f"{tmpdir_path}/shards/part=all"
-    for shard in sorted(os.listdir(root), key=lambda s: int(s.split("=")[1])):
-        for f in sorted(os.listdir(f"{root}/{shard}")):
-            if f.startswith("part-"):
-                got += json.loads(open(f"{root}/{shard}/{f}").read())
+    names = sorted(f for f in os.listdir(f"{tmpdir_path}/shards") if not f.startswith("."))
+    assert names == [f"part-{k:05d}.json" for k in range(rep.n_shards)]
+    for f in names:
+        got += json.loads(open(f"{tmpdir_path}/shards/{f}").read())
     assert got == recs
 
 
