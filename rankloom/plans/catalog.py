@@ -17,7 +17,7 @@ from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
 from rankloom.session import configure, scratch_dir
-from rankloom.sources import readers
+from rankloom.sources import datasets, readers
 from rankloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +231,95 @@ def canonical_from_jsonl(spark, sf_dir):
     return canon.select("qid", "dataset", "prompt", "thinking", "answer")
 
 
+# ------------------------------------------------------------ whole JSON files
+_RAW_FILE = o.with_(o.F2) + """
+select row_number() over (order by pos) - 1 pos, qid, dataset, prompt, thinking, answer from f2"""
+
+
+def _json_text(*cols: str):
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def _raw_file(spark, sf_dir, path, opening="[", closing="]"):
+    raw = fx.raw_examples(spark, sf_dir)
+    datasets.write_json_file(raw.select("pos", _json_text("qid", "dataset", "prompt", "thinking", "answer").alias("record")), path, opening, closing)
+    return path
+
+
+def _metadata_files(spark, sf_dir, folder):
+    meta = fx.reasoning_metadata(spark, sf_dir)
+    member = F.concat(F.regexp_extract(F.to_json(F.array("qid")), r"^\[(.*)\]$", 1), F.lit(": "), _json_text("reasoning_text", "total_thinking"))
+    for name in curation.SPLIT_ORDER:
+        rows = meta.filter(F.col("split") == name).select(F.col("qid").alias("pos"), member.alias("record"))
+        datasets.write_json_file(rows, f"{folder}/{readers.META_FILE.format(split=name)}", "{", "}")
+    return folder
+
+
+@register("raw_array_file", _RAW_FILE)
+def raw_array_file(spark, sf_dir):
+    """SRC1: the raw examples as one JSON array file, read back by many tasks."""
+    path = _raw_file(spark, sf_dir, f"{scratch_dir(spark, 'q-raw-array')}/raw.json")
+    return readers.read_raw_examples(spark, path).select("pos", "qid", "dataset", "prompt", "thinking", "answer")
+
+
+@register("raw_wrapper_file", _RAW_FILE)
+def raw_wrapper_file(spark, sf_dir):
+    """SRC1: the same under ``data`` of an object, between other members."""
+    path = _raw_file(spark, sf_dir, f"{scratch_dir(spark, 'q-raw-wrapper')}/raw.json",
+                     '{"about": {"data": [{"qid": "no"}]}, "data": [', '], "examples": [{"qid": "no"}]}')
+    return readers.read_raw_examples(spark, path).select("pos", "qid", "dataset", "prompt", "thinking", "answer")
+
+
+@register("metadata_files", ORACLES["metadata_latest"])
+def metadata_files(spark, sf_dir):
+    """SRC2 + AGG4: the reasoning metadata as one JSON object a split, read back
+    by many tasks, last record per qid."""
+    folder = _metadata_files(spark, sf_dir, scratch_dir(spark, "q-metadata"))
+    return curation.metadata_latest(readers.read_metadata(spark, folder))
+
+
+@register("reshard_documents", f"""
+with recursive docs as (select doc_id pos, text, lang, 1 one, octet_length(encode(to_json({{'doc_id': doc_id, 'lang': lang, 'text': text}}))) + 1 rec_bytes from documents),
+{o.greedy_cte('docs', 'one', 65536)}
+select pos doc_id, lang, cast(shard as integer) shard, md5(text) text_md5 from fold join docs using (pos)""")
+def reshard_documents(spark, sf_dir):
+    """SRC7 + SNK2 + SNK7: all documents as one JSON array file, resharded into
+    part-%05d.json files of 64 KiB at most, the source replaced after its checksum
+    was found in the shards, and the shards read back."""
+    from rankloom.sources import writers
+    work = scratch_dir(spark, "q-reshard")
+    docs = fx.table(spark, sf_dir, "documents")
+    datasets.write_json_file(docs.select(F.col("doc_id").alias("pos"), _json_text("doc_id", "lang", "text").alias("record")), f"{work}/documents.json")
+    writers.reshard(spark, f"{work}/documents.json", f"{work}/documents", 65536, replace=True)
+    back = datasets.read_dataset(spark, f"{work}/documents")
+    r = F.from_json("record", "doc_id long, lang string, text string", {"mode": "FAILFAST"})
+    return back.select("shard", r.alias("r")).select("r.doc_id", "r.lang", "shard", F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
+
+
+@register("corpus_build", o.with_(*_CUR, o.ROWS, o.CANON, o.SPLIT, o.SETUP_ROWS, f"""
+texts as (select pos, setup, mask_history, split.split, cast(to_json({{'system': '{o.SYSTEM.replace("'", "''")}', 'conversations': conversations}}) as varchar) record
+  from setups join split using (pos)),
+train as (select setup, pos, octet_length(encode(record)) + 1 rec_bytes from texts where split = 'train')""",
+          o.greedy_cte("train", "setup", 65536)).replace("with ", "with recursive ", 1) + f"""
+select t.setup || '_' || t.split "name", mask_history, case t.split when 'train' then cast(shard as integer) else 0 end shard, md5(record) record_md5
+from texts t left join fold on t.split = 'train' and fold.key = t.setup and fold.pos = t.pos""")
+def corpus_build(spark, sf_dir):
+    """From a raw JSON file and metadata files to registered datasets (SRC1, SRC2,
+    SRC5, curation, SPL1, PRJ5-13, SNK2, SNK3, SNK6); then every record of every
+    file that the manifest names."""
+    work = scratch_dir(spark, "q-corpus")
+    raw = _raw_file(spark, sf_dir, f"{work}/raw.json")
+    written = datasets.build_corpus(spark, raw, _metadata_files(spark, sf_dir, f"{work}/metadata"), f"{work}/canonical", f"{work}/sets",
+                                    f"{work}/manifest", max_bytes=65536)
+    masks = {r["name"]: r["mask_history"] for r in written.collect()}          # one row a dataset
+    out = None
+    for entry in spark.read.schema(datasets.MANIFEST_SCHEMA).json(f"{work}/manifest").orderBy("name").collect():
+        rows = datasets.read_dataset(spark, entry["file_name"]).select(
+            F.lit(entry["name"]).alias("name"), F.lit(masks[entry["name"]]).alias("mask_history"), "shard", F.md5(F.col("record").cast("binary")).alias("record_md5"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ------------------------------------------------------------ setups, split
 def _canonical(spark, sf_dir):
     raw, meta = _raw_meta(spark, sf_dir)

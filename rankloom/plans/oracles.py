@@ -314,6 +314,18 @@ g as (select lang, rn, pos, rec_bytes, 2 + rec_bytes cur, cast(0 as bigint) shar
 """
 
 
+def greedy_cte(source: str, key: str, max_bytes: int) -> str:
+    """SHARD2 as a recursive fold over ``source`` (key, pos, rec_bytes)."""
+    return f"""
+seq as (select {key} key, pos, rec_bytes, row_number() over (partition by {key} order by pos) rn from {source}),
+fold as (select key, rn, pos, 2 + rec_bytes cur, cast(0 as bigint) shard from seq where rn = 1
+  union all
+  select seq.key, seq.rn, seq.pos, case when cur + rec_bytes > {max_bytes} then 2 + rec_bytes else cur + rec_bytes end,
+    case when cur + rec_bytes > {max_bytes} then shard + 1 else shard end
+  from fold join seq on seq.key = fold.key and seq.rn = fold.rn + 1)
+"""
+
+
 # ---------------------------------------------------------------- runs, manifest
 MAX_STEPS = 64
 LABELS = ("case setup when 'setup1_full_loss' then 'full_loss' when 'setup2_answer_only' then 'answer_only' "

@@ -73,16 +73,29 @@ def _name_shards(files: _Files, staged: str, folder: str) -> int:
     return len(shards)
 
 
-def _write_whole(records: DataFrame, staging: str, group: str) -> None:
+def _write_whole(records: DataFrame, staging: str, group: str, opening: str = "[", closing: str = "]") -> None:
     """One JSON array a group, streamed by the one task that one file takes:
     sorted rows become lines, the first with ``[``, the others with a comma before."""
     ends = records.groupBy(group).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    line = F.concat(F.when(F.col("pos") == F.col("_first"), "[").otherwise(","), F.col("record"),
-                    F.when(F.col("pos") == F.col("_last"), "]").otherwise(""))
+    line = F.concat(F.when(F.col("pos") == F.col("_first"), opening).otherwise(","), F.col("record"),
+                    F.when(F.col("pos") == F.col("_last"), closing).otherwise(""))
     (records.join(ends, group).repartition(group).sortWithinPartitions(group, "pos")
      .select(group, line.alias("value")).write.partitionBy(group).text(staging))
 
 
+def write_json_file(records: DataFrame, path: str, opening: str = "[", closing: str = "]") -> None:
+    """Rows of (pos, record), pos unique, as one JSON file in order of pos: an array,
+    or with other ``opening`` and ``closing`` texts an object or a wrapped array."""
+    files = _Files(records.sparkSession, path)
+    staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+    try:
+        _write_whole(records.select("pos", "record", F.lit("all").alias("part")), staging, "part", opening, closing)
+        files.remove(path)
+        files.move(_written_file(files, f"{staging}/part=all"), path)
+    finally:
+        files.remove(staging)
+
+
 def write_datasets(records: DataFrame, out_dir: str, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """SNK2 + SNK3 + AGG3: writes (setup, split, pos, record) as train shards and val
     files. Output, one row a dataset: name, file_name, setup, split, n_records,
