@@ -244,8 +244,21 @@ def canonical_examples_from_latest(raw: DataFrame, latest: DataFrame | None) ->
         F.col("c_plain").isNull() | (F.col("c_rec.pos") < F.col("c_plain.pos")))
     win = q.select(F.when(use_rec, F.col("c_rec")).otherwise(F.col("c_plain")).alias("w"),
                    F.when(use_rec, F.col("_text")).alias("_text")).filter(F.col("w").isNotNull())
+    return cleaned(win, set(raw.columns))
+
+
+def valid_rows(raw: DataFrame, latest: DataFrame | None) -> DataFrame:
+    """Row by row, for streams: the raw columns of each valid row, and ``_text``,
+    the recovered thinking, where it takes the row's place."""
+    f = _with_recovery(row_flags(raw), latest)
+    recovers = F.col("_rec") & F.col("_text").isNotNull()
+    return f.filter(F.col("_other") & (F.col("_plain") | recovers)).select(*raw.columns, F.when(recovers, F.col("_text")).alias("_text"))
+
+
+def cleaned(win: DataFrame, cols: set[str]) -> DataFrame:
+    """PRJ1-3 on (w, _text): a valid raw row with columns ``cols``, and the
+    recovered thinking or null."""
     w = lambda c: F.col(f"w.{c}")
-    cols = set(raw.columns)
     empty = F.array().cast("array<string>")
     out = win.select(
         w("pos").alias("pos"), w("qid").alias("qid"),
