@@ -121,19 +121,33 @@ def _prediction_lines(f1: DataFrame) -> DataFrame:
   {o.ranking(o.pick_sql(('label', 'labels', 'reference', 'gold')))} g from picked)""", o.SCORED_BODY)
           + o.metrics_select("run,") + " group by run")
 def jsonl_leaderboard(spark, sf_dir):
-    """SRC3 + SRC4 + WIN1 + AGG8 through files: predictions written as JSON
+    """SRC3 + SRC4 + AGG8 through files: predictions written as JSON
     Lines (one folder per run, blank lines between records), read back with
-    the prediction reader (blank-line skip, malformed-line check, alias pick,
-    per-file line index) and scored per run."""
+    the prediction reader (blank-line skip, malformed-line check, alias pick)
+    and scored per run."""
     work = scratch_dir(spark, "q-jsonl")
     lines = _prediction_lines(fx.predictions(spark, sf_dir))
     blank = F.when(F.col("ex_id") % 9 == 0, F.lit("\n   ")).otherwise(F.lit(""))
     (lines.select("run", F.concat(F.col("value"), blank).alias("value"))
      .write.mode("overwrite").partitionBy("run").text(f"{work}/pred"))
-    preds = readers.read_predictions(spark, f"{work}/pred", keep=["run"])
+    preds = readers.read_predictions(spark, f"{work}/pred", with_index=False, keep=["run"])
     return scoring.leaderboard(preds)
 
 
+@register("jsonl_line_index", o.with_(o.F1, o.LINES, f"""parsed as (select run, ex_id, {o.pick_sql(('predict', 'prediction', 'output'))} predict,
+  row_number() over (partition by run order by ex_id) - 1 idx from picked)""") + "select run, idx, md5(predict) predict_md5 from parsed")
+def jsonl_line_index(spark, sf_dir):
+    """SRC3 + WIN1: one prediction file a run, in order of the examples, with blank
+    lines; each record's index among its file's records."""
+    work = scratch_dir(spark, "q-line-index")
+    lines = _prediction_lines(fx.predictions(spark, sf_dir))
+    blank = F.when(F.col("ex_id") % 9 == 0, F.lit("\n   ")).otherwise(F.lit(""))
+    (lines.repartition("run").sortWithinPartitions("run", "ex_id").select("run", F.concat(F.col("value"), blank).alias("value"))
+     .write.mode("overwrite").partitionBy("run").text(f"{work}/pred"))
+    p = readers.read_predictions(spark, f"{work}/pred", keep=["run"])
+    return p.select("run", "idx", F.md5(F.try_variant_get("predict", "$", "string").cast("binary")).alias("predict_md5"))
+
+
 @register("array_rankings", o.with_(o.NATIVE, "parsed as (select * from nparsed)", o.SCORED_BODY)
           + "select run, ex_id, em, relaxed_em, f1, top1, tau from scored")
 def array_rankings(spark, sf_dir):

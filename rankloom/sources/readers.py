@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.text import py_strip
-from rankloom.operators.sequence import row_index
 from rankloom.sources.json_split import json_elements
 
 # prediction/label key aliases, in priority order.
@@ -67,24 +66,29 @@ def read_raw_examples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Raw examples as JSON Lines (splittable). ``pos`` = global line order:
-    files in path order, lines in file order (skew-safe running index)."""
+    files in path order, lines in file order."""
     df = spark.read.schema(RAW_SCHEMA).option("mode", "FAILFAST").json(path)
-    o = df.select("*", F.col("_metadata.file_path").alias("_f"),
-                  F.col("_metadata.file_block_start").alias("_b"),
-                  F.monotonically_increasing_id().alias("_m"))
-    idx = row_index(o, order_by=["_f", "_b", "_m"], group_by=[], name="pos")
-    return idx.select("pos", *df.columns)
+    return _line_index(df, "pos", per_file=False)
 
 
 def with_line_order(df: DataFrame, name: str = "idx") -> DataFrame:
-    """WIN1: 0-based row index within each file, in file order (block start,
-    then position inside the block), computed with the skew-safe running
-    index instead of a window over the file."""
-    o = df.select("*", F.col("_metadata.file_path").alias("_f"),
-                  F.col("_metadata.file_block_start").alias("_b"),
-                  F.monotonically_increasing_id().alias("_m"))
-    idx = row_index(o, order_by=["_b", "_m"], group_by=["_f"], name=name)
-    return idx.select(name, *df.columns)
+    """WIN1: 0-based row index within each file, in file order."""
+    return _line_index(df, name, per_file=True)
+
+
+def _line_index(df: DataFrame, name: str, per_file: bool) -> DataFrame:
+    """Numbers the rows of a file scan without moving them: a scan task reads a
+    block of a file from its begin, so a row's place in its block comes from the id
+    that counts the task's rows; what comes before the block is a prefix sum over one
+    small row a block, which is handed to the tasks. (The driver plans the scan from
+    the same list of blocks, so that is no more than it holds anyway.)"""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                     F.monotonically_increasing_id().alias("_m"))
+    blocks = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_f").orderBy("_b") if per_file else Window.orderBy("_f", "_b")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    shift = blocks.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(shift), ["_f", "_b"]).select((F.col("_m") + F.col("_shift")).alias(name), *df.columns)
 
 
 def read_metadata(spark: SparkSession, metadata_dir: str, file_pattern: str = META_FILE) -> DataFrame:

@@ -243,3 +243,20 @@ def test_replayed_batch_replaces_itself(spark, tmpdir_path):
     _write(f"{tmpdir_path}/log/batch=2/part-0.parquet", "no parquet")
     with pytest.raises(Exception):
         live.latest_per_key(spark, f"{tmpdir_path}/log", ["run"], schema).collect()
+
+
+def test_line_index_over_many_blocks(spark, tmpdir_path):
+    for name, n in (("a", 700), ("b", 5), ("c", 300)):
+        _write(f"{tmpdir_path}/in/{name}.jsonl", "".join(json.dumps({"predict": f"{name}{i}", "label": "x" * (i % 60)}) + "\n" + "  \n" * (i % 3) for i in range(n)))
+        _write(f"{tmpdir_path}/raw/{name}.jsonl", "".join(json.dumps({"qid": f"{name}{i}"}) + "\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        p = readers.read_predictions(spark, f"{tmpdir_path}/in")
+        assert p.rdd.getNumPartitions() > 10
+        got = sorted((r.idx, r.v) for r in p.select("idx", F.try_variant_get("predict", "$", "string").alias("v")).collect())
+        assert got == sorted((i, f"{name}{i}") for name, n in (("a", 700), ("b", 5), ("c", 300)) for i in range(n))
+        raw = [r.qid for r in readers.read_raw_jsonl(spark, f"{tmpdir_path}/raw").orderBy("pos").select("pos", "qid").collect()]
+        assert raw == [f"{name}{i}" for name, n in (("a", 700), ("b", 5), ("c", 300)) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
