@@ -1,12 +1,15 @@
 """Per-row ranking metrics over ``struct<ids, numeric>`` rankings (MET1-7).
 
-All metrics are array expressions evaluated inside one projection: scoring
-never shuffles. Ids of different kinds (int vs str) never compare equal,
+All metrics but Kendall tau are array expressions evaluated inside one
+projection; tau is one Arrow-batched pass over all rows. Scoring never shuffles. Ids of different kinds (int vs str) never compare equal,
 which reproduces Python's ``1 != "1"``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,46 +54,81 @@ def top1(p: Column, g: Column) -> Column:
         F.lit(False)).cast("int")
 
 
-def tau_ranks(p: Column, g: Column, rp: Column | None = None, rg: Column | None = None) -> Column:
-    """Rank pairs for Kendall tau: for every gold id that also occurs in pred
-    (walking gold, duplicates kept), its last position in gold and in pred.
-    ``rp``/``rg``: precomputed ``reverse`` of the id arrays, if available.
-
-    Materialise this as a column before :func:`tau_counts`, so the pairwise
-    loop reads an attribute instead of re-deriving the array."""
-    pids, gids = p["ids"], g["ids"]
-    rp = F.reverse(pids) if rp is None else rp
-    rg = F.reverse(gids) if rg is None else rg
-    shared = F.filter(gids, lambda x: F.array_contains(pids, x))
-    # last 0-based position = size - position in the reversed array
-    ranks = F.transform(shared, lambda x: F.struct(
-        (F.size(gids) - F.array_position(rg, x)).alias("g"),
-        (F.size(pids) - F.array_position(rp, x)).alias("p")))
-    return F.when(_same_kind(p, g), ranks)
-
-
-_HI = 1 << 32
-
-
-def tau_counts(ranks: Column) -> Column:
-    """Concordant and discordant pairs i < j of ``ranks`` packed in one long
-    (c + d * 2**32; tied pairs count neither way); null when fewer than two
-    shared ids. O(k^2) per row inside one task, no shuffle, no pair rows."""
-    n = F.size(ranks)
-
-    def step(acc, i, j):
-        a, b = ranks[i], ranks[j]
-        s = F.signum(a["g"] - b["g"]) * F.signum(a["p"] - b["p"])
-        return acc + F.element_at(F.array(F.lit(_HI), F.lit(0), F.lit(1)), (s + 2).cast("int"))
-
-    def row(acc, i):
-        return F.aggregate(F.sequence(i + 1, n - 1), acc, lambda acc2, j: step(acc2, i, j))
-
-    return F.when(n >= 2, F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0).cast("long"), row))
-
-
-def tau_value(cd: Column) -> Column:
-    """(c - d) / (c + d) from :func:`tau_counts`; null when no comparable pair."""
-    c = cd % F.lit(_HI)
-    d = F.floor(cd / F.lit(_HI))
-    return F.when(c + d > 0, (c - d).cast("double") / (c + d).cast("double"))
+def _flat(lists: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and place in its row of each list element, and the elements."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(rows, n), place, lists.flatten()
+
+
+def _last_places(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, with the last place of each."""
+    order = np.argsort(key, kind="stable")
+    last = np.flatnonzero(np.concatenate((key[order][1:] != key[order][:-1], [True]))) if len(key) else np.zeros(0, np.int64)
+    return key[order][last], place[order][last]
+
+
+def _pairs(row: np.ndarray, *columns: np.ndarray, n_rows: int) -> np.ndarray:
+    """Pairs of one row's elements that are equal in the columns, per row."""
+    order = np.lexsort((*columns, row))
+    new = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (row, *columns)], axis=0)))
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(row)))
+    return np.bincount(row[order][start], n * (n - 1) // 2, n_rows)
+
+
+def _inversions(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """Pairs i < j of one row with value[i] > value[j], per row (rows are
+    consecutive): they differ first in some bit, with the 1 before the 0, so
+    each bit is counted among elements that agree in the higher ones."""
+    out = np.zeros(n_rows)
+    order, group = np.arange(len(row)), np.concatenate(([0], np.cumsum(row[1:] != row[:-1])))
+    for bit in reversed(range(int(value.max()).bit_length())):
+        one = (value[order] >> bit) & 1
+        ones = np.cumsum(one) - one
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        before = ones - np.maximum.accumulate(np.where(first, ones, 0))
+        out += np.bincount(row[order], before * (1 - one), n_rows)
+        part = 2 * group + one
+        turn = np.argsort(part, kind="stable")
+        order, part = order[turn], part[turn]
+        group = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
+    return out
+
+
+def tau_of_lists(pred: pa.Array, gold: pa.Array) -> pa.Array:
+    """Kendall tau of each pair of id lists: over the gold ids that pred has too
+    (gold duplicates kept; an id's rank is its last place), pairs in the same order
+    less pairs in the other order, over their number; tied pairs count neither
+    way. Null without two shared ids or a comparable pair, or for a null list.
+    All rows of a batch go through one pass of O(k log k) for k ids."""
+    n = len(gold)
+    rows = np.arange(n)
+    p_row, p_place, p_ids = _flat(pred, rows)
+    g_row, g_place, g_ids = _flat(gold, rows)
+    codes = pa.concat_arrays([p_ids, g_ids]).dictionary_encode()
+    code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    width = len(codes.dictionary) + 1
+    p_key, g_key = p_row * width + code[:len(p_row)], g_row * width + code[len(p_row):]
+    p_known, p_last = _last_places(p_key, p_place)
+    g_known, g_last = _last_places(g_key, g_place)
+    if not len(p_known) or not len(g_known):
+        return pa.nulls(n, pa.float64())
+    at = np.minimum(np.searchsorted(p_known, g_key), len(p_known) - 1)
+    shared = p_known[at] == g_key
+    row, g, p = g_row[shared], g_last[np.searchsorted(g_known, g_key[shared])], p_last[at[shared]]
+    if not len(row):
+        return pa.nulls(n, pa.float64())
+    order = np.lexsort((p, g, row))
+    row, g, p = row[order], g[order], p[order]
+    m = np.bincount(row, minlength=n)
+    apart = m * (m - 1) / 2 - _pairs(row, g, n_rows=n) - _pairs(row, p, n_rows=n) + _pairs(row, g, p, n_rows=n)
+    other = _inversions(row, p, n)
+    with np.errstate(invalid="ignore"):
+        return pa.array((apart - 2 * other) / apart, mask=apart == 0)
+
+
+def kendall_tau(p: Column, g: Column) -> Column:
+    """MET6: tau of two rankings; null where they are of different kinds."""
+    same = p.isNotNull() & g.isNotNull() & _same_kind(p, g)
+    return F.arrow_udf(tau_of_lists, "double")(F.when(same, p["ids"]), F.when(same, g["ids"]))

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, VariantType
 
-from rankloom.functions.metrics import (exact_match, set_f1, set_match, tau_counts,
-                                        tau_ranks, tau_value, top1)
+from rankloom.functions.metrics import exact_match, kendall_tau, set_f1, set_match, top1
 from rankloom.functions.rankings import (parse_ranking, ranking_from_array, ranking_from_variant,
                                          ranking_from_variant_array, with_rankings)
 from rankloom.session import cached_column
@@ -85,28 +84,15 @@ def score(df: DataFrame, pred_col: str = "predict", gold_col: str = "label",
         return _ranking(df, c)
     parsed = df.select(*keep, pick("pred", pred_col).alias("pred"), pick("gold", gold_col).alias("gold"))
     pre = parsed.select("*", *_pre_exprs())
-    ranked = pre.withColumn("_ranks", _ranks_expr())
-    counted = ranked.withColumn("_cd", _cd_expr())
-    return counted.select(*keep, "pred", "gold", *_metric_exprs())
+    ranked = pre.withColumn("_tau", kendall_tau(F.col("pred"), F.col("gold")))
+    return ranked.select(*keep, "pred", "gold", *_metric_exprs())
 
 
 @cached_column
 def _pre_exprs() -> list[Column]:
     """Shared per-row intermediates, each computed once as a column."""
     p, g = F.col("pred"), F.col("gold")
-    return [F.array_distinct(p["ids"]).alias("_dp"), F.array_distinct(g["ids"]).alias("_dg"),
-            F.reverse(p["ids"]).alias("_rp"), F.reverse(g["ids"]).alias("_rg")]
-
-
-@cached_column
-def _ranks_expr() -> Column:
-    p, g = F.col("pred"), F.col("gold")
-    return F.when(p.isNotNull() & g.isNotNull(), tau_ranks(p, g, F.col("_rp"), F.col("_rg")))
-
-
-@cached_column
-def _cd_expr() -> Column:
-    return tau_counts(F.col("_ranks"))
+    return [F.array_distinct(p["ids"]).alias("_dp"), F.array_distinct(g["ids"]).alias("_dg")]
 
 
 @cached_column
@@ -126,7 +112,7 @@ def _metric_exprs() -> list[Column]:
         metric(set_match(p, g, dp, dg), 0).cast("int").alias("relaxed_em"),
         metric(set_f1(p, g, dp, dg), 0.0).cast("double").alias("f1"),
         metric(top1(p, g), 0).cast("int").alias("top1"),
-        F.when(~skip & ~invalid, tau_value(F.col("_cd"))).alias("tau"),
+        F.when(~skip & ~invalid, F.col("_tau")).alias("tau"),
     ]
 
 

@@ -138,3 +138,35 @@ def test_metrics_match_python_model(spark, cases):
         assert 0.0 <= r.f1 <= 1.0
         if r.em:
             assert r.relaxed_em == 1 and r.f1 == 1.0
+
+
+def test_tau_of_lists_equals_its_definition():
+    import random
+    import time
+
+    import pyarrow as pa
+
+    from rankloom.functions.metrics import tau_of_lists
+
+    def plain(pred, gold):
+        if pred is None or gold is None:
+            return None
+        shared = [x for x in gold if x in pred]
+        last = lambda a, x: len(a) - 1 - a[::-1].index(x)
+        ranks = [(last(gold, x), last(pred, x)) for x in shared]
+        sign = lambda v: (v > 0) - (v < 0)
+        products = [sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(ranks) for b in ranks[:i]]
+        c, d = products.count(1), products.count(-1)
+        return (c - d) / (c + d) if c + d else None
+
+    rng = random.Random(6)
+    rows = [tuple([str(rng.randint(0, k)) for _ in range(rng.randint(0, k))] for _ in range(2)) for k in (1, 3, 8, 30) for _ in range(150)]
+    rows += [(None, ["1"]), (["1"], None), ([], []), (["a", None, "b"], ["b", "a", None]), (["x"], ["y"])]
+    got = tau_of_lists(pa.array([p for p, _ in rows], pa.list_(pa.string())), pa.array([g for _, g in rows], pa.list_(pa.string())))
+    assert got.to_pylist() == [plain(p, g) for p, g in rows]
+    assert tau_of_lists(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    ids = [str(i) for i in range(10_000)]
+    shuffled = rng.sample(ids, len(ids))
+    began = time.perf_counter()
+    tau = tau_of_lists(pa.array([ids, ids[::-1], shuffled]), pa.array([ids, ids, ids])).to_pylist()
+    assert time.perf_counter() - began < 1 and tau[:2] == [1.0, -1.0] and abs(tau[2]) < .05
