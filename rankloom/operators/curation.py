@@ -20,9 +20,10 @@ qid (no skew, no fan-out). Raw rows are shuffled once (by qid).
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import greedy_block, is_blank, py_strip, strict_json
@@ -235,10 +236,35 @@ def canonical_examples(raw: DataFrame, meta: DataFrame | None) -> DataFrame:
     return canonical_examples_from_latest(raw, latest)
 
 
+def canonical_with_audit(raw: DataFrame, meta: DataFrame | None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """:func:`canonical_examples`, and the counters of :func:`curation_audit` as a
+    by-product of the same pass (AGG2): call the second result once the first was
+    written (or another action has read all of it). Counters are observed on the
+    per-qid summaries and on the metadata, which the pass computes anyway."""
+    rows, known = Observation(), Observation()
+    latest = metadata_latest(meta).observe(known, F.count(F.lit(1)).alias("n_metadata")) if meta is not None else None
+    has = F.col("_text").isNotNull() & F.col("qid").isNotNull()
+    valid = F.col("n_plain") + F.when(has, F.col("n_recok")).otherwise(0)
+    counters = {"n_raw": F.col("n_rows"), "n_recovered": F.when(has, F.col("n_needs")).otherwise(0), "n_kept": (valid > 0).cast("int"), "_valid": valid}
+    counted = _with_recovery(_per_qid(raw, full_rows=True), latest).observe(rows, *[F.sum(v).alias(k) for k, v in counters.items()])
+
+    def audit() -> dict[str, int]:
+        c = {k: v or 0 for k, v in rows.get.items()}
+        kept, fit = c["n_kept"], c.pop("_valid")
+        return {**c, "n_dropped": c["n_raw"] - kept, "n_invalid": c["n_raw"] - fit, "n_duplicate": fit - kept,
+                "n_metadata": known.get["n_metadata"] if latest is not None else 0}
+
+    return _first_valid(counted, raw), audit
+
+
 def canonical_examples_from_latest(raw: DataFrame, latest: DataFrame | None) -> DataFrame:
     """:func:`canonical_examples` with an already reduced metadata table
     (:func:`metadata_latest`), e.g. a static side of a streaming job."""
-    q = _with_recovery(_per_qid(raw, full_rows=True), latest)
+    return _first_valid(_with_recovery(_per_qid(raw, full_rows=True), latest), raw)
+
+
+def _first_valid(q: DataFrame, raw: DataFrame) -> DataFrame:
+    """The cleaned winner of each per-qid summary that has one."""
     has = F.col("_text").isNotNull()
     use_rec = has & F.col("c_rec").isNotNull() & (
         F.col("c_plain").isNull() | (F.col("c_rec.pos") < F.col("c_plain.pos")))

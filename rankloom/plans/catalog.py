@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.rankings import with_rankings
-from rankloom.operators import curation, manifest, runs, scoring, setups, sharding, split
+from rankloom.operators import curation, manifest, pareto, runs, scoring, setups, sharding, split
 from rankloom.operators.sequence import materialize
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
@@ -214,6 +214,16 @@ def curation_audit(spark, sf_dir):
     return curation.curation_audit(raw, meta)
 
 
+@register("curation_counters", ORACLES["curation_audit"])
+def curation_counters(spark, sf_dir):
+    """AGG2 as a by-product: the counters observed while the canonical table is
+    written, without a pass of their own."""
+    raw, meta = _raw_meta(spark, sf_dir)
+    canonical, audit = curation.canonical_with_audit(raw, meta)
+    canonical.write.parquet(f"{scratch_dir(spark, 'q-counters')}/canonical")
+    return spark.createDataFrame([audit()], "n_raw long, n_recovered long, n_kept long, n_dropped long, n_invalid long, n_duplicate long, n_metadata long")
+
+
 @register("canonical_examples", o.with_(*_CUR, o.ROWS) + f"""
 select pos, qid, coalesce(dataset, 'unknown') dataset, {o.strip('prompt')} prompt,
   {o.strip('thinking_final')} thinking, {o.CANON_ANSWER} answer
@@ -447,6 +457,37 @@ def run_progress(spark, sf_dir):
     return runs.progress(runs_dim, state, max_steps=o.MAX_STEPS)
 
 
+@register("run_comparison", o.with_(o.F1, o.SCORED) + f""", board as ({o.metrics_select("run,")} group by run),
+sides as (select *, row_number() over (order by run) - 1 k from board),
+dim as (select model_tag, setup, {o.LABELS} label, path, row_number() over (order by model_tag, setup) - 1 k
+  from {o.MODELS_VALUES}, (values ('setup1_full_loss'), ('setup2_answer_only'), ('setup3_1_hint_answer_only'), ('setup3_2_hint_full_loss')) s(setup),
+  (values ('Qwen/Qwen3-8B', '/models/8b'), ('Qwen/Qwen3-4B', '/models/4b')) l(repo, path) where repo = repo_id)
+select run, model_tag || '_' || label run_name, setup, path model_path,
+  case when label like '%answer_only%' and label not like '%hint_full%' then 128 else 4096 end max_new_tokens, "EM", "F1", n_total
+from sides left join dim using (k)""")
+def run_comparison(spark, sf_dir):
+    """CMP1 + JOIN5: each run's metrics beside its model, setup, local model path
+    and token budget (the runs of F1 stand for the first runs by name)."""
+    paths = spark.createDataFrame([("Qwen/Qwen3-8B", "/models/8b"), ("Qwen/Qwen3-4B", "/models/4b")], "repo_id string, path string")
+    dim = runs.run_dimension(runs.setup_dimension(spark), model_paths=paths)
+    board = scoring.leaderboard(fx.predictions(spark, sf_dir))
+    names = [r["run_name"] for r in dim.orderBy("model_tag", "setup").collect()]          # models x setups
+    of_run = {r["run"]: names[k] for k, r in enumerate(board.select("run").orderBy("run").collect())}
+    named = board.withColumn("run_name", F.element_at(F.create_map(*[F.lit(x) for kv in of_run.items() for x in kv]), F.col("run")))
+    return runs.compare_runs(named, dim).select("run", "run_name", "setup", "model_path", "max_new_tokens", "EM", "F1", "n_total")
+
+
+@register("pareto_front", """
+with m as (select l_suppkey, count(*) n_lines, max(l_extendedprice) top_price, sum(l_quantity) quantity from lineitem group by l_suppkey)
+select * from m where not exists (select 1 from m b where b.n_lines >= m.n_lines and b.top_price <= m.top_price and b.quantity <= m.quantity
+  and (b.n_lines > m.n_lines or b.top_price < m.top_price or b.quantity < m.quantity))""")
+def pareto_front(spark, sf_dir):
+    """CMP2: suppliers (as runs) that none beats in lines, top price and quantity."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    m = li.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.max("l_extendedprice").alias("top_price"), F.sum("l_quantity").alias("quantity"))
+    return pareto.pareto_front(m, maximize=["n_lines"], minimize=["top_price", "quantity"])
+
+
 @register("run_dimension", o.with_(*_CUR, o.ROWS, o.CANON, o.SETUP_ROWS) + f"""
 , present as (select distinct setup, mask_history from setups)
 select model_tag, repo_id, setup, mask_history, model_tag || '_' || {o.LABELS} run_name,
