@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import keys as kx
-from rankloom.llm.common import NO_ID, ascii_lower, configure, id_text, out_id, pieces, raw, stored, text_bytes
+from rankloom.llm.common import NO_ID, ascii_lower, configure, id_text, lean, out_id, pieces, raw, stored, text_bytes
 from rankloom.llm.components import components
 from rankloom.llm.shingles import sets
 
@@ -113,9 +113,9 @@ def document_sets(docs: DataFrame, classes: DataFrame, shards: int) -> DataFrame
     left = kx.by_shard(docs, shards)
     mem = kx.members(classes, shards, "node")
     handed = left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(
-        hand_in, kx._HANDED)
+        lean(hand_in), kx._HANDED)
     right = mem.unionByName(kx.shared(handed))
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(out, _DOC)
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lean(out), _DOC)
 
 
 def links_among(pairs: DataFrame, own: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import forget, run_starts
+from rankloom.llm.common import forget, lean_group, run_starts
 
 BITS = 44
 #: UTF-8 bytes of text in a shard.
@@ -84,7 +84,7 @@ def _merge(t: pa.Table) -> pa.Table:
 
 def shared(handed: DataFrame) -> DataFrame:
     """What each shard gets back: rows of kind 1 with its shared keys and counts."""
-    return handed.groupBy("bucket").applyInArrow(_merge, ROWS)
+    return handed.groupBy("bucket").applyInArrow(lean_group(_merge), ROWS)
 
 
 def _shard(key: str, shards: int):

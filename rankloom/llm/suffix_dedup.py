@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import keys as kx
-from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, mix, out_id, pieces, raw, run_starts, stored, text_bytes
+from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, lean, lean_group, mix, out_id, pieces, raw, run_starts, stored, text_bytes
 
 LENGTH, PART = 50, 26
 SPAN = LENGTH - PART + 1
@@ -359,11 +359,11 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
 
     left = kx.by_shard(docs, shards)
     mem = kx.members(classes, shards)
-    known = stored(kx.shared(left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(hand_in, kx._HANDED)), "parts")
+    known = stored(kx.shared(left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(lean(hand_in), kx._HANDED)), "parts")
     right = mem.unionByName(known)
-    sent = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(send, _RUNS)
-    answers = stored(sent.groupBy("bucket").applyInArrow(_settle_bucket, kx.ROWS), "answers")
-    return left.groupBy("shard").cogroup(right.unionByName(answers).groupBy("shard")).applyInArrow(finish, schema)
+    sent = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lean(send), _RUNS)
+    answers = stored(sent.groupBy("bucket").applyInArrow(lean_group(_settle_bucket), kx.ROWS), "answers")
+    return left.groupBy("shard").cogroup(right.unionByName(answers).groupBy("shard")).applyInArrow(lean(finish), schema)
 
 
 def cut(text: bytes, begins, ends) -> bytes:
