@@ -321,6 +321,13 @@ def test_maxent_row_moves_by_the_chunks_that_saw_it(spark):
     assert np.allclose(got[0], (3 + 2 + 3 + 4 + 5 + 6) / 8, atol=0.01) and np.allclose(got[1], 1.0)
 
 
+def test_maxent_scores_do_not_depend_on_the_layout(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, six = (dict(maxent.scored(spark, maxent_rows, chunk_bytes=40_000).select("id", "score").collect())
+                for maxent_rows in (texts.coalesce(1), texts.repartition(6)))
+    assert one == six and len(one) == texts.count()
+
+
 def test_maxent_beats_counts_on_held_out_texts(spark):
     r = queries.op8_maxent(spark, "/root/testdata/sf0.001").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert r["sum(score)"] > r["sum(base_score)"]
