@@ -101,3 +101,15 @@ def compare_runs(metrics: DataFrame, runs: DataFrame, on: Sequence[str] = ("run_
     """CMP1: run metrics joined to the run dimension (AQE broadcasts the
     dimension when its measured size allows)."""
     return metrics.join(runs, list(on), "left")
+
+
+def state_progress(runs: DataFrame, states: DataFrame) -> DataFrame:
+    """PROG1 from state files: runs (run and more) left-joined to what
+    ``read_trainer_states`` found, each with its own max_steps and epoch, in order of
+    run (SORT2). Runs without a state are ``not started``; a state without its run is
+    left out, as only the listed runs are asked for."""
+    j = runs.join(states, "run", "left")
+    step, ms = F.col("global_step"), F.col("max_steps")
+    status = F.when(step.isNull(), "not started").when((step >= ms) & (ms > 0), "DONE").otherwise("running")
+    pct = F.when(step.isNotNull(), F.when(ms > 0, F.lit(100.0) * step / ms).otherwise(F.lit(0.0)))
+    return j.select(*runs.columns, status.alias("status"), step.alias("step"), "max_steps", pct.alias("pct"), "epoch", "last_loss").orderBy("run")

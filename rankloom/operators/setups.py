@@ -108,8 +108,8 @@ def fan_out(canonical: DataFrame, only: list[str] | None = None,
 
 def record_json(df: DataFrame) -> Column:
     """The ShareGPT record as compact JSON: ``{"system": ..., "conversations":
-    [{"from": ..., "value": ...}, ...]}`` (key order kept, non-ASCII kept)."""
-    return F.to_json(F.struct(F.col("system"), F.col("conversations")))
+    [{"from": ..., "value": ...}, ...]}`` (key order, nulls and non-ASCII kept)."""
+    return F.to_json(F.struct(F.col("system"), F.col("conversations")), {"ignoreNullFields": "false"})
 
 
 def with_record(df: DataFrame) -> DataFrame:

@@ -388,11 +388,12 @@ def split_assign(spark, sf_dir):
 select setups.setup, split.split, count(*) n_rows, bool_or(mask_history) mask_history
 from setups join split on split.qid = setups.qid group by setups.setup, split.split""")
 def split_counts(spark, sf_dir):
-    """AGG3: rows per (setup, split) and the setup's mask flag."""
-    canon = materialize(_canonical(spark, sf_dir), "canonical")
-    fanned = setups.fan_out(split.assign_split(canon))
-    return fanned.groupBy("setup", "split").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                F.bool_or("mask_history").alias("mask_history"))
+    """AGG3: rows per (setup, split) and the setup's mask flag. Every setup has every
+    example, so the narrow split is counted once and given to each setup."""
+    canon = materialize(_canonical(spark, sf_dir).select("pos", "qid"), "canonical")
+    counts = split.assign_split(canon).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    each = F.explode(F.array(*[F.struct(F.lit(s.name).alias("setup"), F.lit(s.mask_history).alias("mask_history")) for s in setups.setups()]))
+    return counts.select(each.alias("s"), "split", "n_rows").select("s.setup", "split", "n_rows", "s.mask_history")
 
 
 # ------------------------------------------------------------------ shards
@@ -457,6 +458,27 @@ def run_progress(spark, sf_dir):
     return runs.progress(runs_dim, state, max_steps=o.MAX_STEPS)
 
 
+@register("run_states", o.with_(o.F5) + f"""
+, st as (select run_id, max(step) step, arg_max(loss, step) filter (where loss is not null) last_loss from f5 group by run_id),
+own as (select *, case when run_id % 7 = 0 then 0 else 32 + run_id % 64 end max_steps from st)
+select cast(c_custkey as varchar) run, c_name "name", case when own.run_id is null then 'not started' when step >= max_steps and max_steps > 0 then 'DONE' else 'running' end status,
+  cast(step as bigint) step, cast(max_steps as bigint) max_steps, case when own.run_id is not null then case when max_steps > 0 then 100.0 * step / max_steps else 0 end end pct,
+  cast(step as double) / 8 epoch, last_loss
+from customer left join own on own.run_id = c_custkey""")
+def run_states(spark, sf_dir):
+    """SRC6 + PROG1 + SORT2 through files: a state file for each run that has logged,
+    with its own max_steps (some have none) and epoch, read back and joined to the
+    list of runs."""
+    work = scratch_dir(spark, "q-states")
+    log = fx.trainer_log(spark, sf_dir).groupBy(F.col("run_id").alias("run")).agg(
+        F.max("step").alias("global_step"), F.sort_array(F.collect_list(F.struct("step", "loss"))).alias("log_history"))
+    states = log.select("run", "global_step", F.when(F.col("run") % 7 != 0, 32 + F.col("run") % 64).alias("max_steps"),
+                        (F.col("global_step") / 8).alias("epoch"), "log_history")
+    states.repartition("run").write.partitionBy("run").json(f"{work}/runs")
+    listed = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run"), F.col("c_name").alias("name"))
+    return runs.state_progress(listed, readers.read_trainer_states(spark, f"{work}/runs", "part-*.json"))
+
+
 @register("run_comparison", o.with_(o.F1, o.SCORED) + f""", board as ({o.metrics_select("run,")} group by run),
 sides as (select *, row_number() over (order by run) - 1 k from board),
 dim as (select model_tag, setup, {o.LABELS} label, path, row_number() over (order by model_tag, setup) - 1 k
@@ -499,8 +521,11 @@ from present cross join {o.MODELS_VALUES}""")
 def run_dimension(spark, sf_dir):
     """DIM1 + JOIN4 + PRJ16-17: the model x setup run matrix for the setups
     that have data."""
-    present = setups.fan_out(_canonical(spark, sf_dir)).select("setup").distinct()
-    dim = present.join(F.broadcast(runs.setup_dimension(spark)), "setup")
+    # a setup has data if any raw row is valid; the first one found will do
+    raw, meta = _raw_meta(spark, sf_dir)
+    some = curation.valid_rows(raw, curation.metadata_latest(meta)).select(F.lit(1).alias("some")).limit(1)
+    each = F.explode(F.array(*[F.lit(s.name) for s in setups.setups()])).alias("setup")
+    dim = some.select(each).join(F.broadcast(runs.setup_dimension(spark)), "setup")
     r = runs.run_dimension(dim)
     return r.select("model_tag", "repo_id", "setup", "mask_history", "run_name", "dataset",
                     "val_dataset", "max_new_tokens", "output_dir")
@@ -524,8 +549,9 @@ select name, file_name, 'sharegpt' formatting,
 from merged""")
 def manifest_upsert(spark, sf_dir):
     """SNK6: upsert the written setup datasets into an older manifest."""
-    canon = materialize(_canonical(spark, sf_dir), "canonical")
-    fanned = setups.fan_out(split.assign_split(canon))
+    canon = materialize(_canonical(spark, sf_dir).select("pos", "qid", "dataset"), "canonical")
+    each = F.explode(F.array(*[F.lit(s.name) for s in setups.setups()])).alias("setup")
+    fanned = split.assign_split(canon).select("split").distinct().select("split", each)
     new_files = fanned.select(
         F.concat("setup", F.lit("_"), "split").alias("name"),
         F.concat(F.lit(OUT_DIR + "/"), "setup",

@@ -141,15 +141,15 @@ def read_predictions(spark: SparkSession, path: str, with_index: bool = True,
                       pick_first_key(F.col("_v"), F.col("_line"), GOLD_KEYS).alias("label"))
 
 
-def read_trainer_states(spark: SparkSession, runs_root: str) -> DataFrame:
-    """SRC6: ``<runs_root>/<run>/trainer_state.json`` of every run. Output:
-    run, global_step, max_steps, epoch, last_loss (latest log entry that
-    has a loss)."""
+def read_trainer_states(spark: SparkSession, runs_root: str, file_name: str = "trainer_state.json") -> DataFrame:
+    """SRC6: ``<runs_root>/<run>/trainer_state.json`` of every run (``file_name`` may
+    be a glob). Output: run, global_step, max_steps, epoch, last_loss (the last log
+    entry that has a loss, in the order of the log)."""
     schema = ("global_step long, max_steps long, epoch double, "
               "log_history array<struct<step: long, loss: double>>")
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(
-        f"{runs_root.rstrip('/')}/*/trainer_state.json")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/trainer_state\.json$", 1)
+        f"{runs_root.rstrip('/')}/*/{file_name}")
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:run=)?([^/]+)/[^/]+$", 1)
     with_loss = F.filter("log_history", lambda e: e["loss"].isNotNull())
     return df.select(run.alias("run"), F.coalesce("global_step", F.lit(0)).alias("global_step"),
                      F.coalesce("max_steps", F.lit(0)).alias("max_steps"),

@@ -170,3 +170,18 @@ def test_tau_of_lists_equals_its_definition():
     began = time.perf_counter()
     tau = tau_of_lists(pa.array([ids, ids[::-1], shuffled]), pa.array([ids, ids, ids])).to_pylist()
     assert time.perf_counter() - began < 1 and tau[:2] == [1.0, -1.0] and abs(tau[2]) < .05
+
+
+def test_scoring_cases(spark):
+    from rankloom.operators import scoring
+    gold = '{"ranked_tables": [40, 41, 42, 43]}'
+    cases = [("First thoughts. " + gold, 1, 1, 1), ('{"ranked_tables": [40, 41, 43, 42]}', 0, 1, 1), ('{"ranked_tables": [41, 40]}', 0, 0, 0),
+             ('{"ranked_tables": [40]} no, {"ranked_tables": [43, 42, 41, 40]}', 0, 1, 0), ("I could not decide.", 0, 0, 0),
+             ('"ranked_tables": [40, 41, 42, 43] without braces', 1, 1, 1)]
+    df = spark.createDataFrame([(i, c[0], gold) for i, c in enumerate(cases)], "i int, predict string, label string")
+    rows = {r.i: r for r in scoring.score(df, keep=["i"]).collect()}
+    assert [(rows[i].em, rows[i].relaxed_em, rows[i].top1) for i in range(6)] == [c[1:] for c in cases]
+    m = scoring.leaderboard(df.withColumn("run", F.lit("r"))).first()
+    assert (m.n_total, m.n_invalid, m.n_wrong_em, m.n_wrong_set) == (6, 1, 4, 2)
+
+
