@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import UPPER, configure, mix
+from rankloom.llm.common import UPPER, configure, mix, stored
 
 #: (verdict, host, path); fixed values of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -162,8 +162,8 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     host, path = host_path(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     lengths = tuple(sorted({len(p) for _, _, p in rules}))
-    universe = candidate_keys(urls, lengths)
-    size = universe.agg(F.approx_count_distinct("a")).first()[0]
+    universe = stored(candidate_keys(urls, lengths), "universe")     # read by every level of both sides
+    size = universe.count()
     sides = {v: build_cascade(universe, [h + p for w, h, p in rules if w == v], size) for v in ("allow", "block")}
     kind = next((f.dataType for f in pages.schema.fields if f.name == "page_id"))
 
