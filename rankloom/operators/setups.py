@@ -47,6 +47,11 @@ def register_setup(name: str, turns: Turns, mask_history: bool = False, label: s
     return s
 
 
+def unregister_setup(name: str) -> None:
+    """Take a setup out again; DataFrames that were built with it keep it."""
+    _REGISTRY.pop(name, None)
+
+
 def setups() -> list[Setup]:
     return list(_REGISTRY.values())
 

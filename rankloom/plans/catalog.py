@@ -65,6 +65,17 @@ def leaderboard(spark, sf_dir):
     return scoring.leaderboard(fx.predictions(spark, sf_dir))
 
 
+@register("metrics_file", o.with_(o.F1, o.SCORED) + f"select *, 'runs/predictions.jsonl' pred_file from ({o.metrics_select('run,')} group by run)")
+def metrics_file(spark, sf_dir):
+    """SNK4: the metrics as a JSON file with the scored file's path, nulls included,
+    read back."""
+    from rankloom.sources import writers
+    path = f"{scratch_dir(spark, 'q-metrics')}/metrics"
+    board = scoring.leaderboard(fx.predictions(spark, sf_dir))
+    writers.write_metrics(board, path, pred_file="runs/predictions.jsonl")
+    return spark.read.schema(board.schema.add("pred_file", "string")).option("mode", "FAILFAST").json(path)
+
+
 @register("metrics_by_label_state", o.with_(o.F1, o.SCORED)
           + o.metrics_select("case when skip then 'unlabelled' else 'labelled' end label_state,")
           + " group by label_state")
@@ -377,6 +388,22 @@ def loss_turns(spark, sf_dir):
     return t.select("qid", "setup", "turn", "role", "value", "in_loss")
 
 
+@register("registered_setup", o.with_(*_CUR, o.ROWS, o.CANON) + """
+select qid, 'answer_first' setup, cast(i - 1 as integer) turn, case when i % 2 = 1 then 'human' else 'gpt' end role,
+  case i when 1 then prompt when 2 then answer when 3 then 'Why?' else thinking end "value", i = 4 in_loss
+from canon, unnest([1, 2, 3, 4]) t(i)""")
+def registered_setup(spark, sf_dir):
+    """UDF1 + PRJ12: a layout of the user's own, registered as Column expressions:
+    the answer first, then the reasoning, which alone is a loss target."""
+    setups.register_setup("answer_first", lambda: [("human", F.col("prompt")), ("gpt", F.col("answer")), ("human", F.lit("Why?")), ("gpt", F.col("thinking"))],
+                          mask_history=True)
+    try:
+        fanned = setups.fan_out(_canonical(spark, sf_dir), only=["answer_first"])
+    finally:
+        setups.unregister_setup("answer_first")
+    return setups.loss_turns(fanned, keep=["qid"]).select("qid", "setup", "turn", "role", "value", "in_loss")
+
+
 @register("split_assign", o.with_(*_CUR, o.ROWS, o.CANON, o.SPLIT) + "select qid, split from split")
 def split_assign(spark, sf_dir):
     """SPL1: exact-size seeded val split, identical for every setup."""
