@@ -7,8 +7,8 @@ bits are a unary bit string, and every 256th one of it is noted so that
 ``BoundaryList.select`` needs a short scan. That takes about 2 + log2(ids per
 document) bits a document instead of 64.
 
-Nulls and empty texts: an empty text has the end id alone; null ids sort last.
-Repeated rows stay rows of their own. An empty table writes no file and gives
+Nulls and empty texts: an empty text has the end id alone; null ids sort last, rows
+of one id by a hash of their texts. Repeated rows stay rows of their own. An empty table writes no file and gives
 no rows. A text of any length is one document in one file.
 """
 
@@ -69,6 +69,15 @@ class BoundaryList:
                 return int(((at + int(ones[need]) - i) << self.low_bits) | int(self._low(i, 1)[0]))
             step *= 4
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Ends of documents i to j - 1: the unary bits from the noted one before
+        the first to the noted one after the last, and their low bits."""
+        at, past = int(self.noted[i // NOTED]), (j - 1) // NOTED + 1
+        stop = int(self.noted[past]) if past < len(self.noted) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at // 8:-(-stop // 8)])[at % 8:]
+        ones = np.flatnonzero(bits)[i % NOTED:i % NOTED + j - i] + at
+        return ((ones - np.arange(i, j)) << self.low_bits) | self._low(i, j - i)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high))[:self.n]
         return ((ones - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
@@ -152,7 +161,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
                                              names=["part", "file", "n_docs", "n_ids"])
 
-    order = docs.repartitionByRange(n, "id").sortWithinPartitions("id")
+    # a task that is run again has the same rows in the same order, and rows without an id are spread
+    order = docs.withColumn("own", F.xxhash64("text")).repartitionByRange(n, "id", "own").sortWithinPartitions("id", "own").drop("own")
     done = order.mapInArrow(write, "part long, file long, n_docs long, n_ids long")
     return sorted(tuple(r) for r in done.collect())
 
@@ -172,17 +182,17 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple]) -> Da
                 part, file = map(int, re.search(r"part-(\d+)-(\d+)\.tok$", path).groups())
                 base = int(before[np.searchsorted(key, part * 10000 + file)])
                 doc_ids, ends, ids = from_bytes(content.as_buffer().to_pybytes())
-                to = ends.all()
-                start = np.concatenate(([0], to))[:-1]
-                step = 2048
+                step = 8 * NOTED
                 for i in range(0, len(doc_ids), step):
                     j = min(len(doc_ids), i + step)
-                    own = np.ascontiguousarray(ids[start[i]:to[j - 1]].astype("<u4"))
-                    off = np.concatenate((start[i:j], to[j - 1:j])) - start[i]
+                    first = ends.select(i - 1) if i else 0
+                    edge = np.concatenate(([first], ends.between(i, j)))
+                    own = np.ascontiguousarray(ids[first:edge[-1]].astype("<u4"))
+                    off = edge - first
                     blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i,
                                                             [None, pa.py_buffer(np.ascontiguousarray(off * 4)),
                                                              pa.py_buffer(own)])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j]), pa.array(start[i:j] + base),
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j]), pa.array(edge[:-1] + base),
                                                       blob.cast(pa.binary())], names=["id", "start", "ids"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tok").load(folder)

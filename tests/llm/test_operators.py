@@ -262,6 +262,8 @@ def test_boundary_list():
         ends = np.cumsum(rng.integers(1, most + 1, n))
         b = token_files.BoundaryList.of(ends)
         assert (b.all() == ends).all() and all(b.select(i) == ends[i] for i in range(n))
+        for i, j in ((0, n), (n // 3, n), (n // 2, n // 2 + 1), (max(0, n - 300), n - 1)):
+            assert j <= i or (b.between(i, j) == ends[i:j]).all()
     ids, back, flat = token_files.from_bytes(token_files.to_bytes(np.array([5]), np.array([2]), np.array([70000, 1])))
     assert (ids.tolist(), back.all().tolist(), flat.tolist()) == ([5], [2], [70000, 1])
     with pytest.raises(ValueError):
