@@ -219,7 +219,8 @@ def rollup(forest: DataFrame, paths: DataFrame, task_nodes: int = TASK_NODES) ->
     zero = F.lit(0).cast("long")
     whole = forest.select("node", "depth", "parent", "size", F.lit(root["node"] if root else None).cast("long").alias("top"), zero.alias("top_depth"),
                           "leaf", "saved", zero.alias("leaves_above"), zero.alias("saved_above"))
-    parts = split(whole, paths, task_nodes)
+    # written, so that the first component's name is a column and not a constant in joins
+    parts = split(stored(whole, "forest"), paths, task_nodes)
     buckets = pieces(n, BUCKET_NODES)
 
     def sums(t: pa.Table) -> pa.Table:
