@@ -8,14 +8,22 @@ into small maps by hash (a map lookup reads the whole map). The ids go back
 to the chunks that asked, whose texts become id arrays; decoding concatenates
 the ids' byte strings.
 
+A word of more than ``WINDOW`` bytes is folded in windows that overlap by half,
+so that its cost grows with its length. Ids are what the fold gives for a word
+where each two neighbours are what it gives for their bytes: the first merge
+over a boundary would be one of that pair alone, too. So two overlapping windows
+join at a piece that both have; where they have none, the bytes around the seam
+are merged anew, from further back until a piece is shared.
+
 Null texts count as empty: no ids. Repeated rows stay; null ids are kept; an
-empty table gives no rows. A word of any length is folded whole, with two
-lookups for each merge. Other columns are ignored.
+empty table gives no rows. Texts and words of any length are encoded whole.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 
@@ -27,8 +35,11 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, out_id, pieces, small_batches, text_bytes
 
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+#: How hard chunks are compressed, which pass through two shuffles.
+LEVEL = 3
 SMALL_MAPS = 4096
-NONE = (1 << 31) - 1
+#: Bytes of a word that are folded at once; more than any piece of a vocabulary has.
+WINDOW = 256
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -41,6 +52,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def sizes_of(ranks: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each id."""
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(x) for x in ranks]
+    return sizes
+
+
 def splitter(pattern: str | None = None):
     """findall of the split pattern, white space by its Unicode property. Texts
     of Latin letters and general punctuation alone take the standard library's
@@ -81,37 +99,40 @@ def let(value: Column, f) -> Column:
 
 
 def encode_word(word: Column, maps: Column, n_maps: int = SMALL_MAPS) -> Column:
-    """ids of a binary word, array<int>."""
+    """ids of a binary word, array<int>. The fold holds where the word's parts
+    begin (``cuts``, with the end) and the pairs of neighbours that have a rank,
+    as rank and place in one number: the least is the leftmost of the lowest rank."""
     def rank(piece: Column) -> Column:
         return F.element_at(F.get(maps, F.pmod(F.hash(piece), F.lit(n_maps))), piece)
 
-    def pair(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(NONE))
+    def place_of(pair: Column) -> Column:
+        return pair.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
-    def at(parts: Column, k: Column) -> Column:
-        return F.get(parts, k - 1)
+    def folded(s: Column) -> Column:
+        def pair(start: Column, end: Column) -> Column:
+            return F.shiftleft(rank(F.substring(s, start, end - start)).cast("long"), 32) + start
 
-    def merge(acc: Column, k: Column, merged: Column) -> Column:
-        parts, ranks, n = acc["parts"], acc["ranks"], F.size(acc["parts"])
-        none = F.array().cast("array<int>")
-        left = F.when(k > 1, F.array(pair(F.concat(at(parts, k - 1), merged)))).otherwise(none)
-        right = F.when(k + 2 <= n, F.array(pair(F.concat(merged, at(parts, k + 2))))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), k - 1), F.array(merged), F.slice(parts, k + 2, n)).alias("parts"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(ranks, k + 2, n)).alias("ranks"))
+        def merge(acc: Column, low: Column) -> Column:
+            def cut(place: Column, k: Column) -> Column:
+                before, mid, end, after = (F.get(acc["cuts"], k + d) for d in (-2, 0, 1, 2))
+                stale = F.array(before, place, mid)
+                new = F.array(pair(before, end), pair(place, after))
+                return F.struct(
+                    F.array_remove(acc["cuts"], mid).alias("cuts"),
+                    F.filter(F.concat(F.filter(acc["pairs"], lambda p: ~F.coalesce(F.array_contains(stale, place_of(p)), F.lit(False))), new),
+                             lambda p: p.isNotNull()).alias("pairs"))
 
-    def step(acc: Column, _) -> Column:
-        def lowest(m: Column) -> Column:
-            return F.when(m == NONE, acc).otherwise(
-                let(F.array_position(acc["ranks"], m).cast("int"),
-                    lambda k: let(F.concat(at(acc["parts"], k), at(acc["parts"], k + 1)), lambda x: merge(acc, k, x))))
-        return let(F.coalesce(F.array_min(acc["ranks"]), F.lit(NONE)), lowest)
+            return let(place_of(low), lambda place: let(F.array_position(acc["cuts"], place).cast("int"), lambda k: cut(place, k)))
+
+        def step(acc: Column, _) -> Column:
+            return let(F.array_min(acc["pairs"]), lambda low: F.when(low.isNull(), acc).otherwise(merge(acc, low)))
 
-    def folded(s: Column) -> Column:
         n = F.length(s)
-        one = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(1)))
-        two = F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.substring(s, i, F.lit(2))))
-        return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(one.alias("parts"), two.alias("ranks")), step)["parts"], rank)
+        cuts = F.sequence(F.lit(1), n + 1)
+        pairs = F.filter(F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(i, i + 2)), lambda p: p.isNotNull())
+        last = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(cuts.alias("cuts"), pairs.alias("pairs")), step)["cuts"]
+        return let(last, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1),
+                                               lambda a, i: rank(F.substring(s, a, F.get(c, i + 1) - a))))
 
     def whole(s: Column) -> Column:
         return let(rank(s), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded(s)))
@@ -126,7 +147,7 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for b in small_batches(batches, "text", chunk_bytes):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
                 w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
                                              names=["chunk", "data"])
@@ -164,24 +185,89 @@ def _by_bucket(words: list[bytes], buckets: int) -> dict[int, np.ndarray]:
     return {int(own[p[0]]): p for p in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(p)}
 
 
-def _numbered(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words by first use, all words as numbers of them, words of each text."""
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, and the words of each text."""
     find = kept_between_tasks("split", splitter)
-    number: dict[str, int] = {}
-    codes, n = [], []
-    for t in texts:
-        own = find(t)
-        codes.append(np.array([number.setdefault(w, len(number)) for w in own], np.uint32))
-        n.append(len(own))
-    return ([w.encode("utf-8", "surrogatepass") for w in number], np.concatenate(codes) if codes else np.zeros(0, np.uint32), np.array(n, np.int64))
-
-
-def _distinct_words(texts: list[str]) -> list[bytes]:
-    find = kept_between_tasks("split", splitter)
-    found: dict[str, None] = {}
-    for t in texts:
-        found.update(dict.fromkeys(find(t)))
-    return [w.encode("utf-8", "surrogatepass") for w in found]
+    own = [pa.array(find(t), pa.string()) for t in texts]
+    return pa.concat_arrays(own or [pa.array([], pa.string())]), np.array([len(x) for x in own], np.int64)
+
+
+def _windows(word: bytes) -> list[int]:
+    """Where the windows of a long word begin."""
+    return [*range(0, len(word) - WINDOW, WINDOW // 2), len(word) - WINDOW]
+
+
+def _units(words: list[bytes]) -> list[bytes]:
+    """What is folded for these distinct words: the word, or the windows of a longer one."""
+    if max(map(len, words), default=0) <= WINDOW:
+        return words
+    return list(dict.fromkeys(u for w in words for u in ([w] if len(w) <= WINDOW else [w[k:k + WINDOW] for k in _windows(w)])))
+
+
+def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of a few bytes, lowest rank first, leftmost of equal ones."""
+    n = len(data)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        rank = ranks.get(data[a:end[b]])
+        if rank is not None:
+            heapq.heappush(heap, (rank, a, b, end[b]))
+
+    for a in range(n - 1):
+        offer(a, a + 1)
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if end[a] != b or end[b] != c:
+            continue
+        end[a], end[b] = c, 0
+        if c < n:
+            before[c] = a
+            offer(a, c)
+        if before[a] >= 0:
+            offer(before[a], a)
+    out, a = [], 0
+    while a < n:
+        out.append(data[a:end[a]])
+        a = end[a]
+    return out
+
+
+def _graft(stem: list[tuple[int, int]], shoot: list[tuple[int, int]]) -> bool:
+    """Let the stem's (begin, end) go on as the shoot's after a piece that both have."""
+    place = {p: i for i, p in enumerate(shoot)}
+    for k in range(len(stem) - 1, -1, -1):
+        if stem[k][0] < shoot[0][0]:
+            break
+        if stem[k] in place:
+            stem[k:] = shoot[place[stem[k]]:]
+            return True
+    return False
+
+
+def _spans(sizes, start: int) -> list[tuple[int, int]]:
+    to = (start + np.cumsum(sizes)).tolist()
+    return list(zip([start, *to], to))
+
+
+def long_word(word: bytes, ids_of, ranks: dict[bytes, int], sizes: np.ndarray) -> bytes:
+    """ids of a word of more than WINDOW bytes, by those of its windows
+    (``ids_of`` their bytes) and the number of bytes of each id."""
+    stem: list[tuple[int, int]] = []
+    for at in _windows(word):
+        end = at + WINDOW
+        shoot = _spans(sizes[np.frombuffer(ids_of(word[at:end]), "<u4")], at)
+        if not stem:
+            stem = shoot
+        back = WINDOW
+        while stem[-1][1] < end and not _graft(stem, shoot):
+            back *= 2
+            start = next((a for a, _ in reversed(stem) if a <= end - back), 0)
+            shoot = _spans([len(x) for x in merged(word[start:end], ranks)], start)
+            if not start:
+                stem = shoot
+    return np.array([ranks[word[a:b]] for a, b in stem], "<u4").tobytes()
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -191,7 +277,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
     chunks = pack(docs, chunk_bytes)
 
     def ask(t: pa.Table) -> pa.Table:
-        words = _distinct_words(_open(t).column("text").to_pylist())
+        every, _ = _words(_open(t).column("text").to_pylist())
+        words = _units(every.unique().cast(pa.binary()).to_pylist())
         own = _by_bucket(words, buckets)
         return pa.table([pa.array(list(own), pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(own), pa.int64()),
                          pa.array([_squeeze(_join([words[i] for i in p])) for p in own.values()], pa.binary())],
@@ -214,16 +301,23 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         t = _open(left)
-        words, codes, n = _numbered(t.column("text").to_pylist())
-        own = _by_bucket(words, buckets)
-        ids = [b""] * len(words)
+        every, n = _words(t.column("text").to_pylist())
+        every = every.dictionary_encode()
+        words, codes = every.dictionary.cast(pa.binary()).to_pylist(), every.indices.to_numpy()
+        units = _units(words)
+        own = _by_bucket(units, buckets)
+        ids = [b""] * len(units)
         for b, x in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()):
             for i, y in zip(own[b].tolist(), _split(_swell(x))):
                 ids[i] = y
+        if units is not words:
+            known = dict(zip(units, ids))
+            ranks, sizes = kept_between_tasks("ranks:" + path, table)
+            ids = [known[w] if len(w) <= WINDOW else long_word(w, known.__getitem__, ranks, sizes) for w in words]
         size = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(size) - size
-        del words, ids
+        del every, words, units, ids
         out, at = [], 0
         for k in n.tolist():
             mine = codes[at:at + k]
@@ -231,7 +325,14 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
             at += k
         return pa.table([t.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
 
-    maps = rank_maps(spark, read_ranks(path))
+    def table():
+        ranks = read_ranks(path)
+        return ranks, sizes_of(ranks)
+
+    ranks = read_ranks(path)
+    if max(map(len, ranks)) >= WINDOW:
+        raise ValueError(f"a piece of {path} has {WINDOW} bytes or more")
+    maps = rank_maps(spark, ranks)
     asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, words binary")
     words = asked.groupBy("bucket").applyInArrow(distinct, "bucket long, word binary")
     words = words.select("bucket", "word", encode_word(F.col("word"), maps).alias("ids"))

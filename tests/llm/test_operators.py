@@ -347,6 +347,40 @@ def test_byte_bpe(spark, docs, empty):
     assert byte_bpe.digest(spark, empty).count() == 0
 
 
+def test_byte_bpe_long_words(spark):
+    import random
+    import public_tokenizers
+    import tiktoken
+    ranks = byte_bpe.read_ranks(byte_bpe.vocabulary())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = ["a" * 5000, "日本" * 1500, "哈" * 3001, "x" * 256, "y" * 257, "=-" * 900, "".join(rng.choices("abcdefghij", k=9000)),
+             "".join(rng.choices("ab", k=5000)) + " and " + "".join(rng.choices(["日", "語", "é", "tion"], k=2000))]
+    texts.append("".join(rng.choices(texts[6], k=100_000)) + "abc" * 300_000)  # a word of a million letters
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in byte_bpe.digest(spark, docs, chunk_bytes=20_000).collect()}
+    for d, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert got[d] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), d
+
+
+def test_byte_bpe_joins_windows():
+    import random
+    import public_tokenizers
+    import tiktoken
+    ranks = byte_bpe.read_ranks(byte_bpe.vocabulary())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def own(x):
+        return np.array([ranks[p] for p in byte_bpe.merged(x, ranks)], "<u4").tobytes()
+
+    rng = random.Random(3)
+    for _ in range(200):
+        word = bytes(rng.choices(b"abAB \xe3\x81\x82t", k=rng.randrange(257, 900)))
+        got = byte_bpe.long_word(word, own, ranks, byte_bpe.sizes_of(ranks))
+        assert np.frombuffer(got, "<u4").tolist() == list(enc._core_bpe.encode_single_piece(word))
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
