@@ -3,7 +3,8 @@
 Regular expressions propose spans, validators (number ranges, Luhn, digit
 counts, mod-97) confirm them, and words nearby move each span's score. Base
 kinds (email, ip, card, phone) stay whatever their score; added kinds (iban,
-ssn) stay from ``KEEP`` upwards. Offsets count code points.
+ssn) stay from ``KEEP`` upwards. An account number is as long as its country's
+are, so what follows it doesn't matter; context words count as whole words. Offsets count code points.
 
 Null texts count as empty and give no spans; repeated rows stay rows of their
 own; an empty table gives no rows. Each expression takes time in proportion to
@@ -25,20 +26,36 @@ BASE = KINDS[:4]
 KEEP, NEAR = 0.6, 48
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+TOUCHING = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
 # A leftmost match starts where its run of digits does.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an account number by country, fixed values of the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+# Only the start: how far it goes is its country's to say.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: Score of a validated span of each kind, and words that raise it by 0.3.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 CONTEXT = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "call", "tel", "fax", "mobile"),
+    "email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "telephone", "call", "tel", "fax", "mobile"),
     "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social security"),
 }
+#: Whole words, with a plural; a span's other neighbours may be anything.
+NEARBY = {k: re.compile(rf"(?<![a-z0-9])(?:{'|'.join(v)})s?(?![a-z0-9])") for k, v in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -54,6 +71,25 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int:
+    """Where an account number that starts here ends by its country's length, or 0:
+    capital letters and digits, run together or in blocks of four parted by
+    single spaces, and no letter or digit right behind."""
+    left = IBAN_LENGTHS.get(text[start:start + 2], 0)
+    at, spaced = start, text[start + 4:start + 5] == " "
+    while left:
+        block = min(4, left) if spaced else left
+        part = text[at:at + block]
+        if len(part) < block or not ALNUM.issuperset(part):
+            return 0
+        at, left = at + block, left - block
+        if left:
+            if text[at:at + 1] != " ":
+                return 0
+            at += 1
+    return 0 if at == start or text[at:at + 1] in TOUCHING else at
+
+
 def emails(text: str):
     """Leftmost matches, found from each @ backwards so that long runs cost their length once."""
     floor, at = 0, text.find("@")
@@ -85,9 +121,11 @@ def proposals(text: str):
         for m in PHONE.finditer(text):
             if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
+    end = 0
     for m in IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            yield "iban", m.start(), m.end()
+        if m.start() >= end and (stop := iban_end(text, m.start())) and mod97(text[m.start():stop]):
+            end = stop
+            yield "iban", m.start(), stop
     for m in SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 
@@ -97,7 +135,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, a, b in proposals(text):
         around = (text[max(0, a - NEAR):a] + " " + text[b:b + NEAR]).lower()
-        score = min(1.0, SCORES[kind] + 0.3 * any(w in around for w in CONTEXT[kind]))
+        score = min(1.0, SCORES[kind] + 0.3 * bool(NEARBY[kind].search(around)))
         if kind in BASE or score >= KEEP:
             out.append((kind, a, b, score))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))

@@ -404,6 +404,14 @@ def test_pii(docs, empty):
     for t in texts:
         assert [s[:3] for s in pii.find(t) if s[0] in pii.BASE] == plain_spans(t), t
     assert [s[0] for s in pii.find("pay to IBAN GB82 WEST 1234 5698 7654 32 now")] == ["iban"]
+    for t in ("pay ES9121000418450200051332 TODAY", "pay ES91 2100 0418 4502 0005 1332 2024", "DE89370400440532013000", "(NO93 8601 1117 947)",
+              "GB82 WEST 1234 5698 7654 32 AND NL91ABNA0417164300."):
+        found = [t[a:b].replace(" ", "") for k, a, b, _ in pii.find(t) if k == "iban"]
+        assert found and all(len(x) == pii.IBAN_LENGTHS[x[:2]] and pii.mod97(x) for x in found), t
+    assert len([s for s in pii.find("GB82 WEST 1234 5698 7654 32 AND NL91ABNA0417164300.") if s[0] == "iban"]) == 2
+    for t in ("pay ES9121000418450200051333 TODAY", "ES91210004184502000513321", "xES9121000418450200051332", "ES91 21000418450200051332", "ZZ91 2100", "ES91", "ES91 "):
+        assert not [s for s in pii.find(t) if s[0] == "iban"], t
+    assert not pii.find("by the assn. 123-45-6789") and pii.find("SSNs: 123-45-6789")
     assert not pii.find("code 123-45-6789 here") and pii.find("my ssn: 123-45-6789")
     assert pii.digest(pii.find_pii(empty)).count() == 0 and pii.digest(pii.find_pii(docs)).count() == len(ROWS)
     assert "<EMAIL>" in pii.redacted(ROWS[7][1]) and pii.redact(docs).columns == docs.columns
