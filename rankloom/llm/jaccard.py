@@ -80,6 +80,8 @@ def document_sets(docs: DataFrame, classes: DataFrame, shards: int) -> DataFrame
     """A row for each distinct text (id is its node): n, and (where enough of its shingles
     occur elsewhere for any link) those shingles, rarest first, with the prefix
     length among them and how many of it to ask for."""
+    buckets = kx.first_cut(shards)
+
     def own_sets(left, right):
         left, nodes = kx.standing(left, right)
         data, off = raw(ascii_lower(left.column("text").combine_chunks()))
@@ -88,7 +90,7 @@ def document_sets(docs: DataFrame, classes: DataFrame, shards: int) -> DataFrame
     def hand_in(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, own = own_sets(left, right)
         keys = np.concatenate([np.unique(kx.short(s)) for s in own] or [np.zeros(0, np.uint64)])
-        return kx.handed_in(key[0].as_py(), *np.unique(keys, return_counts=True), shards)
+        return kx.handed_in(key[0].as_py(), *np.unique(keys, return_counts=True), buckets)
 
     def out(key, left: pa.Table, right: pa.Table) -> pa.Table:
         known, counts = kx.returned(right)
@@ -114,7 +116,7 @@ def document_sets(docs: DataFrame, classes: DataFrame, shards: int) -> DataFrame
     mem = kx.members(classes, shards, "node")
     handed = left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(
         lean(hand_in), kx._HANDED)
-    right = mem.unionByName(kx.shared(handed))
+    right = mem.unionByName(kx.shared(handed, shards))
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lean(out), _DOC)
 
 

@@ -6,6 +6,11 @@ key range; a bucket merges the runs of all shards and returns to each shard
 those of its keys that the whole corpus has twice or more. A key costs about
 four bytes, and a key of any number of documents comes once from each shard.
 
+No shard cuts its keys into more than ``FAN`` runs. Where there are more shards,
+their runs are merged FAN shards at a time and cut into FAN finer runs each, level
+by level, and what is shared comes back the same way: FAN rows a shard and level,
+so rows grow with the corpus and not with its square.
+
 Keys are the top 44 bits of a 64-bit hash. Two keys that share them are counted
 as one, which makes counts too high and never too low.
 """
@@ -17,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import forget, lean_group, run_starts
+from rankloom.llm.common import forget, lean, lean_group, pieces, run_starts
 
 BITS = 44
 #: UTF-8 bytes of text in a shard.
 SHARD_BYTES = 8 << 20
+#: Runs that a shard's keys are cut into, and shards that are merged at a level.
+FAN = 256
 ROWS = "shard long, kind int, id long, keys binary, counts binary"
 _ROWS = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 _HANDED = "bucket long, shard long, keys binary, counts binary"
@@ -45,46 +52,94 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1, 1), gaps)), dtype=np.uint64)
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's run of sorted keys begins, and the end."""
-    edge = np.array([(k << BITS) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(keys, edge), len(keys))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of that many equal ranges each key is in: key * buckets >> BITS, in
+    two halves so that no product is over 64 bits."""
+    half, b = np.uint64(BITS // 2), np.uint64(buckets)
+    low = (keys & np.uint64((1 << BITS // 2) - 1)) * b >> half
+    return ((keys >> half) * b + low >> half).astype(np.int64)
 
 
 def handed_in(shard: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    at = cuts(keys, buckets)
-    own = [k for k in range(buckets) if at[k + 1] > at[k]]
-    return pa.table([pa.array(own, pa.int64()), pa.array([shard] * len(own), pa.int64()),
-                     pa.array([packed(keys[at[k]:at[k + 1]]) for k in own], pa.binary()),
-                     pa.array([counts[at[k]:at[k + 1]].astype("<u4").tobytes() for k in own], pa.binary())],
+    """A shard's sorted distinct keys, one row for each bucket that has any."""
+    own = bucket_of(keys, buckets)
+    first = run_starts(own)
+    runs = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)])]
+    return pa.table([pa.array(own[first]), pa.array([shard] * len(first), pa.int64()),
+                     pa.array([packed(keys[r]) for r in runs], pa.binary()),
+                     pa.array([counts[r].astype("<u4").tobytes() for r in runs], pa.binary())],
                     names=["bucket", "shard", "keys", "counts"])
 
 
-def _merge(t: pa.Table) -> pa.Table:
+def _summed(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The runs of a bucket, their distinct keys, and the documents of each."""
     runs = [unpacked(x) for x in t.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]
     keys = np.concatenate(runs)
+    counts = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     first = run_starts(keys[order])
-    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
-    many = total >= 2
-    merged, total = keys[order][first][many], total[many]
+    return runs, keys[order][first], np.add.reduceat(counts[order], first)
+
+
+def _given_back(shards: list[int], runs: list[np.ndarray], keys: np.ndarray, total: np.ndarray) -> pa.Table:
+    """For each run those of its keys that are among ``keys``, with their counts."""
     out = []
-    for shard, run in zip(t.column("shard").to_pylist(), runs):
-        if not len(merged):
+    for shard, run in zip(shards, runs):
+        if not len(keys):
             break
-        at = np.minimum(np.searchsorted(merged, run), len(merged) - 1)
-        hit = merged[at] == run
+        at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+        hit = keys[at] == run
         if hit.any():
-            out.append((shard, packed(run[hit]), np.minimum(total[at[hit]], (1 << 32) - 1).astype("<u4").tobytes()))
+            out.append((shard, packed(run[hit]), _counts(total[at[hit]])))
     return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([1] * len(out), pa.int32()),
                      pa.nulls(len(out), pa.int64()), pa.array([r[1] for r in out], pa.binary()),
                      pa.array([r[2] for r in out], pa.binary())], names=["shard", "kind", "id", "keys", "counts"])
 
 
-def shared(handed: DataFrame) -> DataFrame:
-    """What each shard gets back: rows of kind 1 with its shared keys and counts."""
-    return handed.groupBy("bucket").applyInArrow(lean_group(_merge), ROWS)
+def _counts(total: np.ndarray) -> bytes:
+    return np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    runs, keys, total = _summed(t)
+    many = total >= 2
+    return _given_back(t.column("shard").to_pylist(), runs, keys[many], total[many])
+
+
+def _finer(buckets: int):
+    """Merges the runs of a source and cuts them anew, for that many buckets in all."""
+    def run(t: pa.Table) -> pa.Table:
+        _, keys, total = _summed(t)
+        return handed_in(t.column("source")[0].as_py(), keys, np.minimum(total, (1 << 32) - 1), buckets)
+    return run
+
+
+def _back(left: pa.Table, right: pa.Table) -> pa.Table:
+    runs = [unpacked(x) for x in left.column("keys").to_pylist()]
+    return _given_back(left.column("shard").to_pylist(), runs, *returned(right))
+
+
+def first_cut(shards: int) -> int:
+    """Buckets that each of so many shards cuts its keys into."""
+    return min(shards, FAN)
+
+
+def shared(handed: DataFrame, shards: int) -> DataFrame:
+    """What each of so many shards gets back: rows of kind 1 with its shared keys
+    and counts."""
+    return _shared(handed, shards, shards, first_cut(shards))
+
+
+def _shared(handed: DataFrame, each: int, shards: int, buckets: int) -> DataFrame:
+    """``each``: shards that have runs in a bucket, ``shards``: all of them."""
+    if each <= FAN:
+        return handed.groupBy("bucket").applyInArrow(lean_group(_merge), ROWS)
+    # runs of FAN shards next to each other in a bucket are one shard of the next level
+    several = pieces(shards, FAN)
+    handed = handed.withColumn("source", F.col("bucket") * several + F.floor(F.col("shard") / FAN))
+    above = handed.groupBy("source").applyInArrow(lean_group(_finer(buckets * FAN)), _HANDED)
+    back = _shared(above, pieces(each, FAN), buckets * several, buckets * FAN).withColumnRenamed("shard", "source")
+    return handed.groupBy("source").cogroup(back.groupBy("source")).applyInArrow(lean(lambda key, a, b: _back(a, b)), ROWS)
 
 
 def _shard(key: str, shards: int):

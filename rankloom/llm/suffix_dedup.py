@@ -114,7 +114,7 @@ def filed(data, off, known, counts, buckets):
     key = k[begin]
     for i in np.flatnonzero(alone[begin]).tolist():
         key[i] = np.uint64(zlib.crc32(strings[i]) << kx.BITS - 32)
-    bucket = (np.searchsorted(np.array([(b << kx.BITS) // buckets for b in range(buckets)], np.uint64), key, "right") - 1)
+    bucket = kx.bucket_of(key, buckets)
     return first, last, text, which, strings, text[begin], bucket
 
 
@@ -288,6 +288,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
     smaller id has the whole text), and the start and end bytes of what goes, as
     arrays."""
     shards = pieces(text_bytes(docs), shard_bytes)
+    buckets = kx.first_cut(shards)
     named, classes = kx.first_copies(docs)
     classes = stored(classes.select("digest", "rep"), "classes")
 
@@ -306,7 +307,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
         order = np.lexsort((text, k))
         k, text = k[order], text[order]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (text[1:] != text[:-1]))) if len(k) else np.zeros(0, bool)
-        return kx.handed_in(key[0].as_py(), *np.unique(k[new], return_counts=True), shards)
+        return kx.handed_in(key[0].as_py(), *np.unique(k[new], return_counts=True), buckets)
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, ids, data, off = standing(left, right)
@@ -359,7 +360,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, shard_bytes: int = kx.SHA
 
     left = kx.by_shard(docs, shards)
     mem = kx.members(classes, shards)
-    known = stored(kx.shared(left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(lean(hand_in), kx._HANDED)), "parts")
+    known = stored(kx.shared(left.groupBy("shard").cogroup(mem.groupBy("shard")).applyInArrow(lean(hand_in), kx._HANDED), shards), "parts")
     right = mem.unionByName(known)
     sent = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lean(send), _RUNS)
     answers = stored(sent.groupBy("bucket").applyInArrow(lean_group(_settle_bucket), kx.ROWS), "answers")
