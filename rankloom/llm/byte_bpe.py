@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, out_id, pieces, small_batches, text_bytes
+from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, lean, lean_group, out_id, pieces, small_batches, text_bytes
 
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: How hard chunks are compressed, which pass through two shuffles.
 LEVEL = 3
 SMALL_MAPS = 4096
@@ -85,10 +85,10 @@ def splitter(pattern: str | None = None):
 
 def rank_maps(spark: SparkSession, ranks: dict[bytes, int], maps: int = SMALL_MAPS) -> Column:
     """The ranks as a literal array of maps, a piece's map being its hash modulo
-    ``maps``. Pieces are strings of one character (0-255) for each byte."""
+    ``maps``, a power of two. Pieces are strings of one character (0-255) for each byte."""
     rows = spark.createDataFrame([(k.decode("latin-1"), v) for k, v in ranks.items()], "piece string, rank int")
     own = [{} for _ in range(maps)]
-    for piece, rank, k in rows.select("piece", "rank", F.pmod(F.hash("piece"), F.lit(maps))).collect():
+    for piece, rank, k in rows.select("piece", "rank", F.hash("piece").bitwiseAND(F.lit(maps - 1))).collect():
         own[k][piece] = rank
     return F.from_json(F.lit(json.dumps(own)), "array<map<string,int>>")
 
@@ -99,45 +99,47 @@ def let(value: Column, f) -> Column:
 
 
 def encode_word(word: Column, maps: Column, n_maps: int = SMALL_MAPS) -> Column:
-    """ids of a binary word, array<int>. The fold holds where the word's parts
+    """ids of a binary word, array<int>. The maps are named once, since each task
+    reads every literal of its plan."""
+    return let(maps, lambda own: let(F.decode(word, "ISO-8859-1"), lambda s: _encoded(s, own, n_maps)))
+
+
+def _encoded(word: Column, maps: Column, n_maps: int) -> Column:
+    """The fold holds where the word's parts
     begin (``cuts``, with the end) and the pairs of neighbours that have a rank,
-    as rank and place in one number: the least is the leftmost of the lowest rank."""
+    as rank and place in one number: the least is the leftmost of the lowest rank. ``word`` has a character for each byte."""
     def rank(piece: Column) -> Column:
-        return F.element_at(F.get(maps, F.pmod(F.hash(piece), F.lit(n_maps))), piece)
-
-    def place_of(pair: Column) -> Column:
-        return pair.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return F.element_at(F.get(maps, F.hash(piece).bitwiseAND(F.lit(n_maps - 1))), piece)
 
     def folded(s: Column) -> Column:
         def pair(start: Column, end: Column) -> Column:
             return F.shiftleft(rank(F.substring(s, start, end - start)).cast("long"), 32) + start
 
+        def place_of(pair: Column) -> Column:
+            return pair.bitwiseAND(F.lit((1 << 32) - 1))
+
         def merge(acc: Column, low: Column) -> Column:
+            cuts = acc["cuts"]
+
             def cut(place: Column, k: Column) -> Column:
-                before, mid, end, after = (F.get(acc["cuts"], k + d) for d in (-2, 0, 1, 2))
-                stale = F.array(before, place, mid)
-                new = F.array(pair(before, end), pair(place, after))
-                return F.struct(
-                    F.array_remove(acc["cuts"], mid).alias("cuts"),
-                    F.filter(F.concat(F.filter(acc["pairs"], lambda p: ~F.coalesce(F.array_contains(stale, place_of(p)), F.lit(False))), new),
-                             lambda p: p.isNotNull()).alias("pairs"))
+                before, mid, end = F.get(cuts, k - 2), F.get(cuts, k), F.get(cuts, k + 1)
+                # pairs that begin from the part before to the one merged are gone, and null ones
+                others = F.filter(acc["pairs"], lambda p: (place_of(p) < F.coalesce(before, place)) | (place_of(p) > mid))
+                return F.struct(F.array_remove(cuts, mid).alias("cuts"),
+                                F.concat(others, F.array(pair(before, end), pair(place, F.get(cuts, k + 2)))).alias("pairs"))
 
-            return let(place_of(low), lambda place: let(F.array_position(acc["cuts"], place).cast("int"), lambda k: cut(place, k)))
+            return let(place_of(low).cast("int"), lambda place: let(F.array_position(cuts, place).cast("int"), lambda k: cut(place, k)))
 
         def step(acc: Column, _) -> Column:
             return let(F.array_min(acc["pairs"]), lambda low: F.when(low.isNull(), acc).otherwise(merge(acc, low)))
 
         n = F.length(s)
-        cuts = F.sequence(F.lit(1), n + 1)
-        pairs = F.filter(F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(i, i + 2)), lambda p: p.isNotNull())
-        last = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(cuts.alias("cuts"), pairs.alias("pairs")), step)["cuts"]
-        return let(last, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1),
-                                               lambda a, i: rank(F.substring(s, a, F.get(c, i + 1) - a))))
-
-    def whole(s: Column) -> Column:
-        return let(rank(s), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded(s)))
+        each = F.sequence(F.lit(1), n - 1)
+        start = F.struct(F.sequence(F.lit(1), n + 1).alias("cuts"), F.transform(each, lambda i: pair(i, i + 2)).alias("pairs"))
+        return let(F.aggregate(each, start, step)["cuts"], lambda c: F.transform(
+            F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: rank(F.substring(s, a, F.get(c, i + 1) - a))))
 
-    return let(F.decode(word, "ISO-8859-1"), whole)
+    return let(rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded(word)))
 
 
 def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -304,6 +306,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
         every, n = _words(t.column("text").to_pylist())
         every = every.dictionary_encode()
         words, codes = every.dictionary.cast(pa.binary()).to_pylist(), every.indices.to_numpy()
+        ids_of = t.column("id")
+        del every, t
         units = _units(words)
         own = _by_bucket(units, buckets)
         ids = [b""] * len(units)
@@ -317,13 +321,13 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
         size = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(size) - size
-        del every, words, units, ids
+        del words, units, ids, own
         out, at = [], 0
         for k in n.tolist():
             mine = codes[at:at + k]
             out.append(flat[joined_ranges(first[mine], size[mine])].tobytes())
             at += k
-        return pa.table([t.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+        return pa.table([ids_of, pa.array(out, pa.binary())], names=["id", "ids"])
 
     def table():
         ranks = read_ranks(path)
@@ -333,11 +337,11 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
     if max(map(len, ranks)) >= WINDOW:
         raise ValueError(f"a piece of {path} has {WINDOW} bytes or more")
     maps = rank_maps(spark, ranks)
-    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, words binary")
-    words = asked.groupBy("bucket").applyInArrow(distinct, "bucket long, word binary")
+    asked = chunks.groupBy("chunk").applyInArrow(lean_group(ask), "bucket long, chunk long, words binary")
+    words = asked.groupBy("bucket").applyInArrow(lean_group(distinct), "bucket long, word binary")
     words = words.select("bucket", "word", encode_word(F.col("word"), maps).alias("ids"))
-    answers = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, ids binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "id long, ids binary")
+    answers = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(lean(lambda key, a, b: answer(a, b)), "chunk long, bucket long, ids binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(lambda key, a, b: finish(a, b)), "id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
