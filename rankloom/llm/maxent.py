@@ -6,11 +6,15 @@ frequent tokens is one; the others are cut into classes of like weight in order
 of their last two bytes, so that endings (and with them languages) stay
 together. The class softmax is a maximum-entropy model over hashed features: the
 previous word, the previous two, the one before the previous (a skip), and a
-bias. Within a class a token has its share of the class's training tokens, plus
-one; the last class also holds one unseen token.
+bias. Within a class a token has a place in a tree of ``DEPTH`` levels, by its
+checksum; each branch is a maximum-entropy model of its own over the same hashed
+features, with the branch's share of the class's training tokens (each token's count
+plus one) as its bias. Tokens that end at one leaf share it by the same counts; the
+last class also holds one unseen token.
 
 Counting, training and scoring go over compressed chunks of the table, which a
-row's id and text deal it to, so scores do not depend on the table's layout: a chunk
+row's id and text deal it to, so scores do not depend on the table's layout. Texts are
+cut into tokens once; a chunk holds its distinct words and each token's number. It
 asks the buckets of its words for their counts, which buckets sum over all
 chunks. Training runs in rounds: each round deals its share of the chunks, every
 chunk walks its training tokens in sparse numpy batches from the round's common
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.byte_bpe import _join, _open, _split, _squeeze, _swell
+from rankloom.llm.byte_bpe import _join, _split, _squeeze, _swell
 from rankloom.llm.common import NO_ID, ascii_lower, configure, mix, out_id, pieces, raw, stored, text_bytes, word_array, word_spans
 from rankloom.llm.shingles import span_hashes
 
@@ -40,10 +44,14 @@ CHUNK_BYTES = 8 << 20
 CLASSES, ALONE = 32, 12
 #: Hashed rows of each of the three history features.
 ROWS, FEATURES = 1 << 13, 3
-ROUNDS, BATCH, RATE = 3, 2048, 0.5
+ROUNDS, BATCH, RATE, TREE_RATE = 3, 2048, 0.5, 0.1
+#: Levels of the tree within a class, levels that a weight row has, and hashed rows of the trees.
+DEPTH, LEVELS, TREE_ROWS = 10, 5, 1 << 14
 #: Weight rows in a block, and blocks that one task averages.
 BLOCK, TOGETHER = 1024, 64
 END = b""
+UNSEEN = 0
+_PARTS = ["ids", "held", "words", "hashes", "code", "size"]
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -55,31 +63,94 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 class Tokens:
     """A chunk's tokens in text order: code into its distinct words (the last code
-    is the end), text and hash."""
+    is the end), text and hash; and its rows' ids and which are held out."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, ids: np.ndarray, held: np.ndarray, words: list[bytes], hashes: np.ndarray, code: np.ndarray, size: np.ndarray):
+        self.ids, self.held, self.words, self.code, self.n = ids, held, words, code, len(ids)
+        self.hashes, self.size = hashes, size
+        self.text = np.repeat(np.arange(self.n), size)
+        self.hash = hashes[code]
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Tokens:
         data, off = raw(ascii_lower(t.column("text").combine_chunks()))
         start, end, text = word_spans(data, off)
         d = word_array(data, start, end).dictionary_encode()
-        self.words = [w.encode("utf-8", "surrogatepass") for w in d.dictionary.to_pylist()] + [END]
+        words = [w.encode("utf-8", "surrogatepass") for w in d.dictionary.to_pylist()] + [END]
         n = t.num_rows
         at = np.searchsorted(text, np.arange(n), "right")  # the end follows each text's words
-        self.code = np.insert(d.indices.to_numpy(zero_copy_only=False).astype(np.int32), at, len(self.words) - 1)
-        self.text = np.insert(text, at, np.arange(n))
-        self.held = t.column("held_out").to_numpy()
-        self.n = n
-        own = np.zeros(len(self.words), np.uint64)
-        h = span_hashes(data, start, end)
-        own[d.indices.to_numpy(zero_copy_only=False)] = h
-        self.hash = own[self.code]
+        code = d.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        hashes = np.zeros(len(words), np.uint64)
+        hashes[code] = span_hashes(data, start, end)
+        return cls(t.column("id").to_numpy(), t.column("held_out").to_numpy(zero_copy_only=False), words, hashes,
+                   np.insert(code, at, len(words) - 1), np.bincount(text, minlength=n) + 1)
+
+    def packed(self) -> list[bytes]:
+        return [_squeeze(x) for x in (self.ids.astype("<i8").tobytes(), self.held.astype(np.uint8).tobytes(), _join(self.words),
+                                      self.hashes.astype("<u8").tobytes(), self.code.astype("<i4").tobytes(), self.size.astype("<i4").tobytes())]
+
+    @classmethod
+    def opened(cls, t: pa.Table) -> Tokens:
+        ids, held, words, hashes, code, size = (_swell(t.column(c)[0].as_py()) for c in _PARTS)
+        return cls(np.frombuffer(ids, "<i8"), np.frombuffer(held, np.uint8).astype(bool), _split(words), np.frombuffer(hashes, "<u8"),
+                   np.frombuffer(code, "<i4"), np.frombuffer(size, "<i4"))
 
     def history(self, at: np.ndarray) -> np.ndarray:
         """Weight rows of the features of the tokens at these places."""
         h, last, other = self.hash, np.maximum(at - 1, 0), np.maximum(at - 2, 0)
         one = np.where((at >= 1) & (self.text[last] == self.text[at]), h[last], np.uint64(1))
         two = np.where((at >= 2) & (self.text[other] == self.text[at]), h[other], np.uint64(2))
-        rows = [one, mix(one * np.uint64(3) + two), mix(two + np.uint64(7))]
-        return np.stack([(r % np.uint64(ROWS)).astype(np.int64) + 1 + i * ROWS for i, r in enumerate(rows)], axis=1)
+        return np.stack([one, mix(one * np.uint64(3) + two), mix(two + np.uint64(7))], axis=1)
+
+
+def class_rows(seen: np.ndarray) -> np.ndarray:
+    """Weight rows of the features with these hashes."""
+    return (seen % np.uint64(ROWS)).astype(np.int64) + 1 + np.arange(FEATURES) * ROWS
+
+
+def leaves(words: list[bytes]) -> np.ndarray:
+    """The leaf of each word in its class's tree."""
+    return np.array([zlib.crc32(w) >> 32 - DEPTH for w in words], np.int64)
+
+
+class Trees:
+    """The branches on the way from the root of a word's class to its leaf, and the
+    odds of the right one by the counts alone."""
+
+    def __init__(self, weight: np.ndarray):
+        """``weight`` (class, leaf): training tokens, plus one for each distinct one."""
+        level, odds = weight.astype(np.float64), [np.zeros((CLASSES, 1))]
+        for _ in range(DEPTH):
+            odds.append(np.log(np.maximum(level[:, 1::2], 1e-9) / np.maximum(level[:, ::2], 1e-9)))
+            level = level[:, ::2] + level[:, 1::2]
+        # by node: the root is 1, the branches of node k are 2k and 2k + 1; sides without any token are certain
+        self.odds = np.concatenate([odds[0], *odds[:0:-1]], axis=1).clip(-30, 30).astype(np.float32)
+        self.weight = weight
+
+    def ways(self, cls: np.ndarray, leaf: np.ndarray):
+        """By level and word: the odds, and whether it goes right; its weights' hash
+        (a weight row holds LEVELS levels below some node) and columns."""
+        levels = np.arange(DEPTH)[:, None]
+        node = (1 << levels) + (leaf >> DEPTH - levels)
+        right = (leaf >> DEPTH - 1 - levels & 1).astype(np.float32)
+        salt = mix((cls << DEPTH | node[::LEVELS]).astype(np.uint64) + np.uint64(11))
+        inner = 1 << levels % LEVELS
+        return self.odds[cls, node], right, salt, inner + (node & inner - 1)
+
+
+def tree_places(seen: np.ndarray, salt: np.ndarray, column: np.ndarray):
+    """(feature, row, token) of the trees' weight rows, and (feature, level, token) of their single weights."""
+    row = ((seen.T[:, None, :] ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - TREE_ROWS.bit_length())).astype(np.int64)
+    place = (row * CLASSES)[:, :, None, :] + column.reshape(-1, LEVELS, column.shape[1])
+    return row, place.reshape(FEATURES, DEPTH, -1)
+
+
+def tree_odds(tree: np.ndarray, odds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Odds of the right branch by level and token."""
+    x = odds + tree[places[0]]
+    for own in places[1:]:
+        x += tree[own]
+    return x
 
 
 def ending(words: list[bytes]) -> np.ndarray:
@@ -93,9 +164,10 @@ def ending(words: list[bytes]) -> np.ndarray:
 class Classes:
     """Class and probability within it for a token's bytes and count."""
 
-    def __init__(self, alone: list[bytes], of_ending: np.ndarray, weight: np.ndarray, number: np.ndarray):
+    def __init__(self, alone: list[bytes], of_ending: np.ndarray, weight: np.ndarray):
         self.alone = {w: i for i, w in enumerate(alone)}
-        self.of_ending, self.weight, self.number = of_ending, weight, number
+        self.of_ending, self.weight = of_ending, weight
+        self.trees: Trees | None = None
 
     def of(self, words: list[bytes]) -> np.ndarray:
         out = self.of_ending[ending(words)]
@@ -103,16 +175,20 @@ class Classes:
             out[i] = self.alone[words[i]]
         return out
 
-    def within(self, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of (c + 1) / (class weight + its tokens); unseen ones share the last class's one more."""
-        cls = np.where(count > 0, cls, CLASSES - 1)
-        whole = self.weight[cls] + self.number[cls] + (cls == CLASSES - 1)
-        return np.log10((count + 1) / np.maximum(whole, 1))
+    def at_leaf(self, cls: np.ndarray, leaf: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 of a token's (c + 1) among those of its leaf."""
+        return np.log10((count + 1) / self.trees.weight[cls, leaf])
+
+    def places(self, words: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and leaf; unseen words share one of the last class."""
+        cls, leaf = self.of(words), leaves(words)
+        cls[count == 0], leaf[count == 0] = CLASSES - 1, UNSEEN
+        return cls, leaf
 
 
 def learn_classes(words: DataFrame) -> tuple[Classes, int, int]:
     """From (word, n): classes, N and V. The driver gets the ALONE most frequent
-    tokens and the weights of the 65,536 endings at most."""
+    tokens and the weights of the 65,536 endings and of the classes' leaves (32,768) at most."""
     total, number = words.agg(F.sum("n"), F.count("*")).first()
     top = words.orderBy(F.desc("n"), "word").limit(ALONE).collect()
     alone = [bytes(r["word"]) for r in top if r["n"] * CLASSES * 4 >= (total or 0)]
@@ -120,24 +196,39 @@ def learn_classes(words: DataFrame) -> tuple[Classes, int, int]:
     code = [F.conv(F.hex(F.substring("word", k, 1)), 16, 10).cast("int") for k in (-1, -2)]
     by_end = words.filter(~F.col("word").isin([bytearray(w) for w in alone]) if alone else F.lit(True)) \
         .select(F.when(n == 0, 0).when(n == 1, code[0] * 256).otherwise(code[0] * 256 + code[1]).alias("e"), "n") \
-        .groupBy("e").agg(F.sum("n").alias("w"), F.count("*").alias("k")).collect()
-    weight, kinds = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        .groupBy("e").agg(F.sum("n").alias("w")).collect()
+    weight = np.zeros(1 << 16, np.int64)
     for r in by_end:
-        weight[r["e"]], kinds[r["e"]] = r["w"], r["k"]
+        weight[r["e"]] = r["w"]
     rest = CLASSES - len(alone)
     done = np.cumsum(weight)
     share = (done - weight / 2) / max(1, done[-1])
     of_ending = len(alone) + np.minimum(rest - 1, (share * rest).astype(np.int64))
     class_weight = np.bincount(of_ending, weight, CLASSES)
-    class_number = np.bincount(of_ending, kinds, CLASSES)
     for i, r in enumerate(top[:len(alone)]):
-        class_weight[i], class_number[i] = r["n"], 1
-    return Classes(alone, of_ending, class_weight, class_number), int(total or 0), int(number)
+        class_weight[i] = r["n"]
+    classes = Classes(alone, of_ending, class_weight)
+
+    def by_leaf(batches):
+        for b in batches:
+            own = b.column("word").to_pylist()
+            at = classes.of(own) << DEPTH | leaves(own)
+            sums = np.bincount(at, b.column("n").to_numpy() + 1)
+            found = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found].astype(np.int64))], names=["leaf", "w"])
+
+    of_leaf = np.zeros(CLASSES << DEPTH, np.int64)
+    for r in words.mapInArrow(by_leaf, "leaf long, w long").groupBy("leaf").agg(F.sum("w").alias("w")).collect():
+        of_leaf[r["leaf"]] = r["w"]
+    of_leaf = of_leaf.reshape(CLASSES, -1)
+    of_leaf[CLASSES - 1, UNSEEN] += 1
+    classes.trees = Trees(of_leaf)
+    return classes, int(total or 0), int(number)
 
 
 def start_weights(classes: Classes) -> np.ndarray:
     """Row 0 is the bias: the classes' log shares."""
-    w = np.zeros((1 + FEATURES * ROWS, CLASSES), np.float32)
+    w = np.zeros((1 + FEATURES * ROWS + TREE_ROWS, CLASSES), np.float32)
     share = (classes.weight + 1) / (classes.weight.sum() + CLASSES)
     w[0] = np.log(share)
     return w
@@ -153,15 +244,22 @@ def probabilities(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return x
 
 
-def descend(w: np.ndarray, tokens: Tokens, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
+def descend(w: np.ndarray, tokens: Tokens, cls: np.ndarray, leaf: np.ndarray, trees: Trees, at: np.ndarray) -> np.ndarray:
     """Walk the tokens at these places in batches, changing ``w``. Each feature
     row steps by its own gradient summed over the batch, over the root of its
-    gradient's square so far. Returns how many tokens had each row."""
+    gradient's square so far; in the trees each weight does. Returns how many tokens
+    had each row."""
     seen = np.full(len(w), 1.0, np.float32)
     had = np.zeros(len(w), np.int64)
+    low = 1 + FEATURES * ROWS
+    tree, tree_had = w[low:].reshape(-1), had[low:]
+    tree_seen, summed = np.ones_like(tree), np.zeros_like(tree)
+    odds, right, salt, column = trees.ways(cls, leaf)
     for i in range(0, len(at), BATCH):
         own = at[i:i + BATCH]
-        rows, y = tokens.history(own), cls[tokens.code[own]]
+        code = tokens.code[own]
+        hashes = tokens.history(own)
+        rows, y = class_rows(hashes), cls[code]
         g = probabilities(w, rows)
         g[np.arange(len(own)), y] -= 1
         for f in range(FEATURES):
@@ -173,6 +271,16 @@ def descend(w: np.ndarray, tokens: Tokens, cls: np.ndarray, at: np.ndarray) -> n
             r = r[first]
             seen[r] += (total * total).sum(axis=1)
             w[r] -= RATE * total / np.sqrt(seen[r])[:, None]
+        row, place = tree_places(hashes, salt[:, code], column[:, code])
+        x = 1 / (1 + np.exp(-tree_odds(tree, odds[:, code], place))) - right[:, code]
+        place = place.ravel()
+        np.add.at(summed, place, np.broadcast_to(x, (FEATURES, *x.shape)).ravel())
+        total = summed[place]
+        square = tree_seen[place] + total * total
+        tree_seen[place] = square
+        tree[place] -= np.float32(TREE_RATE) * total / np.sqrt(square)   # one value a place, however often it is there
+        summed[place] = 0
+        tree_had += np.bincount(row.ravel(), minlength=TREE_ROWS)
     return had
 
 
@@ -180,19 +288,16 @@ _CHANGES = "block int, turn long, data binary, had binary"
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, data): rows of (id, text, held_out) dealt by id and text and put in
-    order, so that chunks hold the same rows however the table is laid out. They
-    are written once; counting, training and scoring read them."""
+    """(chunk, parts of its tokens): rows of (id, text, held_out) dealt by id and text
+    and put in order, so that chunks hold the same rows however the table is laid out.
+    They are cut into tokens and written once; counting, training and scoring read them."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("digest", "ascending")])
-        out = pa.BufferOutputStream()
-        rows = t.select(["id", "text", "held_out"]).combine_chunks()
-        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(rows)
-        return pa.table([pa.array([t.column("chunk")[0].as_py()], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
+        parts = Tokens.of(t).packed()
+        return pa.table([pa.array([t.column("chunk")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["chunk", *_PARTS])
 
     dealt = docs.withColumn("digest", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "digest"), F.lit(chunks)))
-    return stored(dealt.groupBy("chunk").applyInArrow(run, "chunk long, data binary"), "chunks")
+    return stored(dealt.groupBy("chunk").applyInArrow(run, "chunk long, " + ", ".join(f"{x} binary" for x in _PARTS)), "chunks")
 
 
 def model(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rounds: int = ROUNDS):
@@ -202,7 +307,7 @@ def model(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
     chunks = chunked(docs, buckets)
 
     def ask(t: pa.Table) -> pa.Table:
-        own = Tokens(_open(t))
+        own = Tokens.opened(t)
         train = ~own.held[own.text]
         n = np.bincount(own.code[train], minlength=len(own.words))
         bucket = np.array([zlib.crc32(w) % buckets for w in own.words])
@@ -257,12 +362,11 @@ def changes(chunks: DataFrame, answers: DataFrame, w: np.ndarray, classes: Class
     common = spark.sparkContext.broadcast(w)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Tokens(_open(left))
-        cls = classes.of(own.words)
-        cls[own_counts(own, right, buckets) == 0] = CLASSES - 1
+        own = Tokens.opened(left)
+        cls, leaf = classes.places(own.words, own_counts(own, right, buckets))
         mine = common.value.copy()
         at = np.flatnonzero(~own.held[own.text])
-        had = descend(mine, own, cls, at)
+        had = descend(mine, own, cls, leaf, classes.trees, at)
         mine -= common.value
         blocks, hads = ([_squeeze(x[i:i + BLOCK].astype(kind).tobytes()) for i in range(0, len(x), BLOCK)] for x, kind in ((mine, "<f2"), (had, "<i8")))
         turn = left.column("chunk")[0].as_py()
@@ -311,22 +415,24 @@ def scored(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
     common = spark.sparkContext.broadcast(w)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = _open(left)
-        own = Tokens(t)
+        own = Tokens.opened(left)
         count = own_counts(own, right, buckets)
-        cls = classes.of(own.words)
-        cls[count == 0] = CLASSES - 1
+        cls, leaf = classes.places(own.words, count)
         base = np.log10((count + 1) / (n + 1 * (v + 1)))
-        inner = classes.within(cls, count)
+        inner = classes.at_leaf(cls, leaf, count)
+        odds, right_side, salt, column = classes.trees.ways(cls, leaf)
+        sign, tree = 1 - 2 * right_side, common.value[1 + FEATURES * ROWS:].ravel()
         score = np.empty(len(own.code))
         for i in range(0, len(own.code), 4 * BATCH):
             at = np.arange(i, min(i + 4 * BATCH, len(own.code)))
-            code = own.code[at]
-            p = probabilities(common.value, own.history(at))[np.arange(len(at)), cls[code]]
-            score[at] = np.log10(np.maximum(p, 1e-30)) + inner[code]
+            code, hashes = own.code[at], own.history(at)
+            p = probabilities(common.value, class_rows(hashes))[np.arange(len(at)), cls[code]]
+            x = tree_odds(tree, odds[:, code], tree_places(hashes, salt[:, code], column[:, code])[1])
+            ways = np.logaddexp(0, sign[:, code] * x).sum(axis=0, dtype=np.float64) / np.log(10)
+            score[at] = np.log10(np.maximum(p, 1e-30)) - ways + inner[code]
         sums = [np.bincount(own.text, x, own.n) for x in (base[own.code], score)]
         tokens, known = np.bincount(own.text, minlength=own.n), np.bincount(own.text, count[own.code] > 0, own.n)
-        return pa.table([t.column("id"), t.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known.astype(np.int64)),
+        return pa.table([pa.array(own.ids), pa.array(own.held), pa.array(tokens, pa.int64()), pa.array(known.astype(np.int64)),
                          pa.array([n] * own.n, pa.int64()), *map(pa.array, sums)],
                         names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

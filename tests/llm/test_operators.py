@@ -335,6 +335,33 @@ def test_maxent_beats_counts_on_held_out_texts(spark):
     assert r["sum(score)"] > r["sum(base_score)"]
 
 
+def test_maxent_history_tells_tokens_of_a_class_apart():
+    import pyarrow as pa
+    t = pa.table({"id": [0], "text": ["left ping right pong " * 20000], "held_out": [False]})
+    tokens = maxent.Tokens.opened(pa.table([pa.array([x], pa.binary()) for x in maxent.Tokens.of(t).packed()], names=maxent._PARTS))
+    assert tokens.words == [b"left", b"ping", b"right", b"pong", b""] and len(tokens.code) == 80001
+    cls, leaf = np.full(5, 7), maxent.leaves(tokens.words)          # all in one class
+    weight = np.zeros((maxent.CLASSES, 1 << maxent.DEPTH), np.int64)
+    np.add.at(weight, (cls, leaf), np.bincount(tokens.code) + 1)
+    trees = maxent.Trees(weight)
+    w = np.zeros((1 + maxent.FEATURES * maxent.ROWS + maxent.TREE_ROWS, maxent.CLASSES), np.float32)
+
+    def shares(at):
+        """Of all leaves of the class, for the token after this history."""
+        every = np.arange(1 << maxent.DEPTH)
+        odds, right, salt, column = trees.ways(np.full(len(every), 7), every)
+        seen = np.repeat(tokens.history(np.array([at])), len(every), axis=0)
+        x = maxent.tree_odds(w[1 + maxent.FEATURES * maxent.ROWS:].ravel(), odds, maxent.tree_places(seen, salt, column)[1])
+        return np.exp(-np.logaddexp(0, (1 - 2 * right) * x).sum(axis=0, dtype=np.float64))
+
+    assert np.allclose(shares(5), weight[7] / weight[7].sum(), atol=1e-6)   # by the counts alone
+    maxent.descend(w, tokens, cls, leaf, trees, np.arange(len(tokens.code)))
+    ping, pong = leaf[1], leaf[3]
+    for at, own, other in ((5, ping, pong), (7, pong, ping)):
+        p = shares(at)
+        assert abs(p.sum() - 1) < 1e-5 and p[own] > 0.6 and p[other] < 0.2
+
+
 def test_byte_bpe(spark, docs, empty):
     import public_tokenizers
     import tiktoken
