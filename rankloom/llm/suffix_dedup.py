@@ -44,6 +44,8 @@ _BLOCK = 1 << 18
 COMMON = 10_000
 #: Bytes of runs that one suffix array takes.
 ARRAY_BYTES = 1 << 20
+#: A shard's text where rows carry their other columns through all steps.
+REMOVE_SHARD_BYTES = kx.SHARD_BYTES // 2
 
 
 def part_hashes(data: np.ndarray) -> np.ndarray:
@@ -398,7 +400,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select(out_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def remove(docs: DataFrame, shard_bytes: int = kx.SHARD_BYTES) -> DataFrame:
+def remove(docs: DataFrame, shard_bytes: int = REMOVE_SHARD_BYTES) -> DataFrame:
     """The same rows and columns with what goes cut from the texts (a character
     that a cut splits goes too) and n_chars, where there is one, counted anew for
     changed texts. A text may become empty; its row stays."""
