@@ -15,6 +15,9 @@ before it: whether it begins within a string, and how deep. Both compose:
    block's end comes in parts, of which there are two a block at most, and is put
    together by its number. The text of all others is not shuffled.
 
+A folder of ``part-*`` files is one document, too: what its files hold one after
+another, by the number in their names. Blocks are numbered by file and offset.
+
 The document has to be one whole JSON value: an open string or bracket at the end,
 or anything but blanks before or after the value, is an error. Elements come as
 their text; the readers parse it and fail on anything that isn't exactly one value.
@@ -23,6 +26,7 @@ their text; the readers parse it and fail on anything that isn't exactly one val
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BLANK = b" \t\r\n"
+_FILE_BITS = 44     # a block's number: its file's, and its offset in these low bits
 _QUOTE, _BACK, _COMMA = 34, 92, 44
 _SUMMARY = "block long, n long, size long, odd boolean, head string, d0 long, d1 long, c0 array<long>, c1 array<long>"
 _PARTS = "t long, pos long, block long, whole boolean, opens boolean, closed_by string, text string"
@@ -43,12 +48,16 @@ class Entry:
     depth: int
     commas: tuple[int, int]     # at depths 1 and 2, before the block
     begun: bool                 # the value has begun
-    unended: bool               # the last row of the file has no line end
+    unended: bool               # the block's last row ends its file and has no line end
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "}").text(path).select(
-        F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
+    number = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    reader = spark.read.option("lineSep", "}")
+    if _is_folder(spark, path):
+        reader = reader.option("pathGlobFilter", "part-*")
+    return reader.text(path).select(
+        (F.shiftleft(number, _FILE_BITS) + F.col("_metadata.file_block_start")).alias("block"), F.col("_metadata.file_size").alias("size"),
         F.col("value").cast("binary").alias("value"))
 
 
@@ -83,10 +92,9 @@ def _runs(batches):
         block = b.column("block").to_numpy()
         if not len(block):
             continue
-        size = b.column("size")[0].as_py()
         edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for i, j in zip(edge, edge[1:]):
-            yield int(block[i]), size, b"}".join(b.column("value").slice(i, j - i).to_pylist()) + b"}"
+            yield int(block[i]), b.column("size")[i].as_py(), b"}".join(b.column("value").slice(i, j - i).to_pylist()) + b"}"
 
 
 def _summaries(batches):
@@ -124,22 +132,28 @@ def _summaries(batches):
 def _entries(rows, path: str) -> tuple[dict[int, Entry], str]:
     """The state at each block's begin, and the value's first character."""
     rows = sorted(rows, key=lambda r: r["block"])
-    total, size = sum(r["n"] for r in rows), rows[0]["size"] if rows else 0
-    if total not in (size, size + 1):
+    total, size, end = Counter(), {}, {}        # by file; end: its last block that has rows
+    for r in rows:
+        k = r["block"] >> _FILE_BITS
+        total[k] += r["n"]
+        size[k], end[k] = r["size"], r["block"]
+    if any(total[k] not in (size[k], size[k] + 1) for k in size):
         raise ValueError(f"{path}: not plain JSON text (compressed, or with a byte order mark)")
     entries, in_string, depth, commas, head = {}, False, 0, [0, 0], None
     for r in rows:
-        entries[r["block"]] = Entry(in_string, depth, tuple(commas), head is not None, total > size)
+        k = r["block"] >> _FILE_BITS
+        unended = r["block"] == end[k] and total[k] > size[k]
+        entries[r["block"]] = Entry(in_string, depth, tuple(commas), head is not None, unended)
         c = r["c1"] if in_string else r["c0"]
         at = dict(zip(c[::2], c[1::2]))
         commas = [commas[k] + at.get(k + 1 - depth, 0) for k in (0, 1)]
         depth += r["d1"] if in_string else r["d0"]
         in_string ^= r["odd"]
         head = head or r["head"]
-    if total > size and not in_string:
-        depth += 1              # the last row's line end isn't there
-        if head == "}" and size == 0:
-            head = None
+        if unended and not in_string:
+            depth += 1              # the last row's line end isn't there
+            if head == "}" and size[k] == 0:
+                head = None
     if head is None or in_string or depth != 0:
         raise ValueError(f"{path}: not a whole JSON value")
     return entries, head
@@ -148,10 +162,10 @@ def _entries(rows, path: str) -> tuple[dict[int, Entry], str]:
 class _Cutter:
     """Cuts the elements at one depth out of one block."""
 
-    def __init__(self, block: int, entry: Entry, level: int, last: bool):
-        self.block, self.level, self.last = block, level, last
+    def __init__(self, block: int, entry: Entry, level: int):
+        self.block, self.level = block, level
         self.quotes, self.depth, self.n = int(entry.in_string), entry.depth, list(entry.commas)
-        self.begun, self.unended = entry.begun, entry.unended and last
+        self.begun, self.unended = entry.begun, entry.unended
         self.held: list[bytes] = []           # the open element's (or head's) text so far
         self.inside = entry.depth >= level    # in a container of elements
         self.whole, self.opens = False, False
@@ -227,8 +241,6 @@ class _Cutter:
 
 
 def _cut(entries: dict[int, Entry], level: int, want):
-    last = max(entries)
-
     def run(batches):
         cutter, block_now = None, None
         pending = None
@@ -236,7 +248,7 @@ def _cut(entries: dict[int, Entry], level: int, want):
             if block != block_now:
                 if cutter is not None:
                     yield from _finish(cutter, pending, want)
-                cutter, block_now, pending = _Cutter(block, entries[block], level, block == last), block, None
+                cutter, block_now, pending = _Cutter(block, entries[block], level), block, None
             if pending is not None:
                 cutter.feed(pending)
                 yield from _out(cutter, want)
@@ -277,13 +289,19 @@ def _texts(spark: SparkSession, path: str, entries, level: int, head: bool) -> D
     return done.unionByName(joined)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def _file(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(f"input not found: {path}")
-    if fs.getFileStatus(p).isDirectory():
-        raise IsADirectoryError(f"one JSON file expected: {path}")
+    if fs.getFileStatus(p).isDirectory() and not any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p)):
+        raise IsADirectoryError(f"one JSON file, or a folder with its parts expected: {path}")
 
 
 def _members(batches):
