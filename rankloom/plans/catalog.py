@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.rankings import with_rankings
 from rankloom.operators import curation, manifest, pareto, runs, scoring, setups, sharding, split
-from rankloom.operators.sequence import materialize
+from rankloom.operators.sequence import materialize, partitions_for
 from rankloom.plans import fixtures as fx
 from rankloom.plans import oracles as o
 from rankloom.session import configure, scratch_dir
@@ -166,7 +166,7 @@ def array_rankings(spark, sf_dir):
     predicted list is a valid ranking): part keys by price vs. part keys with
     quantity >= 45 by quantity, per order."""
     li = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
-    p = (li.repartition("l_orderkey").groupBy("l_orderkey", "l_partkey")
+    p = (fx.by_order(li).groupBy("l_orderkey", "l_partkey")
          .agg(F.max("l_extendedprice").alias("px"), F.max("l_quantity").alias("q")))
     arr = p.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("px")).alias("k1"), F.col("l_partkey").alias("k")))).alias("g"),
@@ -620,6 +620,13 @@ def path_rebase(spark, sf_dir):
 
 
 # ------------------------------------------------------------ streaming
+def _arrivals(df: DataFrame, batches: int) -> tuple[DataFrame, int]:
+    """The rows dealt to files for so many micro-batches, and the files in each: as
+    many as there are tasks to read them, so a batch is never one task's work."""
+    each = max(4 // batches, -(-partitions_for(df, 16 << 20) // batches))
+    return df.repartition(batches * each), each
+
+
 def _stage(df: DataFrame, path: str, chunks_by: str | None = None, n_chunks: int = 4) -> str:
     """Write derived input files for a file-source stream. With ``chunks_by``
     the rows are appended in that column's order as successive files (each
@@ -639,12 +646,12 @@ def _stage(df: DataFrame, path: str, chunks_by: str | None = None, n_chunks: int
 def stream_progress(spark, sf_dir):
     """STR1: run progress maintained by a streaming aggregation over log files."""
     work = scratch_dir(spark, "q-stream-progress")
-    # four arrival files -> two micro-batches, whatever the shuffle partitions
-    src = _stage(fx.trainer_log(spark, sf_dir).repartition(4), f"{work}/log")
+    log, each = _arrivals(fx.trainer_log(spark, sf_dir), 2)
+    src = _stage(log, f"{work}/log")
     runs_dim = fx.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("run_id"), F.col("c_name").alias("name"))
     return live.stream_progress(spark, src, runs_dim, log_schema=fx.TRAINER_LOG_SCHEMA,
-                                max_steps=o.MAX_STEPS, max_files_per_trigger=2,
+                                max_steps=o.MAX_STEPS, max_files_per_trigger=each,
                                 work_dir=f"{work}/stream")
 
 
@@ -653,8 +660,9 @@ def stream_leaderboard(spark, sf_dir):
     """STR2: per-run metrics maintained by a streaming aggregation over
     prediction files."""
     work = scratch_dir(spark, "q-stream-leaderboard")
-    src = _stage(fx.predictions(spark, sf_dir).repartition(4), f"{work}/pred")
-    return live.stream_leaderboard(spark, src, max_files_per_trigger=1, work_dir=f"{work}/stream")
+    pred, each = _arrivals(fx.predictions(spark, sf_dir), 4)
+    src = _stage(pred, f"{work}/pred")
+    return live.stream_leaderboard(spark, src, max_files_per_trigger=each, work_dir=f"{work}/stream")
 
 
 @register("stream_dedup", ORACLES["canonical_examples"])

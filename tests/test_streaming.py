@@ -83,3 +83,12 @@ def test_update_log_is_compacted_and_replays(spark, tmpdir_path):
         f.write("no parquet")
     with pytest.raises(Exception):
         live.latest_per_key(spark, out, ["run"], schema).collect()
+
+
+def test_arrivals_and_orders_are_dealt_by_size(spark, monkeypatch):
+    from rankloom.plans import catalog, fixtures
+    monkeypatch.setattr(catalog, "partitions_for", lambda df, size: 37)
+    rows, each = catalog._arrivals(spark.range(4000), 4)
+    assert each == 10 and rows.rdd.getNumPartitions() == 40
+    monkeypatch.setattr(fixtures, "partitions_for", lambda df, size: 37)
+    assert fixtures.by_order(spark.range(4000).withColumnRenamed("id", "l_orderkey")).rdd.getNumPartitions() == 37
