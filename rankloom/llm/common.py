@@ -91,6 +91,16 @@ def lean_group(fn):
     return run
 
 
+def lean_batches(fn):
+    """The same for ``fn`` of a partition's batches, after the last of them."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
+
+
 def small_batches(batches, column: str, limit: int = 2 << 20):
     """Cut Arrow batches so that ``column`` has at most ``limit`` bytes in each
     part (a longer text is a part of its own)."""

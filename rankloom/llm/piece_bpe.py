@@ -19,9 +19,10 @@ found by the same walk over its cuts, when first asked for.
 
 A blank is written as U+2581, one is put before every text that isn't empty, and
 characters that no piece has become byte pieces. No piece of this vocabulary has
-U+2581 after another character, so a text's ids are those of its parts that
-begin with it, and workers remember parts; of more than ``REMEMBERED`` the older
-ones go when they aren't asked for again. A vocabulary that has such pieces is
+U+2581 after another character, and none has a letter beside most signs, so a
+text's ids are those of its parts between such borders, and workers remember
+parts (words without the signs and line ends behind them); of more than
+``REMEMBERED`` the older ones go when they aren't asked for again. A vocabulary that has such pieces is
 taken whole text by whole text.
 
 Null texts are encoded like empty ones: no ids. Null ids decode to null. Rows
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import kept_between_tasks, small_batches
+from rankloom.llm.common import kept_between_tasks, lean_batches, small_batches
 
 BLANK = "▁"
 #: Parts that a worker remembers twice over, and pairs of pieces that it has compared.
@@ -89,6 +90,7 @@ class Pieces:
             self.surface[i] = bytes([b])
         self.unknown, self.control = model.unk_id(), {i for i in range(n) if model.is_control(i)}
         self.blanks_first = not any(BLANK in t.lstrip(BLANK) for t in self.id)
+        self.parts = parts_of(self.id) if self.blanks_first else None
         #: id -> (pieces on its left edge, on its right edge), or None if merges never give it
         self.edges: dict[int, tuple | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -197,7 +199,7 @@ class Pieces:
         if not text:
             return b""
         text = BLANK + text.replace(" ", BLANK)
-        parts = _PARTS(text) if self.blanks_first else [text]
+        parts = self.parts(text) if self.blanks_first else [text]
         out = list(map(self.known.get, parts))
         if None in out:
             out = [self.learned(part) if ids is None else ids for part, ids in zip(parts, out)]
@@ -216,7 +218,23 @@ class Pieces:
         return out[1:] if first and self.text[first[0]].startswith(BLANK) else out
 
 
-_PARTS = re.compile(f"{BLANK}+[^{BLANK}]*").findall
+def parts_of(pieces):
+    """Cuts a text before U+2581, and between a character that stands beside letters in
+    some piece (or beside such a one) and one that doesn't: no merge crosses there."""
+    beside: dict[str, set[str]] = {}
+    for t in pieces:
+        for a, b in zip(t, t[1:]):
+            if BLANK not in (a, b):
+                beside.setdefault(a, set()).add(b)
+                beside.setdefault(b, set()).add(a)
+    joined, new = set(), {c for t in pieces for c in t if c.isalpha()}
+    while new:
+        joined |= new
+        new = set().union(*(beside.get(c, ()) for c in new)) - joined
+    if not joined:
+        return re.compile(f"{BLANK}+[^{BLANK}]*").findall
+    own = "".join(map(re.escape, sorted(joined)))
+    return re.compile(f"{BLANK}+(?:[{own}]+|[^{own}{BLANK}]*)|[{own}]+|[^{own}{BLANK}]+").findall
 
 
 def pieces_of(path: str) -> Pieces:
@@ -237,7 +255,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                                   names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean_batches(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -249,11 +267,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [None if ids is None else pieces.decode(ids) for ids in part.column("ids").to_pylist()]
+                own = part.column("ids")
+                values, to = own.values.to_numpy(), own.offsets.to_pylist()
+                texts = [pieces.decode(values[i:j].tolist()) if there else None
+                         for i, j, there in zip(to, to[1:], own.is_valid().to_pylist())]
                 yield pa.record_batch([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())],
                                       names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean_batches(run), "doc_id long, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

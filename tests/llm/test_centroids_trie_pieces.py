@@ -161,3 +161,20 @@ def test_decomposition_of_odd_forests():
         parent = np.where(is_top, -1, node[np.maximum(up, 0)])
         got = prefix_trie._decomposed(node[deal], depth[deal], parent[deal], size[deal], node[top][deal], np.zeros(n, np.int64), values[deal], np.zeros((n, 2), np.int64))
         assert (got == sums[deal]).all(), shape
+
+
+def test_piece_bpe_cuts_parts_where_no_piece_crosses():
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_bpe.vocabulary())
+    pieces = piece_bpe.Pieces(piece_bpe.vocabulary())
+    text = "threesti threesti, threesti.\nthreesti### (threesti) threesti\tthreesti; ▁threesti'x 12threesti3 #\n"
+    assert list(array.array("i", pieces.ids(text))) == lib.encode(text)
+    # a word isn't taken anew for each sign that stands beside it
+    assert sum("threesti" in part for part in pieces.known) <= 3
+    rng = random.Random(5)
+    for _ in range(3000):
+        s = "".join(rng.choice(["the", "é", "ß", "日", "本", "1", "20", " ", "\n", ".", ",", "'", "’", "-", "(", "###", "▁", "a", "\U0001f600", "s"]) for _ in range(rng.randint(1, 14)))
+        assert list(array.array("i", pieces.ids(s))) == lib.encode(s)
+    own = piece_bpe.parts_of(["a", "b", "ab", "a-", "-.", "▁(", ".", "!"])
+    assert own("▁(a-.b!!▁▁b!") == ["▁(", "a-.b", "!!", "▁▁b", "!"]
+    assert piece_bpe.parts_of(["1", "▁"])("▁1▁") == ["▁1", "▁"]
