@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import forget, lean, lean_group, pieces, run_starts
+from rankloom.llm.common import forget, lean, lean_group, pieces, run_starts, stored
 
 BITS = 44
 #: UTF-8 bytes of text in a shard.
@@ -189,6 +189,7 @@ def standing(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, digest) of all rows, and (digest, rep, node): the smallest id of each
-    text, and a number of its own, which holds once it is written."""
-    named = docs.select("id", digest_of(F.col("text")).alias("digest"))
+    text, and a number of its own, which holds once it is written. The rows are
+    written, so that joins with them don't read whole texts again."""
+    named = stored(docs.select("id", digest_of(F.col("text")).alias("digest")), "named")
     return named, named.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())

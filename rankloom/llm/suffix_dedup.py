@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import keys as kx
-from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, lean, lean_group, mix, out_id, pieces, raw, run_starts, stored, text_bytes
+from rankloom.llm.common import NO_ID, configure, id_text, joined_ranges, lean, lean_batches, lean_group, mix, out_id, pieces, raw, run_starts, stored, text_bytes
 
 LENGTH, PART = 50, 26
 SPAN = LENGTH - PART + 1
@@ -396,7 +396,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))],
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = removed_runs(spark, id_text(docs)).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = removed_runs(spark, id_text(docs)).mapInArrow(lean_batches(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(out_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -418,7 +418,7 @@ def remove(docs: DataFrame, shard_bytes: int = REMOVE_SHARD_BYTES) -> DataFrame:
                                              names=["row", "text", "changed"])
 
     schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
-    out = found.mapInArrow(run, schema)
+    out = found.mapInArrow(lean_batches(run), schema)
 
     def column(c):
         if c == "text":

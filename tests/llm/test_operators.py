@@ -211,6 +211,12 @@ def test_jaccard_ids_that_are_null_or_repeated(spark):
         [(None, text(0)), (None, text(1)), (4, text(3)), (2, near(4)), (4, text(5)), (1, text(6)), (7, ""), (None, ""), (None, "\t")], key=repr)
 
 
+def test_jaccard_reads_no_text_again_for_its_result(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = jaccard.digest(texts)
+    assert not any("documents.parquet" in f for f in out.inputFiles()) and out.count() == texts.count()
+
+
 def test_jaccard_links(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[:60 - i] + [f"own{i}"]), "x") for i in range(20)] + [
