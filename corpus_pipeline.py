@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rankloom.llm import jaccard, packing, pii, quality, suffix_dedup
 from rankloom.llm.common import stored, table
 
+#: Words that a worker remembers while texts become ids: what the stages before
+#: took of an executor is still with its JVM then.
+REMEMBERED = 125_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs)
@@ -32,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, docs)
+    return packing.pack_documents(spark, docs, remembered=REMEMBERED)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import configure, id_text, out_id, pieces, small_batches, stored
+from rankloom.llm.common import configure, id_text, lean_batches, out_id, pieces, small_batches, stored
 from rankloom.llm.tokens import encoder, vocabulary
 
 SEQUENCE, END_ID = 4096, 1
@@ -37,16 +37,16 @@ ITEM = "id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE,
-                  end_id: int = END_ID) -> DataFrame:
+                  end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece; row tells apart pieces
-    of repeated rows."""
+    of repeated rows. ``remembered``: words that a worker remembers."""
     path = tokenizer or vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 33
-        enc = encoder(path)
+        enc = encoder(path, remembered)
         for b in small_batches(batches, "text"):
             out = []
             for d, ids in zip(b.column("id").to_pylist(), enc.ids(b.column("text").to_pylist())):
@@ -60,7 +60,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SEQ
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                              names=["id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return id_text(docs).mapInArrow(cut, ITEM)
+    return id_text(docs).mapInArrow(lean_batches(cut), ITEM)
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -169,5 +169,5 @@ def pack(spark: SparkSession, items: DataFrame, size: int = SEQUENCE, part_piece
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    cut = {k: how.pop(k) for k in ("tokenizer", "end_id") if k in how}
+    cut = {k: how.pop(k) for k in ("tokenizer", "end_id", "remembered") if k in how}
     return pack(spark, cut_documents(docs, size=how.get("size", SEQUENCE), **cut), **how)

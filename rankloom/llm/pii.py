@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import configure, id_text, out_id, small_batches
+from rankloom.llm.common import configure, id_text, lean_batches, out_id, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -155,7 +155,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(spans, kind)], names=["id", "spans"])
 
-    return id_text(docs).mapInArrow(run, f"id long, spans {SPANS}")
+    return id_text(docs).mapInArrow(lean_batches(run), f"id long, spans {SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [None if t is None else redacted(t) for t in b.column(i).to_pylist()]
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean_batches(run), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))

@@ -11,7 +11,8 @@ import numpy as np
 
 from rankloom.llm.common import kept_between_tasks
 
-#: Words that a worker remembers; beyond it starts afresh (ids stay the same).
+#: Words that a worker remembers where no other number is given; beyond it starts
+#: afresh (ids stay the same). They take about 160 MB of it.
 REMEMBERED = 500_000
 #: Words of these alone fall into runs of letters, digits and runs of symbols by
 #: the file's split rule (no apostrophes, nor what special tokens begin with),
@@ -39,6 +40,7 @@ class Known(dict):
     """Ids of words and of their parts, as bytes, found when first asked for."""
 
     def __init__(self, path: str):
+        self.remembered = REMEMBERED
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,7 +55,7 @@ class Known(dict):
             out = b"".join([parts[x] if x in parts else self.part(x) for x in _PARTS(word.lower())])
         else:
             out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         self[word] = out
         return out
@@ -61,7 +63,7 @@ class Known(dict):
     def part(self, x: str) -> bytes:
         spelled = x if x.isascii() else x.encode().decode("latin-1").translate(self.letters)
         out = array("I", [t.id for t in self.merge(spelled)]).tobytes()
-        if len(self.parts) >= REMEMBERED:
+        if len(self.parts) >= self.remembered:
             self.parts.clear()
         self.parts[x] = out
         return out
@@ -79,5 +81,7 @@ class WordEncoder:
             yield b"".join([known[w] for w in t.split(" ")])
 
 
-def encoder(path: str) -> WordEncoder:
-    return kept_between_tasks("words:" + path, lambda: WordEncoder(path))
+def encoder(path: str, remembered: int | None = None) -> WordEncoder:
+    own = kept_between_tasks("words:" + path, lambda: WordEncoder(path))
+    own.known.remembered = remembered or REMEMBERED
+    return own

@@ -18,6 +18,9 @@ _PLAN_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # What a task holds outside its heap and in its Python worker for each batch: whole
+    # texts make 10,000 rows (the other limit) tens of MB. op9 cuts batches into two chunks.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "15m",
 }
 
 

@@ -303,6 +303,28 @@ def test_lower_bound_holds():
     assert packing.lower_bound(np.full(7, 40), 64) == 7
 
 
+def test_word_memory_is_bounded():
+    from rankloom.llm import tokens
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q{i}" for i in range(k, k + 50)) for k in range(0, 3000, 40)]
+    want = list(tokens.encoder(tokens.vocabulary()).ids(texts))
+    few = tokens.encoder(tokens.vocabulary(), 100)
+    few.known.clear(), few.known.parts.clear()
+    for text, ids in zip(texts, want):
+        assert list(few.ids([text])) == [ids] and len(few.known) <= 100 and len(few.known.parts) <= 100
+    assert tokens.encoder(tokens.vocabulary()).known.remembered == tokens.REMEMBERED
+
+
+def test_batches_of_long_texts_are_small(spark):
+    import pyarrow as pa
+
+    def size(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    long = spark.range(0, 120, 1, 1).selectExpr("repeat('x', 400000) AS text")
+    assert max(r["n"] for r in long.mapInArrow(size, "n long").collect()) < 17 << 20
+
+
 def test_maxent(spark, docs, empty):
     got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6))
                               for r in maxent.scored(spark, docs, chunk_bytes=3000).withColumnRenamed("id", "doc_id").collect())
