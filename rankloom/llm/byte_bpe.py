@@ -1,7 +1,8 @@
 """Operator 9: byte-level BPE by higher-order functions over distinct words.
 
-Texts are packed into compressed chunks. Each chunk's distinct words (matches
-of the split pattern) go to buckets by hash; a bucket's distinct words are
+Texts are split once, into compressed chunks that hold the distinct words
+(matches of the split pattern) and each word's number. A chunk's distinct words
+go to buckets by hash; a bucket's distinct words are
 encoded once, in Spark expressions: a word's bytes are folded, the adjacent pair
 with the lowest rank merging first, with ranks from a literal map that is cut
 into small maps by hash (a map lookup reads the whole map). The ids go back
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import configure, id_text, joined_ranges, kept_between_tasks, lean, lean_group, out_id, pieces, small_batches, text_bytes
+from rankloom.llm.common import configure, give_back, id_text, joined_ranges, kept_between_tasks, lean, lean_batches, lean_group, out_id, pieces, raw, small_batches, text_bytes
 
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-#: How hard chunks are compressed, which pass through two shuffles.
+#: How hard chunks, words asked for and ids are compressed, which pass through shuffles.
 LEVEL = 3
 SMALL_MAPS = 4096
 #: Bytes of a word that are folded at once; more than any piece of a vocabulary has.
@@ -142,24 +143,26 @@ def _encoded(word: Column, maps: Column, n_maps: int) -> Column:
     return let(rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded(word)))
 
 
+_PARTS = ["ids", "sizes", "words", "codes"]
+
+
 def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, data): rows of (id, text) in compressed chunks, numbered by task."""
+    """(chunk, parts of its words): rows of (id, text) split in chunks, numbered by task:
+    ids, the words of each text, distinct words, and each word's number among them."""
     def run(batches):
         from pyspark import TaskContext
         chunk = TaskContext.get().partitionId() << 32
         for b in small_batches(batches, "text", chunk_bytes):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
-                w.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
-                                             names=["chunk", "data"])
+            every, n = _words(b.column("text").to_pylist())
+            every = every.dictionary_encode()
+            parts = (_squeeze(b.column("id").to_numpy(zero_copy_only=False).astype("<i8").tobytes()), _squeeze(n.astype("<i8").tobytes()),
+                     _squeeze(_join(every.dictionary.cast(pa.binary()).to_pylist()), LEVEL), _planed(every.indices.to_numpy()))
+            del every
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["chunk", *_PARTS])
             chunk += 1
 
-    return docs.mapInArrow(run, "chunk long, data binary")
-
-
-def _open(chunks: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in chunks.column("data").to_pylist()])
+    return docs.mapInArrow(lean_batches(run), "chunk long, " + ", ".join(f"{x} binary" for x in _PARTS))
 
 
 def _join(words: list[bytes]) -> bytes:
@@ -172,14 +175,23 @@ def _split(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
 
 
-def _squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+def _squeeze(data: bytes, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def _swell(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
+def _planed(codes: np.ndarray) -> bytes:
+    """Small numbers compressed: all their lowest bytes, then the next ones."""
+    return _squeeze(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), LEVEL)
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_swell(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _by_bucket(words: list[bytes], buckets: int) -> dict[int, np.ndarray]:
     """Places of the words in each bucket, in the order of the words."""
     own = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
@@ -279,11 +291,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
     chunks = pack(docs, chunk_bytes)
 
     def ask(t: pa.Table) -> pa.Table:
-        every, _ = _words(_open(t).column("text").to_pylist())
-        words = _units(every.unique().cast(pa.binary()).to_pylist())
+        words = _units(_split(_swell(t.column("words")[0].as_py())))
         own = _by_bucket(words, buckets)
         return pa.table([pa.array(list(own), pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(own), pa.int64()),
-                         pa.array([_squeeze(_join([words[i] for i in p])) for p in own.values()], pa.binary())],
+                         pa.array([_squeeze(_join([words[i] for i in p]), LEVEL) for p in own.values()], pa.binary())],
                         names=["bucket", "chunk", "words"])
 
     def distinct(t: pa.Table) -> pa.Table:
@@ -298,21 +309,18 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
         to = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.int64) * 4
         flat = ids.flatten().to_numpy().astype("<u4").tobytes()
         known = {w: flat[a:b] for w, a, b in zip(right.column("word").to_pylist(), to[:-1].tolist(), to[1:].tolist())}
-        data = [_squeeze(_join([known[w] for w in _split(_swell(x.as_py()))])) for x in left.column("words")]
+        data = [_planed(np.frombuffer(_join([known[w] for w in _split(_swell(x.as_py()))]), "<u4")) for x in left.column("words")]
         return pa.table([left.column("chunk"), left.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "bucket", "ids"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = _open(left)
-        every, n = _words(t.column("text").to_pylist())
-        every = every.dictionary_encode()
-        words, codes = every.dictionary.cast(pa.binary()).to_pylist(), every.indices.to_numpy()
-        ids_of = t.column("id")
-        del every, t
+        ids_of, n, words, codes = (left.column(x)[0].as_py() for x in _PARTS)
+        ids_of, n = (np.frombuffer(_swell(x), "<i8") for x in (ids_of, n))
+        words, codes = _split(_swell(words)), _unplaned(codes)
         units = _units(words)
         own = _by_bucket(units, buckets)
         ids = [b""] * len(units)
         for b, x in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()):
-            for i, y in zip(own[b].tolist(), _split(_swell(x))):
+            for i, y in zip(own[b].tolist(), _split(_unplaned(x).tobytes())):
                 ids[i] = y
         if units is not words:
             known = dict(zip(units, ids))
@@ -327,7 +335,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
             mine = codes[at:at + k]
             out.append(flat[joined_ranges(first[mine], size[mine])].tobytes())
             at += k
-        return pa.table([ids_of, pa.array(out, pa.binary())], names=["id", "ids"])
+        return pa.table([pa.array(ids_of), pa.array(out, pa.binary())], names=["id", "ids"])
 
     def table():
         ranks = read_ranks(path)
@@ -344,6 +352,15 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, chunk_
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(lambda key, a, b: finish(a, b)), "id long, ids binary")
 
 
+def joined(token: pa.Array, ids: pa.Array) -> pa.Array:
+    """The byte strings of each row's little-endian 32-bit ids, concatenated: ids
+    are looked up for all rows at once, and rows end where their last id does."""
+    data, off = raw(ids)
+    data, to = raw(token.take(pa.array(np.frombuffer(data.tobytes(), "<u4"))))
+    end = to[off // 4].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(end), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(id, ids, decoded binary): the ids' byte strings, concatenated."""
     path = path or vocabulary()
@@ -353,13 +370,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         out = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             out[v] = k
-        return out
+        return pa.array(out, pa.large_binary())
 
     def run(batches):
         token = kept_between_tasks("bytes:" + path, table)
         for b in small_batches(batches, "ids"):
-            out = [b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(out, pa.binary())], names=["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), joined(token, b.column("ids"))], names=["id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "id long, ids binary, decoded binary")
 

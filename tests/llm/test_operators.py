@@ -402,6 +402,29 @@ def test_byte_bpe(spark, docs, empty):
     assert byte_bpe.digest(spark, empty).count() == 0
 
 
+def test_byte_bpe_splits_once(spark):
+    """What is passed on holds the words, so neither asking nor finishing splits texts again."""
+    import public_tokenizers
+    import regex
+    texts = ["the cat saw  the cat", "", "été 12 日本", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    (r,) = byte_bpe.pack(docs, 1 << 20).collect()
+    want = [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+    words = byte_bpe._split(byte_bpe._swell(bytes(r["words"])))
+    assert sorted(words) == sorted({w.encode() for ws in want for w in ws})
+    assert [words[c].decode() for c in byte_bpe._unplaned(bytes(r["codes"]))] == [w for ws in want for w in ws]
+    assert np.frombuffer(byte_bpe._swell(bytes(r["sizes"])), "<i8").tolist() == [len(ws) for ws in want]
+    assert byte_bpe._unplaned(byte_bpe._planed(np.array([0, 300, 70_000, 1 << 25]))).tolist() == [0, 300, 70_000, 1 << 25]
+
+
+def test_byte_bpe_joins_byte_strings_of_rows():
+    import pyarrow as pa
+    token = pa.array([b"a", b"", b"\xc3", b"\xa9z"], pa.large_binary())
+    ids = pa.array([np.array(x, "<u4").tobytes() for x in ([9], [0, 2, 3], [], [1], [3, 3])], pa.binary()).slice(1)
+    assert byte_bpe.joined(token, ids).to_pylist() == [b"a\xc3\xa9z", b"", b"", b"\xa9z\xa9z"]
+    assert byte_bpe.joined(token, ids.slice(1, 2)).to_pylist() == [b"", b""] and not len(byte_bpe.joined(token, ids.slice(0, 0)))
+
+
 def test_byte_bpe_long_words(spark):
     import random
     import public_tokenizers
