@@ -30,6 +30,7 @@ is what an empty count gives. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.byte_bpe import _join, _split, _squeeze, _swell
-from rankloom.llm.common import NO_ID, ascii_lower, configure, mix, out_id, pieces, raw, stored, text_bytes, word_array, word_spans
+from rankloom.llm.common import NO_ID, ascii_lower, configure, mix, out_id, pieces, raw, stored, text_bytes, word_spans
 from rankloom.llm.shingles import span_hashes
 
 CHUNK_BYTES = 8 << 20
@@ -71,17 +72,24 @@ class Tokens:
         self.text = np.repeat(np.arange(self.n), size)
         self.hash = hashes[code]
 
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return checksums(self.words)
+
     @classmethod
     def of(cls, t: pa.Table) -> Tokens:
         data, off = raw(ascii_lower(t.column("text").combine_chunks()))
         start, end, text = word_spans(data, off)
-        d = word_array(data, start, end).dictionary_encode()
-        words = [w.encode("utf-8", "surrogatepass") for w in d.dictionary.to_pylist()] + [END]
+        to = np.concatenate(([0], np.cumsum(end - start)))
+        inside = data[(data != 32) & ((data < 9) | (data > 13))]    # the words' bytes: all that are no blanks
+        d = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(to), pa.py_buffer(inside)]).dictionary_encode()
+        own, to = raw(d.dictionary)
+        every = own.tobytes()
+        words = [every[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist())] + [END]
         n = t.num_rows
         at = np.searchsorted(text, np.arange(n), "right")  # the end follows each text's words
         code = d.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        hashes = np.zeros(len(words), np.uint64)
-        hashes[code] = span_hashes(data, start, end)
+        hashes = np.append(span_hashes(own, to[:-1], to[1:]), np.uint64(0))
         return cls(t.column("id").to_numpy(), t.column("held_out").to_numpy(zero_copy_only=False), words, hashes,
                    np.insert(code, at, len(words) - 1), np.bincount(text, minlength=n) + 1)
 
@@ -96,21 +104,35 @@ class Tokens:
                    np.frombuffer(code, "<i4"), np.frombuffer(size, "<i4"))
 
     def history(self, at: np.ndarray) -> np.ndarray:
-        """Weight rows of the features of the tokens at these places."""
-        h, last, other = self.hash, np.maximum(at - 1, 0), np.maximum(at - 2, 0)
-        one = np.where((at >= 1) & (self.text[last] == self.text[at]), h[last], np.uint64(1))
-        two = np.where((at >= 2) & (self.text[other] == self.text[at]), h[other], np.uint64(2))
-        return np.stack([one, mix(one * np.uint64(3) + two), mix(two + np.uint64(7))], axis=1)
+        """Hashes of the features of the tokens at these places (a feature's lie together)."""
+        h, text, last, other = self.hash, take(self.text, at), np.maximum(at - 1, 0), np.maximum(at - 2, 0)
+        one = np.where((at >= 1) & (take(self.text, last) == text), take(h, last), np.uint64(1))
+        two = np.where((at >= 2) & (take(self.text, other) == text), take(h, other), np.uint64(2))
+        return np.stack([one, mix(one * np.uint64(3) + two), mix(two + np.uint64(7))]).T
+
+
+def take(x: np.ndarray, at: np.ndarray, out: np.ndarray | None = None, axis: int = 0) -> np.ndarray:
+    """``x[at]`` in one pass, into ``out`` if there is one; all places are within ``x``."""
+    return np.take(x, at, axis, out, mode="clip")
+
+
+def row_values(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` as single values, which numpy writes at once."""
+    return x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
 
 
 def class_rows(seen: np.ndarray) -> np.ndarray:
-    """Weight rows of the features with these hashes."""
-    return (seen % np.uint64(ROWS)).astype(np.int64) + 1 + np.arange(FEATURES) * ROWS
+    """Weight rows of the features with these hashes, by feature."""
+    return (seen.T & np.uint64(ROWS - 1)).astype(np.int64) + (1 + np.arange(FEATURES) * ROWS)[:, None]
+
+
+def checksums(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
 
 def leaves(words: list[bytes]) -> np.ndarray:
     """The leaf of each word in its class's tree."""
-    return np.array([zlib.crc32(w) >> 32 - DEPTH for w in words], np.int64)
+    return checksums(words) >> 32 - DEPTH
 
 
 class Trees:
@@ -137,19 +159,33 @@ class Trees:
         inner = 1 << levels % LEVELS
         return self.odds[cls, node], right, salt, inner + (node & inner - 1)
 
+    def tables(self):
+        """The same of each leaf of every class, (part, leaf, level) with LEVELS levels a
+        part: odds; by the leaf alone the right side and columns; hash by part and leaf."""
+        every = np.arange(CLASSES << DEPTH)
+        odds, right, salt, column = self.ways(every >> DEPTH, every & (1 << DEPTH) - 1)
+        odds, right, column = (np.ascontiguousarray(x.reshape(-1, LEVELS, x.shape[1]).transpose(0, 2, 1))
+                               for x in (odds, right[:, :1 << DEPTH], column[:, :1 << DEPTH]))
+        return odds, right, column, salt
+
+
+def tree_rows(seen: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """(feature, part, token) of the trees' weight rows."""
+    return (seen.T[:, None] ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - TREE_ROWS.bit_length())
+
 
 def tree_places(seen: np.ndarray, salt: np.ndarray, column: np.ndarray):
     """(feature, row, token) of the trees' weight rows, and (feature, level, token) of their single weights."""
-    row = ((seen.T[:, None, :] ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - TREE_ROWS.bit_length())).astype(np.int64)
+    row = tree_rows(seen, salt).astype(np.int64)
     place = (row * CLASSES)[:, :, None, :] + column.reshape(-1, LEVELS, column.shape[1])
     return row, place.reshape(FEATURES, DEPTH, -1)
 
 
 def tree_odds(tree: np.ndarray, odds: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Odds of the right branch by level and token."""
-    x = odds + tree[places[0]]
+    x = odds + take(tree, places[0])
     for own in places[1:]:
-        x += tree[own]
+        x += take(tree, own)
     return x
 
 
@@ -179,9 +215,9 @@ class Classes:
         """log10 of a token's (c + 1) among those of its leaf."""
         return np.log10((count + 1) / self.trees.weight[cls, leaf])
 
-    def places(self, words: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and leaf; unseen words share one of the last class."""
-        cls, leaf = self.of(words), leaves(words)
+    def places(self, tokens: Tokens, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and leaf of the words; unseen words share one of the last class."""
+        cls, leaf = self.of(tokens.words), tokens.sums >> 32 - DEPTH
         cls[count == 0], leaf[count == 0] = CLASSES - 1, UNSEEN
         return cls, leaf
 
@@ -234,54 +270,140 @@ def start_weights(classes: Classes) -> np.ndarray:
     return w
 
 
-def probabilities(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = w[0] + w[rows[:, 0]]
-    for i in range(1, FEATURES):
-        x += w[rows[:, i]]
+def probabilities(bias: np.ndarray, parts) -> np.ndarray:
+    """Softmax of the bias and the parts, in the room of the first part."""
+    parts = iter(parts)
+    x = next(parts)
+    x += bias
+    for p in parts:
+        x += p
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+class Shared:
+    """The weight rows of one feature that a batch's tokens have: each once, ascending,
+    with the number of its tokens; ``of`` says which is a token's."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
+        rows = take(rows, self.order)
+        new = np.ones(len(rows) + 1, bool)
+        np.not_equal(rows[1:], rows[:-1], out=new[1:-1])
+        first = np.flatnonzero(new)
+        self.first, self.size = first[:-1], np.diff(first)
+        self.rows = take(rows, self.first)
+        self.of = np.empty(len(rows), np.int64)
+        self.of[self.order] = np.cumsum(new[:-1]) - 1
+
+    def sums(self, g: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Sum of ``g`` over each row's tokens. Most rows have one or two, which are
+        gathered; ``reduceat`` takes long for each row and is left those with more."""
+        total = take(g, take(self.order, self.first), out)
+        values = row_values(total)
+        two = np.flatnonzero(self.size == 2)
+        np.put(values, two, row_values(take(total, two) + take(g, take(self.order, take(self.first, two) + 1))))
+        more = self.size > 2
+        some = np.flatnonzero(more)
+        if len(some):
+            size = take(self.size, some)
+            own = take(g, take(self.order, np.flatnonzero(np.repeat(more, self.size))))
+            np.put(values, some, row_values(np.add.reduceat(own, np.cumsum(size) - size, axis=0)))
+        return total
+
+
+class ClassSteps:
+    """Steps of the class softmax: each feature row by its own gradient summed over the
+    batch, over the root of its gradient's square so far. Room is taken once."""
+
+    def __init__(self, w: np.ndarray, most: int):
+        self.w, self.values = w, row_values(w)
+        self.seen, self.had = np.full(len(w), 1.0, np.float32), np.zeros(len(w), np.int64)
+        self.room = np.empty((FEATURES + 3, most, CLASSES), np.float32)
+
+    def step(self, rows: np.ndarray, y: np.ndarray) -> None:
+        n, (first, other, total, *own) = len(y), self.room
+        shared = [Shared(r) for r in rows]
+        own = [take(self.w, s.rows, room[:len(s.rows)]) for s, room in zip(shared, own)]
+        g = probabilities(self.w[0], (take(x, s.of, room[:n]) for x, s, room in zip(own, shared, [first] + [other] * FEATURES)))
+        g[np.arange(n), y] -= 1
+        for x, s in zip(own, shared):
+            change = s.sums(g, total[:len(x)])
+            self.had[s.rows] += s.size
+            seen = take(self.seen, s.rows)
+            seen += np.multiply(change, change, out=other[:len(x)]).sum(axis=1)
+            self.seen[s.rows] = seen
+            change *= np.float32(RATE)
+            change /= np.sqrt(seen)[:, None]
+            x -= change
+            np.put(self.values, s.rows, row_values(x))
+
+
+class TreeSteps:
+    """The same for the branches of the trees, each weight by itself. A batch's weights
+    are visited in order of their rows, so that those of a row are read together."""
+
+    def __init__(self, tree: np.ndarray, trees: Trees, most: int):
+        self.tree, self.seen, self.summed = tree, np.ones_like(tree), np.zeros_like(tree)
+        self.had = np.zeros(TREE_ROWS, np.int64)
+        self.odds, self.right, self.column, self.salt = trees.tables()
+        most *= FEATURES * DEPTH // LEVELS
+        self.places, self.room = np.empty((most, LEVELS), np.int64), np.empty((4, most, LEVELS), np.float32)
+
+    def step(self, seen: np.ndarray, key: np.ndarray) -> None:
+        """``key``: class and leaf of each token."""
+        leaf = key & (1 << DEPTH) - 1
+        row = tree_rows(seen, take(self.salt, key, axis=1)).astype(np.uint16).ravel()
+        n = len(row)
+        order = np.argsort(row, kind="stable")
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        which = order % (n // FEATURES)     # of the parts and tokens, which features share
+        row = take(row, order).astype(np.int64)
+        self.had += np.bincount(row, minlength=TREE_ROWS)
+        row *= CLASSES
+        places = take(take(self.column, leaf, axis=1).reshape(-1, LEVELS), which, self.places[:n])
+        for level in range(LEVELS):
+            places[:, level] += row
+        flat, (w, total, square, other) = places.ravel(), self.room[:, :n]
+
+        w = take(self.tree, places, w)
+        x = take(self.odds, key, axis=1).reshape(-1, LEVELS)
+        for part in take(w, back, other).reshape(FEATURES, -1, LEVELS):
+            x += part
+        np.negative(x, out=x)
+        np.exp(x, out=x)
+        x += 1
+        np.divide(1, x, out=x)
+        x -= take(self.right, leaf, axis=1).reshape(-1, LEVELS)
+
+        np.add.at(self.summed, flat, take(x, which, other).ravel())
+        total = take(self.summed, places, total)
+        self.summed[flat] = 0
+        square = take(self.seen, places, square)
+        square += np.multiply(total, total, out=other)
+        self.seen[flat] = square.ravel()
+        total *= np.float32(TREE_RATE)
+        total /= np.sqrt(square, out=square)
+        w -= total
+        self.tree[flat] = w.ravel()         # one value a place, however often it is there
+
+
 def descend(w: np.ndarray, tokens: Tokens, cls: np.ndarray, leaf: np.ndarray, trees: Trees, at: np.ndarray) -> np.ndarray:
-    """Walk the tokens at these places in batches, changing ``w``. Each feature
-    row steps by its own gradient summed over the batch, over the root of its
-    gradient's square so far; in the trees each weight does. Returns how many tokens
-    had each row."""
-    seen = np.full(len(w), 1.0, np.float32)
-    had = np.zeros(len(w), np.int64)
-    low = 1 + FEATURES * ROWS
-    tree, tree_had = w[low:].reshape(-1), had[low:]
-    tree_seen, summed = np.ones_like(tree), np.zeros_like(tree)
-    odds, right, salt, column = trees.ways(cls, leaf)
+    """Walk the tokens at these places in batches, changing ``w``. Returns how many
+    tokens had each row."""
+    low, most = 1 + FEATURES * ROWS, min(BATCH, len(at))
+    classes, branches = ClassSteps(w, most), TreeSteps(w[low:].reshape(-1), trees, most)
+    key = cls << DEPTH | leaf
     for i in range(0, len(at), BATCH):
         own = at[i:i + BATCH]
-        code = tokens.code[own]
-        hashes = tokens.history(own)
-        rows, y = class_rows(hashes), cls[code]
-        g = probabilities(w, rows)
-        g[np.arange(len(own)), y] -= 1
-        for f in range(FEATURES):
-            order = np.argsort(rows[:, f].astype(np.uint16), kind="stable")  # a radix sort
-            r = rows[order, f]
-            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            total = np.add.reduceat(g[order], first, axis=0)
-            had[r[first]] += np.diff(np.append(first, len(r)))
-            r = r[first]
-            seen[r] += (total * total).sum(axis=1)
-            w[r] -= RATE * total / np.sqrt(seen[r])[:, None]
-        row, place = tree_places(hashes, salt[:, code], column[:, code])
-        x = 1 / (1 + np.exp(-tree_odds(tree, odds[:, code], place))) - right[:, code]
-        place = place.ravel()
-        np.add.at(summed, place, np.broadcast_to(x, (FEATURES, *x.shape)).ravel())
-        total = summed[place]
-        square = tree_seen[place] + total * total
-        tree_seen[place] = square
-        tree[place] -= np.float32(TREE_RATE) * total / np.sqrt(square)   # one value a place, however often it is there
-        summed[place] = 0
-        tree_had += np.bincount(row.ravel(), minlength=TREE_ROWS)
-    return had
+        seen, code = tokens.history(own), take(tokens.code, own)
+        classes.step(class_rows(seen), take(cls, code))
+        branches.step(seen, take(key, code))
+    classes.had[low:] = branches.had
+    return classes.had
 
 
 _CHANGES = "block int, turn long, data binary, had binary"
@@ -310,7 +432,7 @@ def model(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
         own = Tokens.opened(t)
         train = ~own.held[own.text]
         n = np.bincount(own.code[train], minlength=len(own.words))
-        bucket = np.array([zlib.crc32(w) % buckets for w in own.words])
+        bucket = own.sums % buckets
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
         return pa.table([pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()),
@@ -346,7 +468,7 @@ def model(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
 
 def own_counts(tokens: Tokens, right: pa.Table, buckets: int) -> np.ndarray:
     """Training counts of a chunk's distinct words, from what came back."""
-    bucket = np.array([zlib.crc32(x) % buckets for x in tokens.words])
+    bucket = tokens.sums % buckets
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     out = np.zeros(len(tokens.words), np.int64)
@@ -363,7 +485,7 @@ def changes(chunks: DataFrame, answers: DataFrame, w: np.ndarray, classes: Class
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Tokens.opened(left)
-        cls, leaf = classes.places(own.words, own_counts(own, right, buckets))
+        cls, leaf = classes.places(own, own_counts(own, right, buckets))
         mine = common.value.copy()
         at = np.flatnonzero(~own.held[own.text])
         had = descend(mine, own, cls, leaf, classes.trees, at)
@@ -417,18 +539,20 @@ def scored(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Tokens.opened(left)
         count = own_counts(own, right, buckets)
-        cls, leaf = classes.places(own.words, count)
+        cls, leaf = classes.places(own, count)
         base = np.log10((count + 1) / (n + 1 * (v + 1)))
         inner = classes.at_leaf(cls, leaf, count)
-        odds, right_side, salt, column = classes.trees.ways(cls, leaf)
-        sign, tree = 1 - 2 * right_side, common.value[1 + FEATURES * ROWS:].ravel()
+        key, every = cls << DEPTH | leaf, np.arange(CLASSES << DEPTH)
+        odds, right_side, salt, column = classes.trees.ways(every >> DEPTH, every & (1 << DEPTH) - 1)
+        sign, w, tree = 1 - 2 * right_side, common.value, common.value[1 + FEATURES * ROWS:].ravel()
         score = np.empty(len(own.code))
-        for i in range(0, len(own.code), 4 * BATCH):
-            at = np.arange(i, min(i + 4 * BATCH, len(own.code)))
-            code, hashes = own.code[at], own.history(at)
-            p = probabilities(common.value, class_rows(hashes))[np.arange(len(at)), cls[code]]
-            x = tree_odds(tree, odds[:, code], tree_places(hashes, salt[:, code], column[:, code])[1])
-            ways = np.logaddexp(0, sign[:, code] * x).sum(axis=0, dtype=np.float64) / np.log(10)
+        for i in range(0, len(own.code), BATCH):
+            at = np.arange(i, min(i + BATCH, len(own.code)))
+            code, seen = own.code[at], own.history(at)
+            k = take(key, code)
+            p = probabilities(w[0], (take(w, r) for r in class_rows(seen)))[np.arange(len(at)), take(cls, code)]
+            x = tree_odds(tree, take(odds, k, axis=1), tree_places(seen, take(salt, k, axis=1), take(column, k, axis=1))[1])
+            ways = np.logaddexp(0, take(sign, k, axis=1) * x).sum(axis=0, dtype=np.float64) / np.log(10)
             score[at] = np.log10(np.maximum(p, 1e-30)) - ways + inner[code]
         sums = [np.bincount(own.text, x, own.n) for x in (base[own.code], score)]
         tokens, known = np.bincount(own.text, minlength=own.n), np.bincount(own.text, count[own.code] > 0, own.n)
