@@ -390,6 +390,56 @@ def test_maxent_history_tells_tokens_of_a_class_apart():
         assert abs(p.sum() - 1) < 1e-5 and p[own] > 0.6 and p[other] < 0.2
 
 
+def test_maxent_steps_agree_with_plain_ones():
+    """Weights as a broadcast hands them out; steps against sums over all places at once."""
+    import pickle
+
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words[int(300 * x ** 3)] for x in rng.random(n)) for n in (0, 1, 2, 2500, 3000)]
+    tokens = maxent.Tokens.of(pa.table({"id": list(range(5)), "text": texts, "held_out": [False] * 5}))
+    assert tokens.words[-1] == b"" and tokens.code[:3].tolist() == [len(tokens.words) - 1, 0, len(tokens.words) - 1]
+    cls, leaf = np.arange(len(tokens.words)) % maxent.CLASSES, maxent.leaves(tokens.words)
+    weight = np.zeros((maxent.CLASSES, 1 << maxent.DEPTH), np.int64)
+    np.add.at(weight, (cls, leaf), np.bincount(tokens.code) + 1)
+    trees, at = maxent.Trees(weight), np.arange(len(tokens.code))
+    low = 1 + maxent.FEATURES * maxent.ROWS
+    w = np.zeros((low + maxent.TREE_ROWS, maxent.CLASSES), np.float32)
+    w[0] = rng.random(maxent.CLASSES)
+
+    plain, had = w.astype(np.float64), np.zeros(len(w), np.int64)
+    seen, (odds, right, salt, column) = np.ones(w.shape), trees.ways(cls, leaf)
+    for i in range(0, len(at), maxent.BATCH):
+        own = at[i:i + maxent.BATCH]
+        code, hashes = tokens.code[own], tokens.history(own)
+        rows = (hashes % np.uint64(maxent.ROWS)).astype(np.int64) + 1 + np.arange(maxent.FEATURES) * maxent.ROWS
+        x = np.exp(plain[0] + plain[rows].sum(axis=1))
+        x /= x.sum(axis=1, keepdims=True)
+        x[np.arange(len(own)), cls[code]] -= 1
+        total = np.zeros(w.shape)
+        for f in range(maxent.FEATURES):
+            np.add.at(total, rows[:, f], x)
+            np.add.at(had, rows[:, f], 1)
+        seen[:low] += (total[:low] ** 2).sum(axis=1, keepdims=True)
+        row, place = maxent.tree_places(hashes, salt[:, code], column[:, code])
+        np.add.at(had, row + low, 1)
+        tree = plain[low:].ravel()
+        x = 1 / (1 + np.exp(-odds[:, code] - tree[place].sum(axis=0))) - right[:, code]
+        for f in range(maxent.FEATURES):
+            np.add.at(total[low:].reshape(-1), place[f], x)
+        seen[low:] += total[low:] ** 2
+        rate = np.where(np.arange(len(w)) < low, maxent.RATE, maxent.TREE_RATE)[:, None]
+        plain -= rate * total / np.sqrt(seen)
+
+    got = pickle.loads(pickle.dumps(w))
+    assert np.array_equal(maxent.descend(got, tokens, cls, leaf, trees, at), had)
+    assert np.abs(plain - w).max() > 0.1 and np.allclose(got, plain, atol=1e-4)
+    # numpy's indexed addition compares types as objects, and is ten times slower with another one
+    steps = maxent.TreeSteps(got[low:].reshape(-1), trees, 1)
+    assert steps.summed.dtype is np.dtype(np.float32) and steps.seen.dtype is np.dtype(np.float32)
+
+
 def test_byte_bpe(spark, docs, empty):
     import public_tokenizers
     import tiktoken
