@@ -440,21 +440,28 @@ def model(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
                          pa.array([_squeeze(_join([own.words[i] for i in p])) for p in parts], pa.binary()),
                          pa.array([n[p].astype("<u4").tobytes() for p in parts], pa.binary())], names=["bucket", "chunk", "words", "counts"])
 
-    def total(t: pa.Table) -> dict[bytes, int]:
-        found: dict[bytes, int] = {}
-        for ws, ns in zip(t.column("words").to_pylist(), t.column("counts").to_pylist()):
-            for w, n in zip(_split(_swell(ws)), np.frombuffer(ns, "<u4").tolist()):
-                found[w] = found.get(w, 0) + n
-        return found
+    def total(t: pa.Table) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+        """A bucket's distinct words, their counts, and each chunk's words as numbers of them."""
+        held = [_swell(x) for x in t.column("words").to_pylist()]
+        size = [np.frombuffer(x, "<u4", int(np.frombuffer(x, "<u4", 1)[0]), 4) for x in held]      # as _join writes them
+        to = np.cumsum(np.concatenate([np.zeros(1, np.int64), *size]), dtype=np.int64)
+        data = b"".join(x[4 * (len(n) + 1):] for x, n in zip(held, size))
+        d = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(to), pa.py_buffer(data)]).dictionary_encode()
+        code = d.indices.to_numpy(zero_copy_only=False)
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
+        sums = np.zeros(len(d.dictionary), np.int64)
+        np.add.at(sums, code, n.astype(np.int64))
+        return d.dictionary, sums, np.split(code, np.cumsum([len(x) for x in size])[:-1])
 
     def count(t: pa.Table) -> pa.Table:
-        found = [(w, n) for w, n in total(t).items() if n]
-        return pa.table([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
+        own, n, _ = total(t)
+        found = np.flatnonzero(n)
+        return pa.table([own.take(pa.array(found)).cast(pa.binary()), pa.array(n[found])], names=["word", "n"])
 
     def answer(t: pa.Table) -> pa.Table:
-        found = total(t)
-        data = [np.array([found[w] for w in _split(_swell(x))], "<u4").tobytes() for x in t.column("words").to_pylist()]
-        return pa.table([t.column("chunk"), t.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "bucket", "counts"])
+        _, n, parts = total(t)
+        return pa.table([t.column("chunk"), t.column("bucket"), pa.array([n[p].astype("<u4").tobytes() for p in parts], pa.binary())],
+                        names=["chunk", "bucket", "counts"])
 
     asked = stored(chunks.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, words binary, counts binary"), "words")
     words = stored(asked.groupBy("bucket").applyInArrow(count, "word binary, n long"), "counts")
